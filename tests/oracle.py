@@ -57,8 +57,9 @@ def compare(spark, con, run, sql, folder):
     if got[0] != want[0]:
         return False, f"columns {got[0]} <> {want[0]}", took, len(got[1])
     if got[1] != want[1]:
-        missing = [r for r in want[1] if r not in set(got[1])][:3] if len(want[1]) < 50000 else []
-        extra = [r for r in got[1] if r not in set(want[1])][:3] if len(want[1]) < 50000 else []
+        have, need = set(got[1]), set(want[1])
+        missing = [r for r in want[1] if r not in have][:3]
+        extra = [r for r in got[1] if r not in need][:3]
         return False, f"rows {len(got[1])} vs {len(want[1])}; only sql {missing}; only spark {extra}", took, len(got[1])
     return True, "", took, len(got[1])
 

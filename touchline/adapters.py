@@ -59,7 +59,7 @@ def player_match(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_suppkey").alias("player"),
     ).agg(
         F.sum(F.col("l_quantity") * 20).cast("long").alias("samples"),
-        F.round(F.avg("l_extendedprice") / 100 - 200, 4).alias("average_x"),
+        F.round(F.avg(F.floor(F.col("l_extendedprice") / 100)) - 200, 6).alias("average_x"),
         _count_if(flag == "A", F.col("l_quantity") * 10).alias("nearest_ball_samples"),
         _count_if(status == "F", F.col("l_quantity") * 5).alias("close_ball_samples"),
         F.sum(F.col("l_linenumber") * 3).cast("long").alias("input_events"),
@@ -73,7 +73,7 @@ def player_match(spark: SparkSession, folder: str) -> DataFrame:
         _count_if(F.col("l_discount") > 0.045).alias("pressured_transitions"),
         _count_if((F.col("l_discount") > 0.045) & (flag != "N")).alias("retained_under_pressure"),
         F.sum("l_linenumber").cast("long").alias("touch_progression_events"),
-        F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")) / 100 - 30, 4).alias("touch_progression_sum"),
+        (F.sum(F.floor(F.col("l_extendedprice") / 100) % 97 - 40) / 4).alias("touch_progression_sum"),
         _count_if(F.col("l_tax") > 0.075, F.lit(1)).alias("touch_goals"),
         _count_if((F.col("l_tax") > 0.065) & (F.col("l_tax") < 0.075), F.lit(1)).alias("touch_assists"),
     )
@@ -109,10 +109,10 @@ def states(spark: SparkSession, folder: str) -> DataFrame:
         player.alias("player"),
         F.when(player % 10 == 9, 0).otherwise(player % 2 + 1).cast("int").alias("team"),
     ).agg(
-        F.round(F.avg("l_extendedprice") / 100 - 250, 2).alias("x"),
-        F.round(F.avg("l_quantity") * 8 - 200, 2).alias("y"),
-        F.round(F.avg("l_discount") * 100 - 5, 2).alias("vx"),
-        F.round(F.avg("l_tax") * 100 - 4, 2).alias("vy"),
+        F.round(F.avg(F.floor(F.col("l_extendedprice") / 100)) - 250, 6).alias("x"),
+        F.round(F.avg("l_quantity") * 8 - 200, 6).alias("y"),
+        F.round(F.avg(F.rint(F.col("l_discount") * 100)) - 5, 6).alias("vx"),
+        F.round(F.avg(F.rint(F.col("l_tax") * 100)) - 4, 6).alias("vy"),
     )
 
 
@@ -123,10 +123,10 @@ def balls(spark: SparkSession, folder: str) -> DataFrame:
         F.floor(F.col("l_orderkey") / 8).alias("replay"),
         ((F.col("l_linenumber") % 3) * 6).cast("int").alias("frame"),
     ).agg(
-        F.round(F.avg("l_extendedprice") / 100 - 250, 2).alias("x"),
-        F.round(F.avg("l_quantity") * 8 - 200, 2).alias("y"),
-        F.round(F.avg("l_discount") * 100 - 5, 2).alias("vx"),
-        F.round(F.avg("l_tax") * 100 - 4, 2).alias("vy"),
+        F.round(F.avg(F.floor(F.col("l_extendedprice") / 100)) - 250, 6).alias("x"),
+        F.round(F.avg("l_quantity") * 8 - 200, 6).alias("y"),
+        F.round(F.avg(F.rint(F.col("l_discount") * 100)) - 5, 6).alias("vx"),
+        F.round(F.avg(F.rint(F.col("l_tax") * 100)) - 4, 6).alias("vy"),
     )
 
 
