@@ -166,7 +166,7 @@ def _stem() -> Column:
     key = F.col("o_custkey")
     return F.concat(
         F.lit("01-"),
-        F.date_format("o_orderdate", "MM-yy"),
+        F.date_format("o_orderdate", "MM-yyyy"),
         F.lit("-0"),
         (key % 4).cast("string"),
         F.lit("h00-r"),

@@ -1,6 +1,6 @@
 """All registered queries over the given tables."""
 
-from touchline.workload import match_events, player_ratings  # noqa: F401
+from touchline.workload import imports, match_events, pitch_positions, player_ratings  # noqa: F401
 from touchline.workload.registry import ENTRIES
 
 __all__ = ["ENTRIES"]
