@@ -286,3 +286,131 @@ def runtime_events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         F.col("event_id"), kind.alias("event_type"), F.col("ts").cast("timestamp").alias("created_at")
     )
+
+
+def replay_meta(spark: SparkSession, folder: str) -> DataFrame:
+    """Analysis headers of replays with gaps of every kind."""
+    key = F.col("o_orderkey")
+    return table(spark, folder, "orders").select(
+        F.sha2(key.cast("string"), 256).alias("replay_sha256"),
+        F.when(key % 23 != 0, F.when(key % 7 == 0, 3).otherwise(4)).alias("schema_version"),
+        F.when(key % 29 != 0, key * 13 % 20000 - 50).alias("total_frames"),
+        F.when(key % 31 != 0, key % 9 * 100).alias("sampled_states"),
+        F.when(key % 37 != 0, key % 13).alias("players"),
+        F.when(key % 41 != 0, key % 8 * 5).alias("touches"),
+        (key * 13 % 20000 - 50 - key % 3).alias("frames_advanced"),
+    )
+
+
+def replay_players(spark: SparkSession, folder: str) -> DataFrame:
+    """Players inside replays, with identities of the skill leaderboard."""
+    li = table(spark, folder, "lineitem")
+    player = F.col("l_suppkey")
+    return li.groupBy(F.col("l_orderkey"), player.alias("replay_player_id")).agg(
+        F.sum("l_quantity").cast("long").alias("samples"), F.max("l_linenumber").alias("_n")
+    ).select(
+        F.sha2(F.col("l_orderkey").cast("string"), 256).alias("replay_sha256"),
+        (F.col("replay_player_id") - 1).alias("replay_player_id"),
+        F.expr(
+            "CASE WHEN replay_player_id % 4 = 0 THEN concat('auth:a', replay_player_id) "
+            "ELSE concat('name:player ', replay_player_id) END"
+        ).alias("identity"),
+        (F.col("_n") % 4).alias("team"),
+        "samples",
+    )
+
+
+def quality_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Match-quality evidence: orders with their customers, nullable and sometimes impossible values."""
+    o, c = table(spark, folder, "orders"), table(spark, folder, "customer")
+    key, cust = F.col("o_orderkey"), F.col("c_custkey")
+    hundredths = lambda col, m: (col % m) / F.lit(100.0)
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).select(
+        key.alias("match_no"),
+        F.when(key % 101 != 0, key % 53 != 0).alias("replay_valid"),
+        F.when(key % 11 != 0, (key * 7 % 600 - F.when(key % 211 == 0, 1000).otherwise(0)).cast("double")).alias("duration_seconds"),
+        F.when(key % 13 != 0, F.when(key % 3 == 0, 6).otherwise(8)).alias("expected_player_count"),
+        F.when(key % 17 != 0, (cust % 4 + 5).cast("int")).alias("observed_player_count"),
+        F.when(key % 19 != 0, F.greatest(F.lit(0), key % 8 - 4).cast("int")).alias("disconnect_count"),
+        F.when(key % 23 != 0, hundredths(cust * 3, 104)).alias("activity_ratio"),
+        F.when(key % 29 != 0, hundredths(key * 31, 101)).alias("parser_completeness"),
+        F.when(key % 31 != 0, F.col("c_nationkey") % 6 != 0).alias("stadium_supported"),
+        F.when(key % 37 != 0, F.col("c_mktsegment") != "MACHINERY").alias("has_reliable_player_identities"),
+    )
+
+
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Model generations per lineage with holdout metrics, some incomplete or out of range."""
+    key = F.col("p_partkey")
+    return table(spark, folder, "part").select(
+        F.col("p_brand").alias("lineage"),
+        key.alias("generation"),
+        ((key * 53 % 997 + 300) / F.lit(1300.0)).alias("direction_accuracy"),
+        F.when(key % 41 != 0, (key * 37 % 991 + F.when(key % 43 == 0, 1000).otherwise(0)) / F.lit(1000.0)).alias("joint_accuracy"),
+        ((F.col("p_size") * 19 % 101) / F.lit(101.0)).alias("kick_f1"),
+        F.when(key % 47 != 0, key % 500 + 1).alias("samples"),
+    )
+
+
+def predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored samples: labelled documents as kicks with a probability and two direction classes."""
+    labels, documents = table(spark, folder, "labels"), table(spark, folder, "documents")
+    key = F.col("doc_id")
+    return labels.join(documents.select("doc_id", "n_chars", "source"), "doc_id").select(
+        key,
+        F.col("source").alias("role"),
+        (key % 9).cast("int").alias("direction"),
+        F.when(F.col("n_chars") % 3 == 0, (key + 1) % 9).otherwise(key % 9).cast("int").alias("direction_predicted"),
+        F.col("quality").alias("kick"),
+        ((F.col("n_chars") % 100) / F.lit(100.0)).alias("kick_probability"),
+    )
+
+
+def vector_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Feature vectors with a direction class and a rare kick."""
+    key = F.col("vec_id")
+    return table(spark, folder, "embeddings").select(
+        key.alias("sample_id"),
+        F.col("embedding").alias("features"),
+        (F.col("label") % 9).cast("int").alias("direction"),
+        F.when(key % 30 == 0, 1).otherwise(0).alias("kick"),
+    )
+
+
+def shard_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Index rows of feature shards, with faults of every audited kind."""
+    key = F.col("o_orderkey")
+    selected = key % 4 + 1
+    skipped = key % 7
+    samples = key % 211
+    return table(spark, folder, "orders").select(
+        F.sha2(F.floor(key / F.when(key % 97 == 1, 2).otherwise(1)).cast("string"), 256).alias("replay_sha256"),
+        F.when(key % 10 == 0, "holdout").otherwise("train").alias("split"),
+        F.when(key % 89 == 0, "stale").when(key % 2 == 0, "ok").otherwise("cached").alias("status"),
+        samples.alias("samples"),
+        (samples + skipped + F.when(key % 83 == 0, 1).otherwise(0)).alias("selected_state_samples"),
+        skipped.alias("skipped_unknown_input"),
+        selected.alias("selected_players_requested"),
+        (selected + F.when(key % 79 == 0, 1).otherwise(-(key % 2))).alias("selected_players_seen"),
+        (key % 9000 + 100).alias("total_frames"),
+        (key % 9000 + 100 - F.when(key % 73 == 0, 5).otherwise(1)).alias("frames_advanced"),
+        (key % 3001).alias("compressed_bytes"),
+    )
+
+
+def published_leaderboard(spark: SparkSession, folder: str) -> DataFrame:
+    """A published leaderboard with wrong values, duplicates and rows out of order."""
+    key = F.col("c_custkey")
+    z = F.round(2.5 - key / F.lit(400.0) % 5.2, 4)
+    return table(spark, folder, "customer").select(
+        key.alias("row_no"),
+        F.when(key % 61 == 0, F.concat(F.col("c_name"), F.lit(" "))).when(key % 97 == 5, "Customer#x").otherwise(F.col("c_name")).alias("player_id"),
+        F.element_at(F.array(*[F.lit(r) for r in ("defender", "midfield", "forward", "unknown", "keeper")]), (F.col("c_nationkey") % 5 + 1)).alias("role"),
+        (key % 50).alias("matches"),
+        (F.col("c_acctbal") / 10).alias("minutes"),
+        z.alias("overall_z"),
+        (F.least(F.greatest(50 + 10 * z, F.lit(20.0)), F.lit(80.0)) + F.when(key % 71 == 0, 1).otherwise(0)).alias("rating"),
+        ((key % 40) / F.lit(10.0) - F.when(key % 67 == 0, 9).otherwise(0)).alias("rating_uncertainty"),
+        ((key % 220) / F.lit(100.0) - 1.05).alias("average_teammate_context"),
+        (1.05 - (key % 210) / F.lit(100.0)).alias("average_opponent_context"),
+    )

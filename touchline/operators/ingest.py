@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import canonical_match_id, header_probe, looks_like_match_report, report_fields
+from touchline.operators.rows import attach
 
 
 def content_groups(files: DataFrame) -> DataFrame:
@@ -107,9 +108,14 @@ def import_manifest(files: DataFrame, groups: DataFrame, reports: DataFrame, mat
         F.count_if(F.col("side") == "replay").alias("unmatched_replays"),
         F.count_if(F.col("side") == "report").alias("unmatched_reports"),
     )
-    row = one(files, "replay_count").join(F.broadcast(one(groups, "unique_replay_count")), how="cross")
-    for part in (one(reports, "report_count"), one(matches, "match_count"), sides, one(failures, "failures")):
-        row = row.join(F.broadcast(part), how="cross")
+    row = attach(
+        one(files, "replay_count"),
+        one(groups, "unique_replay_count"),
+        one(reports, "report_count"),
+        one(matches, "match_count"),
+        sides,
+        one(failures, "failures"),
+    )
     return row.withColumn("duplicate_replay_count", F.col("replay_count") - F.col("unique_replay_count"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import display_name, identity_key, ratio_or_zero
+from touchline.operators.rows import attach
 
 SAMPLES_PER_MINUTE = 600.0
 
@@ -124,8 +125,7 @@ def with_minimum(rows: DataFrame, matches: int, minutes: float, minutes_column:
 def involvement(rows: DataFrame) -> DataFrame:
     """Involvement score from population z-scores, damped for few matches (WIN-08).
 
-    Means and deviations are one aggregate row; it is attached by a broadcast of exactly that row, not by a
-    window over all players.
+    Means and deviations are one aggregate row, read as a scalar subquery, not a window over all players.
     """
     parts = {"kicks_per_min": 0.50, "close_ball_pct": 0.30, "nearest_ball_pct": 0.20}
     stats = rows.agg(
@@ -134,7 +134,7 @@ def involvement(rows: DataFrame) -> DataFrame:
     z = lambda c: F.when(F.col(f"_sd_{c}") > 1e-12, (F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_sd_{c}")).otherwise(0.0)
     raw = sum((F.lit(w) * z(c) for c, w in parts.items()), F.lit(0.0))
     damping = F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0), F.col("matches")) / 30.0))
-    return rows.join(F.broadcast(stats), how="cross").select(*rows.columns, (raw * damping).alias("involvement_score"))
+    return attach(rows, stats).select(*rows.columns, (raw * damping).alias("involvement_score"))
 
 
 def player_table(
