@@ -446,10 +446,8 @@ def inventory_digest(rows: DataFrame, columns: Sequence[str], key: Sequence[str]
     return parts.select(*key, "rows", F.sha2(text, 256).alias("digest"))
 
 
-def arena_rollup(entries: DataFrame, matches: DataFrame, episodes: int) -> DataFrame:
+def arena_rollup(entries: DataFrame, matches: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows per split and stadium, goal difference and missing episodes of a self-play run (AGG-23)."""
-    spark = entries.sparkSession
-    expected = spark.range(episodes).select(F.col("id").alias("episode"))
     gaps = expected.join(entries.select("episode"), "episode", "left_anti").agg(F.count(F.lit(1)).alias("missing_episodes"))
     goals = matches.agg(F.sum(F.col("model_goals") - F.col("tactical_goals")).alias("arena_goal_difference"))
     wrong = F.when(F.col("episode") % 6 == 4, "validation").when(F.col("episode") % 6 == 5, "test").otherwise("train")
