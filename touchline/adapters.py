@@ -18,7 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Match events: one replay per day, ordered by the event id."""
-    raw = table(spark, folder, "events")
+    return event_columns(table(spark, folder, "events"))
+
+
+def event_columns(raw: DataFrame) -> DataFrame:
+    """Match events from rows of the event table, at rest or arriving."""
     k = F.get_json_object("props", "$.k").cast("int")
     seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     player = F.col("user_id") % 9
@@ -276,6 +280,11 @@ def ledger(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def runtime_events(spark: SparkSession, folder: str) -> DataFrame:
     """Operational event log."""
+    return runtime_event_columns(table(spark, folder, "events"))
+
+
+def runtime_event_columns(raw: DataFrame) -> DataFrame:
+    """Operational events from rows of the event table, at rest or arriving."""
     kind = (
         F.when(F.col("event_type") == "click", "replay_archived")
         .when(F.col("event_type") == "view", "replay_duplicate")
@@ -283,7 +292,7 @@ def runtime_events(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("event_type") == "signup", "replay_disappeared")
         .otherwise("replay_analyzed")
     )
-    return table(spark, folder, "events").select(
+    return raw.select(
         F.col("event_id"), kind.alias("event_type"), F.col("ts").cast("timestamp").alias("created_at")
     )
 

@@ -156,11 +156,11 @@ def canonical_match_id(report_id: Column, sha: Column) -> Column:
 # ---- report texts --------------------------------------------------------------------------------
 
 
-def looks_like_match_report(content: Column, attachments: Column) -> Column:
-    """A replay attachment, or the words of a report in the text."""
+def looks_like_match_report(content: Column, names: Column) -> Column:
+    """An attachment named like a replay, or the words of a report in the text."""
     text = F.upper(F.coalesce(content, F.lit("")))
     has_replay = F.coalesce(
-        F.exists(attachments, lambda a: F.lower(F.coalesce(a["file_name"], F.lit(""))).endswith(".hbr2")), F.lit(False)
+        F.exists(names, lambda n: F.coalesce(F.lower(n).endswith(".hbr2"), F.lit(False))), F.lit(False)
     )
     return has_replay | text.contains("MATCH REPORT") | (text.contains("RED TEAM") & text.contains("BLUE TEAM"))
 

@@ -67,8 +67,13 @@ def normalize_attachments(messages: DataFrame) -> DataFrame:
 
 
 def parse_reports(messages: DataFrame) -> DataFrame:
-    """Keep messages that look like match reports and read their fields (PRJ-03, PRJ-04)."""
-    kept = messages.filter(looks_like_match_report(F.col("content"), F.col("attachments")))
+    """Keep messages that look like match reports and read their fields (PRJ-03, PRJ-04).
+
+    The names as written count if the reader kept them, else those of the clean attachments.
+    """
+    raw = "attachment_names" in messages.columns
+    names = F.col("attachment_names") if raw else F.transform("attachments", lambda a: a["file_name"])
+    kept = messages.filter(looks_like_match_report(F.col("content"), names))
     return kept.select("*", *[c.alias(n) for n, c in report_fields(F.col("content")).items()])
 
 

@@ -141,48 +141,127 @@ def rank_within(
     return out
 
 
-def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, *, name: str = "median", accuracy: int = 20_000
+def exact_medians(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], *, accuracy: int = 10_000, limit: int = GROUP_LIMIT
 ) -> DataFrame:
-    """Exact median and row count per key without gathering a key's values.
+    """Exact median, row count and population deviation of several columns: (keys, name, median, n, sd).
 
-    Equal values collapse first. A quantile sketch then gives two values that surely enclose the middle
-    ranks (its rank error is at most n / accuracy); rows below the bracket are only counted, and just the
-    distinct values inside it are ordered.
+    Up to ``limit`` rows in all, the built-in exact percentile does it: what it holds in memory is bounded by
+    that count. Beyond, no group is ever gathered: a quantile sketch (one partial aggregate over all columns)
+    gives two values that surely enclose the middle ranks, as its rank error is at most n / accuracy. Rows
+    below the bracket are only counted; just the values inside it, a small share, are grouped and ordered.
     """
     keys = list(keys)
+    names = F.array(*[F.lit(v) for v in values])
+    if df.count() <= limit:
+        facts = df.groupBy(*keys).agg(
+            F.array(
+                *[
+                    F.struct(
+                        F.percentile(v, F.lit(0.5)).alias("median"),
+                        F.count(v).alias("n"),
+                        F.stddev_pop(v).alias("sd"),
+                    )
+                    for v in values
+                ]
+            ).alias("_facts")
+        )
+        flat = facts.select(*keys, F.explode(F.arrays_zip(names.alias("name"), F.col("_facts").alias("fact"))).alias("_z"))
+        return flat.select(*keys, "_z.name", "_z.fact.*").filter(F.col("n") > 0)
+
     margin = 4.0 / accuracy
-    bracket = df.groupBy(*keys).agg(
-        F.percentile_approx(value, [0.5 - margin, 0.5 + margin], accuracy).alias("_bracket"),
-        F.count(value).alias("n"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
+    sketch = df.groupBy(*keys).agg(
+        *[
+            F.struct(
+                F.percentile_approx(v, [0.5 - margin, 0.5 + margin], accuracy).alias("cut"),
+                F.count(v).alias("n"),
+                F.stddev_pop(v).alias("sd"),
+                F.min(v).alias("low"),
+                F.max(v).alias("high"),
+            ).alias(f"_{v}")
+            for v in values
+        ]
     )
-    # Small groups are bracketed by their full range: the sketch's margin is below one row there.
-    small = F.col("n") < accuracy
-    bracket = bracket.select(
-        *keys,
-        "n",
-        F.when(small, F.col("_min")).otherwise(F.col("_bracket")[0]).alias("_low"),
-        F.when(small, F.col("_max")).otherwise(F.col("_bracket")[1]).alias("_high"),
+
+    def bracket(v: str) -> Column:
+        found = F.col(f"_{v}")
+        # The margin is below one row in small groups, which are bracketed by their full range.
+        small = found["n"] < accuracy
+        return F.struct(
+            F.when(small, found["low"]).otherwise(found["cut"][0]).alias("low"),
+            F.when(small, found["high"]).otherwise(found["cut"][1]).alias("high"),
+            found["n"].alias("n"),
+            found["sd"].alias("sd"),
+        ).alias(f"_{v}")
+
+    brackets = materialize(sketch.select(*keys, *[bracket(v) for v in values]).coalesce(1))
+    tagged = df.select(*keys, *values).join(brackets.select(*keys, *[f"_{v}" for v in values]), keys)
+    # A value below its bracket becomes null: it is counted with the others but never ordered.
+    inside = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(v) <= F.col(f"_{v}")["high"],
+                    F.struct(
+                        F.lit(v).alias("name"),
+                        F.when(F.col(v) >= F.col(f"_{v}")["low"], F.col(v)).cast("double").alias("_v"),
+                    ),
+                )
+                for v in values
+            ]
+        )
     )
-    tagged = df.select(*keys, value).join(bracket, keys)
-    counted = (
-        tagged.filter(F.col(value) <= F.col("_high"))
-        .withColumn("_v", F.when(F.col(value) >= F.col("_low"), F.col(value)))
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n"))
+    counted = tagged.select(*keys, F.inline(inside)).groupBy(*keys, "name", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    facts = brackets.select(
+        *keys,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(v).alias("name"), F.col(f"_{v}")["n"].alias("n"), F.col(f"_{v}")["sd"].alias("sd"))
+                    for v in values
+                ]
+            )
+        ),
     )
-    # Null (everything below the bracket) sorts first and so only shifts the ranks.
-    running = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    ranks = counted.withColumn("_upto", F.sum("_c").over(running))
+    running = Window.partitionBy(*keys, "name").orderBy(F.col("_v").asc_nulls_first())
+    ranks = counted.withColumn("_upto", F.sum("_c").over(running)).join(facts, [*keys, "name"])
     lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
     return (
-        ranks.groupBy(*keys)
+        ranks.groupBy(*keys, "name")
         .agg(
             F.min(F.when(F.col("_upto") >= lower, F.col("_v"))).alias("_a"),
             F.min(F.when(F.col("_upto") >= upper, F.col("_v"))).alias("_b"),
             F.first("n").alias("n"),
+            F.first("sd").alias("sd"),
         )
-        .select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias(name), "n")
+        .select(*keys, "name", ((F.col("_a") + F.col("_b")) / 2).alias("median"), "n", "sd")
+    )
+
+
+def recent_values(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, size: int, name: str, *, span: int = CHUNK_SPAN
+) -> DataFrame:
+    """The last ``size`` values up to and including each row, oldest first, as an array.
+
+    A chunk passes on its own last values; every chunk has at least one row, so the ``size - 1`` chunks
+    before it are enough.
+    """
+    keys = list(keys)
+    before = size - 1
+    rows = _chunked(df.withColumn("_value", value), order, span)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    newest = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(order))
+    tails = (
+        rows.withColumn("_n", F.row_number().over(newest))
+        .filter(F.col("_n") <= before)
+        .groupBy(*keys, "_chunk")
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), "_value"))).alias("_tail"))
     )
+    across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-before, -1)
+    carried = tails.select(*keys, "_chunk", F.flatten(F.collect_list("_tail").over(across)).alias("_carry"))
+    local = rows.withColumn("_local", F.collect_list(F.struct("_value")).over(inside.rowsBetween(-before, 0)))
+    joined = local.join(carried, [*keys, "_chunk"], "left")
+    old = F.transform(F.coalesce("_carry", F.array().cast(carried.schema["_carry"].dataType)), lambda s: s["_value"])
+    both = F.concat(old, F.transform("_local", lambda s: s["_value"]))
+    keep = F.least(F.size(both), F.lit(size))
+    return joined.select(*df.columns, F.slice(both, F.size(both) - keep + 1, keep).alias(name))

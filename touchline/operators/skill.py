@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import attack_x, clamp, display_name, identity_key
-from touchline.operators.players import most_common
-from touchline.operators.sequences import exact_median, rank_within
+from touchline.operators.sequences import exact_medians, rank_within
+from touchline.session import materialize
 
 # Dimensions with their weight in the rating.
 DIMENSION_WEIGHTS = {
@@ -23,6 +23,7 @@ DIMENSION_WEIGHTS = {
     "risk_management": 0.09,
 }
 DIMENSIONS = list(DIMENSION_WEIGHTS)
+ROLES = ("defender", "forward", "midfield", "unknown")
 # Population floor, scale of a median deviation, prior weights.
 LOCAL_POPULATION = 30
 MAD_SCALE = 1.4826
@@ -42,24 +43,23 @@ def infer_roles(rows: DataFrame, *, zero_id_unknown: bool = True) -> DataFrame:
     Rows: match_id, team, player, samples, average_x. Ties rank by player id. ``zero_id_unknown`` keeps the
     established behaviour that replay player 0 never gets a role.
     """
-    placed = rows.filter(F.col("team").isin(1, 2) & (F.col("samples") > 0) & F.col("average_x").isNotNull()).select(
-        "match_id", "team", "player", attack_x(F.col("team"), F.col("average_x")).alias("_ax")
+    placed = F.coalesce(F.col("team").isin(1, 2) & (F.col("samples") > 0), F.lit(False)) & F.col("average_x").isNotNull()
+    marked = rows.withColumns(
+        {"_side": F.when(placed, F.col("team")).otherwise(-1), "_ax": attack_x(F.col("team"), F.col("average_x"))}
     )
     ranked = rank_within(
-        placed, ["match_id", "team"], [F.col("_ax"), F.col("player")], rank="_rank", size="_players"
+        marked, ["match_id", "_side"], [F.col("_ax"), F.col("player")], rank="_rank", size="_players"
     )
     share = (F.col("_rank") - 1) / F.greatest(F.col("_players") - 1, F.lit(1))
     role = (
-        F.when(F.col("_players") < 3, "unknown")
+        F.when((F.col("_side") == -1) | (F.col("_players") < 3), "unknown")
         .when(share <= 0.33, "defender")
         .when(share >= 0.67, "forward")
         .otherwise("midfield")
     )
     if zero_id_unknown:
         role = F.when(F.col("player") == 0, "unknown").otherwise(role)
-    roles = ranked.select("match_id", "team", "player", role.alias("role"))
-    joined = rows.join(roles, ["match_id", "team", "player"], "left")
-    return joined.withColumn("role", F.coalesce("role", F.lit("unknown")))
+    return ranked.select(*rows.columns, role.alias("role"))
 
 
 def raw_metrics(minutes: Column) -> dict[str, Column]:
@@ -122,31 +122,35 @@ def normalizers(evidence: DataFrame) -> DataFrame:
     A role with fewer than 30 values in a dimension uses everybody's. A vanishing MAD falls back to the
     population deviation, then to 1. Appearances under a minute do not shape the population.
     """
-    long = (
-        evidence.filter(F.col("minutes") >= 1.0)
-        .select(
-            F.explode(F.array("role", F.lit("*"))).alias("role"),
-            F.expr(f"stack({len(DIMENSIONS)}, {', '.join(f'\"{d}\", {d}' for d in DIMENSIONS)}) AS (dimension, value)"),
-        )
-        .filter(_finite(F.col("value")))
+    shaping = F.col("minutes") >= 1.0
+    usable = {d: F.when(shaping & _finite(F.col(d)), F.col(d)) for d in DIMENSIONS}
+    # The population of everybody is only built where some role is too small to speak for itself.
+    smallest = evidence.groupBy("role").agg(F.least(*[F.count(v) for v in usable.values()]).alias("_n")).agg(
+        F.min("_n").alias("_n")
     )
-    keys = ["role", "dimension"]
-    centre = exact_median(long, keys, "value", name="center")
-    deviation = long.join(F.broadcast(centre), keys).select(
-        *keys, F.abs(F.col("value") - F.col("center")).alias("deviation")
+    groups = F.when(smallest.scalar() < LOCAL_POPULATION, F.array("role", F.lit("*"))).otherwise(F.array("role"))
+    population = evidence.select(F.explode(groups).alias("role"), *[v.alias(d) for d, v in usable.items()])
+    # At most five roles with eight dimensions each; written out as it is read several times.
+    medians = materialize(exact_medians(population, ["role"], DIMENSIONS).coalesce(1))
+    centres = medians.groupBy("role").agg(
+        F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("_center")
+    )
+    away = population.join(F.broadcast(centres), "role").select(
+        "role", *[F.abs(F.col(d) - F.col("_center")[d]).alias(d) for d in DIMENSIONS]
     )
-    mad = exact_median(deviation, keys, "deviation", name="mad").drop("n")
-    spread = long.groupBy(*keys).agg(F.stddev_pop("value").alias("sd"))
-    robust = F.col("mad") * MAD_SCALE
+    mads = materialize(exact_medians(away, ["role"], DIMENSIONS).coalesce(1)).select("role", "name", F.col("median").alias("_mad"))
+    robust = F.col("_mad") * MAD_SCALE
     scale = F.when(robust > 1e-9, robust).when(F.col("sd") > 1e-9, F.col("sd")).otherwise(1.0)
-    own = centre.join(mad, keys).join(spread, keys).select(*keys, "n", "center", scale.alias("scale"))
-    # Four roles at most, eight dimensions: the tables below have a few dozen rows.
+    own = medians.join(mads, ["role", "name"]).select(
+        "role", F.col("name").alias("dimension"), "n", F.col("median").alias("center"), scale.alias("scale")
+    )
     everybody = own.filter(F.col("role") == "*").select(
         "dimension", F.col("center").alias("g_center"), F.col("scale").alias("g_scale")
     )
     wanted = evidence.select("role").distinct().select(
         "role", F.explode(F.array(*[F.lit(d) for d in DIMENSIONS])).alias("dimension")
     )
+    keys = ["role", "dimension"]
     local = own.filter((F.col("role") != "*") & (F.col("n") >= LOCAL_POPULATION)).drop("n")
     return (
         wanted.join(local, keys, "left")
@@ -224,26 +228,18 @@ def context_adjustment(teammate: Column, opponent: Column, difficulty: Column |
     return clamp(raw, -0.25, 0.25)
 
 
-def shrink(observations: DataFrame, *, prior_mean: float = 0.0, prior_weight: float = 5.0) -> DataFrame:
-    """Shrinkage estimate of every dimension per player (AGG-09), one wide row each.
-
-    Input: player_id, the eight dimensions, quality, exposure, adjustment. All sums are algebraic, so a
-    player with very many matches is combined before the shuffle.
-    """
+def _sums() -> dict[str, Column]:
+    """Algebraic sums from which a player's estimate follows."""
     weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("quality"))) * F.greatest(F.lit(0.0), F.col("exposure"))
-    rows = observations.withColumn("_w", weight)
-    sums = rows.groupBy("player_id").agg(
-        F.count(F.lit(1)).alias("observation_count"),
-        F.sum("_w").alias("_all"),
-        *[F.sum(F.when(F.col(d).isNotNull(), F.col("_w")).otherwise(0.0)).alias(f"_w_{d}") for d in DIMENSIONS],
-        *[
-            F.sum(F.when(F.col(d).isNotNull(), (F.col(d) + F.col("adjustment")) * F.col("_w")).otherwise(0.0)).alias(
-                f"_s_{d}"
-            )
-            for d in DIMENSIONS
-        ],
-    )
+    sums = {"observation_count": F.count(F.lit(1)), "_all": F.sum(weight)}
+    for d in DIMENSIONS:
+        known = F.col(d).isNotNull()
+        sums[f"_w_{d}"] = F.sum(F.when(known, weight).otherwise(0.0))
+        sums[f"_s_{d}"] = F.sum(F.when(known, (F.col(d) + F.col("adjustment")) * weight).otherwise(0.0))
+    return sums
+
 
+def _estimates(prior_mean: float, prior_weight: float) -> list[Column]:
     def estimate(d: str) -> Column:
         total = F.col(f"_w_{d}") + prior_weight
         return F.struct(
@@ -252,11 +248,21 @@ def shrink(observations: DataFrame, *, prior_mean: float = 0.0, prior_weight: fl
             F.bround(total - prior_weight, 6).alias("effective_weight"),
         ).alias(d)
 
+    return [estimate(d) for d in DIMENSIONS]
+
+
+def shrink(observations: DataFrame, *, prior_mean: float = 0.0, prior_weight: float = 5.0) -> DataFrame:
+    """Shrinkage estimate of every dimension per player (AGG-09), one wide row each.
+
+    Input: player_id, the eight dimensions, quality, exposure, adjustment. All sums are algebraic, so a
+    player with very many matches is combined before the shuffle.
+    """
+    sums = observations.groupBy("player_id").agg(*[c.alias(n) for n, c in _sums().items()])
     return sums.select(
         "player_id",
         "observation_count",
         F.bround("_all", 6).alias("effective_weight"),
-        *[estimate(d) for d in DIMENSIONS],
+        *_estimates(prior_mean, prior_weight),
     )
 
 
@@ -291,24 +297,43 @@ def observations(normalized: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def roll_up(rows: DataFrame) -> DataFrame:
-    """Leaderboard rows from observations (AGG-10)."""
-    rated = shrink(rows, prior_weight=RATING_PRIOR)
-    summary = rows.groupBy("player_id").agg(
-        F.count(F.lit(1)).alias("matches"),
-        F.sum("minutes").alias("minutes"),
-        F.avg("teammate_context").alias("average_teammate_context"),
-        F.avg("opponent_context").alias("average_opponent_context"),
+    """Leaderboard rows from observations (AGG-10).
+
+    One pass: sums per player, name and role first, from which totals, the usual name and the main role of
+    a player follow.
+    """
+    first = {
+        **_sums(),
+        "_minutes": F.sum("minutes"),
+        "_mate": F.sum("teammate_context"),
+        "_opponent": F.sum("opponent_context"),
+    }
+    parts = rows.groupBy("player_id", "name", "role").agg(*[c.alias(n) for n, c in first.items()])
+    by_role = [
+        F.sum(F.when(F.col("role") == r, F.col("_minutes")).otherwise(0.0)).alias(f"_r_{r}") for r in ROLES
+    ]
+    named = parts.groupBy("player_id", "name").agg(*[F.sum(n).alias(n) for n in first], *by_role)
+    roles = [f"_r_{r}" for r in ROLES]
+    shown = F.when(F.length("name") > 0, F.struct((-F.col("observation_count")).alias("_n"), "name"))
+    totals = named.groupBy("player_id").agg(
+        *[F.sum(n).alias(n) for n in [*first, *roles]], F.min(shown)["name"].alias("name")
     )
-    roles = (
-        rows.groupBy("player_id", "role")
-        .agg(F.sum("minutes").alias("_m"))
-        .groupBy("player_id")
-        .agg(F.min(F.struct(-F.col("_m"), F.col("role")))["role"].alias("role"))
+    main_role = F.array_min(
+        F.array(*[F.struct((-F.col(f"_r_{r}")).alias("_m"), F.lit(r).alias("role")) for r in ROLES])
+    )["role"]
+    count = F.col("observation_count")
+    rated = totals.select(
+        "player_id",
+        "name",
+        count.alias("matches"),
+        F.col("_minutes").alias("minutes"),
+        main_role.alias("role"),
+        (F.col("_mate") / count).alias("average_teammate_context"),
+        (F.col("_opponent") / count).alias("average_opponent_context"),
+        *_estimates(0.0, RATING_PRIOR),
     )
-    names = most_common(rows, "player_id", "name", "name")
-    joined = rated.join(summary, "player_id").join(roles, "player_id").join(names, "player_id", "left")
     dimensions = F.struct(*[F.col(d) for d in DIMENSIONS]).alias("dimensions")
-    return joined.select(
+    return rated.select(
         "player_id", "name", "matches", "minutes", "role",
         *[c.alias(n) for n, c in rating_columns().items()],
         "average_teammate_context", "average_opponent_context", dimensions,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,11 @@ def materialize(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder for written tables, inside the shared checkpoint folder where the session names one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        return tempfile.mkdtemp(prefix=f"spark-{purpose}-")
+    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

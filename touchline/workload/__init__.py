@@ -1,6 +1,6 @@
 """All registered queries over the given tables."""
 
-from touchline.workload import curation_gates, imports, ledger_status, match_events, pitch_positions, player_ratings, table_audits  # noqa: F401
+from touchline.workload import curation_gates, imports, ledger_status, match_events, pitch_positions, player_ratings, streams_models, table_audits  # noqa: F401
 from touchline.workload.registry import ENTRIES
 
 __all__ = ["ENTRIES"]
