@@ -168,21 +168,18 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stem() -> Column:
     key = F.col("o_custkey")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
     return F.concat(
-        F.lit("01-"),
-        F.date_format("o_orderdate", "MM-yyyy"),
-        F.lit("-0"),
-        (key % 4).cast("string"),
-        F.lit("h00-r"),
-        (key % 20).cast("string"),
-    )
+        two(key % 28 + 1), F.lit("-"), F.date_format("o_orderdate", "MM-yyyy"),
+        F.lit("-"), two(key % 4), F.lit("h"), two(key % 60), F.lit("-r"), (key % 20).cast("string"),
+    )
 
 
 def replay_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Unique replay files whose names carry a local time and often a hash."""
-    o = table(spark, folder, "orders").filter(F.col("o_orderkey") % 10 == 0)
+    """Unique replay files (the even orders) whose names carry a local time and often a hash."""
+    o = table(spark, folder, "orders").filter(F.col("o_orderkey") % 2 == 0)
     sha = F.sha2(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")), 256)
-    hashed = F.floor(F.col("o_orderkey") / 10) % 2 == 1
+    hashed = F.floor(F.col("o_orderkey") / 2) % 2 == 1
     name = F.concat(
         _stem(), F.when(hashed, F.concat(F.lit("-"), F.substring(sha, 1, 8))).otherwise(""), F.lit(".hbr2")
     )
@@ -195,14 +192,12 @@ def replay_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Chat reports with one or two attachments and a time near the replay's."""
-    o = table(spark, folder, "orders").filter(F.col("o_orderkey") % 10 == 1)
+    """Chat reports (the odd orders) with one or two attachments and a time near the replay's."""
+    o = table(spark, folder, "orders").filter(F.col("o_orderkey") % 2 == 1)
     key = F.col("o_orderkey")
-    turn = F.floor(key / 10)
+    turn = F.floor(key / 2)
     seconds = F.element_at(F.array(*[F.lit(s) for s in (0, 45, 200, 4000)]), (turn % 4 + 1).cast("int"))
-    at = F.to_timestamp(
-        F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("-01 0"), (F.col("o_custkey") % 4).cast("string"), F.lit(":00:00"))
-    )
+    at = F.to_timestamp(F.regexp_replace(_stem(), r"^(\d{2})-(\d{2})-(\d{4})-(\d{2})h(\d{2}).*$", "$3-$2-$1 $4:$5:00"))
     stamp = F.timestamp_seconds(F.unix_timestamp(at) + seconds)
     hashed = F.concat(_stem(), F.lit("-abcdef"), F.lit(".hbr2"))
     plain = F.concat(_stem(), F.lit(".hbr2"))

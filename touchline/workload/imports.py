@@ -14,20 +14,21 @@ FILES_SQL = "files AS (SELECT 'src/' || doc_id AS path, strlen(text) AS size_byt
 
 MATCH_SQL = """
 r AS (
-  SELECT *, '01-' || strftime(o_orderdate, '%m-%Y') || '-0' || (o_custkey % 4) || 'h00-r' || (o_custkey % 20) AS stem,
-    sha256('r' || o_orderkey) AS sha, o_orderkey // 10 AS turn FROM orders
+  SELECT *, printf('%02d', o_custkey % 28 + 1) || '-' || strftime(o_orderdate, '%m-%Y') || '-' || printf('%02d', o_custkey % 4) || 'h' || printf('%02d', o_custkey % 60)
+      || '-r' || (o_custkey % 20) AS stem, sha256('r' || o_orderkey) AS sha, o_orderkey // 2 AS turn,
+    date_trunc('month', o_orderdate) + to_days(CAST(o_custkey % 28 AS INTEGER)) + to_hours(o_custkey % 4) + to_minutes(o_custkey % 60) AS begun FROM orders
 ),
 replays AS (
   SELECT sha AS sha256, stem || CASE WHEN turn % 2 = 1 THEN '-' || substr(sha, 1, 8) ELSE '' END || '.hbr2' AS file_name,
     o_orderkey % 3 AS size_bytes, stem, o_orderkey, turn % 2 = 1 AS hashed,
-    date_trunc('month', o_orderdate) + to_hours(o_custkey % 4) AS clock
-  FROM r WHERE o_orderkey % 10 = 0
+    begun AS clock
+  FROM r WHERE o_orderkey % 2 = 0
 ),
 reports AS (
   SELECT 'm' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS message_id, stem, o_orderkey % 3 AS size_bytes, turn % 7 = 0 AS hashed, turn,
-    date_trunc('month', o_orderdate) + to_hours(o_custkey % 4)
+    begun
       + to_seconds(CASE turn % 4 WHEN 0 THEN 0 WHEN 1 THEN 45 WHEN 2 THEN 200 ELSE 4000 END) AS clock, o_orderkey, o_custkey
-  FROM r WHERE o_orderkey % 10 = 1
+  FROM r WHERE o_orderkey % 2 = 1
 ),
 cand AS (
   SELECT a.sha256, a.o_orderkey AS rk, a.file_name, b.message_id,

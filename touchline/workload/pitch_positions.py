@@ -154,9 +154,7 @@ def latest_input_at_frame(spark, folder):
 
 
 def _selected(states):
-    return states.filter((F.col("team") > 0) & (F.col("player") % 3 == 0)).select(
-        "replay", "player", (F.col("player") / 3).cast("long").alias("player_index")
-    ).distinct()
+    return states.filter(F.col("team") > 0).select("replay", "player", F.col("player").alias("player_index")).distinct()
 
 
 _SIDES = ["tm1", "tm2", "op1", "op2", "op3"]
@@ -179,7 +177,7 @@ def _neighbour_columns():
 EXAMPLES_SQL = f"""
 mine AS (
   SELECT s.*, CASE WHEN team = 1 THEN 1 ELSE -1 END AS sign, b.x AS qx, b.y AS qy, b.vx AS qvx, b.vy AS qvy
-  FROM st s JOIN ball b USING (replay, frame) WHERE team IN (1, 2) AND player % 3 = 0
+  FROM st s JOIN ball b USING (replay, frame) WHERE team IN (1, 2)
 ),
 acts AS (
   SELECT m.replay, m.frame, m.player, arg_max(i.dir_x, i.frame) AS dx, arg_max(i.dir_y, i.frame) AS dy, arg_max(i.kick, i.frame) AS kick
@@ -190,7 +188,7 @@ neigh AS (
   FROM mine m LEFT JOIN rel r USING (replay, frame, player) GROUP BY ALL
 ),
 examples AS (
-  SELECT m.replay, m.frame, m.player, m.player // 3 AS player_index, m.team AS team_id,
+  SELECT m.replay, m.frame, m.player, m.player AS player_index, m.team AS team_id,
     sign * x AS own_x, y AS own_y, sign * vx AS own_vx, vy AS own_vy,
     sign * (qx - x) AS ball_dx, qy - y AS ball_dy, sign * (qvx - vx) AS ball_dvx, qvy - vy AS ball_dvy,
     n.* EXCLUDE (replay, frame, player), sign * a.dx AS dir_x, CAST(a.dy AS DOUBLE) AS dir_y, CAST(a.kick AS DOUBLE) AS kick

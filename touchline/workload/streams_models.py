@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline import adapters
 from touchline.functions.payload import payload_probe
+from touchline.functions.scalars import holdout_bucket
 from touchline.operators import evaluation as E
 from touchline.operators import learning as M
 from touchline.session import shared_folder
@@ -100,7 +101,7 @@ def temporal_feature_stack(spark, folder):
 @query("imitation_models", "ML-02 ML-03 AGG-19")
 def imitation_models(spark, folder):
     samples = adapters.vector_samples(spark, folder)
-    held = F.crc32(F.col("sample_id").cast("string").cast("binary")) % 5 == 0
+    held = holdout_bucket(F.sha2(F.col("sample_id").cast("string"), 256), 5) == 0
     models = M.train(samples.filter(~held), "features", width=64)
     scored = M.score(models, samples.filter(held), "features")
     return E.evaluate(scored.withColumn("kick", F.col("kick").cast("double")))
@@ -139,19 +140,24 @@ def export_messages(spark, folder):
 
 @query(
     "payload_probe", "PRJ-02",
-    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'deflate_error:incomplete_stream' WHEN doc_id % 3 = 1 THEN 'deflate_trailing_data' END AS error, CASE WHEN doc_id % 3 = 2 THEN strlen(text) END AS size FROM documents WHERE strlen(text) BETWEEN 1 AND 60000",
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'deflate_error:incomplete_stream' WHEN doc_id % 3 = 1 THEN 'deflate_trailing_data' END AS error, CASE WHEN doc_id % 3 = 2 THEN strlen(text) END AS size FROM documents",
 )
 def payload_sizes(spark, folder):
-    # A stored (uncompressed) DEFLATE block is one marker, two lengths and the bytes themselves.
-    size = F.octet_length("text")
+    # Stored (uncompressed) DEFLATE blocks: a last-block marker, two lengths and up to 65535 bytes each.
+    body, most = F.col("text").cast("binary"), 65535
     little = lambda n: F.concat(F.lpad(F.hex(n % 256), 2, "0"), F.lpad(F.hex(F.floor(n / 256)), 2, "0"))
+    last = F.greatest(F.ceil(F.octet_length("text") / most) - 1, F.lit(0)).cast("int")
+
+    def block(i):
+        part = F.substring(body, i * most + 1, F.lit(most))
+        size = F.octet_length(part)
+        return F.concat(F.when(i == last, "01").otherwise("00"), little(size), little(most - size), F.hex(part))
+
+    blocks = F.array_join(F.transform(F.sequence(F.lit(0), last), block), "")
+    cut = F.when(F.col("doc_id") % 3 == 0, F.substring(blocks, 1, 6)).when(
+        F.col("doc_id") % 3 == 1, F.concat(blocks, F.lit("00"))
+    ).otherwise(blocks)
     head = F.concat(F.hex(F.lit("HBR2")), F.lit("0000000300000258"))
-    block = F.concat(F.lit("01"), little(size), little(65535 - size), F.hex(F.col("text").cast("binary")))
-    cut = F.when(F.col("doc_id") % 3 == 0, F.substring(block, 1, 10)).when(
-        F.col("doc_id") % 3 == 1, F.concat(block, F.lit("00"))
-    ).otherwise(block)
-    rows = adapters.table(spark, folder, "documents").filter((size >= 1) & (size <= 60000)).select(
-        "doc_id", F.unhex(F.concat(head, cut)).alias("content")
-    )
+    rows = adapters.table(spark, folder, "documents").select("doc_id", F.unhex(F.concat(head, cut)).alias("content"))
     probed = rows.withColumn("_p", payload_probe(F.col("content")))
     return probed.select("doc_id", F.col("_p.error").alias("error"), F.col("_p.size").alias("size"))

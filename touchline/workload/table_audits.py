@@ -267,14 +267,14 @@ def inventory_diff(spark, folder):
 
 @query(
     "training_chain_audit", "JON-19",
-    f"""WITH {SHARD_SQL}, one AS (SELECT k, sha, split FROM sh WHERE k % 97 <> 1) {_checks('', [
+    f"""WITH one AS (SELECT o_orderkey AS k, sha256(CAST(o_orderkey AS VARCHAR)) AS sha, CASE WHEN o_orderkey % 10 = 0 THEN 'holdout' ELSE 'train' END AS split FROM orders) {_checks('', [
         ('missing_requested_replay', "split || ':' || sha", 'one', 'k % 61 = 0 AND k % 67 <> 0'),
         ('unexpected_requested_replay', "split || ':' || sha", 'one', 'k % 67 = 0 AND k % 61 <> 0'),
         ('manifest_shard_field_mismatch:example_weight', "split || ':' || sha", 'one', 'k % 71 = 0 AND k % 61 <> 0 AND k % 67 <> 0 AND k % 5 <> 0')])}""",
 )
 def training_chain_audit(spark, folder):
     key = F.col("o_orderkey")
-    rows = adapters.table(spark, folder, "orders").filter(key % 97 != 1).select(
+    rows = adapters.table(spark, folder, "orders").select(
         key.alias("k"), F.sha2(key.cast("string"), 256).alias("replay_sha256"), F.when(key % 10 == 0, "holdout").otherwise("train").alias("split"),
         F.lit(1.0).alias("example_weight"), (key % 20000).alias("total_frames"),
     )
