@@ -43,7 +43,8 @@ def normalize_attachments(messages: DataFrame) -> DataFrame:
     names, sizes = ("fileName", "filename", "name", "file_name"), ("fileSizeBytes", "size", "size_bytes")
 
     def first_defined(a, keys):
-        return F.coalesce(*[F.try_variant_get(a, f"$.{k}", "variant") for k in keys])
+        found = [F.try_variant_get(a, f"$.{k}", "variant") for k in keys]
+        return F.coalesce(*[F.when(~F.is_variant_null(v), v) for v in found])
 
     def clean(a):
         name, size = first_defined(a, names), first_defined(a, sizes)
