@@ -13,7 +13,7 @@ from touchline.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests",
-        master="local[4]",
+        master="local[8]",
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",

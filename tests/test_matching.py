@@ -60,7 +60,7 @@ def crowd(seed, n):
     for i in range(n):
         atts = [(f"{stem()}{tail(0.3)}.hbr2", None, rng.choice([None, 0, 1, 2])) for _ in range(rng.choice([1, 1, 1, 2]))]
         second = rng.randint(0, 59)
-        reports.append((f"m{rng.getrandbits(40):012x}", f"2024-09-26T22:{rng.randint(8, 17):02d}:{second:02d}+02:00", atts))
+        reports.append((f"m{rng.getrandbits(40):012x}", f"2026-09-24T22:{rng.randint(8, 17):02d}:{second:02d}+02:00", atts))
     return replays, reports
 
 
@@ -73,6 +73,21 @@ def test_greedy_matching(spark, seed, n, minimum, span):
     assert got == plain_match(replays, reports, minimum)
 
 
+def test_first_fitting_attachment_counts(spark):
+    """A stacked hash explains one replay first, without its size, although the second name would add it."""
+    a = spark.createDataFrame(
+        [("r1", "p", "foo-aaaaa.hbr2", 7), ("r2", "p", "foo-ccccc.hbr2", 7)],
+        "sha256 string, path string, file_name string, size_bytes long",
+    )
+    b = spark.createDataFrame(
+        [("m1", None, [("foo-aaaaa-bbbbb.hbr2", None, 5), ("foo.hbr2", None, 7)]), ("m2", None, [("foo.hbr2", None, 3)])], REPORT
+    )
+    got = {r.replay_sha256: (r.message_id, r.confidence) for r in M.match_replays(a, b).collect()}
+    assert got == {"r2": ("m1", 0.9), "r1": ("m2", 0.84)}
+    best = {r.sha256: (r.message_id, r.score) for r in M.best_reports(a, b).collect()}
+    assert best == {"r1": ("m1", 0.84), "r2": ("m1", 0.9)}
+
+
 def test_golden_pair(spark):
     pair = spark.createDataFrame(
         [("24-09-26-22h12-aavsmko-c0ffee1234567890.hbr2", 44237, "2026-09-24T22:12:27+02:00", [("24-09-26-22h12-aavsmko.hbr2", None, 44237)])],
@@ -91,7 +106,7 @@ def test_one_popular_name_takes_few_rounds(spark, monkeypatch):
         F.lit("24-09-26-22h12-x.hbr2").alias("file_name"), F.lit(1).cast("long").alias("size_bytes"),
     )
     b = spark.range(n).select(
-        F.format_string("m%05d", "id").alias("message_id"), F.lit("2024-09-26T22:12:00").alias("timestamp"),
+        F.format_string("m%05d", "id").alias("message_id"), F.lit("2026-09-24T22:12:00").alias("timestamp"),
         F.array(F.struct(F.lit("24-09-26-22h12-x.hbr2").alias("file_name"), F.lit(None).cast("string").alias("url"), F.lit(1).cast("long").alias("size_bytes"))).alias("attachments"),
     )
     rounds = []

@@ -89,7 +89,34 @@ def _family(kind: str, *parts: Column) -> Column:
     return F.concat_ws("|", F.lit(kind), *parts)
 
 
-def replay_families(replays: DataFrame, *, by_time: bool) -> DataFrame:
+def _hidden_by(attachments: Column, position: Column, name: Column) -> Column:
+    """Replay names that an earlier attachment already explains although ``name`` would fit them as well.
+
+    That needs stacked hashes (``a-1f2e3-4d5c6`` before ``a``): replay ``a-1f2e3`` fits the first one.
+    """
+    earlier = F.transform(F.slice(attachments, 1, position), lambda e: _fold(e["file_name"]))
+    explained = F.transform(earlier, lambda e: F.concat(base_stem(file_stem(e)), file_suffix(e)))
+    doubled = F.filter(explained, lambda e: F.concat(base_stem(file_stem(e)), file_suffix(e)) == name)
+    return F.array_sort(F.array_distinct(F.filter(doubled, lambda e: e != name)))
+
+
+def narrowed_families(replays: DataFrame, reports: DataFrame) -> DataFrame:
+    """Families of replays for the rare reports with stacked hashes: everybody but the hidden names."""
+    exploded = reports.select("attachments", F.posexplode("attachments").alias("_pos", "_a"))
+    name = _fold(F.col("_a.file_name"))
+    rare = exploded.select(
+        name.alias("_name"), F.col("_a.size_bytes").alias("_size"), _hidden_by(F.col("attachments"), F.col("_pos"), name).alias("_hidden")
+    ).filter(F.size("_hidden") > 0)
+    known = rare.select("_name", "_hidden", F.explode(F.array(F.col("_size"), F.lit(None).cast("long"))).alias("_size")).distinct()
+    own = _fold(F.col("file_name"))
+    key = F.concat(base_stem(file_stem(own)), file_suffix(own))
+    met = replays.select("_id", "size_bytes", own.alias("_own"), key.alias("_name")).join(known, "_name")
+    fits = ~F.array_contains("_hidden", F.col("_own")) & (F.col("_size").isNull() | (F.col("_size") == F.col("size_bytes")))
+    size = F.coalesce(F.col("_size").cast("string"), F.lit("*"))
+    return met.filter(fits).select("_id", _family("w", F.col("_name"), size, F.array_join("_hidden", "/")).alias("family"))
+
+
+def replay_families(replays: DataFrame, reports: DataFrame, *, by_time: bool) -> DataFrame:
     """Families of every replay: (id, family)."""
     name = _fold(F.col("file_name"))
     stem, suffix = file_stem(name), file_suffix(name)
@@ -99,7 +126,8 @@ def replay_families(replays: DataFrame, *, by_time: bool) -> DataFrame:
     if by_time:
         at = replay_time(F.col("file_name"))
         families.append(F.when(at.isNotNull(), _family("t", F.unix_seconds(at.cast("timestamp")).cast("string"))))
-    return replays.select(F.col("_id"), F.explode(F.array_compact(F.array(*families))).alias("family"))
+    usual = replays.select(F.col("_id"), F.explode(F.array_compact(F.array(*families))).alias("family"))
+    return usual.unionByName(narrowed_families(replays, reports))
 
 
 def report_families(reports: DataFrame, *, minimum: float, by_time: bool) -> DataFrame:
@@ -121,11 +149,19 @@ def report_families(reports: DataFrame, *, minimum: float, by_time: bool) -> Dat
     edges = []
     for kind, key, base, open_ in kinds:
         size = F.col("_a.size_bytes")
+        hidden = _hidden_by(F.col("attachments"), F.col("_pos"), name)
+
+        def label(which: Column) -> Column:
+            usual = _family(kind, key, which)
+            if kind != "y":
+                return usual.alias("family")
+            rare = _family("w", key, which, F.array_join(hidden, "/"))
+            return F.when(F.size(hidden) > 0, rare).otherwise(usual).alias("family")
+
         sized = F.struct(
-            _family(kind, key, size.cast("string")).alias("family"),
-            F.least(F.lit(base) + F.lit(SAME_SIZE) + bonus, F.lit(1.0)).alias("score"),
+            label(size.cast("string")), F.least(F.lit(base) + F.lit(SAME_SIZE) + bonus, F.lit(1.0)).alias("score")
         )
-        blind = F.struct(_family(kind, key, F.lit("*")).alias("family"), (F.lit(base) + bonus).alias("score"))
+        blind = F.struct(label(F.lit("*")), (F.lit(base) + bonus).alias("score"))
         edges += [F.when(open_ & size.isNotNull(), sized), F.when(open_, blind)]
     out = exploded.select("_id", F.inline(F.array_compact(F.array(*edges))))
     if by_time:
@@ -205,7 +241,7 @@ def match_replays(
     by_time = minimum <= CLOSE_TIME
     a = _with_order(replays.select("sha256", "path", "file_name", "size_bytes"), "sha256")
     b = _with_order(reports.select("message_id", "timestamp", "attachments"), "message_id")
-    left = replay_families(a, by_time=by_time)
+    left = replay_families(a, b, by_time=by_time)
     right = report_families(b, minimum=minimum, by_time=by_time)
     # Members of families that the other side does not know can never match.
     left = materialize(left.join(right.select("family").distinct(), "family", "left_semi"))
@@ -248,7 +284,7 @@ def best_reports(replays: DataFrame, reports: DataFrame, *, minimum: float = MIN
         .agg(F.min("_id").alias("message_id"))
     )
     best = (
-        replay_families(a, by_time=by_time)
+        replay_families(a, b, by_time=by_time)
         .join(offers, "family")
         .groupBy("_id")
         .agg(F.min(F.struct((-F.col("score")).alias("_s"), "message_id")).alias("_b"))
