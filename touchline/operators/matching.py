@@ -102,7 +102,8 @@ def _hidden_by(attachments: Column, position: Column, name: Column) -> Column:
 
 def narrowed_families(replays: DataFrame, reports: DataFrame) -> DataFrame:
     """Families of replays for the rare reports with stacked hashes: everybody but the hidden names."""
-    exploded = reports.select("attachments", F.posexplode("attachments").alias("_pos", "_a"))
+    several = reports.filter(F.size("attachments") > 1)
+    exploded = several.select("attachments", F.posexplode("attachments").alias("_pos", "_a"))
     name = _fold(F.col("_a.file_name"))
     rare = exploded.select(
         name.alias("_name"), F.col("_a.size_bytes").alias("_size"), _hidden_by(F.col("attachments"), F.col("_pos"), name).alias("_hidden")
@@ -116,59 +117,65 @@ def narrowed_families(replays: DataFrame, reports: DataFrame) -> DataFrame:
     return met.filter(fits).select("_id", _family("w", F.col("_name"), size, F.array_join("_hidden", "/")).alias("family"))
 
 
+def _named(rows: DataFrame, name: Column) -> DataFrame:
+    """Add the folded name and the name without its hash, once per row."""
+    return rows.withColumn("_name", _fold(name)).withColumn(
+        "_plain", F.concat(base_stem(file_stem(F.col("_name"))), file_suffix(F.col("_name")))
+    )
+
+
 def replay_families(replays: DataFrame, reports: DataFrame, *, by_time: bool) -> DataFrame:
     """Families of every replay: (id, family)."""
-    name = _fold(F.col("file_name"))
-    stem, suffix = file_stem(name), file_suffix(name)
+    named = _named(replays.select("_id", "file_name", "size_bytes"), F.col("file_name"))
+    name, plain = F.col("_name"), F.col("_plain")
     size = F.col("size_bytes").cast("string")
-    kinds = [("x", name), ("y", F.concat(base_stem(stem), suffix)), ("z", name)]
-    families = [_family(k, n, s) for k, n in kinds for s in (size, F.lit("*"))]
+    families = [_family(k, n, s) for k, n in (("x", name), ("y", plain), ("z", name)) for s in (size, F.lit("*"))]
     if by_time:
         at = replay_time(F.col("file_name"))
         families.append(F.when(at.isNotNull(), _family("t", F.unix_seconds(at.cast("timestamp")).cast("string"))))
-    usual = replays.select(F.col("_id"), F.explode(F.array_compact(F.array(*families))).alias("family"))
+    usual = named.select("_id", F.explode(F.array_compact(F.array(*families))).alias("family"))
     return usual.unionByName(narrowed_families(replays, reports))
 
 
 def report_families(reports: DataFrame, *, minimum: float, by_time: bool) -> DataFrame:
     """Families of every report with the score a member of them gives: (id, family, score)."""
     exploded = reports.select("_id", "timestamp", "attachments", F.posexplode("attachments").alias("_pos", "_a"))
-    name = _fold(F.col("_a.file_name"))
-    suffix = file_suffix(name)
-    hashed_name = F.concat(base_stem(file_stem(name)), suffix)
-    bonus = time_bonus(replay_time(F.col("_a.file_name")), report_time(F.col("timestamp")))
-    earlier = lambda target: F.exists(
-        F.slice("attachments", 1, F.col("_pos")), lambda e: name_evidence(e["file_name"], target).isNotNull()
+    named = _named(exploded, F.col("_a.file_name"))
+    name, plain, first = F.col("_name"), F.col("_plain"), F.col("_pos") == 0
+    before = F.slice("attachments", 1, F.col("_pos"))
+    explained = lambda target: F.exists(before, lambda e: name_evidence(e["file_name"], target).isNotNull())
+    facts = named.withColumns(
+        {
+            "_bonus": time_bonus(replay_time(F.col("_a.file_name")), report_time(F.col("timestamp"))),
+            # Only a later attachment can be preceded by one that counts instead of it.
+            "_x": first | ~explained(name),
+            "_y": first | ~F.exists(before, lambda e: _fold(e["file_name"]) == name),
+            "_z": first | ~explained(plain),
+            "_hidden": F.when(~first, F.array_join(_hidden_by(F.col("attachments"), F.col("_pos"), name), "/")),
+        }
     )
-    repeated = F.exists(F.slice("attachments", 1, F.col("_pos")), lambda e: _fold(e["file_name"]) == name)
-    kinds = [
-        ("x", name, EXACT_NAME, ~earlier(name)),
-        ("y", name, HASHED_NAME, ~repeated),
-        ("z", hashed_name, HASHED_NAME, ~earlier(hashed_name)),
-    ]
+    size, bonus = F.col("_a.size_bytes"), F.col("_bonus")
     edges = []
-    for kind, key, base, open_ in kinds:
-        size = F.col("_a.size_bytes")
-        hidden = _hidden_by(F.col("attachments"), F.col("_pos"), name)
+    for kind, key, base in (("x", name, EXACT_NAME), ("y", name, HASHED_NAME), ("z", plain, HASHED_NAME)):
 
-        def label(which: Column) -> Column:
+        def label(which: Column, kind: str = kind, key: Column = key) -> Column:
             usual = _family(kind, key, which)
-            if kind != "y":
-                return usual.alias("family")
-            rare = _family("w", key, which, F.array_join(hidden, "/"))
-            return F.when(F.size(hidden) > 0, rare).otherwise(usual).alias("family")
+            if kind == "y":
+                usual = F.when(F.col("_hidden") != "", _family("w", key, which, F.col("_hidden"))).otherwise(usual)
+            return usual.alias("family")
 
         sized = F.struct(
             label(size.cast("string")), F.least(F.lit(base) + F.lit(SAME_SIZE) + bonus, F.lit(1.0)).alias("score")
         )
         blind = F.struct(label(F.lit("*")), (F.lit(base) + bonus).alias("score"))
+        open_ = F.col(f"_{kind}")
         edges += [F.when(open_ & size.isNotNull(), sized), F.when(open_, blind)]
-    out = exploded.select("_id", F.inline(F.array_compact(F.array(*edges))))
+    out = facts.select("_id", F.inline(F.array_compact(F.array(*edges))))
     if by_time:
         at = F.unix_micros(report_time(F.col("timestamp")).cast("timestamp")) / 1_000_000
-        first = F.ceil((at - NEAR_SECONDS) / 60)
-        last = F.floor((at + NEAR_SECONDS) / 60)
-        minutes = reports.select("_id", at.alias("_at"), F.explode(F.sequence(first, last)).alias("_m")).select(
+        opening = F.ceil((at - NEAR_SECONDS) / 60)
+        closing = F.floor((at + NEAR_SECONDS) / 60)
+        minutes = reports.select("_id", at.alias("_at"), F.explode(F.sequence(opening, closing)).alias("_m")).select(
             "_id",
             _family("t", (F.col("_m") * 60).cast("string")).alias("family"),
             F.when(F.abs(F.col("_m") * 60 - F.col("_at")) <= CLOSE_SECONDS, CLOSE_TIME).otherwise(NEAR_TIME).alias("score"),
@@ -242,7 +249,7 @@ def match_replays(
     a = _with_order(replays.select("sha256", "path", "file_name", "size_bytes"), "sha256")
     b = _with_order(reports.select("message_id", "timestamp", "attachments"), "message_id")
     left = replay_families(a, b, by_time=by_time)
-    right = report_families(b, minimum=minimum, by_time=by_time)
+    right = materialize(report_families(b, minimum=minimum, by_time=by_time))
     # Members of families that the other side does not know can never match.
     left = materialize(left.join(right.select("family").distinct(), "family", "left_semi"))
     right = materialize(right.join(left.select("family").distinct(), "family", "left_semi"))

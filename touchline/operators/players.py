@@ -63,33 +63,33 @@ def rows_of_valid_matches(rows: DataFrame, match: str = "match_id") -> DataFrame
     return rows.join(broken, match, "left_anti")
 
 
-def most_common(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Most frequent value per key; ties go to the lowest value. Counts combine before the shuffle."""
-    return (
-        rows.filter(F.col(value).isNotNull() & (F.col(value) != ""))
-        .groupBy(key, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy(key)
-        .agg(F.min(F.struct(-F.col("_n"), F.col(value)))[value].alias(name))
-    )
-
-
 def career_totals(rows: DataFrame) -> DataFrame:
-    """Totals, distinct matches and the usual display name per identity (AGG-03)."""
-    named = rows.select(
-        identity_key(F.col("auth_hash"), F.col("name")).alias("player_id"),
-        display_name(F.col("name")).alias("name"),
-        "match_id",
-        *COUNTERS,
-        "touch_progression_sum",
-    ).filter(F.col("player_id").isNotNull())
-    per_match = named.groupBy("player_id", "match_id").agg(
-        *[F.sum(c).alias(c) for c in [*COUNTERS, "touch_progression_sum"]]
+    """Totals, distinct matches and the usual display name per identity (AGG-03).
+
+    Sums form per identity and name first, which leaves a few rows per player before the shuffle and gives
+    the usual name on the way (ties go to the lowest). Distinct matches need only two columns of their own.
+    """
+    identity = identity_key(F.col("auth_hash"), F.col("name"))
+    summed = [*COUNTERS, "touch_progression_sum"]
+    # Names as written group first, so the text work is done once per name and not once per row.
+    written = rows.groupBy("auth_hash", "name").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in summed]
+    )
+    named = (
+        written.select(identity.alias("player_id"), display_name(F.col("name")).alias("name"), "_n", *summed)
+        .filter(F.col("player_id").isNotNull())
+        .groupBy("player_id", "name")
+        .agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in summed])
     )
-    totals = per_match.groupBy("player_id").agg(
-        F.count(F.lit(1)).alias("matches"), *[F.sum(c).alias(c) for c in [*COUNTERS, "touch_progression_sum"]]
+    shown = F.when(F.length("name") > 0, F.struct((-F.col("_n")).alias("_n"), "name"))
+    totals = named.groupBy("player_id").agg(*[F.sum(c).alias(c) for c in summed], F.min(shown)["name"].alias("name"))
+    matches = (
+        rows.select(identity.alias("player_id"), "match_id")
+        .distinct()
+        .groupBy("player_id")
+        .agg(F.count(F.lit(1)).alias("matches"))
     )
-    return totals.join(most_common(named, "player_id", "name", "name"), "player_id", "left")
+    return totals.join(matches, "player_id")
 
 
 def career_rates(totals: DataFrame) -> DataFrame:
