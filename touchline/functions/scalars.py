@@ -41,6 +41,14 @@ def matched(text: Column, pattern: str, group: int) -> Column:
 # ---- names and identities -------------------------------------------------------------------------
 
 
+def fold_case(text: Column) -> Column:
+    """Full case folding: ``ß`` becomes ``ss``, ligatures come apart, final sigma is sigma.
+
+    Upper then lower does that; the empty suffix keeps the optimizer from reducing the pair to ``lower``.
+    """
+    return F.translate(F.lower(F.concat(F.upper(text), F.lit(""))), "ς", "σ")
+
+
 def display_name(name: Column) -> Column:
     """Trimmed name with runs of white space made one space."""
     return F.regexp_replace(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
@@ -48,7 +56,7 @@ def display_name(name: Column) -> Column:
 
 def name_key(name: Column) -> Column:
     """Case-folded display name; empty names are null."""
-    key = F.lower(F.upper(display_name(name)))
+    key = fold_case(display_name(name))
     return F.when(F.length(key) > 0, key)
 
 

@@ -20,7 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.scalars import base_stem, file_stem, file_suffix, replay_time, report_time, seconds_between
+from touchline.functions.scalars import (
+    base_stem,
+    file_stem,
+    file_suffix,
+    fold_case,
+    replay_time,
+    report_time,
+    seconds_between,
+)
 from touchline.operators.sequences import CHUNK_SPAN, running_total
 from touchline.session import materialize
 
@@ -30,10 +38,6 @@ CLOSE_SECONDS, NEAR_SECONDS = 60, 300
 MINIMUM_CONFIDENCE = 0.65
 
 
-def _fold(text: Column) -> Column:
-    return F.lower(F.upper(text))
-
-
 def time_bonus(a: Column, b: Column) -> Column:
     """Bonus of two local times: a minute or five apart."""
     apart = seconds_between(a, b)
@@ -43,7 +47,7 @@ def time_bonus(a: Column, b: Column) -> Column:
 
 def name_evidence(attachment: Column, replay: Column) -> Column:
     """Reason why an attachment name fits a replay name, null if it does not."""
-    a, r = _fold(attachment), _fold(replay)
+    a, r = fold_case(attachment), fold_case(replay)
     same_kind = file_suffix(a) == file_suffix(r)
     return (
         F.when(a == r, "exact_attachment_filename")
@@ -94,7 +98,7 @@ def _hidden_by(attachments: Column, position: Column, name: Column) -> Column:
 
     That needs stacked hashes (``a-1f2e3-4d5c6`` before ``a``): replay ``a-1f2e3`` fits the first one.
     """
-    earlier = F.transform(F.slice(attachments, 1, position), lambda e: _fold(e["file_name"]))
+    earlier = F.transform(F.slice(attachments, 1, position), lambda e: fold_case(e["file_name"]))
     explained = F.transform(earlier, lambda e: F.concat(base_stem(file_stem(e)), file_suffix(e)))
     doubled = F.filter(explained, lambda e: F.concat(base_stem(file_stem(e)), file_suffix(e)) == name)
     return F.array_sort(F.array_distinct(F.filter(doubled, lambda e: e != name)))
@@ -104,12 +108,12 @@ def narrowed_families(replays: DataFrame, reports: DataFrame) -> DataFrame:
     """Families of replays for the rare reports with stacked hashes: everybody but the hidden names."""
     several = reports.filter(F.size("attachments") > 1)
     exploded = several.select("attachments", F.posexplode("attachments").alias("_pos", "_a"))
-    name = _fold(F.col("_a.file_name"))
+    name = fold_case(F.col("_a.file_name"))
     rare = exploded.select(
         name.alias("_name"), F.col("_a.size_bytes").alias("_size"), _hidden_by(F.col("attachments"), F.col("_pos"), name).alias("_hidden")
     ).filter(F.size("_hidden") > 0)
     known = rare.select("_name", "_hidden", F.explode(F.array(F.col("_size"), F.lit(None).cast("long"))).alias("_size")).distinct()
-    own = _fold(F.col("file_name"))
+    own = fold_case(F.col("file_name"))
     key = F.concat(base_stem(file_stem(own)), file_suffix(own))
     met = replays.select("_id", "size_bytes", own.alias("_own"), key.alias("_name")).join(known, "_name")
     fits = ~F.array_contains("_hidden", F.col("_own")) & (F.col("_size").isNull() | (F.col("_size") == F.col("size_bytes")))
@@ -119,7 +123,7 @@ def narrowed_families(replays: DataFrame, reports: DataFrame) -> DataFrame:
 
 def _named(rows: DataFrame, name: Column) -> DataFrame:
     """Add the folded name and the name without its hash, once per row."""
-    return rows.withColumn("_name", _fold(name)).withColumn(
+    return rows.withColumn("_name", fold_case(name)).withColumn(
         "_plain", F.concat(base_stem(file_stem(F.col("_name"))), file_suffix(F.col("_name")))
     )
 
@@ -149,7 +153,7 @@ def report_families(reports: DataFrame, *, minimum: float, by_time: bool) -> Dat
             "_bonus": time_bonus(replay_time(F.col("_a.file_name")), report_time(F.col("timestamp"))),
             # Only a later attachment can be preceded by one that counts instead of it.
             "_x": first | ~explained(name),
-            "_y": first | ~F.exists(before, lambda e: _fold(e["file_name"]) == name),
+            "_y": first | ~F.exists(before, lambda e: fold_case(e["file_name"]) == name),
             "_z": first | ~explained(plain),
             "_hidden": F.when(~first, F.array_join(_hidden_by(F.col("attachments"), F.col("_pos"), name), "/")),
         }
