@@ -142,18 +142,24 @@ def rank_within(
 
 
 def exact_medians(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str], *, accuracy: int = 10_000, limit: int = GROUP_LIMIT
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    *,
+    rows: int | None = None,
+    accuracy: int = 10_000,
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Exact median, row count and population deviation of several columns: (keys, name, median, n, sd).
 
-    Up to ``limit`` rows in all, the built-in exact percentile does it: what it holds in memory is bounded by
+    ``rows`` is the row count if it is known. Up to ``limit`` rows in all, the built-in exact percentile does it: what it holds in memory is bounded by
     that count. Beyond, no group is ever gathered: a quantile sketch (one partial aggregate over all columns)
     gives two values that surely enclose the middle ranks, as its rank error is at most n / accuracy. Rows
     below the bracket are only counted; just the values inside it, a small share, are grouped and ordered.
     """
     keys = list(keys)
     names = F.array(*[F.lit(v) for v in values])
-    if df.count() <= limit:
+    if (df.count() if rows is None else rows) <= limit:
         facts = df.groupBy(*keys).agg(
             F.array(
                 *[

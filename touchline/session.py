@@ -28,17 +28,14 @@ def build_session(app_name: str = "touchline", master: str | None = None, **conf
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """Cut the lineage of ``df`` with a written table in the shared folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only where the session names none
-    (tests, a laptop) a private temporary folder is used.
+    Parquet keeps later reads to the columns they need, and lost executors re-read files instead of
+    computing the plan again.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    folder = f"{shared_folder(df.sparkSession, 'table')}/rows"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:

@@ -8,6 +8,7 @@ from touchline import adapters
 from touchline.operators import players as P
 from touchline.operators import skill as S
 from touchline.plans.rating import leaderboard
+from touchline.session import materialize
 from touchline.workload.registry import query
 
 PLAYER_MATCH_SQL = """
@@ -280,14 +281,12 @@ def raw_skill_metrics(spark, folder):
     f"{WITH_SKILL} SELECT role, dimension, round(center, 6) AS center, round(scale, 6) AS scale FROM norms",
 )
 def skill_normalizers(spark, folder):
-    return S.normalizers(S.match_evidence(adapters.player_match(spark, folder))).select(
+    return S.normalizers(materialize(S.match_evidence(adapters.player_match(spark, folder)))).select(
         "role", "dimension", *_r("center", "scale", digits=6)
     )
 
 
 def _normalized(spark, folder):
-    from touchline.session import materialize
-
     evidence = materialize(S.match_evidence(adapters.player_match(spark, folder)))
     return S.normalize(evidence, materialize(S.normalizers(evidence).coalesce(1)))
 
