@@ -90,7 +90,7 @@ def test_first_fitting_attachment_counts(spark):
 
 def test_golden_pair(spark):
     pair = spark.createDataFrame(
-        [("24-09-26-22h12-aavsmko-c0ffee1234567890.hbr2", 44237, "2026-09-24T22:12:27+02:00", [("24-09-26-22h12-aavsmko.hbr2", None, 44237)])],
+        [("24-09-26-22h12-northcup-c0ffee1234567890.hbr2", 44237, "2026-09-24T22:12:27+02:00", [("24-09-26-22h12-northcup.hbr2", None, 44237)])],
         "file_name string, size_bytes long, timestamp string, attachments array<struct<file_name string, url string, size_bytes long>>",
     )
     row = M.pair_evidence(pair).first()

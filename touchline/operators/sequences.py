@@ -23,7 +23,7 @@ GROUP_LIMIT = 1 << 20
 
 def chunk_of(order: str, span: int = CHUNK_SPAN) -> Column:
     """Chunk number of a row; a frame that carries it as ``_chunk`` keeps its partitioning between passes."""
-    return F.floor(F.col(order) / F.lit(span))
+    return F.expr(f"`{order}` div {int(span)}")
 
 
 def _chunked(df: DataFrame, order: str, span: int) -> DataFrame:
@@ -113,7 +113,7 @@ def rank_within(
     oversize = df.groupBy(*keys).count().filter(F.col("count") > limit)
     if oversize.isEmpty():
         by_key = Window.partitionBy(*keys)
-        out = df.withColumn(rank, F.row_number().over(by_key.orderBy(*order)))
+        out = df.withColumn(rank, F.row_number().over(by_key.orderBy(*order)).cast("long"))
         return out.withColumn(size, F.count(F.lit(1)).over(by_key)) if size else out
 
     # The part number depends on sampled range bounds, so it is written out before it is used twice.
@@ -135,7 +135,7 @@ def rank_within(
     ranked = ordered.withColumn("_local", F.row_number().over(inside)).join(parts, [*keys, "_part"])
     out = ranked.select(
         *df_columns,
-        (F.col("_local") + F.col("_offset")).cast("int").alias(rank),
+        (F.col("_local") + F.col("_offset")).alias(rank),
         *([F.col("_size").alias(size)] if size else []),
     )
     return out
