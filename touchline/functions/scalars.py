@@ -140,9 +140,15 @@ def report_time(value: Column) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
+def local_seconds(time: Column) -> Column:
+    """Seconds of a local time since 1970, whatever time zone the session has."""
+    since = time - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return since.cast("interval second").cast("decimal(20,6)").cast("double")
+
+
 def seconds_between(a: Column, b: Column) -> Column:
     """Absolute difference of two local times in seconds."""
-    return F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1_000_000
+    return F.abs(local_seconds(a) - local_seconds(b))
 
 
 def holdout_bucket(sha: Column, modulus: int, salt: str = "holdout-v1:") -> Column:

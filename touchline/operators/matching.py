@@ -25,6 +25,7 @@ from touchline.functions.scalars import (
     file_stem,
     file_suffix,
     fold_case,
+    local_seconds,
     replay_time,
     report_time,
     seconds_between,
@@ -136,7 +137,7 @@ def replay_families(replays: DataFrame, reports: DataFrame, *, by_time: bool) ->
     families = [_family(k, n, s) for k, n in (("x", name), ("y", plain), ("z", name)) for s in (size, F.lit("*"))]
     if by_time:
         at = replay_time(F.col("file_name"))
-        families.append(F.when(at.isNotNull(), _family("t", F.unix_seconds(at.cast("timestamp")).cast("string"))))
+        families.append(F.when(at.isNotNull(), _family("t", local_seconds(at).cast("long").cast("string"))))
     usual = named.select("_id", F.explode(F.array_compact(F.array(*families))).alias("family"))
     return usual.unionByName(narrowed_families(replays, reports))
 
@@ -176,7 +177,7 @@ def report_families(reports: DataFrame, *, minimum: float, by_time: bool) -> Dat
         edges += [F.when(open_ & size.isNotNull(), sized), F.when(open_, blind)]
     out = facts.select("_id", F.inline(F.array_compact(F.array(*edges))))
     if by_time:
-        at = F.unix_micros(report_time(F.col("timestamp")).cast("timestamp")) / 1_000_000
+        at = local_seconds(report_time(F.col("timestamp")))
         opening = F.ceil((at - NEAR_SECONDS) / 60)
         closing = F.floor((at + NEAR_SECONDS) / 60)
         minutes = reports.select("_id", at.alias("_at"), F.explode(F.sequence(opening, closing)).alias("_m")).select(

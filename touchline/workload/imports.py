@@ -115,7 +115,7 @@ def replay_header_probe(spark, folder):
 def report_fields(spark, folder):
     return I.parse_reports(adapters.reports(spark, folder)).select(
         "message_id",
-        F.date_format(fn.report_time(F.col("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("local_time"),
+        fn.report_time(F.col("timestamp")).cast("string").alias("local_time"),
         "report_id", "red_score", "blue_score", "possession_red", "possession_blue",
     )
 
@@ -130,7 +130,7 @@ def replay_name_parts(spark, folder):
     return replays.select(
         "sha256",
         fn.base_stem(fn.file_stem(F.col("file_name"))).alias("base_stem"),
-        F.date_format(fn.replay_time(F.col("file_name")), "yyyy-MM-dd HH:mm:ss").alias("local_time"),
+        fn.replay_time(F.col("file_name")).cast("string").alias("local_time"),
     )
 
 
