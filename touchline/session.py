@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folder of a local session that names none, by application.
+_PRIVATE: dict[str, str] = {}
+
 
 def build_session(app_name: str = "touchline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; a cluster may override any of them."""
@@ -39,8 +43,15 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for written tables, inside the shared checkpoint folder where the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder for written tables, inside the shared checkpoint folder that the session names.
+
+    Only a session whose executors are threads of the driver may go without one: there a private
+    temporary folder is chosen and set. On a cluster an unset folder is an error, since every executor
+    would write to its own disk and the tables would be read back in part.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or _PRIVATE.get(spark.sparkContext.applicationId)
     if shared is None:
-        return tempfile.mkdtemp(prefix=f"spark-{purpose}-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = _PRIVATE[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-tables-")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
