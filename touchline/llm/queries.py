@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import jump_shards, positional_index
+from touchline.llm import id_shards, jump_shards, positional_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -22,6 +23,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query
+def op2_id_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return id_shards.read_shards(*id_shards.write_shards(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2))
+
+
 @_query
 def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = jump_shards.shard_rows(_table(spark, folder, "documents"), 24)
