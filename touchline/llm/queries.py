@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import id_shards, jump_shards, positional_index
+from touchline.llm import id_shards, jump_shards, positional_index, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -28,6 +28,17 @@ def op2_id_shards(spark: SparkSession, folder: str) -> DataFrame:
     return id_shards.read_shards(*id_shards.write_shards(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2))
 
 
+@_query
+def op7_token_efficiency_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "documents").select("doc_id", "text")
+    scanned = secret_scan.find_secrets(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "spans")
+    listed = lambda kinds: F.concat_ws(
+        ",", F.transform(F.filter("spans", lambda s: s.kind.isin(*kinds)), lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string")))
+    )
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return scanned.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(secret_scan.KINDS[:3]), 256).alias("base_sha256"), listed(secret_scan.KINDS).alias("spans"))
+
+
 @_query
 def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = jump_shards.shard_rows(_table(spark, folder, "documents"), 24)
