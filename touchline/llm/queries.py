@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import id_shards, jump_shards, positional_index, secret_scan
+from touchline.llm import decision_list, id_shards, jump_shards, positional_index, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -28,6 +28,13 @@ def op2_id_shards(spark: SparkSession, folder: str) -> DataFrame:
     return id_shards.read_shards(*id_shards.write_shards(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2))
 
 
+@_query
+def op5_decision_list(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    judged = decision_list.judge(documents, decision_list.fit(documents, _table(spark, folder, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @_query
 def op7_token_efficiency_secrets(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "documents").select("doc_id", "text")
