@@ -95,30 +95,28 @@ def measure(rows: DataFrame, text: str = "text") -> DataFrame:
         (F.size("_t_lines") - F.size(F.array_distinct("_t_lines"))).cast("long").alias("n_dup_lines"),
         F.when(
             F.size(F.array_distinct("_t_windows")) < F.size("_t_windows"),
-            F.array_sort(F.transform("_t_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.sort_array(F.transform("_t_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("_t_sorted"),
     )
     x = x.select(
         *passed,
         "n_lines",
         "n_dup_lines",
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.filter("_t_sorted", lambda s, j: (F.get("_t_sorted", j - 1)["h"] == s["h"]) | (F.get("_t_sorted", j + 1)["h"] == s["h"])),
                 lambda s: s["i"],
             )
         ).alias("_t_starts"),
     )
-    return x.select(
-        *passed,
-        "n_lines",
-        "n_dup_lines",
-        F.aggregate(
-            F.transform("_t_starts", lambda s, j: F.least(F.lit(3), F.coalesce(F.get("_t_starts", j + 1) - s, F.lit(3)))),
-            F.lit(0).cast("long"),
-            lambda a, n: a + n,
-        ).alias("n_repeat_words"),
+    repeated = F.aggregate(
+        F.transform("_t_starts", lambda s, j: F.least(F.lit(3), F.coalesce(F.get("_t_starts", j + 1) - s, F.lit(3)))),
+        F.lit(0).cast("long"),
+        lambda a, n: a + n,
     )
+    # a generated row, since a later filter on a count would otherwise be rewritten over the text, count by count
+    counts = F.struct(*[F.col(c) for c in COUNTS if c != "n_repeat_words"], repeated.alias("n_repeat_words"))
+    return x.select(*kept, F.inline(F.array(counts)))
 
 
 def base_failed() -> Column:
