@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decision_list, id_shards, jump_shards, positional_index, secret_scan
+from touchline.llm import decision_list, id_shards, jump_shards, positional_index, secret_scan, source_mixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -54,6 +54,14 @@ def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op9_hypergeometric_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = source_mixture.mixture(_table(spark, folder, "documents").select("doc_id", "text", "source"), ["doc_id"])
+    return mixed.select(
+        "doc_id", F.col("_m_size").alias("size"), F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"), source_mixture.taken_words().alias("taken")
+    )
+
+
 @_query
 def op10_positional_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     judged = positional_index.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
