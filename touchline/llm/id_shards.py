@@ -289,7 +289,8 @@ def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
                     yield _rows(rows)
 
     placed = manifest.selectExpr("name", "sum(n_tokens) OVER (ORDER BY shard) - n_tokens AS before", "n_tokens")
-    return placed.repartition(F.col("name")).mapInArrow(read, _READ)
+    # a number of its own keeps small manifests from being gathered into one task
+    return placed.repartition(max(1, manifest.count()), F.col("name")).mapInArrow(read, _READ)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
