@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decision_list, id_shards, jump_shards, positional_index, secret_scan, source_mixture
+from touchline.llm import decision_list, id_shards, jump_shards, positional_index, secret_scan, source_mixture, tensor_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -28,6 +28,14 @@ def op2_id_shards(spark: SparkSession, folder: str) -> DataFrame:
     return id_shards.read_shards(*id_shards.write_shards(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2))
 
 
+@_query
+def op4_tensor_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = tensor_minhash.near_duplicates(_table(spark, folder, "documents"), width=3, percent=85, collections=16, per_collection=3)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
+    )
+
+
 @_query
 def op5_decision_list(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
