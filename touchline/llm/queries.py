@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decision_list, id_shards, jump_shards, positional_index, secret_scan, source_mixture, tensor_minhash
+from touchline.llm import decision_list, id_shards, jump_shards, positional_index, relative_lz, secret_scan, source_mixture, tensor_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -23,6 +23,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query
+def op1_relative_lz(spark: SparkSession, folder: str) -> DataFrame:
+    return relative_lz.parsed(_table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 @_query
 def op2_id_shards(spark: SparkSession, folder: str) -> DataFrame:
     return id_shards.read_shards(*id_shards.write_shards(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2))
