@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decision_list, id_shards, jump_shards, positional_index, relative_lz, secret_scan, source_mixture, tensor_minhash
+from touchline.llm import decision_list, id_shards, jump_shards, link_trust, positional_index, relative_lz, secret_scan, source_mixture, tensor_minhash, trie_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -33,6 +33,22 @@ def op2_id_shards(spark: SparkSession, folder: str) -> DataFrame:
     return id_shards.read_shards(*id_shards.write_shards(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2))
 
 
+#: The rules that the query is asked to apply.
+URL_RULES = [
+    link_trust.Rule("com/", "allow"),
+    link_trust.Rule("example.com/en/", "block"),
+    link_trust.Rule("www.example.com/en/", "allow"),
+    link_trust.Rule("net/es/", "block"),
+    link_trust.Rule("net/fr/", "block"),
+]
+
+
+@_query
+def op3_link_trust(spark: SparkSession, folder: str) -> DataFrame:
+    judged = link_trust.judge(_table(spark, folder, "pages").select("page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @_query
 def op4_tensor_minhash(spark: SparkSession, folder: str) -> DataFrame:
     found = tensor_minhash.near_duplicates(_table(spark, folder, "documents"), width=3, percent=85, collections=16, per_collection=3)
@@ -48,6 +64,11 @@ def op5_decision_list(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@_query
+def op6_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return trie_counts.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query
 def op7_token_efficiency_secrets(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "documents").select("doc_id", "text")
