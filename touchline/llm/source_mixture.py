@@ -96,7 +96,8 @@ def mixture(documents: DataFrame, keep: list[str], key: str = "doc_id", text: st
     for r, target in zip(totals, wanted, strict=True):
         whole = int(target // r["size"]) if r["size"] else 0
         plan.append((r["_m_null"], r["_m_source"], r["size"], target, whole, round(target - whole * r["size"]), -(-r["n"] // BLOCK_ROWS)))
-    sources = spark.createDataFrame(plan, "_m_null boolean, _m_source string, _m_source_size long, _m_target double, _m_epochs int, _m_rest long, _m_blocks long")
+    # at most MOST_SOURCES rows
+    sources = F.broadcast(spark.createDataFrame(plan, "_m_null boolean, _m_source string, _m_source_size long, _m_target double, _m_epochs int, _m_rest long, _m_blocks long"))
 
     def placed(x: DataFrame) -> DataFrame:
         return x.join(sources, of).withColumn("_m_block", F.pmod(_row_hash("_m_key", F.lit(seed)), F.col("_m_blocks")))
@@ -125,10 +126,10 @@ def mixture(documents: DataFrame, keep: list[str], key: str = "doc_id", text: st
     )
     quotas = {(r[0], r[1]): r[2] for r in taken.groupBy(*of).count().collect()}
     shares = split_quotas([quotas.get((r["_m_null"], r["_m_source"]), 0) for r in totals], shards, seed)
-    cuts = spark.createDataFrame(
+    cuts = F.broadcast(spark.createDataFrame(
         [(r["_m_null"], r["_m_source"], np.cumsum(own).tolist()) for r, own in zip(totals, shares, strict=True)], "_m_null boolean, _m_source string, cuts array<long>"
-    )
-    existing = blocks.groupBy(*of).agg(F.count("*").alias("have"))
+    ))
+    existing = F.broadcast(blocks.groupBy(*of).agg(F.count("*").alias("have")))
     numbered = taken.join(cuts, of).join(existing, of).withColumn("rank", F.col("epoch") * F.col("have") + F.col("place"))
     by_block = numbered.groupBy(*of, "_m_block").agg(
         F.count(F.when(F.col("part").isNull(), 1)).cast("int").alias("_m_full"),
