@@ -181,15 +181,17 @@ def factors(documents: DataFrame, window: int = 50, key: str = "doc_id", text: s
         "id", "t", F.col("x.starts").alias("start"), F.col("x.counts").alias("count"), F.col("x.anchors").alias("anchor"), F.col("x.blocks").alias("block")
     )
     occurrences = materialize(occurrences)
-    shared = occurrences.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
+    # the unique sides are written before they are joined: a join on the key of an aggregation would gather a
+    # frequent key in one task, while two shuffled tables can be split there
+    shared = materialize(occurrences.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
     known = materialize(occurrences.join(shared, "anchor", "left_semi"))
-    index = known.groupBy("anchor", "block").agg(F.min("id").alias("source"))
-    several = index.groupBy("anchor").agg(F.min("source").alias("low"), F.max("source").alias("high")).where("low < high").select("anchor")
+    index = materialize(known.groupBy("anchor", "block").agg(F.min("id").alias("source")))
+    several = materialize(index.groupBy("anchor").agg(F.min("source").alias("low"), F.max("source").alias("high")).where("low < high").select("anchor"))
     found = materialize(known.join(index, ["anchor", "block"]))
     whole = found.where("source < id").select("id", "t", "start", "count", "source")
     boundary = found.where("source = id").join(several, "anchor", "left_semi")
-    windows = _single_windows(boundary, _packed(rows), window)
-    earliest = windows.groupBy("anchor", "win").agg(F.min("id").alias("source"), F.max("id").alias("high")).where("source < high").select("anchor", "win", "source")
+    windows = materialize(_single_windows(boundary, _packed(rows), window))
+    earliest = materialize(windows.groupBy("anchor", "win").agg(F.min("id").alias("source"), F.max("id").alias("high")).where("source < high").select("anchor", "win", "source"))
     single = windows.join(earliest, ["anchor", "win"]).where("source < id").select("id", "t", "start", F.lit(1).alias("count"), "source")
     return whole.union(single)
 
