@@ -37,9 +37,8 @@ def test_match_quality(spark, row, weight, tier):
 def test_selection_keeps_best_share_per_role(spark):
     rows = [("a", "A", "forward", 60.0, 4.0, 40, 200.0), ("b", "B", "forward", 58.0, 1.0, 40, 200.0), ("c", "C", "defender", 55.0, 0.5, 40, 200.0)]
     board = spark.createDataFrame(rows, "player_id string, name string, role string, rating double, rating_uncertainty double, matches int, minutes double")
-    for limit in (None, 1):
-        got = C.select_players(board, top_fraction=0.5, min_players=1, max_uncertainty=5.0, limit=limit)
-        assert {r.player_id for r in got.collect()} == {"b", "c"}
+    got = C.select_players(board, top_fraction=0.5, min_players=1, max_uncertainty=5.0)
+    assert {r.player_id for r in got.collect()} == {"b", "c"}
     with pytest.raises(ValueError):
         C.select_players(board, top_fraction=1.5)
 
@@ -68,8 +67,8 @@ def test_names_and_times(spark):
     assert (row.at, row.told, row.never, row.dir) == ("2026-09-24 22:12:00", "2026-09-24 22:12:27.5", None, 7)
 
 
-@pytest.mark.parametrize("fold_limit", [3, 100_000])
-def test_champion_lineage(spark, fold_limit):
+@pytest.mark.parametrize("fold_rows", [1, 3, 1000])
+def test_champion_lineage(spark, fold_rows):
     rng = random.Random(7)
     rows = [(f"l{g % 2}", g, rng.random(), rng.random(), rng.random(), 10) for g in range(120)]
     runs = spark.createDataFrame(rows, "lineage string, generation long, direction_accuracy double, joint_accuracy double, kick_f1 double, samples long")
@@ -81,7 +80,7 @@ def test_champion_lineage(spark, fold_limit):
             if champion is None or (score >= champion[0] + 0.001 and d >= champion[1] - 0.02 and k >= champion[2] - 0.05):
                 champion = (score, d, k)
                 want.add((name, g))
-    got = {(r.lineage, r.generation) for r in G.champions(runs, fold_limit=fold_limit).collect()}
+    got = {(r.lineage, r.generation) for r in G.champions(runs, fold_rows=fold_rows).collect()}
     assert got == want
 
 

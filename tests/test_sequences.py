@@ -55,25 +55,30 @@ def test_running_total_and_recent(spark, span):
             assert got[(key, seq)] == (total, [s for _, s, _ in mine[max(0, i - 3) : i + 1]])
 
 
-@pytest.mark.parametrize("limit", [10, 10_000])
-def test_rank_within_hot_groups(spark, limit):
+def test_rank_within_hot_groups(spark):
     rng = random.Random(1)
     rows = [(0 if i % 3 else 1, rng.randint(0, 5), i) for i in range(600)]
     df = spark.createDataFrame(rows, "k int, v int, tie int")
-    ranked = rank_within(df, ["k"], [F.desc("v"), F.asc("tie")], rank="r", size="n", limit=limit)
+    ranked = rank_within(df, ["k"], [F.desc("v"), F.asc("tie")], rank="r", size="n")
     got = {(r.k, r.tie): (r.r, r.n) for r in ranked.collect()}
     for key in (0, 1):
         mine = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
         assert all(got[(key, r[2])] == (i + 1, len(mine)) for i, r in enumerate(mine))
 
 
-@pytest.mark.parametrize("limit", [1, 1 << 20])
+def test_exact_medians_of_few_values(spark):
+    rng = random.Random(4)
+    rows = [(n, float(rng.randint(0, 3))) for n in range(1, 25) for _ in range(n)]
+    got = {r.k: r.median for r in exact_medians(spark.createDataFrame(rows, "k int, a double"), ["k"], ["a"]).collect()}
+    assert got == {n: statistics.median([v for k, v in rows if k == n]) for n in range(1, 25)}
+
+
 @pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_exact_medians(spark, limit, accuracy):
+def test_exact_medians(spark, accuracy):
     rng = random.Random(3)
     rows = [(i % 3, rng.choice([None, rng.gauss(0, 1), 0.5]), float(rng.randint(0, 9))) for i in range(3001)]
     df = spark.createDataFrame(rows, "k int, a double, b double").repartition(4)
-    got = {(r.k, r.name): r for r in exact_medians(df, ["k"], ["a", "b"], accuracy=accuracy, limit=limit).collect()}
+    got = {(r.k, r.name): r for r in exact_medians(df, ["k"], ["a", "b"], accuracy=accuracy).collect()}
     for key in range(3):
         for pos, name in ((1, "a"), (2, "b")):
             values = [r[pos] for r in rows if r[0] == key and r[pos] is not None]

@@ -432,9 +432,11 @@ def inventory_digest(rows: DataFrame, columns: Sequence[str], key: Sequence[str]
     """Digest of the content of a table, whatever the order of its rows (AGG-22).
 
     Row digests are added up and xored, so the work is one partial aggregate and no row list is ever
-    gathered. The published form names count, sum and xor through one SHA-256.
+    gathered. The published form names count, sum and xor through one SHA-256. A field is written with its
+    length before it and null without one, so no value can be taken for a separator or for null.
     """
-    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    text = lambda c: F.col(c).cast("string")
+    line = F.concat(*[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns])
     number = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("long")
     grouped = rows.select(*key, number.alias("_n")).groupBy(*key)
     parts = grouped.agg(

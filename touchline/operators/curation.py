@@ -65,7 +65,6 @@ def select_players(
     min_matches: int = 30,
     min_minutes: float = 120.0,
     max_uncertainty: float = 1.5,
-    limit: int | None = None,
 ) -> DataFrame:
     """The best share of every role by rating minus uncertainty (TOP-03)."""
     if not 0.0 <= top_fraction <= 1.0:
@@ -88,9 +87,7 @@ def select_players(
         "minutes",
     )
     order = [F.desc("conservative_score"), F.desc("rating"), F.desc("matches"), F.asc("player_id")]
-    ranked = rank_within(
-        eligible, ["role"], order, rank="_rank", size="_size", **({"limit": limit} if limit else {})
-    )
+    ranked = rank_within(eligible, ["role"], order, rank="_rank", size="_size")
     quota = F.greatest(F.lit(min_players), F.ceil(F.col("_size") * F.lit(top_fraction)))
     return ranked.filter(F.col("_rank") <= quota).drop("_rank", "_size")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import composite_score
@@ -13,8 +13,8 @@ from touchline.session import materialize
 MINIMUM_GAMES, MINIMUM_LOWER_BOUND, MINIMUM_PASS_RATE = 500, 0.51, 0.98
 MINIMUM_IMPROVEMENT, DIRECTION_SLACK, KICK_SLACK = 0.001, 0.02, 0.05
 RATES = ("direction_accuracy", "joint_accuracy", "kick_f1")
-# A lineage with more candidates than this is first narrowed by passes over the table.
-FOLD_LIMIT = 100_000
+# Generations of a lineage that one row folds at a time.
+FOLD_ROWS = 1_000
 
 
 def analysis_status(rows: DataFrame) -> DataFrame:
@@ -143,18 +143,17 @@ def usable_runs(runs: DataFrame) -> DataFrame:
     return runs.filter(F.size(F.array_compact(F.array(*snapshot_issues("", "run")))) == 0)
 
 
-def champions(runs: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def champions(runs: DataFrame, *, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """The champions of every lineage in order of generation (WIN-10).
 
     ``runs``: lineage, generation and metrics. A lineage starts with its first usable run and changes only
-    when a later run passes the gate. The fold is sequential, but every promotion lifts the score, so runs
-    below the current champion can be dropped for good: while a lineage is too long to fold in one row, a
-    pass finds the next champion of every lineage by one minimum and drops what it overtook.
+    when a later run passes the gate. The fold is sequential but carries one run: the next ``fold_rows``
+    generations of every lineage are folded in a row each, and of the rest only runs that lift the new
+    champion's score are kept, since no other can ever pass.
     """
     rows = usable_runs(runs).select("lineage", F.struct(*_RUN).alias("run"))
-    first = rows.groupBy("lineage").agg(F.min_by("run", F.col("run.generation")).alias("champion"))
-    found = [first]
-    current, left = first, rows
+    current = rows.groupBy("lineage").agg(F.min_by("run", F.col("run.generation")).alias("champion"))
+    out, left = current, rows
 
     def ahead(candidates: DataFrame, reigning: DataFrame) -> DataFrame:
         joined = candidates.join(reigning, "lineage")
@@ -162,23 +161,8 @@ def champions(runs: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFrame:
         higher = composite_score(run["joint_accuracy"], run["kick_f1"]) >= (
             composite_score(champion["joint_accuracy"], champion["kick_f1"]) + MINIMUM_IMPROVEMENT
         )
-        return joined.filter((run["generation"] > champion["generation"]) & higher)
-
-    while not left.groupBy("lineage").count().filter(F.col("count") > fold_limit).isEmpty():
-        alive = materialize(ahead(left, current))
-        following = materialize(
-            alive.filter(_beats(F.col("run"), F.col("champion")))
-            .groupBy("lineage")
-            .agg(F.min_by("run", F.col("run.generation")).alias("champion"))
-        )
-        if following.isEmpty():
-            left = alive.limit(0).select("lineage", "run")
-            break
-        found.append(following)
-        left = alive.select("lineage", "run")
-        current = materialize(
-            following.unionByName(current.join(following.select("lineage"), "lineage", "left_anti"))
-        )
+        return joined.filter((run["generation"] > champion["generation"]) & higher).select("lineage", "run")
+
     fold = F.aggregate(
         F.sort_array(F.collect_list("run")),
         F.array(F.first("champion")),
@@ -187,17 +171,22 @@ def champions(runs: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFrame:
             F.concat(chain, F.array(run)),
         ).otherwise(chain),
     )
-    rest = left.join(current, "lineage").groupBy("lineage").agg(fold.alias("chain"))
-    later = rest.select("lineage", F.explode(F.slice("chain", 2, 1_000_000)).alias("champion"))
-    out = later
-    for part in found:
-        out = out.unionByName(part)
+    by_generation = Window.partitionBy("lineage").orderBy("run.generation")
+    while not (left := materialize(ahead(left, current))).isEmpty():
+        chunk = left.withColumn("_n", F.rank().over(by_generation)).filter(F.col("_n") <= fold_rows)
+        chains = materialize(
+            chunk.join(current, "lineage").groupBy("lineage").agg(fold.alias("chain"), F.max("run.generation").alias("_upto"))
+        )
+        out = out.unionByName(chains.select("lineage", F.explode(F.filter("chain", lambda run, i: i > 0)).alias("champion")))
+        reached = chains.select("lineage", F.element_at("chain", -1).alias("champion"))
+        current = materialize(reached.unionByName(current.join(reached.select("lineage"), "lineage", "left_anti")))
+        left = left.join(chains.select("lineage", "_upto"), "lineage").filter(F.col("run.generation") > F.col("_upto")).select("lineage", "run")
     return out.select("lineage", "champion.*")
 
 
-def lineage(runs: DataFrame, *, span: int = CHUNK_SPAN, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def lineage(runs: DataFrame, *, span: int = CHUNK_SPAN, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Every run with the champion it challenged, the decision and its status (WIN-10)."""
-    reigning = champions(runs, fold_limit=fold_limit).select("lineage", "generation", F.lit(True).alias("_crowned"))
+    reigning = champions(runs, fold_rows=fold_rows).select("lineage", "generation", F.lit(True).alias("_crowned"))
     marked = runs.join(reigning, ["lineage", "generation"], "left")
     parent = F.when(F.col("_crowned"), F.struct("generation", *RATES, "samples"))
     seen = look_around(marked, ["lineage"], "generation", before={"_parent": parent}, span=span)

@@ -17,8 +17,6 @@ from touchline.session import materialize
 
 # The order column is unique within its keys, so a chunk never holds more rows than this.
 CHUNK_SPAN = 1 << 18
-# Groups up to this size are ranked by a plain window, larger ones over a range partitioning.
-GROUP_LIMIT = 1 << 20
 
 
 def chunk_of(order: str, span: int = CHUNK_SPAN) -> Column:
@@ -93,52 +91,39 @@ def running_total(
     )
 
 
-def rank_within(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    *,
-    rank: str = "rank",
-    size: str | None = None,
-    limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """Row number (from 1) and group size per key; ``order`` must be a total order.
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column, total: str, size: str | None = None) -> DataFrame:
+    """Sum of ``weight`` up to and including each row per key, and over the whole key; ``order`` must be total.
 
-    When every group fits ``limit`` rows this is one window. Otherwise the rows are range partitioned by
-    key and order (which splits a large group over many tasks), ranked inside each part and shifted by the
-    sizes of the parts before it.
+    The rows are range partitioned by key and order, which splits a large key over many tasks, summed inside
+    each part and shifted by the sums of the parts before it. What a key adds across parts is one row a part.
     """
-    keys = list(keys)
-    df_columns = df.columns
-    oversize = df.groupBy(*keys).count().filter(F.col("count") > limit)
-    if oversize.isEmpty():
-        by_key = Window.partitionBy(*keys)
-        out = df.withColumn(rank, F.row_number().over(by_key.orderBy(*order)).cast("long"))
-        return out.withColumn(size, F.count(F.lit(1)).over(by_key)) if size else out
-
+    keys, columns = list(keys), df.columns
     # The part number depends on sampled range bounds, so it is written out before it is used twice.
     ordered = materialize(
-        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+        df.withColumn("_weight", weight)
+        .repartitionByRange(*[F.col(k) for k in keys], *order)
+        .withColumn("_part", F.spark_partition_id())
     )
-    across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    by_key = Window.partitionBy(*keys)
+    across = by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
         ordered.groupBy(*keys, "_part")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(
-            *keys,
-            "_part",
-            F.coalesce(F.sum("_rows").over(across), F.lit(0)).alias("_offset"),
-            F.sum("_rows").over(Window.partitionBy(*keys)).alias("_size"),
-        )
+        .agg(F.sum("_weight").alias("_sum"))
+        .select(*keys, "_part", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_offset"), F.sum("_sum").over(by_key).alias("_size"))
     )
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
-    ranked = ordered.withColumn("_local", F.row_number().over(inside)).join(parts, [*keys, "_part"])
-    out = ranked.select(
-        *df_columns,
-        (F.col("_local") + F.col("_offset")).alias(rank),
-        *([F.col("_size").alias(size)] if size else []),
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ordered.withColumn("_local", F.sum("_weight").over(inside))
+    same = [summed[k].eqNullSafe(parts[k]) for k in keys] + [summed["_part"] == parts["_part"]]
+    return summed.join(parts, same).select(
+        *[summed[c] for c in columns],
+        (F.col("_local") + F.col("_offset")).cast("long").alias(total),
+        *([F.col("_size").cast("long").alias(size)] if size else []),
     )
-    return out
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *, rank: str = "rank", size: str | None = None) -> DataFrame:
+    """Row number (from 1) and group size per key; ``order`` must be a total order."""
+    return running_sum(df, keys, order, F.lit(1), rank, size)
 
 
 def exact_medians(
@@ -146,35 +131,15 @@ def exact_medians(
     keys: Sequence[str],
     values: Sequence[str],
     *,
-    rows: int | None = None,
     accuracy: int = 10_000,
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Exact median, row count and population deviation of several columns: (keys, name, median, n, sd).
 
-    ``rows`` is the row count if it is known. Up to ``limit`` rows in all, the built-in exact percentile does it: what it holds in memory is bounded by
-    that count. Beyond, no group is ever gathered: a quantile sketch (one partial aggregate over all columns)
-    gives two values that surely enclose the middle ranks, as its rank error is at most n / accuracy. Rows
-    below the bracket are only counted; just the values inside it, a small share, are grouped and ordered.
+    No group is ever gathered: a quantile sketch (one partial aggregate over all columns) gives two values
+    that surely enclose the middle ranks, as its rank error is at most n / accuracy. Rows below the bracket
+    are only counted; just the values inside it, a small share, are grouped and summed in order.
     """
     keys = list(keys)
-    names = F.array(*[F.lit(v) for v in values])
-    if (df.count() if rows is None else rows) <= limit:
-        facts = df.groupBy(*keys).agg(
-            F.array(
-                *[
-                    F.struct(
-                        F.percentile(v, F.lit(0.5)).alias("median"),
-                        F.count(v).alias("n"),
-                        F.stddev_pop(v).alias("sd"),
-                    )
-                    for v in values
-                ]
-            ).alias("_facts")
-        )
-        flat = facts.select(*keys, F.explode(F.arrays_zip(names.alias("name"), F.col("_facts").alias("fact"))).alias("_z"))
-        return flat.select(*keys, "_z.name", "_z.fact.*").filter(F.col("n") > 0)
-
     margin = 4.0 / accuracy
     sketch = df.groupBy(*keys).agg(
         *[
@@ -182,8 +147,6 @@ def exact_medians(
                 F.percentile_approx(v, [0.5 - margin, 0.5 + margin], accuracy).alias("cut"),
                 F.count(v).alias("n"),
                 F.stddev_pop(v).alias("sd"),
-                F.min(v).alias("low"),
-                F.max(v).alias("high"),
             ).alias(f"_{v}")
             for v in values
         ]
@@ -191,11 +154,9 @@ def exact_medians(
 
     def bracket(v: str) -> Column:
         found = F.col(f"_{v}")
-        # The margin is below one row in small groups, which are bracketed by their full range.
-        small = found["n"] < accuracy
         return F.struct(
-            F.when(small, found["low"]).otherwise(found["cut"][0]).alias("low"),
-            F.when(small, found["high"]).otherwise(found["cut"][1]).alias("high"),
+            found["cut"][0].alias("low"),
+            found["cut"][1].alias("high"),
             found["n"].alias("n"),
             found["sd"].alias("sd"),
         ).alias(f"_{v}")
@@ -229,8 +190,7 @@ def exact_medians(
             )
         ),
     )
-    running = Window.partitionBy(*keys, "name").orderBy(F.col("_v").asc_nulls_first())
-    ranks = counted.withColumn("_upto", F.sum("_c").over(running)).join(facts, [*keys, "name"])
+    ranks = running_sum(counted, [*keys, "name"], [F.col("_v").asc_nulls_first()], F.col("_c"), "_upto").join(facts, [*keys, "name"])
     lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
     return (
         ranks.groupBy(*keys, "name")

@@ -124,23 +124,17 @@ def normalizers(evidence: DataFrame) -> DataFrame:
     """
     shaping = F.col("minutes") >= 1.0
     usable = {d: F.when(shaping & _finite(F.col(d)), F.col(d)) for d in DIMENSIONS}
-    size = evidence.groupBy("role").agg(
-        F.count(F.lit(1)).alias("rows"), F.least(*[F.count(v) for v in usable.values()]).alias("least")
-    ).agg(F.sum("rows").alias("rows"), F.min("least").alias("least")).first()
-    # The population of everybody is only built where some role is too small to speak for itself.
-    alone = size["least"] is not None and size["least"] >= LOCAL_POPULATION
-    groups = F.array("role") if alone else F.array("role", F.lit("*"))
-    rows = (size["rows"] or 0) * (1 if alone else 2)
-    population = evidence.select(F.explode(groups).alias("role"), *[v.alias(d) for d, v in usable.items()])
+    # Everybody is one more role.
+    population = evidence.select(F.explode(F.array("role", F.lit("*"))).alias("role"), *[v.alias(d) for d, v in usable.items()])
     # At most five roles with eight dimensions each; written out as it is read several times.
-    medians = materialize(exact_medians(population, ["role"], DIMENSIONS, rows=rows).coalesce(1))
+    medians = materialize(exact_medians(population, ["role"], DIMENSIONS).coalesce(1))
     centres = medians.groupBy("role").agg(
         F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("_center")
     )
     away = population.join(F.broadcast(centres), "role").select(
         "role", *[F.abs(F.col(d) - F.col("_center")[d]).alias(d) for d in DIMENSIONS]
     )
-    mads = materialize(exact_medians(away, ["role"], DIMENSIONS, rows=rows).coalesce(1)).select("role", "name", F.col("median").alias("_mad"))
+    mads = materialize(exact_medians(away, ["role"], DIMENSIONS).coalesce(1)).select("role", "name", F.col("median").alias("_mad"))
     robust = F.col("_mad") * MAD_SCALE
     scale = F.when(robust > 1e-9, robust).when(F.col("sd") > 1e-9, F.col("sd")).otherwise(1.0)
     own = medians.join(mads, ["role", "name"]).select(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators.ingest import normalize_attachments, parse_reports
+from touchline.session import materialize
 
 
 def _messages(document: object) -> Iterator[tuple[dict, str | None]]:
@@ -51,12 +52,19 @@ def read_messages(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_walk, schema)
 
 
+def message_failures(messages: DataFrame) -> DataFrame:
+    """Files that could not be read, and messages that are no strict JSON (``NaN``): source, stage, error."""
+    broken = F.col("message").isNotNull() & F.try_parse_json("message").isNull()
+    error = F.coalesce("error", F.when(broken, F.lit("message is not valid JSON")))
+    return messages.filter(error.isNotNull()).select(F.col("path").alias("source"), F.lit("discord_json").alias("stage"), error.alias("error"))
+
+
 def message_columns(messages: DataFrame) -> DataFrame:
     """Id, time, text and raw attachments (VARIANT objects) of message documents.
 
     Empty values fall through to the next alias.
     """
-    parsed = messages.filter(F.col("message").isNotNull()).withColumn("_m", F.parse_json("message"))
+    parsed = messages.withColumn("_m", F.try_parse_json("message")).filter(F.col("_m").isNotNull())
 
     def first_text(*names: str):
         texts = [F.try_variant_get("_m", f"$.{n}", "string") for n in names]
@@ -88,9 +96,7 @@ def read_reports(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
         .option("pathGlobFilter", "*.json")
         .load(root)
     )
-    messages = read_messages(files)
-    failures = messages.filter(F.col("error").isNotNull()).select(
-        F.col("path").alias("source"), F.lit("discord_json").alias("stage"), "error"
-    )
+    messages = materialize(read_messages(files))  # both results below come from one walk
+    failures = message_failures(messages)
     columns = message_columns(messages).withColumn("attachment_names", attachment_names(F.col("attachments")))
     return parse_reports(normalize_attachments(columns)).drop("attachment_names"), failures

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from touchline.functions.payload import decode_shards
 
 
-def read_binary(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root`` with its content."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+#: Names of replay files and of feature shards; other files below a folder are never opened.
+REPLAY_FILES, SHARD_FILES = "*.[hH][bB][rR]2", "*.f32.gz"
 
 
-def is_replay():
-    return F.lower("path").endswith(".hbr2")
+def read_binary(spark: SparkSession, root: str, names: str = "*") -> DataFrame:
+    """Every file below ``root`` whose name fits the pattern, with its content."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
 
 
 def discover_replays(spark: SparkSession, root: str, *, content: bool = False) -> DataFrame:
     """Replay files below a folder with size and SHA-256 (SRC-01)."""
-    found = read_binary(spark, root).filter(is_replay())
+    found = read_binary(spark, root, REPLAY_FILES)
     kept = [F.col("content")] if content else []
     return found.select(
         "path",
@@ -43,7 +43,7 @@ def archived_objects(spark: SparkSession, root: str) -> DataFrame:
 
 def read_shards(spark: SparkSession, root: str) -> DataFrame:
     """Rows of the feature shards below a folder (SRC-05)."""
-    return decode_shards(read_binary(spark, root).filter(F.col("path").endswith(".f32.gz")))
+    return decode_shards(read_binary(spark, root, SHARD_FILES))
 
 
 def read_ledger(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

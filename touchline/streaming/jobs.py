@@ -8,17 +8,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from touchline.functions.payload import payload_probe
 from touchline.functions.scalars import header_probe
-from touchline.sources.files import is_replay
+from touchline.sources.files import REPLAY_FILES
 from touchline.sources.sinks import new_objects
 
 
 def watch_replays(spark: SparkSession, root: str) -> DataFrame:
     """Arriving replay files (STR-01). The source remembers what it has seen, so nothing is read twice."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    found = (
-        spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
-    )
-    return found.filter(is_replay()).select(
+    source = spark.readStream.format("binaryFile").schema(schema)
+    return source.option("recursiveFileLookup", True).option("pathGlobFilter", REPLAY_FILES).load(root).select(
         "path", "modificationTime", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content"
     )
 

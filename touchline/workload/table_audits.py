@@ -312,7 +312,7 @@ def snapshot_changes(spark, folder):
 
 @query(
     "inventory_digest", "AGG-22",
-    f"""WITH {FILES_SQL}, d AS (SELECT source, CAST('0x' || substr(sha256(path || '|' || size_bytes || '|' || sha256), 1, 15) AS BIGINT) AS n FROM files)
+    f"""WITH {FILES_SQL}, d AS (SELECT source, CAST('0x' || substr(sha256(length(path) || ':' || path || length(CAST(size_bytes AS VARCHAR)) || ':' || size_bytes || length(sha256) || ':' || sha256), 1, 15) AS BIGINT) AS n FROM files)
     SELECT source, count(*) AS rows, sha256(count(*) || '|' || CAST(sum(CAST(n AS HUGEINT)) AS VARCHAR) || '|' || bit_xor(n)) AS digest FROM d GROUP BY source""",
 )
 def inventory_digest(spark, folder):
