@@ -136,7 +136,7 @@ def balls(spark: SparkSession, folder: str) -> DataFrame:
 
 def inputs(spark: SparkSession, folder: str) -> DataFrame:
     """Input changes: one row per replay, player and frame."""
-    li = table(spark, folder, "lineitem").filter(F.col("l_returnflag") != "N")
+    li = table(spark, folder, "lineitem")
     quantity = F.col("quantity").cast("int")
     return (
         li.groupBy(
@@ -176,8 +176,18 @@ def _stem() -> Column:
 
 
 def replay_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Unique replay files (the even orders) whose names carry a local time and often a hash."""
-    o = table(spark, folder, "orders").filter(F.col("o_orderkey") % 2 == 0)
+    """The replay files of matching: an even order is a file, an odd one is a report."""
+    return all_replay_files(spark, folder).filter(F.col("order_no") % 2 == 0).drop("order_no")
+
+
+def reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The reports of matching, from the orders that are no replay files."""
+    return all_reports(spark, folder).filter(F.col("order_no") % 2 == 1).drop("order_no")
+
+
+def all_replay_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order as a unique replay file whose name carries a local time and often a hash."""
+    o = table(spark, folder, "orders")
     sha = F.sha2(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")), 256)
     hashed = F.floor(F.col("o_orderkey") / 2) % 2 == 1
     name = F.concat(
@@ -188,12 +198,13 @@ def replay_files(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("export/"), F.col("o_orderkey").cast("string"), F.lit("/"), name).alias("path"),
         name.alias("file_name"),
         (F.col("o_orderkey") % 3).alias("size_bytes"),
+        F.col("o_orderkey").alias("order_no"),
     )
 
 
-def reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Chat reports (the odd orders) with one or two attachments and a time near the replay's."""
-    o = table(spark, folder, "orders").filter(F.col("o_orderkey") % 2 == 1)
+def all_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order as a chat report with one or two attachments and a time near the replay's."""
+    o = table(spark, folder, "orders")
     key = F.col("o_orderkey")
     turn = F.floor(key / 2)
     seconds = F.element_at(F.array(*[F.lit(s) for s in (0, 45, 200, 4000)]), (turn % 4 + 1).cast("int"))
@@ -217,6 +228,7 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("c"), (F.col("o_custkey") % 5).cast("string")).alias("channel_id"),
         F.when(turn % 13 == 0, F.lit("lobby talk")).otherwise(content).alias("content"),
         F.when(turn % 11 == 0, F.array(attach(extra), attach(main))).otherwise(F.array(attach(main))).alias("attachments"),
+        key.alias("order_no"),
     )
 
 

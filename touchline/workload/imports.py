@@ -18,18 +18,20 @@ r AS (
       || '-r' || (o_custkey % 20) AS stem, sha256('r' || o_orderkey) AS sha, o_orderkey // 2 AS turn,
     date_trunc('month', o_orderdate) + to_days(CAST(o_custkey % 28 AS INTEGER)) + to_hours(o_custkey % 4) + to_minutes(o_custkey % 60) AS begun FROM orders
 ),
-replays AS (
+all_replays AS (
   SELECT sha AS sha256, stem || CASE WHEN turn % 2 = 1 THEN '-' || substr(sha, 1, 8) ELSE '' END || '.hbr2' AS file_name,
     o_orderkey % 3 AS size_bytes, stem, o_orderkey, turn % 2 = 1 AS hashed,
     begun AS clock
-  FROM r WHERE o_orderkey % 2 = 0
+  FROM r
 ),
-reports AS (
+all_reports AS (
   SELECT 'm' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS message_id, stem, o_orderkey % 3 AS size_bytes, turn % 7 = 0 AS hashed, turn,
     begun
       + to_seconds(CASE turn % 4 WHEN 0 THEN 0 WHEN 1 THEN 45 WHEN 2 THEN 200 ELSE 4000 END) AS clock, o_orderkey, o_custkey
-  FROM r WHERE o_orderkey % 2 = 1
+  FROM r
 ),
+replays AS (SELECT * FROM all_replays WHERE o_orderkey % 2 = 0),
+reports AS (SELECT * FROM all_reports WHERE o_orderkey % 2 = 1),
 cand AS (
   SELECT a.sha256, a.o_orderkey AS rk, a.file_name, b.message_id,
     CASE WHEN a.hashed AND NOT b.hashed THEN 'dce_hashed_asset_filename'
@@ -110,10 +112,10 @@ def replay_header_probe(spark, folder):
       CASE WHEN turn % 13 <> 0 THEN 'R' || o_orderkey END AS report_id,
       CASE WHEN turn % 13 <> 0 THEN o_orderkey % 7 END AS red_score, CASE WHEN turn % 13 <> 0 THEN o_orderkey % 5 END AS blue_score,
       CASE WHEN turn % 13 <> 0 THEN o_orderkey % 100 + 0.25::DOUBLE END AS possession_red,
-      CASE WHEN turn % 13 <> 0 THEN CAST(100 - o_orderkey % 100 AS DOUBLE) END AS possession_blue FROM reports""",
+      CASE WHEN turn % 13 <> 0 THEN CAST(100 - o_orderkey % 100 AS DOUBLE) END AS possession_blue FROM all_reports""",
 )
 def report_fields(spark, folder):
-    return I.parse_reports(adapters.reports(spark, folder)).select(
+    return I.parse_reports(adapters.all_reports(spark, folder)).select(
         "message_id",
         fn.report_time(F.col("timestamp")).cast("string").alias("local_time"),
         "report_id", "red_score", "blue_score", "possession_red", "possession_blue",
@@ -123,11 +125,10 @@ def report_fields(spark, folder):
 @query(
     "replay_name_parts", "PRJ-11 PRJ-12",
     f"""WITH {MATCH_SQL}
-    SELECT sha256, stem AS base_stem, strftime(clock, '%Y-%m-%d %H:%M:%S') AS local_time FROM replays""",
+    SELECT sha256, stem AS base_stem, strftime(clock, '%Y-%m-%d %H:%M:%S') AS local_time FROM all_replays""",
 )
 def replay_name_parts(spark, folder):
-    replays, _ = _sides(spark, folder)
-    return replays.select(
+    return adapters.all_replay_files(spark, folder).select(
         "sha256",
         fn.base_stem(fn.file_stem(F.col("file_name"))).alias("base_stem"),
         fn.replay_time(F.col("file_name")).cast("string").alias("local_time"),

@@ -23,7 +23,7 @@ inp AS (
   SELECT replay, player, frame, q % 3 - 1 AS dir_x, (q // 3) % 3 - 1 AS dir_y, CASE WHEN tax > 0.065 THEN 1 ELSE 0 END AS kick
   FROM (SELECT l_orderkey // 8 AS replay, l_suppkey AS player, CAST((l_linenumber % 7) * 2 AS INTEGER) AS frame,
           CAST(max(l_quantity) AS INTEGER) AS q, max(l_tax) AS tax
-        FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)
+        FROM lineitem GROUP BY ALL)
 )
 """
 
