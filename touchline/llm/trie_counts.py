@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from touchline.llm.text import byte_texts
 
 #: Trie nodes of a Python worker; beyond this it starts anew.
-MOST_NODES = 400_000
+MOST_NODES = 800_000
 
 _MARK = "\u2581"
 _COUNTS = "doc_id long, n_words long, n_tokens long"
@@ -48,12 +48,13 @@ class Trie:
 
     def __init__(self, scores: dict[str, float]) -> None:
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        # what can still be the end of a piece when read backwards
+        self.endings = {piece[i:] for piece in scores for i in range(len(piece))}
         self.worst = min(scores.values(), default=0.0) - 10.0
         self.reset()
 
     def reset(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}  # by parent and character
         self.best, self.count = [0.0], [0]
         self.terminal: dict[bytes, int] = {}
 
@@ -64,16 +65,14 @@ class Trie:
         text = _MARK + word.decode()
         if len(self.best) + len(text) > MOST_NODES:
             self.reset()
-        # ancestors of the node at hand; a longer word than the longest piece needs only so many
-        line = [0]
-        for end in range(1, len(text) + 1):
-            step = (line[-1], text[end - 1])
-            node = self.child.get(step)
+        line, node, child = [0], 0, self.child  # the node at hand and those above it
+        for end, letter in enumerate(text, 1):
+            step = node << 21 | ord(letter)
+            node = child.get(step)
             if node is None:
-                node = self._extend(text, end, line)
-                self.child[step] = node
+                node = child[step] = self._extend(text, end, line)
             line.append(node)
-        count = self.count[line[-1]]
+        count = self.count[node]
         if len(word) <= 64:
             self.terminal[word] = count
         if len(self.best) > MOST_NODES:
@@ -81,17 +80,22 @@ class Trie:
         return count
 
     def _extend(self, text: str, end: int, line: list[int]) -> int:
+        """A new node: the best last piece, shortest first, of those that end at this character."""
+        best, counts, scores, endings = self.best, self.count, self.scores, self.endings
         unknown = len(text[end - 1].encode())
-        score, count = self.best[line[end - 1]] + unknown * self.worst, self.count[line[end - 1]] + unknown
-        for start in range(max(0, end - self.longest), end):
-            piece = self.scores.get(text[start:end])
+        score, count = best[line[end - 1]] + unknown * self.worst, counts[line[end - 1]] + unknown
+        for start in range(end - 1, -1, -1):
+            part = text[start:end]
+            piece = scores.get(part)
             if piece is not None:
-                here, n = self.best[line[start]] + piece, self.count[line[start]] + 1
+                here, n = best[line[start]] + piece, counts[line[start]] + 1
                 if here > score or here == score and n < count:
                     score, count = here, n
-        self.best.append(score)
-        self.count.append(count)
-        return len(self.best) - 1
+            elif part not in endings:
+                break
+        best.append(score)
+        counts.append(count)
+        return len(best) - 1
 
 
 _TRIES: dict[str, Trie] = {}
