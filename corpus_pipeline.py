@@ -19,8 +19,8 @@ ORACLE_SQL = None
 
 
 def _known_by() -> Column:
-    """The id; for a row without one, a negative number made of its text."""
-    return F.coalesce(F.col("doc_id").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
+    """The id; for a row without one, a number beyond all ids made of its text, so that a row with an id stays before it."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
