@@ -3,7 +3,10 @@
 A byte-pair vocabulary was fitted to language, so words and identifiers take few tokens for their length
 and random strings take many. A run of key characters whose characters per token fall below a threshold
 is reported as ``random``, unless it is a plain digest, a UUID, a number or a word, or lies over a span
-of a named pattern.
+of a named pattern. Readable neighbours lift a run's average (a key at the end of a path), so what is left
+of any other run is tested again without its named spans, UUIDs, digests and numbers: every part between
+``/ = _ -`` by itself, then stretches of ``STRETCH`` characters at every token. Stretches below the
+threshold that overlap are one span, if together they are below it too; else the densest of them is reported.
 
 Everything runs per row on the text's bytes; places are converted to code points for what was found.
 
@@ -38,6 +41,9 @@ _RUN = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
 # Lengths of hexadecimal digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 _DIGESTS = frozenset({32, 40, 56, 64, 96, 128})
+_PART = re.compile(rb"[^/=_-]+")
+#: Least characters of a part or stretch that is judged by itself.
+STRETCH = 20
 _UUID = re.compile(rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _WORDS = re.compile(rb"[A-Z]?[a-z]+([A-Z][a-z]+|[_/=+-]+[A-Z]?[a-z]+)*[_/=+-]*|[A-Z]+([_/=+-]+[A-Z]+)*")
 
@@ -51,10 +57,18 @@ class Vocabulary:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
 
-    def tokens(self, part: bytes) -> int:
+    def _pieces(self, part: bytes) -> Iterator[list[int]]:
         """Tokens of a run, encoded in pieces so that a blob of any length costs in proportion to it."""
-        return sum(len(self.encoding.encode_ordinary(part[i : i + 4096].decode())) for i in range(0, len(part), 4096))
+        return (self.encoding.encode_ordinary(part[i : i + 4096].decode()) for i in range(0, len(part), 4096))
+
+    def tokens(self, part: bytes) -> int:
+        return sum(map(len, self._pieces(part)))
+
+    def edges(self, part: bytes) -> list[int]:
+        """Where each token of a run begins, and the end of the last."""
+        return list(itertools.accumulate((self.lengths[t] for piece in self._pieces(part) for t in piece), initial=0))
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
@@ -67,25 +81,79 @@ def _known(part: bytes) -> bool:
     return bool(_UUID.fullmatch(part) or part.isdigit() or _WORDS.fullmatch(part))
 
 
+def _random(part: bytes, vocabulary: Vocabulary, least: float) -> bool:
+    return len(part) >= STRETCH and not _known(part) and len(part) < least * vocabulary.tokens(part)
+
+
+def _outside(run: bytes, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What of a run no cut reaches, where it is long enough to be judged."""
+    at = 0
+    for start, end in [*sorted(cuts), (len(run), len(run))]:
+        if start - at >= STRETCH:
+            yield at, start
+        at = max(at, end)
+
+
+def _stretches(part: bytes, vocabulary: Vocabulary, least: float) -> Iterator[tuple[int, int]]:
+    """Places of a text without gaps where it is random, though as a whole it is not."""
+    edges, groups, j = vocabulary.edges(part), [], 0
+    for i, start in enumerate(edges):
+        while j < len(edges) and edges[j] - start < STRETCH:
+            j += 1
+        if j == len(edges):
+            break
+        ratio = (edges[j] - start) / (j - i)
+        if ratio < least:
+            if groups and start < groups[-1][1]:
+                groups[-1][1] = edges[j]
+                groups[-1][2] = min(groups[-1][2], (ratio, start, edges[j]))
+            else:
+                groups.append([start, edges[j], (ratio, start, edges[j])])
+    for start, end, (_, first, last) in groups:
+        for a, b in ((start, end), (first, last)):
+            if _random(part[a:b], vocabulary, least):
+                yield a, b
+                break
+
+
+def _hidden(run: bytes, named: list[tuple[int, int]], vocabulary: Vocabulary, least: float) -> Iterator[tuple[int, int]]:
+    """Random parts and stretches of a run that is not reported whole, away from named spans and identifiers."""
+    for first, last in _outside(run, [*named, *(m.span() for m in _UUID.finditer(run))]):
+        rest, cuts = run[first:last], []
+        for m in _PART.finditer(rest):
+            found = _random(m[0], vocabulary, least)
+            if found:
+                yield first + m.start(), first + m.end()
+            if found or m[0].isdigit() or len(m[0]) in _DIGESTS and _known(m[0]):
+                cuts.append(m.span())
+        for start, end in _outside(rest, cuts):
+            for a, b in _stretches(rest[start:end], vocabulary, least):
+                yield first + start + a, first + start + b
+
+
 def scan(text: bytes, vocabulary: Vocabulary, least: float) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every span of a text, in bytes, by start and kind."""
     found = []
     low = text.lower()
     if any(name in low for name in _NAMES):
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= _ASSIGN_VALUE]
-    maybe = []
+    runs = []
     for run in _RUN.finditer(text):
         part, at = run[0], run.start()
         found += [(at + m.start(), 1, at + m.end()) for m in _ACCESS.finditer(part)]
         found += [(at + m.start(), 2, at + m.end()) for m in _HEX.finditer(part)]
-        if not _known(part) and len(part) < least * vocabulary.tokens(part):
-            maybe.append((at, 3, run.end()))
+        if not _known(part):
+            runs.append((at, part))
     taken = sorted((s, e) for s, _, e in found)
     ends = list(itertools.accumulate((e for _, e in taken), max))
-    for span in maybe:  # unless the last named span that begins before its end, or one before it, reaches into it
-        before = bisect.bisect_left(taken, (span[2],))
-        if not before or ends[before - 1] <= span[0]:
-            found.append(span)
+    for at, part in runs:
+        # the named spans that end behind the run's start and begin before its end reach into it
+        named = taken[bisect.bisect_right(ends, at) : bisect.bisect_left(taken, (at + len(part),))]
+        named = [(max(s - at, 0), e - at) for s, e in named if e > at]
+        if not named and _random(part, vocabulary, least):
+            found.append((at, 3, at + len(part)))
+        else:
+            found += [(at + s, 3, at + e) for s, e in _hidden(part, named, vocabulary, least)]
     return sorted(found)
 
 
@@ -93,7 +161,7 @@ def find_secrets(rows: DataFrame, ranks: str, pattern: str, text: str = "text",
     """``rows`` with ``spans``, an array of (kind, start, end) in code points, end exclusive.
 
     ``ranks`` is a tiktoken rank file, ``pattern`` its splitting pattern, ``least`` the characters per
-    token below which a run of 20 or more key characters counts as random.
+    token below which a run, part or stretch of 20 or more key characters counts as random.
     """
     columns = [c for c in rows.columns if c != "spans"]
 
