@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -76,10 +78,15 @@ def ingest(files: DataFrame, registry_path: str, processing_path: str, checkpoin
 
 
 def watch_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given Parquet tables as a stream."""
+    """One of the given Parquet tables as a stream: a single file or a folder of part files."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema)
+    files = [unquote(f).split("/") for f in table.inputFiles()]
+    if len(files) == 1 and files[0][-1] == f"{name}.parquet" != files[0][-2]:
+        # a stream reads folders: the file is picked out of its own
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return stream.parquet(path)
 
 
 def hourly_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
