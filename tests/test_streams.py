@@ -31,3 +31,22 @@ def test_a_table_of_part_files_is_read_whole(spark, several, folder):
 def test_queries_on_part_files(spark, several, name):
     rows = lambda at: sorted(map(tuple, ENTRIES[name].run(spark, at).collect()))
     assert rows(several) == rows(FOLDER) != []
+
+
+def test_latest_counts_over_several_batches(spark, several, folder):
+    """A file a batch: events far behind the last window count too, and no window is left out."""
+    raw = spark.read.parquet(f"{several}/events.parquet")
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{several}/events.parquet")
+    timed = stream.select(F.col("ts").cast("timestamp").alias("created_at"))
+    out = jobs.run_to_latest(jobs.hourly_counts(timed, None), ["start", "end"], f"{folder}/run")
+    got = sorted((r.start, r.n) for r in out.collect())
+    want = raw.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("start")).count().collect()
+    assert got == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("name", ["stream_hourly_activity", "stream_sliding_throughput", "stream_counts_by_kind"])
+def test_the_last_windows_are_there(spark, name):
+    last = duckdb.sql(f"SELECT max(ts) FROM '{FOLDER}/events.parquet'").fetchall()[0][0]
+    rows = ENTRIES[f"{name}_whole"].run(spark, FOLDER).collect()
+    assert max(dt.datetime.fromisoformat(r.end) for r in rows) > last
+    assert {tuple(r) for r in ENTRIES[name].run(spark, FOLDER).collect()} < {tuple(r) for r in rows}

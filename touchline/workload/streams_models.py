@@ -63,6 +63,42 @@ def stream_counts_by_kind(spark, folder):
     return out.select(*_stamps(out), "event_type", "n")
 
 
+# The three queries above write what is final; these write every window of the given tables.
+
+
+@query(
+    "stream_hourly_activity_whole", "STR-04",
+    f"""WITH {LOG_SQL}, w AS (SELECT date_trunc('hour', ts) AS s, count(*) AS n FROM e GROUP BY 1)
+    SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS "start", strftime(s + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", n FROM w""",
+)
+def stream_hourly_activity_whole(spark, folder):
+    counts = jobs.hourly_counts(_log_stream(spark, folder), None)
+    out = jobs.run_to_latest(counts, ["start", "end"], shared_folder(spark, "hourly"))
+    return out.select(*_stamps(out), "n")
+
+
+@query(
+    "stream_sliding_throughput_whole", "STR-05",
+    f"""WITH {LOG_SQL}, w AS (SELECT date_trunc('minute', ts) - to_minutes(CAST(i AS INTEGER)) AS s, count(*) AS n FROM e CROSS JOIN range(5) r(i) GROUP BY 1)
+    SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS "start", strftime(s + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", n, n / 5.0 AS per_minute FROM w""",
+)
+def stream_sliding_throughput_whole(spark, folder):
+    counts = jobs.sliding_throughput(_log_stream(spark, folder), None)
+    out = jobs.run_to_latest(counts, ["start", "end"], shared_folder(spark, "sliding"))
+    return out.select(*_stamps(out), "n", "per_minute")
+
+
+@query(
+    "stream_counts_by_kind_whole", "STR-06",
+    f"""WITH {LOG_SQL}, w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(CAST(i * 5 AS INTEGER)) AS s, event_type, count(*) AS n FROM e CROSS JOIN range(12) r(i) GROUP BY 1, 2)
+    SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS "start", strftime(s + INTERVAL 60 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", event_type, n FROM w""",
+)
+def stream_counts_by_kind_whole(spark, folder):
+    counts = jobs.counts_by_kind(_log_stream(spark, folder), None)
+    out = jobs.run_to_latest(counts, ["start", "end", "event_type"], shared_folder(spark, "kinds"))
+    return out.select(*_stamps(out), "event_type", "n")
+
+
 @query(
     "stream_touch_transitions", "STR-07",
     f"""WITH {EVENTS_SQL}, last AS (SELECT replay, max(seq) FILTER (kind IN ('goal', 'reset')) AS stop FROM seg GROUP BY replay)
