@@ -5,6 +5,7 @@ import os
 import random
 import re
 import string
+import zlib
 
 import numpy as np
 import pyarrow.dataset as ds
@@ -56,6 +57,58 @@ def test_substrings_of_no_rows(empty):
     assert removed(empty) == []
 
 
+def test_texts_without_id_and_one_crc_are_told_apart(spark):
+    """Two texts of one crc: a long one with a duplicate passage far behind, and a short one."""
+    passage = prose(31, 60)
+    long, short = f"{prose(32, 80)} {passage}", b"short "
+    want = zlib.crc32(long.encode())
+    # by linearity of the crc: choose one of two letters at each of 64 places
+    base = bytearray(short + b"a" * 64)
+    places = range(len(short), len(base))
+    effect = []
+    for p in places:
+        base[p] = ord("b")
+        effect.append(zlib.crc32(base))
+        base[p] = ord("a")
+    zero = zlib.crc32(base)
+    rows, target = {}, zero ^ want
+    for i, e in enumerate(effect):
+        value, made = e ^ zero, 1 << i
+        while value and value.bit_length() in rows:
+            v, m = rows[value.bit_length()]
+            value, made = value ^ v, made ^ m
+        if value:
+            rows[value.bit_length()] = (value, made)
+    chosen = 0
+    while target:
+        v, m = rows[target.bit_length()]
+        target, chosen = target ^ v, chosen ^ m
+    for i, p in enumerate(places):
+        base[p] = ord("b") if chosen >> i & 1 else ord("a")
+    assert zlib.crc32(base) == want
+    rows = [(1, passage), (None, long), (None, base.decode())]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(brute.windows_removed(rows), key=key)
+
+
+def test_repeated_rows_share_one_list_of_runs(spark, monkeypatch):
+    """Equal texts without an id: what is gathered for them does not grow with their number."""
+    passage = prose(41, 60)
+    rows = [(1, passage), *[(None, f"{prose(42, 80)} {passage}")] * 40]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gathered = []
+    cut = relative_lz.materialize
+
+    def watched(table):
+        out = cut(table)
+        if "runs" in out.columns:
+            gathered.extend(r[0] for r in out.select(F.size("runs")).collect())
+        return out
+
+    monkeypatch.setattr(relative_lz, "materialize", watched)
+    assert removed(df) == sorted(brute.windows_removed(rows), key=key)
+    assert len(gathered) == 1 and gathered[0] <= 20
+
+
 def test_substrings_query(spark, documents):
     assert rows_of(QUERIES["op1_relative_lz"](spark, FOLDER)) == sorted(brute.windows_removed(documents), key=key)
 

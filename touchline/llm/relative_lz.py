@@ -18,13 +18,14 @@ of all documents is no hot group; no two occurrences of it are ever paired.
 Defined results: a null or empty text has no words; documents of fewer words than a window keep all; words
 stay as they are; a null id counts as later than all ids; rows with equal ids never remove each other's words;
 repeated rows give repeated results; an empty table gives no rows; further columns are ignored. Blocks and
-windows are compared by two independent 64-bit hashes each.
+windows are compared by two independent 64-bit hashes each. Texts under one id (all rows without an id have
+one) are told apart by a 128-bit hash in two halves, ``t`` and ``u``; rows equal in all three share one list
+of runs, so any number of them costs in proportion.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +45,10 @@ _NO_ID = (1 << 63) - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BLOCKS = "id long, t int, starts array<int>, counts array<int>, anchors array<long>, blocks array<long>"
-_WINDOWS = "anchor long, win long, id long, t int, start int"
+_BLOCKS = "id long, t long, u long, starts array<int>, counts array<int>, anchors array<long>, blocks array<long>"
+_WINDOWS = "anchor long, win long, id long, t long, u long, start int"
+#: What tells documents apart.
+_KEY = ["id", "t", "u"]
 
 
 class _Rolling:
@@ -103,38 +106,39 @@ def _index_rows(rows: DataFrame, window: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            marks, parts = [], [[], [], [], []]
-            for body in byte_texts(batch.column(1)):
-                marks.append(_mark(body))
+            bodies, parts = list(byte_texts(batch.column(1))), [[], [], [], []]
+            for body in bodies:
                 found = blocks_of(table.of(body.split()) if body else np.zeros(0, np.uint64), window)
                 for part, values in zip(parts, found, strict=True):
                     part.append(values)
             lengths = [len(x) for x in parts[0]]
             joined = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
             lists = [flat_lists(v.astype(np.int32), lengths, pa.int32()) for v in joined[:2]] + [flat_lists(signed(v.astype(np.uint64)), lengths, pa.int64()) for v in joined[2:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int32()), *lists], names=["id", "t", "starts", "counts", "anchors", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_marks(bodies), *lists], names=[*_KEY, "starts", "counts", "anchors", "blocks"])
 
     return rows.mapInArrow(cut, _BLOCKS)
 
 
-def _mark(body: bytes | None) -> int:
-    """Tells texts under one id apart."""
-    return zlib.crc32(body or b"") - (1 << 31)
+def _marks(bodies: list[bytes | None]) -> list[pa.Array]:
+    """Two halves of a hash that tells texts under one id apart."""
+    digests = b"".join(hashlib.blake2b(body or b"", digest_size=16).digest() for body in bodies)
+    halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return [pa.array(halves[:, i].copy()) for i in (0, 1)]
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """Id, mark and compressed words of every document: what is shuffled instead of the text."""
+    """Id, marks and compressed words of every document: what is shuffled instead of the text."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             bodies = list(byte_texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([_mark(b) for b in bodies], pa.int32()), pa.array([press.compress(b" ".join(b.split()) if b else b"") for b in bodies], pa.binary())],
-                names=["id", "t", "words"],
+                [batch.column(0), *_marks(bodies), pa.array([press.compress(b" ".join(b.split()) if b else b"") for b in bodies], pa.binary())],
+                names=[*_KEY, "words"],
             )
 
-    return rows.mapInArrow(pack, "id long, t int, words binary")
+    return rows.mapInArrow(pack, "id long, t long, u long, words binary")
 
 
 def _lists(column: pa.Array, field: str) -> tuple[np.ndarray, np.ndarray]:
@@ -144,41 +148,42 @@ def _lists(column: pa.Array, field: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _single_windows(open_blocks: DataFrame, packed: DataFrame, window: int) -> DataFrame:
-    """Every window of the given blocks: anchor, hash, id, mark, first word."""
+    """Every window of the given blocks: anchor, hash, id, marks, first word."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, press = WordHashes(), zstandard.ZstdDecompressor()
         for batch in batches:
-            (start, at), (count, _), (anchor, _) = (_lists(batch.column(3), f) for f in ("start", "count", "anchor"))
-            out = [[], [], [], [], []]
-            for i, words in enumerate(batch.column(2).to_pylist()):
+            (start, at), (count, _), (anchor, _) = (_lists(batch.column(4), f) for f in ("start", "count", "anchor"))
+            out = [[], [], [], [], [], []]
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            for i, words in enumerate(batch.column(3).to_pylist()):
                 rolling = _Rolling(table.of(press.decompress(words).split()))
                 a, c, h = (x[at[i] : at[i + 1]] for x in (start, count, anchor))
                 starts = np.repeat(a, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
                 for part, values in zip(
                     out,
-                    (np.repeat(h, c), signed(rolling.of(starts, starts + window)), np.full(len(starts), batch.column(0)[i].as_py(), np.int64), np.full(len(starts), batch.column(1)[i].as_py(), np.int32), starts.astype(np.int32)),
+                    (np.repeat(h, c), signed(rolling.of(starts, starts + window)), *(np.full(len(starts), k[i]) for k in keys), starts.astype(np.int32)),
                     strict=True,
                 ):
                     part.append(values)
                 if sum(map(len, out[0])) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in out], names=["anchor", "win", "id", "t", "start"])
-                    out = [[], [], [], [], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in out], names=["anchor", "win", *_KEY, "start"])
+                    out = [[], [], [], [], [], []]
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in out], names=["anchor", "win", "id", "t", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in out], names=["anchor", "win", *_KEY, "start"])
 
-    lists = open_blocks.groupBy("id", "t").agg(F.collect_list(F.struct("start", "count", "anchor")).alias("open"))
-    return packed.join(lists, ["id", "t"]).select("id", "t", "words", "open").mapInArrow(look, _WINDOWS)
+    lists = open_blocks.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "count", "anchor")).alias("open"))
+    return packed.join(lists, _KEY).select(*_KEY, "words", "open").mapInArrow(look, _WINDOWS)
 
 
 def factors(documents: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Runs of duplicate windows: id, mark, first window, number of windows, an earlier document.
+    """Runs of duplicate windows: id, marks, first window, number of windows, an earlier document.
 
     Runs may adjoin or repeat; ``parsed`` joins them into factors.
     """
     rows = _columns(documents, key, text)
-    occurrences = _index_rows(rows, window).select("id", "t", F.explode(F.arrays_zip("starts", "counts", "anchors", "blocks")).alias("x")).select(
-        "id", "t", F.col("x.starts").alias("start"), F.col("x.counts").alias("count"), F.col("x.anchors").alias("anchor"), F.col("x.blocks").alias("block")
+    occurrences = _index_rows(rows, window).select(*_KEY, F.explode(F.arrays_zip("starts", "counts", "anchors", "blocks")).alias("x")).select(
+        *_KEY, F.col("x.starts").alias("start"), F.col("x.counts").alias("count"), F.col("x.anchors").alias("anchor"), F.col("x.blocks").alias("block")
     )
     occurrences = materialize(occurrences)
     # the unique sides are written before they are joined: a join on the key of an aggregation would gather a
@@ -188,11 +193,11 @@ def factors(documents: DataFrame, window: int = 50, key: str = "doc_id", text: s
     index = materialize(known.groupBy("anchor", "block").agg(F.min("id").alias("source")))
     several = materialize(index.groupBy("anchor").agg(F.min("source").alias("low"), F.max("source").alias("high")).where("low < high").select("anchor"))
     found = materialize(known.join(index, ["anchor", "block"]))
-    whole = found.where("source < id").select("id", "t", "start", "count", "source")
+    whole = found.where("source < id").select(*_KEY, "start", "count", "source")
     boundary = found.where("source = id").join(several, "anchor", "left_semi")
     windows = materialize(_single_windows(boundary, _packed(rows), window))
     earliest = materialize(windows.groupBy("anchor", "win").agg(F.min("id").alias("source"), F.max("id").alias("high")).where("source < high").select("anchor", "win", "source"))
-    single = windows.join(earliest, ["anchor", "win"]).where("source < id").select("id", "t", "start", F.lit(1).alias("count"), "source")
+    single = windows.join(earliest, ["anchor", "win"]).where("source < id").select(*_KEY, "start", F.lit(1).alias("count"), "source")
     return whole.union(single)
 
 
@@ -203,7 +208,7 @@ def parsed(documents: DataFrame, window: int = 50, key: str = "doc_id", text: st
     array of (start, length) in words, ascending and disjoint.
     """
     rows = _columns(documents, key, text)
-    runs = materialize(factors(documents, window, key, text).groupBy("id", "t").agg(F.collect_list(F.struct("start", "count")).alias("runs")))
+    runs = materialize(factors(documents, window, key, text).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "count")).alias("runs")))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -234,6 +239,6 @@ def parsed(documents: DataFrame, window: int = 50, key: str = "doc_id", text: st
                 names=["id", "n_words", "n_removed", "kept_sha256", "factors"],
             )
 
-    joined = _packed(rows).join(runs, ["id", "t"], "left").select("id", "words", "runs")
+    joined = _packed(rows).join(runs, _KEY, "left").select("id", "words", "runs")
     out = joined.mapInArrow(parse, "id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:int,length:int>>")
     return out.withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id")))
