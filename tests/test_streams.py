@@ -6,7 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_touches import SCHEMA, random_events, sequential
 from touchline.streaming import jobs
+from touchline.streaming.touch_chain import run_touches
 from touchline.workload import ENTRIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -50,3 +52,19 @@ def test_the_last_windows_are_there(spark, name):
     rows = ENTRIES[f"{name}_whole"].run(spark, FOLDER).collect()
     assert max(dt.datetime.fromisoformat(r.end) for r in rows) > last
     assert {tuple(r) for r in ENTRIES[name].run(spark, FOLDER).collect()} < {tuple(r) for r in rows}
+
+
+@pytest.mark.parametrize("cuts", [[0, 150], [0, 60, 100, 150], [100, 150, 0, 40, 40, 100]])
+def test_touches_do_not_depend_on_batches(spark, folder, cuts):
+    """In order, in one piece, and with whole files that come late: every touch, the open ones too."""
+    rows = random_events(2, n=150)
+    df = spark.createDataFrame(rows, SCHEMA)
+    pairs = list(zip(cuts, cuts[1:])) if cuts == sorted(cuts) else list(zip(cuts[::2], cuts[1::2]))
+    for i, (low, high) in enumerate(pairs):
+        df.filter((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.parquet(f"{folder}/in/{i}")
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        got = run_touches(stream, f"{folder}/run")  # a batch each, the log and the kept rows go on
+    want = {t["seq"]: (t["outcome"], t["next"]) for t in sequential(rows)[0]}
+    assert sorted((r.seq, (r.outcome, r.next_player)) for r in got.collect()) == sorted(want.items())
+    stops = [r[1] for r in rows if r[3] in ("goal", "reset")]
+    assert max(want) > max(stops)

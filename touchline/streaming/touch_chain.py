@@ -1,4 +1,8 @@
-"""Touch transitions of live matches: state per replay, same results as the batch chain."""
+"""Touch transitions of live matches.
+
+``stream_touches`` keeps state per replay and gives a touch out once it is settled; a batch of a replay is one
+task. ``run_touches`` runs the batch chain over the stretches that a batch changes and gives every touch.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from touchline.operators import touches as T
 from touchline.operators.touches import GOAL, GOAL_WINDOW, OPPONENT, SELF_RETOUCH, TEAMMATE, TOUCH_GAP, UNRESOLVED
 
 OUTPUT = "replay string, seq long, frame int, player long, team int, outcome int, next_player long, progression double, late long"
@@ -70,3 +75,54 @@ def stream_touches(events: DataFrame) -> DataFrame:
     return rows.groupBy("replay").applyInPandasWithState(
         _handle, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+def run_touches(events: DataFrame, folder: str) -> DataFrame:
+    """Every touch of all that is there now, as the batch chain has it, however rows fall into batches (STR-07).
+
+    A stretch begins behind a goal or reset, and nothing before it has a part in its touches. Each batch adds
+    its rows to those kept, runs the chain over every replay it touches from the last goal or reset before its
+    earliest row on, and replaces the touches from there; a row that comes late reopens its stretch and those
+    behind it. Touches that are still open have the outcome of the rows so far. Kept rows are read once a batch.
+    """
+    needed = events.filter(F.col("kind").isin("contact", "goal", "reset")).select(*T._CHAIN_COLUMNS)
+    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in needed.schema) + ", batch long"
+    out_schema = (
+        f"replay {needed.schema['replay'].dataType.simpleString()}, seq {needed.schema['seq'].dataType.simpleString()}, "
+        f"player {needed.schema['player'].dataType.simpleString()}, outcome int, "
+        f"next_player {needed.schema['player'].dataType.simpleString()}, progression double, batch long"
+    )
+    from_schema = f"replay {needed.schema['replay'].dataType.simpleString()}, low long, batch long"
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        # what a batch that is repeated left before counts once: folders are overwritten
+        kept = spark.read.schema(kept_schema).parquet(f"{folder}/rows").filter(F.col("batch") <= number)
+        first = kept.filter(F.col("batch") == number).groupBy("replay").agg(F.min("seq").alias("first"))
+        resets = kept.filter(F.col("kind").isin("goal", "reset")).select("replay", "seq")
+        before = resets.join(first, "replay").filter("seq < first").groupBy("replay").agg(F.max("seq").alias("low"))
+        start = first.join(before, "replay", "left").select("replay", F.coalesce("low", F.lit(-(1 << 63))).cast("long").alias("low"))
+        start.write.mode("overwrite").parquet(f"{folder}/from/batch={number}")
+        start = spark.read.schema(from_schema).parquet(f"{folder}/from").filter(F.col("batch") == number).drop("batch")
+        open_rows = kept.join(start, "replay").filter("seq >= low").select(*T._CHAIN_COLUMNS)
+        found = T.touch_outcomes(T.resolve_chain(T.chain_events(open_rows)))
+        found.select("replay", "seq", "player", "outcome", "next_player", "progression").write.mode("overwrite").parquet(
+            f"{folder}/out/batch={number}"
+        )
+
+    query = (
+        needed.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", f"{folder}/log")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    spark = events.sparkSession
+    written = spark.read.schema(out_schema).parquet(f"{folder}/out")
+    # a touch stands unless a later batch began at or before it
+    starts = spark.read.schema(from_schema).parquet(f"{folder}/from").groupBy("replay").agg(
+        F.collect_list(F.struct(F.col("batch").alias("b"), "low")).alias("starts")
+    )
+    replaced = F.exists("starts", lambda x: (x["b"] > F.col("batch")) & (x["low"] <= F.col("seq")))
+    return written.join(starts, "replay").filter(~replaced).drop("starts", "batch")

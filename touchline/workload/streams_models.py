@@ -12,7 +12,7 @@ from touchline.operators import learning as M
 from touchline.session import shared_folder
 from touchline.sources import exports
 from touchline.streaming import jobs
-from touchline.streaming.touch_chain import stream_touches
+from touchline.streaming.touch_chain import run_touches, stream_touches
 from touchline.workload.match_events import EVENTS_SQL
 from touchline.workload.pitch_positions import POSITIONS_SQL
 from touchline.workload.registry import query
@@ -113,6 +113,15 @@ def stream_touch_transitions(spark, folder):
     )
 
 
+@query(
+    "stream_touch_transitions_whole", "STR-07",
+    f"""WITH {EVENTS_SQL} SELECT replay, seq, player, outcome, next_player, round(progression, 4) AS progression FROM touches""",
+)
+def stream_touch_transitions_whole(spark, folder):
+    out = run_touches(adapters.event_columns(jobs.watch_table(spark, folder, "events")), shared_folder(spark, "touches"))
+    return out.select("replay", "seq", "player", "outcome", "next_player", F.round("progression", 4).alias("progression"))
+
+
 @query(
     "stream_unique_contents", "STR-02",
     "SELECT sha256(text) AS sha256 FROM documents GROUP BY 1",
