@@ -5,10 +5,10 @@ with the least hash is its anchor; neighbouring windows with one anchor form a b
 first word of its first window to the last word of its last. Equal windows have equal anchors at equal
 places, wherever they stand, so a document's window can only be found in blocks with its anchor.
 
-The index maps an anchor and a whole block to the earliest document that has the block. A document is parsed
-from left to right: a block that an earlier document has is copied whole, and adjoining copies make one long
-factor. At a factor's boundary, where a block is known whole to no earlier document but its anchor is, each
-window of the block is looked up by itself among all windows of the blocks with that anchor. Nothing else can
+The index maps an anchor and a whole block to the earliest document that has the block. It is joined with all
+blocks by hash: a block that an earlier document has is a duplicate whole, and adjoining duplicates make one
+long factor. Where a block is known whole to no earlier document but its anchor is, each window of the block
+is joined by hash with all windows of the blocks with that anchor. No document is parsed from left to right. Nothing else can
 hold a duplicate window, so the factors of at least ``window`` words are exactly the duplicate spans.
 
 Only anchors shared by documents with different ids go on after the first pass. An anchor or block of any
