@@ -214,6 +214,16 @@ def test_spread_is_a_personalised_pagerank(spark):
             assert math.isclose(got[kind, h], s, rel_tol=1e-9)
 
 
+def test_spread_goes_on_to_the_fixed_point(spark):
+    edges = spark.createDataFrame([*[(f"h{i}", f"h{i + 1}", 1.0) for i in range(17)], ("x", "y", 1.0), ("y", "x", 1.0)], "src string, dst string, n double")
+    seeds = spark.createDataFrame([("distrust", "h17", 3.0), ("trust", "x", 1.0)], "kind string, host string, score double")
+    got = {(r[0], r[1]): r[2] for r in link_trust.spread(edges, seeds).collect()}
+    assert len(got) == 20
+    for i in range(18):
+        assert math.isclose(got["distrust", f"h{17 - i}"], 0.15 * 0.85**i, rel_tol=1e-9)
+    assert math.isclose(got["trust", "x"], 0.15 / (1 - 0.85**2), rel_tol=1e-5)
+
+
 def test_links_become_edges(spark):
     html = '<a href="http://Good.org/x">1</a> <a HREF=\'//bad.net\'>2</a><a href=https://good.org/y>3</a><a href="/own">4</a>'
     pages = spark.createDataFrame([(1, "http://s.org/", html)], "page_id long, url string, html string")

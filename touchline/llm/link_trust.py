@@ -17,6 +17,7 @@ of the result replace those of the same name.
 
 from __future__ import annotations
 
+import itertools
 import string
 from dataclasses import dataclass
 
@@ -72,24 +73,38 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return linked.union(up).union(down).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(kind, host, score) after ``rounds`` steps from ``seeds`` (kind, host, score), ``distrust`` against the edges."""
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """(kind, host, score) spread from ``seeds`` (kind, host, score), ``distrust`` against the edges.
+
+    Without ``rounds``, steps go on until five of them reach no further host and change the scores by less
+    than ``tolerance`` in sum.
+    """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n"))
     totals = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     moves = materialize(both.join(totals, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("part")))
     sums = seeds.groupBy("kind").agg(F.sum("score").alias("total"))
     start = materialize(seeds.join(sums, "kind").select("kind", "host", (F.col("score") / F.col("total")).alias("score")))
-    scores = start
-    for turn in range(rounds):
+    scores = last = start
+    for turn in itertools.count() if rounds is None else range(rounds):
         sent = scores.join(moves.withColumnRenamed("src", "host"), ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
         back = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
         scores = sent.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if turn % 5 == 4:
             scores = materialize(scores)
+            if rounds is None and _settled(last, scores, tolerance):
+                break
+            last = scores
     return scores
 
 
-def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html", threshold: float = 0.5, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def _settled(last: DataFrame, scores: DataFrame, tolerance: float) -> bool:
+    both = scores.join(last.withColumnRenamed("score", "old"), ["kind", "host"], "full")
+    change = F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))
+    row = both.agg(F.coalesce(change, F.lit(0.0)).alias("change"), F.count_if(F.col("old").isNull()).alias("new")).first()
+    return row["new"] == 0 and row["change"] < tolerance
+
+
+def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html", threshold: float = 0.5, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """``pages`` without html, with host, path, rule, verdict and the host's share of distrust."""
     kept = [c for c in pages.columns if c not in {"host", "path", "rule", "verdict", "distrust", html}]
     placed = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
