@@ -8,10 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decision_list, id_shards, jump_shards, link_trust, positional_index, relative_lz, secret_scan, source_mixture, tensor_minhash, trie_counts
+from touchline.llm import (
+    decision_list,
+    id_shards,
+    jump_shards,
+    link_trust,
+    multi_index,
+    permuterm,
+    positional_index,
+    relative_lz,
+    secret_scan,
+    source_mixture,
+    statements,
+    tensor_minhash,
+    trie_counts,
+    turn_repair,
+)
+from touchline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-STATEMENTS: dict[str, str] = {}
+STATEMENTS: dict[str, str] = statements.STATEMENTS
 
 
 def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -107,3 +123,21 @@ def op10_positional_decontamination(spark: SparkSession, folder: str) -> DataFra
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         positional_index.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
+
+
+@_query
+def op11_cyk_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    found = turn_repair.with_all(turn_repair.repaired(turn_repair.damaged(rows)), rows)
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@_query
+def op12_permuterm_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = permuterm.lettered_words(_table(spark, folder, "documents"), damage=31, letters=7)
+    return permuterm.variants(materialize(words.where("n >= 2"))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@_query
+def op13_multi_index_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.nearest(multi_index.usable(_table(spark, folder, "embeddings")), F.col("id") % 20 == 0)
