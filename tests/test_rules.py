@@ -84,17 +84,13 @@ def test_champion_lineage(spark, fold_rows):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [2, 64])
-def test_nearest_players_in_crowded_frames(spark, block):
-    rng = random.Random(block)
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_nearest_players_in_crowded_frames(spark, monkeypatch, crowd):
+    monkeypatch.setattr(X, "CROWD", crowd)
+    rng = random.Random(crowd)
     rows = [("r", 0, p, p % 3, float(rng.randint(0, 40)), float(rng.randint(0, 40)), 0.0, 0.0) for p in range(40)]
     states = spark.createDataFrame(rows, "replay string, frame int, player long, team int, x double, y double, vx double, vy double")
-    points = states.filter("team > 0")
-    keys = ["replay", "frame", "player"]
-    blocks = X.team_blocks(states, block=block)
-    near = X.nearest_in_frame(points, blocks, keys, own_team=True, limit=2, name="m")
-    near = X.nearest_in_frame(near, blocks, keys, own_team=False, limit=3, name="o")
-    for r in near.collect():
-        for got, team, limit in ((r.m, r.team, 2), (r.o, 3 - r.team, 3)):
+    for r in X.neighbours(states.filter("team > 0"), states).collect():
+        for got, team, limit in ((r.mates, r.team, 2), (r.opponents, 3 - r.team, 3)):
             others = sorted(((q[4] - r.x) ** 2 + (q[5] - r.y) ** 2, q[2]) for q in rows if q[3] == team and q[2] != r.player)
             assert [(n.d2, n.player) for n in got] == others[:limit]

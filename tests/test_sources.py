@@ -104,6 +104,33 @@ def test_artifacts_to_player_totals(spark, folder):
     assert [(e.frame, e.playerId, e.ballX, e.outcome) for e in events] == [(5, 3, 1.5, None), (9, 4, None, None)]
 
 
+FAULTS = {
+    "null counter": ('"kickEvents": 12', '"kickEvents": null'),
+    "true as counter": ('"kickEvents": 12', '"kickEvents": true'),
+    "text as counter": ('"kickEvents": 12', '"kickEvents": "12"'),
+    "fraction as counter": ('"kickEvents": 12', '"kickEvents": 12.0'),
+    "number as name": ('"name": "bob"', '"name": 5'),
+    "null player": ('"players": [', '"players": [null, '),
+    "number as player": ('"players": [', '"players": [3, '),
+    "players of another type": ('"players": [', '"players": {"a": ['),
+    "true as version": ('"schemaVersion": 4', '"schemaVersion": true'),
+    "text in sparse rows": ("[5, 3, 1.5]", '[5, "3", 1.5]'),
+    "array as root": ('{"schemaVersion"', '[{"schemaVersion"'),
+}
+
+
+@pytest.mark.parametrize("columns", [["match_id"], ["match_id", "totalFrames"], ["match_id", "players", "sparseEvents"]])
+def test_a_wrong_type_drops_the_document_whatever_is_asked_for(spark, columns):
+    whole = json.dumps(artifact("bob", 1, 1, 12))
+    texts = [("good", whole), ("null name", whole.replace('"bob"', "null")), ("no players", whole.replace('"players"', '"others"'))]
+    for name, (old, new) in FAULTS.items():
+        text = whole.replace(old, new)
+        assert text != whole
+        texts.append((name, text + {"[{": "]", '{"a': "}"}.get(new[:2], "") if name != "players of another type" else text.replace("}], ", "}]}, ")))
+    read = artifacts.parsed_artifacts(spark.createDataFrame([*texts, (None, None), ("empty", "")], "match_id string, text string"))
+    assert sorted(r.match_id for r in read.select(*columns).collect()) == ["good", "no players", "null name"]
+
+
 def test_shards(spark, folder):
     width = len(SHARD_COLUMNS)
     assert width == 39

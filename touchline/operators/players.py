@@ -10,6 +10,7 @@ from touchline.operators.rows import attach
 
 SAMPLES_PER_MINUTE = 600.0
 
+# Counters of a player row and the sort keys of the player table.
 COUNTERS = [
     "samples", "nearest_ball_samples", "close_ball_samples", "input_events", "kick_events", "kick_pressed_inputs",
     "touches", "self_retouches", "team_touch_transfers_out", "turnovers", "recoveries", "pressured_transitions",

@@ -5,81 +5,127 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import CLOSE_BALL_DISTANCE, UNDER_PRESSURE_DISTANCE, heat_bin
 from touchline.operators.sequences import CHUNK_SPAN, look_around
+from touchline.session import materialize
 
-# A team's players in a frame travel as arrays of at most this many; larger teams use several arrays.
-BLOCK = 64
+#: A frame of at most this many players is one array; the cells of a larger one hold about ``CELL`` players each.
+CROWD, CELL = 128, 32
 TEAMMATES, OPPONENTS = 2, 3
 
-_PLACE = ["player", "x", "y", "vx", "vy"]
-
-
-def team_blocks(states: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """Players of a team in a frame as arrays of bounded size: replay, frame, team, members.
-
-    The number of arrays follows from the team's size, so a frame with very many players becomes many
-    bounded arrays rather than one unbounded group; an ordinary frame has one array per team.
-    """
-    placed = states.filter(F.col("team").isin(1, 2))
-    keys = ["replay", "frame", "team"]
-    sizes = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_blocks"))
-    spread = placed.join(sizes, keys).withColumn("_block", F.pmod(F.xxhash64("player"), F.col("_blocks")))
-    return spread.groupBy(*keys, "_block").agg(F.collect_list(F.struct(*_PLACE)).alias("members")).drop("_block")
+_PLACE = ["player", "team", "x", "y", "vx", "vy"]
+_FRAME = ["replay", "frame"]
 
 
-def _nearest(members: Column, limit: int) -> Column:
-    """The closest members of one array, as (d2, player, dx, dy, dvx, dvy) in distance order."""
+def _nearest(members: Column, own_team: bool, limit: int) -> Column:
+    """The closest of one array on one side, as (d2, player, dx, dy, dvx, dvy) in distance order, ties by player."""
+    if not limit:
+        return F.array().cast("array<struct<d2:double,player:long,dx:double,dy:double,dvx:double,dvy:double>>")
+    side = F.col("team") if own_team else 3 - F.col("team")
+    others = F.filter(members, lambda m: (m["team"] == side) & (m["player"] != F.col("player")))
+    dx, dy = (lambda m: m["x"] - F.col("x")), (lambda m: m["y"] - F.col("y"))
     measured = F.transform(
-        members,
+        others,
         lambda m: F.struct(
-            ((m["x"] - F.col("x")) * (m["x"] - F.col("x")) + (m["y"] - F.col("y")) * (m["y"] - F.col("y"))).alias("d2"),
-            m["player"].alias("player"),
-            (m["x"] - F.col("x")).alias("dx"),
-            (m["y"] - F.col("y")).alias("dy"),
-            (m["vx"] - F.col("vx")).alias("dvx"),
-            (m["vy"] - F.col("vy")).alias("dvy"),
+            (dx(m) * dx(m) + dy(m) * dy(m)).alias("d2"), m["player"].alias("player"), dx(m).alias("dx"), dy(m).alias("dy"),
+            (m["vx"] - F.col("vx")).alias("dvx"), (m["vy"] - F.col("vy")).alias("dvy"),
         ),
-    )
+    )
     return F.slice(F.sort_array(measured), 1, limit)
 
 
-def nearest_in_frame(
-    points: DataFrame, blocks: DataFrame, keys: list[str], *, own_team: bool, limit: int, name: str
-) -> DataFrame:
-    """The ``limit`` nearest team mates or opponents of every point in its frame (JON-13).
+def _grid(level: int) -> tuple[Column, Column]:
+    """Cells a side, and their width, of a frame's grid at a level; each level has half the cells of the one before."""
+    side = F.ceil(F.sqrt(F.col("n") / CELL))
+    cells = F.ceil(side / F.lit(1 << level))
+    return cells, F.greatest(F.col("high_x") - F.col("low_x"), F.col("high_y") - F.col("low_y")) / side * (1 << level)
 
-    Points meet the arrays of one team in their frame; each meeting keeps only its own best ``limit``, and
-    the bests are merged. Distances tie by player id.
-    """
-    side = F.col("team") if own_team else 3 - F.col("team")
-    asked = points.withColumn("_side", side)
-    facing = blocks.select("replay", "frame", F.col("team").alias("_side"), "members")
-    met = asked.join(facing, ["replay", "frame", "_side"])
-    others = F.filter("members", lambda m: m["player"] != F.col("player")) if own_team else F.col("members")
-    best = met.select(*keys, _nearest(others, limit).alias("_best"))
-    merged = best.groupBy(*keys).agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("_best"))), 1, limit).alias(name)
-    )
-    return points.join(merged, keys, "left")
+
+def _cell(level: int, axis: str) -> Column:
+    cells, width = _grid(level)
+    return F.when(width > 0, F.least(F.floor((F.col(axis) - F.col(f"low_{axis}")) / width), cells - 1)).otherwise(0)
+
+
+def _certain(level: int) -> Column:
+    """What lies nearer than this to a point is in its cell or one next to it; nothing where these are all."""
+    cells, width = _grid(level)
+    bounds = []
+    for axis in ("x", "y"):
+        at, low = F.col(f"cell_{axis}"), F.col(axis) - F.col(f"low_{axis}")
+        bounds += [F.when(at > 1, low - (at - 1) * width), F.when(at + 2 < cells, (at + 2) * width - low)]
+    return F.least(*bounds) * (1 - 1e-9)
 
 
-def event_pressure(events: DataFrame, states: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def _crowded_neighbours(points: DataFrame, placed: DataFrame, crowded: DataFrame, mates: int, opponents: int) -> DataFrame:
+    """``points`` in crowded frames with both lists, by a grid per frame.
+
+    A point looks into its cell and those around it. It is done when as many as asked for are nearer than
+    anything outside can be; the others go on with cells of twice the width, until the grid is one cell.
+    Cells travel as arrays of at most ``CROWD`` players, so one that holds very many is several rows.
+    """
+    keys = [*_FRAME, "player"]
+    inside, open_, done, level = placed.join(crowded, _FRAME), points.join(crowded, _FRAME), [], 0
+    facts = [c for c in crowded.columns if c not in _FRAME]
+    while True:
+        cells = inside.select(*_FRAME, *_PLACE, _cell(level, "x").alias("cell_x"), _cell(level, "y").alias("cell_y"))
+        of = [*_FRAME, "cell_x", "cell_y"]
+        blocks = cells.groupBy(*of).agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).alias("_blocks"))
+        spread = cells.join(blocks, of).withColumn("_block", F.pmod(F.xxhash64("player"), F.col("_blocks")))
+        arrays = spread.groupBy(*of, "_block").agg(F.collect_list(F.struct(*_PLACE)).alias("members"))
+        own = open_.withColumns({"cell_x": _cell(level, "x"), "cell_y": _cell(level, "y")}).withColumn("_certain", _certain(level))
+        around = [F.struct((F.col("cell_x") + i).alias("cell_x"), (F.col("cell_y") + j).alias("cell_y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        asked = own.select(*keys, "team", "x", "y", "vx", "vy", F.explode(F.array(*around)).alias("_at")).select("*", "_at.*").drop("_at")
+        met = asked.join(arrays, of).select(*keys, _nearest(F.col("members"), True, mates).alias("_m"), _nearest(F.col("members"), False, opponents).alias("_o"))
+        merged = lambda c, limit: F.slice(F.sort_array(F.flatten(F.collect_list(c))), 1, limit) if limit else F.first(c)
+        best = met.groupBy(*keys).agg(merged("_m", mates).alias("mates"), merged("_o", opponents).alias("opponents"))
+        near = lambda c, limit: (F.size(c) == limit) & (F.get(c, F.lit(limit - 1))["d2"] < F.col("_certain") * F.col("_certain")) if limit else F.lit(True)
+        sure = F.col("_certain").isNull() | F.coalesce(near("mates", mates) & near("opponents", opponents), F.lit(False))
+        found = materialize(own.join(best, keys, "left").withColumn("_sure", sure))
+        done.append(found.where("_sure").select(*points.columns, "mates", "opponents"))
+        left = found.where("NOT _sure").select(*points.columns, *facts)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        open_, level = left, level + 1
+
+
+def neighbours(points: DataFrame, states: DataFrame, *, mates: int = TEAMMATES, opponents: int = OPPONENTS) -> DataFrame:
+    """``points`` (replay, frame, player, team, x, y, vx, vy and more) with the nearest ``mates`` and ``opponents`` in
+    their frame, as arrays in distance order (JON-13). Distances tie by player id; players of no team are nobody's
+    neighbours. A point is known by its replay, frame and player.
+
+    Ordinary frames are one array of both teams each, and points meet them in one join. Frames of more than
+    ``CROWD`` players are searched by cells (:func:`_crowded_neighbours`).
+    """
+    placed = materialize(states.filter(F.col("team").isin(1, 2)).select(*_FRAME, *_PLACE))
+    edge = [f(c).alias(f"{name}_{c}") for c in ("x", "y") for name, f in (("low", F.min), ("high", F.max))]
+    crowded = materialize(placed.groupBy(*_FRAME).agg(F.count(F.lit(1)).alias("n"), *edge).where(F.col("n") > CROWD))
+    lists = lambda members: [_nearest(members, True, mates).alias("mates"), _nearest(members, False, opponents).alias("opponents")]
+    several = not crowded.isEmpty()
+    usual = placed.join(crowded.select(*_FRAME), _FRAME, "left_anti") if several else placed
+    frames = usual.groupBy(*_FRAME).agg(F.collect_list(F.struct(*_PLACE)).alias("_members"))
+    near = points.join(frames, _FRAME, "left").select(*points.columns, *lists(F.coalesce("_members", F.array().cast(frames.schema["_members"].dataType))))
+    if not several:
+        return near
+    near = near.join(crowded.select(*_FRAME), _FRAME, "left_anti")
+    return near.unionByName(_crowded_neighbours(points, placed, crowded, mates, opponents))
+
+
+def event_pressure(events: DataFrame, states: DataFrame) -> DataFrame:
     """Distance of the nearest opponent at the frame of each event, and whether it presses (JON-11).
 
     ``events``: replay, frame, player (and more). The own position is the state row at the same frame;
     spectators are no opponents.
     """
-    own = states.filter(F.col("team").isin(1, 2)).select("replay", "frame", *_PLACE, "team")
+    own = states.filter(F.col("team").isin(1, 2)).select(*_FRAME, *_PLACE)
     points = own.join(events.select("replay", "frame", "player").distinct(), ["replay", "frame", "player"], "left_semi")
-    near = nearest_in_frame(
-        points, team_blocks(states, block=block), ["replay", "frame", "player"], own_team=False, limit=1, name="_near"
-    )
+    near = neighbours(points, states, mates=0, opponents=1)
     found = near.select(
-        "replay", "frame", "player", F.col("team").alias("own_team"), F.sqrt(F.col("_near")[0]["d2"]).alias("pressure_distance")
+        "replay", "frame", "player", F.col("team").alias("own_team"), F.sqrt(F.get("opponents", F.lit(0))["d2"]).alias("pressure_distance")
     )
     return events.join(found, ["replay", "frame", "player"], "left").withColumn(
         "under_pressure", F.coalesce(F.col("pressure_distance") <= UNDER_PRESSURE_DISTANCE, F.lit(False))
@@ -172,22 +218,19 @@ def _vector(entry: Column, sign: Column, prefix: str) -> list[Column]:
 
 
 def imitation_examples(
-    states: DataFrame, balls: DataFrame, inputs: DataFrame, selected: DataFrame, *, span: int = CHUNK_SPAN, block: int = BLOCK
+    states: DataFrame, balls: DataFrame, inputs: DataFrame, selected: DataFrame, *, span: int = CHUNK_SPAN
 ) -> DataFrame:
     """State-action rows of selected players, the pitch turned so that everybody attacks towards +x (ML-01).
 
     ``selected``: replay, player, player_index. Rows without a known input have a null ``dir_x``; they are
     the skipped ones and are counted by :func:`example_counts`.
     """
-    keys = ["replay", "frame", "player"]
     mine = states.filter(F.col("team").isin(1, 2)).join(selected, ["replay", "player"])
     ball = balls.select(
         "replay", "frame", *[F.col(c).alias(f"ball_{c}") for c in ("x", "y", "vx", "vy")]
     )
     acted = with_latest_input(mine.join(ball, ["replay", "frame"]), inputs, span=span)
-    blocks = team_blocks(states, block=block)
-    near = nearest_in_frame(acted, blocks, keys, own_team=True, limit=TEAMMATES, name="_mates")
-    near = nearest_in_frame(near, blocks, keys, own_team=False, limit=OPPONENTS, name="_opponents")
+    near = neighbours(acted, states)
     sign = F.when(F.col("team") == 1, 1.0).otherwise(-1.0)
     at = lambda column, i: F.get(column, F.lit(i))
     relative = [
@@ -201,8 +244,8 @@ def imitation_examples(
         (sign * F.col("x")).alias("own_x"), F.col("y").alias("own_y"),
         (sign * F.col("vx")).alias("own_vx"), F.col("vy").alias("own_vy"),
         *relative,
-        *[c for i in range(TEAMMATES) for c in _vector(at("_mates", i), sign, f"tm{i + 1}")],
-        *[c for i in range(OPPONENTS) for c in _vector(at("_opponents", i), sign, f"op{i + 1}")],
+        *[c for i in range(TEAMMATES) for c in _vector(at("mates", i), sign, f"tm{i + 1}")],
+        *[c for i in range(OPPONENTS) for c in _vector(at("opponents", i), sign, f"op{i + 1}")],
         (sign * F.col("action.dir_x")).alias("dir_x"), F.col("action.dir_y").cast("double").alias("dir_y"),
         F.col("action.kick").cast("double").alias("kick"),
     )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.functions.native_types import field, has_native_type
+
 # JSON field of every column of a player row.
 COUNT_FIELDS = {
     "samples": "samples",
@@ -36,14 +38,17 @@ SUM_FIELDS = {"touchProgressionSum": "touch_progression_sum", "progressionSum":
 _LONG, _DOUBLE, _TEXT = T.LongType(), T.DoubleType(), T.StringType()
 
 
-def _struct(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+def _struct(nullable: bool = True, **fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t, nullable) for n, t in fields.items()])
 
 
-PLAYER_SCHEMA = _struct(
-    id=_LONG, name=_TEXT, authHash=_TEXT, teamId=_LONG, averageX=_DOUBLE, averageY=_DOUBLE,
-    **{n: _LONG for n in COUNT_FIELDS}, **{n: _DOUBLE for n in SUM_FIELDS},
-)
+# The fields of an artifact. A counter may be absent, but a written null is none.
+PLAYER_SCHEMA = T.StructType(
+    [
+        *_struct(id=_LONG, name=_TEXT, authHash=_TEXT, teamId=_LONG, averageX=_DOUBLE, averageY=_DOUBLE).fields,
+        *_struct(False, **{n: _LONG for n in COUNT_FIELDS}, **{n: _DOUBLE for n in SUM_FIELDS}).fields,
+    ]
+)
 _ROWS = T.ArrayType(T.ArrayType(_DOUBLE))
 _NAMES = T.ArrayType(_TEXT)
 ARTIFACT_SCHEMA = _struct(
@@ -54,35 +59,45 @@ ARTIFACT_SCHEMA = _struct(
     sparseEvents=_struct(
         touchColumns=_NAMES, kickColumns=_NAMES, goalColumns=_NAMES, touches=_ROWS, kicks=_ROWS, goals=_ROWS
     ),
-    players=T.ArrayType(PLAYER_SCHEMA),
-    _corrupt=_TEXT,
+    players=T.ArrayType(PLAYER_SCHEMA, containsNull=False),
 )
+# The versions of artifacts that are read.
+VERSIONS = (3, 4)
+
+#: The file stem; of files in a folder per match, as partitioned writes make them, the folder's.
+_STEM = r"(?:match_id=([^/]+)/[^/]*|([^/]+?)(?:\.[^./]*)?)$"
 
 
-def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """Readable artifacts of schema 3 and 4 below a folder, with the file stem as ``match_id`` (SRC-03).
+def artifact_texts(spark: SparkSession, root: str, names: str = "[!_]*.json") -> DataFrame:
+    """(match_id, text) of every file below a folder; names that start with ``_`` are no artifacts."""
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).text(root)
+    path = F.col("_metadata.file_path")
+    return raw.select(F.coalesce(F.nullif(F.regexp_extract(path, _STEM, 1), F.lit("")), F.regexp_extract(path, _STEM, 2)).alias("match_id"), F.col("value").alias("text"))
 
-    Corrupt documents and values of a wrong type drop the document; names that start with ``_`` are no
-    artifacts.
+
+def parsed_artifacts(texts: DataFrame) -> DataFrame:
+    """The artifacts among (match_id, text): a document each and the columns of ``ARTIFACT_SCHEMA`` (SRC-03).
+
+    Text that is no JSON, other roots than objects, other versions than 3 and 4, and documents with a declared
+    value of a wrong native type anywhere are dropped whole, whichever columns are asked for.
     """
-    raw = (
-        spark.read.schema(ARTIFACT_SCHEMA)
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "[!_]*.json")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(root)
-        .withColumn("_name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    )
-    return (
-        raw.filter(F.col("_corrupt").isNull() & F.col("schemaVersion").isin(3, 4))
-        .withColumn("match_id", F.regexp_replace("_name", r"\.json$", ""))
-        .drop("_corrupt", "_name")
-    )
+    documents = texts.select("match_id", F.try_parse_json("text").alias("document"))
+    version = F.when(F.schema_of_variant(field(F.col("document"), "schemaVersion")) == "BIGINT", F.try_variant_get("document", "$.schemaVersion", "bigint"))
+    kept = documents.where(F.col("document").isNotNull() & version.isin(*VERSIONS)).where(has_native_type(F.col("document"), ARTIFACT_SCHEMA, nullable=False))
+    typed = [F.try_variant_get("document", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in ARTIFACT_SCHEMA.fields]
+    return kept.select("match_id", "document", *typed)
+
+
+def read_artifacts(spark: SparkSession, root: str, names: str = "[!_]*.json") -> DataFrame:
+    """Readable artifacts of schema 3 and 4 below a folder, with the file stem as ``match_id`` (SRC-03)."""
+    return parsed_artifacts(artifact_texts(spark, root, names))
 
 
 def with_player_columns(artifacts: DataFrame) -> DataFrame:
-    """Artifacts whose players carry the column names of the operators; absent counters are 0."""
+    """Artifacts whose players carry the column names of the operators; absent counters are 0.
+
+    A written null, a wrong type or a null player never gets here: the reader drops those documents.
+    """
     zero, nothing = F.lit(0).cast("long"), F.lit(0.0)
     rename = lambda p: F.struct(
         p["id"].alias("player"),
@@ -114,6 +129,7 @@ def sparse_events(artifacts: DataFrame, kind: str) -> DataFrame:
 
     Columns are found by the names that the artifact declares, not by position alone.
     """
+    # Declared columns of the positional rows.
     columns = {
         "touches": ("touchColumns", ["frame", "playerId", "teamId", "ballX", "ballY", "pressureDistance", "underPressure", "outcome", "nextPlayerId", "progression"]),
         "kicks": ("kickColumns", ["frame", "playerId", "teamId", "ballX", "ballY", "pressureDistance", "underPressure", "outcome", "nextPlayerId"]),

@@ -8,6 +8,8 @@ from touchline import adapters
 from touchline.functions import scalars as fn
 from touchline.operators import gates as G
 from touchline.operators import ingest as I
+from touchline.operators import players as P
+from touchline.session import shared_folder
 from touchline.sources import artifacts as S
 from touchline.workload.registry import query
 
@@ -114,3 +116,64 @@ def player_identities(spark, folder):
     return adapters.table(spark, folder, "customer").select(
         key.alias("k"), fn.identity_key(auth, name).alias("identity"), fn.identity_key(auth, name, strict_auth=True).alias("strict_identity")
     )
+
+
+ARTIFACT_SQL = """
+doc AS (
+  SELECT l_suppkey * 2 + l_linenumber % 2 AS d, l_partkey % 20 AS player, CAST(sum(l_quantity) * 2 AS BIGINT) AS samples, count(*) AS near,
+    count(*) FILTER (l_returnflag = 'A') AS close, CAST(sum(l_linenumber) AS BIGINT) AS kicks, sum(l_linenumber) / 4 AS progression
+  FROM lineitem GROUP BY ALL
+),
+sound AS (SELECT * FROM doc WHERE d % 20 NOT BETWEEN 1 AND 11)
+"""
+
+
+def _artifact_texts(spark, folder):
+    """A document per supplier and line parity, eleven in twenty of them with one fault each."""
+    li = adapters.table(spark, folder, "lineitem")
+    number, player = (F.col("l_suppkey") * 2 + F.col("l_linenumber") % 2), F.col("l_partkey") % 20
+    rows = li.groupBy(number.alias("d"), player.alias("id")).agg(
+        F.max(player % 2 + 1).alias("teamId"), F.concat(F.lit("Player "), F.max(player)).alias("name"),
+        F.max(F.when(player % 3 == 0, F.concat(F.lit("a"), player))).alias("authHash"), (F.sum("l_quantity") * 2).cast("long").alias("samples"),
+        F.count(F.lit(1)).alias("nearestBallSamples"), F.count_if(F.col("l_returnflag") == "A").alias("closeBallSamples"),
+        F.sum("l_linenumber").alias("kickEvents"), (F.sum("l_linenumber") / 4).alias("touchProgressionSum"),
+    )
+    player_fields = [c for c in rows.columns if c != "d"]
+    documents = rows.groupBy("d").agg(F.sort_array(F.collect_list(F.struct(*player_fields))).alias("players"))
+    whole = F.to_json(F.struct(F.lit(4).alias("schemaVersion"), F.lit(3600).alias("totalFrames"), "players"))
+    swap = lambda pattern, value: F.regexp_replace(F.col("text"), pattern, value)
+    faults = [
+        swap('"samples":[0-9]+', '"samples":null'), swap('"samples":[0-9]+', '"samples":true'), swap('"samples":[0-9]+', '"samples":"7"'),
+        swap('"samples":[0-9]+', '"samples":7.0'), swap('"name":"[^"]*"', '"name":5'), swap(r'"players":\[', '"players":[null,'),
+        F.concat(F.lit("["), F.col("text"), F.lit("]")), F.expr("left(text, length(text) - 2)"), swap('"schemaVersion":4', '"schemaVersion":2'),
+        swap('"kickEvents":', '"kickEvents":-'), swap('"nearestBallSamples":', '"nearestBallSamples":9999999'),
+    ]
+    broken = F.col("text")
+    for i, fault in enumerate(faults, 1):
+        broken = F.when(F.col("d") % 20 == i, fault).otherwise(broken)
+    return documents.select("d", whole.alias("text")).select(F.col("d").alias("match_id"), broken.alias("text"))
+
+
+def _artifacts(spark, folder):
+    path = f"{shared_folder(spark, 'artifacts')}/documents"
+    _artifact_texts(spark, folder).repartition("match_id").write.partitionBy("match_id").text(path)
+    return S.read_artifacts(spark, path, "*.txt")
+
+
+@query(
+    "artifact_player_rows", "SRC-03 FLT-01",
+    f"""WITH {ARTIFACT_SQL} SELECT CAST(d AS VARCHAR) AS match_id, player, 'Player ' || player AS name, CASE WHEN player % 3 = 0 THEN 'a' || player END AS auth_hash, player % 2 + 1 AS team,
+      samples, near AS nearest_ball_samples, close AS close_ball_samples, kicks AS kick_events, 0 AS touches, progression AS touch_progression_sum FROM sound""",
+)
+def artifact_player_rows(spark, folder):
+    rows = S.player_rows(P.valid_artifacts(S.with_player_columns(_artifacts(spark, folder))))
+    return rows.select("match_id", "player", "name", "auth_hash", "team", "samples", "nearest_ball_samples", "close_ball_samples", "kick_events", "touches", "touch_progression_sum")
+
+
+@query(
+    "artifact_names", "SRC-03",
+    f"""WITH {ARTIFACT_SQL} SELECT CAST(d AS VARCHAR) AS match_id FROM (SELECT DISTINCT d FROM doc WHERE d % 20 NOT BETWEEN 1 AND 9)""",
+)
+def artifact_names(spark, folder):
+    """The ids alone: the same documents are dropped though none of their values is asked for."""
+    return _artifacts(spark, folder).select("match_id")

@@ -128,14 +128,12 @@ rel AS (
 def nearest_players_in_frame(spark, folder):
     states, _ = _tables(spark, folder)
     points = states.filter(F.col("team").isin(1, 2))
-    blocks = X.team_blocks(states)
     keys = ["replay", "frame", "player"]
-    near = X.nearest_in_frame(points, blocks, keys, own_team=True, limit=2, name="m")
-    near = X.nearest_in_frame(near, blocks, keys, own_team=False, limit=3, name="o")
+    near = X.neighbours(points, states)
     pick = lambda c, i, name: F.get(F.col(c), F.lit(i))["player"].alias(name)
     return near.select(
-        *keys, pick("m", 0, "mate_1"), pick("m", 1, "mate_2"),
-        pick("o", 0, "opponent_1"), pick("o", 1, "opponent_2"), pick("o", 2, "opponent_3"),
+        *keys, pick("mates", 0, "mate_1"), pick("mates", 1, "mate_2"),
+        pick("opponents", 0, "opponent_1"), pick("opponents", 1, "opponent_2"), pick("opponents", 2, "opponent_3"),
     )
 
 
