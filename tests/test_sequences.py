@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators.sequences import (
+    cut,
     exact_medians,
     look_around,
     rank_within,
@@ -24,14 +25,14 @@ def _rows(seed, n=200, keys=2):
     return out
 
 
-@pytest.mark.parametrize("span", [1, 7, 64, 10_000])
-def test_look_around(spark, span):
-    rows = _rows(span)
+@pytest.mark.parametrize("parts", [1, 7, 64, None])
+def test_look_around(spark, parts):
+    rows = _rows(parts or 0)
     df = spark.createDataFrame(rows, "k int, seq long, v int")
     value = F.when(F.col("v").isNotNull(), F.struct("seq", "v"))
     got = {
         (r.k, r.seq): (r.p and (r.p.seq, r.p.v), r.n and (r.n.seq, r.n.v))
-        for r in look_around(df, ["k"], "seq", before={"p": value}, after={"n": value}, span=span).collect()
+        for r in look_around(df, ["k"], "seq", before={"p": value}, after={"n": value}, parts=parts).collect()
     }
     for key in (0, 1):
         mine = [r for r in rows if r[0] == key]
@@ -41,12 +42,12 @@ def test_look_around(spark, span):
             assert got[(key, seq)] == (before[-1] if before else None, after[0] if after else None)
 
 
-@pytest.mark.parametrize("span", [3, 1000])
-def test_running_total_and_recent(spark, span):
+@pytest.mark.parametrize(("span", "parts"), [(3, 9), (1000, 1)])
+def test_running_total_and_recent(spark, span, parts):
     rows = _rows(5, n=60)
     df = spark.createDataFrame(rows, "k int, seq long, v int")
     totals = running_total(df, ["k"], "seq", F.coalesce("v", F.lit(0)), "t", span=span)
-    recent = recent_values(totals, ["k"], "seq", F.col("seq"), 4, "r", span=span)
+    recent = recent_values(totals, ["k"], "seq", F.col("seq"), 4, "r", parts=parts)
     got = {(r.k, r.seq): (r.t, r.r) for r in recent.collect()}
     for key in (0, 1):
         mine = [r for r in rows if r[0] == key]
@@ -55,6 +56,18 @@ def test_running_total_and_recent(spark, span):
             assert got[(key, seq)] == (total, [s for _, s, _ in mine[max(0, i - 3) : i + 1]])
 
 
+def test_parts_follow_ranks_not_values(spark):
+    """Spread ids of one key give as many border rows as there are parts."""
+    spread = spark.range(4000).select(F.lit(1).alias("k"), F.pmod(F.xxhash64("id"), F.lit(1 << 60)).alias("seq"), (F.col("id") % 3).alias("v"))
+    rows = cut(spread, ["k"], ["seq"], 8)
+    sizes = [r["count"] for r in rows.groupBy("_chunk").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1500
+    value = F.struct("seq", "v")
+    seen = look_around(rows, ["k"], "seq", before={"p": value}).select("seq", "p.v").orderBy("seq").collect()
+    order = [r.v for r in spread.orderBy("seq").collect()]
+    assert [r.v for r in seen] == [None, *order[:-1]]
+
+
 def test_rank_within_hot_groups(spark):
     rng = random.Random(1)
     rows = [(0 if i % 3 else 1, rng.randint(0, 5), i) for i in range(600)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline.functions.scalars import composite_score, holdout_bucket, tuned_variant
 from touchline.operators.gates import snapshot_issues
 from touchline.operators.rows import attach
-from touchline.operators.sequences import CHUNK_SPAN, look_around
+from touchline.operators.sequences import look_around
 from touchline.operators.skill import DIMENSIONS
 
 SHA256_PATTERN = r"^[0-9a-f]{64}$"
@@ -49,11 +49,11 @@ def duplicates(df: DataFrame, keys: Sequence[str], check: str) -> DataFrame:
 
 
 def out_of_order(
-    df: DataFrame, position: str, subject: Column, key: Column, check: str, *, descending: bool = True, span: int = CHUNK_SPAN
+    df: DataFrame, position: str, subject: Column, key: Column, check: str, *, descending: bool = True, parts: int | None = None
 ) -> DataFrame:
     """A violation for every row whose order key passes that of the row before it."""
     rows = df.withColumn("_key", key)
-    seen = look_around(rows, [], position, before={"_prev": F.struct(position, "_key")}, span=span)
+    seen = look_around(rows, [], position, before={"_prev": F.struct(position, "_key")}, parts=parts)
     wrong = F.col("_key") > F.col("_prev._key") if descending else F.col("_key") < F.col("_prev._key")
     return violations(seen, subject, {check: wrong})
 
@@ -101,7 +101,7 @@ def not_close(value: Column, expected: Column, tolerance: float = TOLERANCE) ->
 
 
 def audit_leaderboard(
-    rows: DataFrame, *, min_matches: int = 1, min_minutes: float = 0.0, dimensions: bool = True, span: int = CHUNK_SPAN
+    rows: DataFrame, *, min_matches: int = 1, min_minutes: float = 0.0, dimensions: bool = True, parts: int | None = None
 ) -> DataFrame:
     """Ranges, rating arithmetic, unique players and order of a leaderboard (AUD-02).
 
@@ -131,7 +131,7 @@ def audit_leaderboard(
     return (
         violations(rows, c("player_id"), rules)
         .unionByName(duplicates(rows, ["player_id"], "duplicate_player_id"))
-        .unionByName(out_of_order(rows, "row_no", c("player_id"), order, "not_in_rating_order", span=span))
+        .unionByName(out_of_order(rows, "row_no", c("player_id"), order, "not_in_rating_order", parts=parts))
     )
 
 

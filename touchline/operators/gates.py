@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import composite_score
-from touchline.operators.sequences import CHUNK_SPAN, look_around
+from touchline.operators.sequences import look_around
 from touchline.session import materialize
 
 # Policy of the promotion and of the offline gate.
@@ -184,12 +184,12 @@ def champions(runs: DataFrame, *, fold_rows: int = FOLD_ROWS) -> DataFrame:
     return out.select("lineage", "champion.*")
 
 
-def lineage(runs: DataFrame, *, span: int = CHUNK_SPAN, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def lineage(runs: DataFrame, *, parts: int | None = None, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Every run with the champion it challenged, the decision and its status (WIN-10)."""
     reigning = champions(runs, fold_rows=fold_rows).select("lineage", "generation", F.lit(True).alias("_crowned"))
     marked = runs.join(reigning, ["lineage", "generation"], "left")
     parent = F.when(F.col("_crowned"), F.struct("generation", *RATES, "samples"))
-    seen = look_around(marked, ["lineage"], "generation", before={"_parent": parent}, span=span)
+    seen = look_around(marked, ["lineage"], "generation", before={"_parent": parent}, parts=parts)
     pairs = seen.select(
         "lineage",
         "generation",

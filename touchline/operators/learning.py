@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.evaluation import DIRECTIONS, label_statistics
 from touchline.operators.rows import attach
-from touchline.operators.sequences import CHUNK_SPAN, recent_values
+from touchline.operators.sequences import recent_values
 
 HIDDEN = 64
 # A kick counts only this close to the ball; order of the one-hot roles.
@@ -84,7 +84,7 @@ def score(
 
 
 def temporal_features(
-    states: DataFrame, columns: list[str], *, window: int, role: Column | None = None, span: int = CHUNK_SPAN
+    states: DataFrame, columns: list[str], *, window: int, role: Column | None = None, parts: int | None = None
 ) -> DataFrame:
     """The last ``window`` frames of a player's features in one array (WIN-09).
 
@@ -92,7 +92,7 @@ def temporal_features(
     """
     rows = states.withColumn("_at", F.col("frame").cast("long"))
     current = F.array(*[F.col(c).cast("double") for c in columns])
-    seen = recent_values(rows, ["replay", "player"], "_at", current, window, "_recent", span=span)
+    seen = recent_values(rows, ["replay", "player"], "_at", current, window, "_recent", parts=parts)
     padded = F.concat(F.array_repeat(F.col("_recent")[0], F.lit(window) - F.size("_recent")), F.col("_recent"))
     stack = F.flatten(padded)
     if role is not None:

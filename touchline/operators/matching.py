@@ -30,7 +30,7 @@ from touchline.functions.scalars import (
     report_time,
     seconds_between,
 )
-from touchline.operators.sequences import CHUNK_SPAN, running_total
+from touchline.operators.sequences import ID_SPAN, running_total
 from touchline.session import materialize
 
 # Confidence of the kinds of evidence.
@@ -241,7 +241,7 @@ def _round(replays: DataFrame, reports: DataFrame, span: int) -> DataFrame:
 
 
 def match_replays(
-    replays: DataFrame, reports: DataFrame, *, minimum: float = MINIMUM_CONFIDENCE, span: int = CHUNK_SPAN
+    replays: DataFrame, reports: DataFrame, *, minimum: float = MINIMUM_CONFIDENCE, span: int = ID_SPAN
 ) -> DataFrame:
     """Greedy one-to-one matches (JON-01 to JON-03).
 

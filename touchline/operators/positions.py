@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import CLOSE_BALL_DISTANCE, UNDER_PRESSURE_DISTANCE, heat_bin
-from touchline.operators.sequences import CHUNK_SPAN, look_around
+from touchline.operators.sequences import look_around
 from touchline.session import materialize
 
 #: A frame of at most this many players is one array; the cells of a larger one hold about ``CELL`` players each.
@@ -177,7 +177,7 @@ def ball_heatmap(balls: DataFrame) -> DataFrame:
     return balls.groupBy("replay", heat_bin(F.col("x"), F.col("y")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def with_latest_input(states: DataFrame, inputs: DataFrame, *, span: int = CHUNK_SPAN) -> DataFrame:
+def with_latest_input(states: DataFrame, inputs: DataFrame, *, parts: int | None = None) -> DataFrame:
     """Attach the player's latest input at or before each sampled frame (JON-14); null if none is known yet.
 
     Inputs and samples share one order (an input comes before the sample of its frame), which is cut into
@@ -198,7 +198,7 @@ def with_latest_input(states: DataFrame, inputs: DataFrame, *, span: int = CHUNK
         ["replay", "player"],
         "_at",
         before={"_latest": F.when(F.col("_action").isNotNull(), F.struct("_at", "_action"))},
-        span=span,
+        parts=parts,
     )
     return seen.filter(F.col("_state").isNotNull()).select("_state.*", F.col("_latest._action").alias("action"))
 
@@ -218,7 +218,7 @@ def _vector(entry: Column, sign: Column, prefix: str) -> list[Column]:
 
 
 def imitation_examples(
-    states: DataFrame, balls: DataFrame, inputs: DataFrame, selected: DataFrame, *, span: int = CHUNK_SPAN
+    states: DataFrame, balls: DataFrame, inputs: DataFrame, selected: DataFrame, *, parts: int | None = None
 ) -> DataFrame:
     """State-action rows of selected players, the pitch turned so that everybody attacks towards +x (ML-01).
 
@@ -229,7 +229,7 @@ def imitation_examples(
     ball = balls.select(
         "replay", "frame", *[F.col(c).alias(f"ball_{c}") for c in ("x", "y", "vx", "vy")]
     )
-    acted = with_latest_input(mine.join(ball, ["replay", "frame"]), inputs, span=span)
+    acted = with_latest_input(mine.join(ball, ["replay", "frame"]), inputs, parts=parts)
     near = neighbours(acted, states)
     sign = F.when(F.col("team") == 1, 1.0).otherwise(-1.0)
     at = lambda column, i: F.get(column, F.lit(i))

@@ -1,9 +1,10 @@
 """Ordered look-back and look-ahead that does not put a whole sequence into one task.
 
 A window over ``(replay)`` would sort one match in one task, and one match may hold a large part of
-all rows. Sequences are therefore cut into chunks of a bounded order range. Inside a chunk an ordinary
-window does the work; what has to cross a chunk border is one row per chunk, found by a partial
-aggregate and passed on by a window over the (few) chunk rows.
+all rows. Sequences are therefore cut by rank: rows are range partitioned by key and order, so parts hold about
+as many rows each, however dense or spread the order's values are. Inside a part an ordinary
+window does the work; what has to cross a border is one row per key and part, found by a partial
+aggregate and passed on by a window over the (few) parts of a key.
 """
 
 from __future__ import annotations
@@ -15,17 +16,24 @@ from pyspark.sql import functions as F
 
 from touchline.session import materialize
 
-# The order column is unique within its keys, so a chunk never holds more rows than this.
-CHUNK_SPAN = 1 << 18
+#: Width of a chunk of ids that Spark numbered itself: they are dense within each task's rows.
+ID_SPAN = 1 << 18
 
 
-def chunk_of(order: str, span: int = CHUNK_SPAN) -> Column:
-    """Chunk number of a row; a frame that carries it as ``_chunk`` keeps its partitioning between passes."""
-    return F.expr(f"`{order}` div {int(span)}")
+def cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], parts: int | None = None) -> DataFrame:
+    """``df`` in range parts of keys and order, with the part's number as ``_chunk``.
+
+    Without ``parts`` the session's number of shuffle partitions holds, and small parts are put together. Numbers
+    depend on sampled bounds, so the rows are written before anything uses them twice.
+    """
+    by = [*[F.col(k) for k in keys], *order]
+    placed = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    return materialize(placed.withColumn("_chunk", F.spark_partition_id()))
 
 
-def _chunked(df: DataFrame, order: str, span: int) -> DataFrame:
-    return df if "_chunk" in df.columns else df.withColumn("_chunk", chunk_of(order, span))
+def _chunked(df: DataFrame, keys: Sequence[str], order: str, parts: int | None) -> DataFrame:
+    """A frame that carries ``_chunk`` is in parts already and keeps them between passes."""
+    return df if "_chunk" in df.columns else cut(df, keys, [order], parts)
 
 
 def look_around(
@@ -35,17 +43,16 @@ def look_around(
     *,
     before: Mapping[str, Column] | None = None,
     after: Mapping[str, Column] | None = None,
-    span: int = CHUNK_SPAN,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add the nearest non-null value strictly before and strictly after each row.
 
     Every value must be a struct whose first field is ``order`` (or null where a row contributes
-    nothing), so that "nearest" is a plain maximum or minimum. ``order`` must be a unique integer per
-    key.
+    nothing), so that "nearest" is a plain maximum or minimum. ``order`` must be unique per key.
     """
     before, after = dict(before or {}), dict(after or {})
     keys = list(keys)
-    rows = _chunked(df, order, span)
+    rows = _chunked(df, keys, order, parts)
     borders = rows.groupBy(*keys, "_chunk").agg(
         *[F.max(value).alias(f"_edge_{name}") for name, value in before.items()],
         *[F.min(value).alias(f"_edge_{name}") for name, value in after.items()],
@@ -73,11 +80,15 @@ def look_around(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, *, span: int = CHUNK_SPAN
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, *, span: int = ID_SPAN
 ) -> DataFrame:
-    """Running sum of ``value`` up to and including each row, in chunks."""
+    """Running sum of ``value`` up to and including each row, in chunks of ids that Spark numbered itself.
+
+    Such ids need no parts by rank: a key has a chunk per ``span`` rows and one per task that numbered them.
+    For any other order there is :func:`running_sum`.
+    """
     keys = list(keys)
-    rows = _chunked(df, order, span)
+    rows = df.withColumn("_chunk", F.expr(f"`{order}` div {int(span)}"))
     across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*keys, "_chunk")
@@ -98,12 +109,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], wei
     each part and shifted by the sums of the parts before it. What a key adds across parts is one row a part.
     """
     keys, columns = list(keys), df.columns
-    # The part number depends on sampled range bounds, so it is written out before it is used twice.
-    ordered = materialize(
-        df.withColumn("_weight", weight)
-        .repartitionByRange(*[F.col(k) for k in keys], *order)
-        .withColumn("_part", F.spark_partition_id())
-    )
+    ordered = cut(df.withColumn("_weight", weight), keys, order).withColumnRenamed("_chunk", "_part")
     by_key = Window.partitionBy(*keys)
     across = by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
@@ -205,16 +211,16 @@ def exact_medians(
 
 
 def recent_values(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, size: int, name: str, *, span: int = CHUNK_SPAN
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, size: int, name: str, *, parts: int | None = None
 ) -> DataFrame:
     """The last ``size`` values up to and including each row, oldest first, as an array.
 
-    A chunk passes on its own last values; every chunk has at least one row, so the ``size - 1`` chunks
+    A part passes on its own last values; every part of a key has at least one row, so the ``size - 1`` parts
     before it are enough.
     """
     keys = list(keys)
     before = size - 1
-    rows = _chunked(df.withColumn("_value", value), order, span)
+    rows = _chunked(df.withColumn("_value", value), keys, order, parts)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
     newest = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(order))
     tails = (

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import UNDER_PRESSURE_DISTANCE, attack_x, heat_bin
-from touchline.operators.sequences import CHUNK_SPAN, chunk_of, look_around
+from touchline.operators.sequences import cut, look_around
 
 # Windows in frames, outcome codes and the length of the kick memory.
 TOUCH_GAP = 3
@@ -34,28 +34,25 @@ def _row(condition: Column, *fields: str) -> Column:
     return F.when(condition, F.struct("seq", *fields))
 
 
-def play_segments(events: DataFrame, *, span: int = CHUNK_SPAN) -> DataFrame:
+def play_segments(events: DataFrame, *, parts: int | None = None) -> DataFrame:
     """Number the stretches of play: each goal, start or stop ends one (WIN-01).
 
     ``segment`` is the seq of the last reset before the row, -1 in the first stretch.
     """
     is_reset = F.col("kind").isin("goal", "reset")
-    marked = look_around(events, ["replay"], "seq", before={"_last": _row(is_reset)}, span=span)
+    marked = look_around(events, ["replay"], "seq", before={"_last": _row(is_reset)}, parts=parts)
     return marked.withColumn("segment", F.coalesce(F.col("_last.seq"), F.lit(-1))).drop("_last")
 
 
-def chain_events(events: DataFrame, *, span: int = CHUNK_SPAN) -> DataFrame:
+def chain_events(events: DataFrame, *, parts: int | None = None) -> DataFrame:
     """First pass: segment, debounced touches, the kick before and the reset after each row.
 
     Only the contact right before decides whether a contact is a new touch, and it does so before rows
     without a playing team are dropped (WIN-02).
     """
     is_reset = F.col("kind").isin("goal", "reset")
-    rows = (
-        events.select(*_CHAIN_COLUMNS)
-        .filter(F.col("kind").isin("contact", "kick", "goal", "reset"))
-        .withColumn("_chunk", chunk_of("seq", span))
-    )
+    kinds = F.col("kind").isin("contact", "kick", "goal", "reset")
+    rows = cut(events.select(*_CHAIN_COLUMNS).filter(kinds), ["replay"], ["seq"], parts)
     marked = look_around(
         rows,
         ["replay"],
@@ -66,7 +63,7 @@ def chain_events(events: DataFrame, *, span: int = CHUNK_SPAN) -> DataFrame:
             "_kick": _row(F.col("kind") == "kick", "player", "team", "frame", "ball_x"),
         },
         after={"_end": _row(is_reset, "kind", "frame", "goal_team")},
-        span=span,
+        parts=parts,
     )
     segment = F.coalesce(F.col("_reset.seq"), F.lit(-1).cast("long"))
     same_stretch = lambda c: F.when(F.col(f"{c}.seq") > segment, F.col(c))
@@ -87,7 +84,7 @@ def chain_events(events: DataFrame, *, span: int = CHUNK_SPAN) -> DataFrame:
     )
 
 
-def resolve_chain(chain: DataFrame, *, span: int = CHUNK_SPAN) -> DataFrame:
+def resolve_chain(chain: DataFrame, *, parts: int | None = None) -> DataFrame:
     """Second pass: the next touch after every touch and the touch that settles every kick."""
     kick_age = F.col("frame") - F.col("last_kick.frame")
     settles = F.col("is_touch") & ((F.col("player") != F.col("last_kick.player")) | (kick_age > TOUCH_GAP))
@@ -101,7 +98,7 @@ def resolve_chain(chain: DataFrame, *, span: int = CHUNK_SPAN) -> DataFrame:
             "settling": _row(F.coalesce(settles, F.lit(False)), "last_kick", "player", "team", "frame"),
             "next_kick": _row(F.col("kind") == "kick", "segment"),
         },
-        span=span,
+        parts=parts,
     )
     return seen.select(
         *chain.columns,
