@@ -7,7 +7,8 @@ pages to other hosts and the steps between a host of the table and its parent do
 share of distrust is above a threshold is blocked; a host that neither reaches is allowed.
 
 Links are counted per pair of hosts before they are shuffled, scores per host are combined where they are
-made, and pages meet the host table in a join with one row per host.
+made, and pages meet the host table in a join with one row per host. Scores are spread until every host that can be
+reached has been and no share can cross the threshold any more (``_settled``).
 
 Only DataFrame functions are used. Defined results: a null URL or one without ``://`` has an empty host and
 path, fits no rule and is judged as the host ''; html may be null; equal rules are one; of fitting rules of
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 
 from touchline.session import materialize
 
+#: Neighbours of a host that are joined in one piece, rounds between two written tables, and the least move of a share that counts.
+SPLIT, AT_ONCE, NEAR = 10_000, 5, 1e-6
+
 _URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = "(?i)href\\s*=\\s*[\"']?\\s*((?:[a-z]+:)?//[^\"'\\s>]+)"
 
@@ -73,35 +77,65 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return linked.union(up).union(down).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """(kind, host, score) spread from ``seeds`` (kind, host, score), ``distrust`` against the edges.
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, threshold: float = 0.5) -> DataFrame:
+    """(host, trust, distrust) spread from ``seeds`` (host, trust, distrust), distrust against the edges.
 
-    Without ``rounds``, steps go on until five of them reach no further host and change the scores by less
-    than ``tolerance`` in sum.
+    A round is one join: a row of the graph carries the part of trust that goes one way and the part of distrust
+    that goes the other. Hosts with very many neighbours are split by ``salt``.
+    Without ``rounds``, steps go on until ``_settled``.
     """
-    both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n"))
-    totals = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    moves = materialize(both.join(totals, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("part")))
-    sums = seeds.groupBy("kind").agg(F.sum("score").alias("total"))
-    start = materialize(seeds.join(sums, "kind").select("kind", "host", (F.col("score") / F.col("total")).alias("score")))
+    way = lambda one, other, n, back: edges.select(F.col(one).alias("host"), F.col(other).alias("to"), F.col(n).alias("out"), F.col(back).alias("in"))
+    edges = edges.withColumn("zero", F.lit(0.0))
+    both = way("src", "dst", "n", "zero").union(way("dst", "src", "zero", "n")).groupBy("host", "to").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
+    both = materialize(both)
+    totals = both.groupBy("host").agg(F.sum("out").alias("all_out"), F.sum("in").alias("all_in"), F.ceil(F.count("*") / SPLIT).alias("salts"))
+    known = totals.select(F.col("host").alias("to"), F.col("salts").alias("to_salts"))
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
+    moves = materialize(
+        both.join(totals, "host").join(known, "to").select(
+            "host", F.pmod(F.xxhash64("to"), F.col("salts")).alias("salt"), "to", "to_salts", share("out", "all_out").alias("trusts"), share("in", "all_in").alias("distrusts")
+        )
+    )
+    sums = seeds.agg(F.sum("trust").alias("all_trust"), F.sum("distrust").alias("all_distrust"))
+    one = F.lit(1).cast("long")
+    start = materialize(
+        seeds.crossJoin(F.broadcast(sums)).join(totals.select("host", "salts"), "host", "left")  # one row of sums
+        .select("host", F.coalesce("salts", one).alias("salts"), share("trust", "all_trust").alias("trust"), share("distrust", "all_distrust").alias("distrust"))
+    )
+    back = start.select("host", "salts", *[(F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust")])
     scores = last = start
     for turn in itertools.count() if rounds is None else range(rounds):
-        sent = scores.join(moves.withColumnRenamed("src", "host"), ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
-        back = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
-        scores = sent.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if turn % 5 == 4:
+        asked = scores.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "trust", "distrust")
+        sent = asked.join(moves, ["host", "salt"]).select(
+            F.col("to").alias("host"), F.col("to_salts").alias("salts"), *[(F.col(c) * F.col(f"{c}s") * damping).alias(c) for c in ("trust", "distrust")]
+        )
+        scores = sent.union(back).groupBy("host").agg(F.max("salts").alias("salts"), F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        scores = scores.where("trust > 0 OR distrust > 0")
+        if turn % AT_ONCE == AT_ONCE - 1:
             scores = materialize(scores)
-            if rounds is None and _settled(last, scores, tolerance):
+            if rounds is None and _settled(last, scores, threshold):
                 break
             last = scores
-    return scores
+    return scores.select("host", "trust", "distrust")
+
 
+def share_of_distrust() -> Column:
+    return F.try_divide("distrust", F.col("trust") + F.col("distrust"))
 
-def _settled(last: DataFrame, scores: DataFrame, tolerance: float) -> bool:
-    both = scores.join(last.withColumnRenamed("score", "old"), ["kind", "host"], "full")
-    change = F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))
-    row = both.agg(F.coalesce(change, F.lit(0.0)).alias("change"), F.count_if(F.col("old").isNull()).alias("new")).first()
-    return row["new"] == 0 and row["change"] < tolerance
+
+def _settled(last: DataFrame, scores: DataFrame, threshold: float) -> bool:
+    """Whether no host can still change sides.
+
+    Trust and distrust must have reached all the hosts they can. After that each step changes scores by at most
+    ``damping`` of the step before, so in all the later steps a share moves by less than it did in these; a host
+    is open while that was more than half of its distance from the threshold (``NEAR`` at least).
+    """
+    was = last.select("host", F.col("trust").alias("old_trust"), F.col("distrust").alias("old_distrust"))
+    both = scores.join(was, "host", "left")
+    reached = (F.col("trust") > 0) & (F.coalesce("old_trust", F.lit(0.0)) == 0) | (F.col("distrust") > 0) & (F.coalesce("old_distrust", F.lit(0.0)) == 0)
+    old = F.try_divide("old_distrust", F.col("old_trust") + F.col("old_distrust"))
+    moved = F.abs(share_of_distrust() - old) > F.greatest(F.lit(NEAR), F.abs(share_of_distrust() - threshold) / 2)
+    return both.where(reached | moved).isEmpty()
 
 
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html", threshold: float = 0.5, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
@@ -109,12 +143,10 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "ht
     kept = [c for c in pages.columns if c not in {"host", "path", "rule", "verdict", "distrust", html}]
     placed = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     ruled = placed.withColumn("_fit", first_rule(rules, F.col("host"), F.col("path")))
-    kinds = F.when(F.col("_fit.verdict") == "allow", "trust").when(F.col("_fit.verdict") == "block", "distrust")
-    seeds = ruled.select(kinds.alias("kind"), "host").where("kind IS NOT NULL").groupBy("kind", "host").agg(F.count("*").cast("double").alias("score"))
-    scores = spread(host_edges(pages, url, html), seeds, damping, rounds)
-    of_kind = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
-    hosts = scores.groupBy("host").agg(of_kind("trust").alias("t"), of_kind("distrust").alias("d"))
-    shares = hosts.where("t + d > 0").select("host", (F.col("d") / (F.col("t") + F.col("d"))).alias("distrust"))
+    weight = lambda verdict: F.count_if(F.col("_fit.verdict") == verdict).cast("double")
+    seeds = ruled.groupBy("host").agg(weight("allow").alias("trust"), weight("block").alias("distrust")).where("trust + distrust > 0")
+    scores = spread(host_edges(pages, url, html), seeds, damping, rounds, threshold)
+    shares = scores.where("trust + distrust > 0").select("host", share_of_distrust().alias("distrust"))
     by_method = F.when(F.coalesce("distrust", F.lit(0.0)) > threshold, "block").otherwise("allow")
     return ruled.join(shares, "host", "left").select(
         *kept, "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce("_fit.verdict", by_method).alias("verdict"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
