@@ -2,7 +2,7 @@
 
 A byte-pair vocabulary was fitted to language, so words and identifiers take few tokens for their length
 and random strings take many. A run of key characters whose characters per token fall below a threshold
-is reported as ``random``, unless it is a plain digest, a UUID, a number or a word, or lies over a span
+is reported as ``random``, unless it is a plain digest, a UUID or a number, or lies over a span
 of a named pattern. Readable neighbours lift a run's average (a key at the end of a path), so what is left
 of any other run is tested again without its named spans, UUIDs, digests and numbers: every part between
 ``/ = _ -`` by itself, then stretches of ``STRETCH`` characters at every token. Stretches below the
@@ -45,7 +45,6 @@ _PART = re.compile(rb"[^/=_-]+")
 #: Least characters of a part or stretch that is judged by itself.
 STRETCH = 20
 _UUID = re.compile(rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_WORDS = re.compile(rb"[A-Z]?[a-z]+([A-Z][a-z]+|[_/=+-]+[A-Z]?[a-z]+)*[_/=+-]*|[A-Z]+([_/=+-]+[A-Z]+)*")
 
 
 class Vocabulary:
@@ -75,10 +74,10 @@ _VOCABULARIES: dict[str, Vocabulary] = {}
 
 
 def _known(part: bytes) -> bool:
-    """Digests, UUIDs, numbers and words are identifiers of something, not keys."""
+    """Digests, UUIDs and numbers are identifiers of something, not keys."""
     if re.fullmatch(rb"[0-9A-Fa-f]+", part) and len(part) in _DIGESTS:
         return True
-    return bool(_UUID.fullmatch(part) or part.isdigit() or _WORDS.fullmatch(part))
+    return bool(_UUID.fullmatch(part) or part.isdigit())
 
 
 def _random(part: bytes, vocabulary: Vocabulary, least: float) -> bool:
