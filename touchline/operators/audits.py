@@ -7,17 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.scalars import composite_score, holdout_bucket, tuned_variant
+from touchline.functions.scalars import composite_score, fold_case, holdout_bucket, tuned_variant
 from touchline.operators.gates import snapshot_issues
 from touchline.operators.rows import attach
-from touchline.operators.sequences import look_around
+from touchline.operators.sequences import look_around, rank_within
 from touchline.operators.skill import DIMENSIONS
+from touchline.session import materialize
 
 SHA256_PATTERN = r"^[0-9a-f]{64}$"
 # Roles of a leaderboard, range of a dimension mean, tolerance of re-derived numbers.
 ROLES = ("defender", "midfield", "forward", "unknown")
 Z_LIMIT = 3.25
 TOLERANCE = 1e-12
+#: Digests that make one of the next level of a hash tree.
+TREE_FAN_OUT = 1024
 
 
 def violations(df: DataFrame, subject: Column, rules: Mapping[str, Column], detail: Column | None = None) -> DataFrame:
@@ -290,6 +293,26 @@ def audit_import_manifest(row: DataFrame) -> DataFrame:
     return violations(row, F.lit("import_manifest"), rules)
 
 
+def receipt_digest(files: DataFrame, totals: DataFrame) -> DataFrame:
+    """Self digest of a receipt, one row: SHA-256 of its canonical JSON (keys sorted, no blanks).
+
+    The files stand in it by the root of their tree in the order of ``position``.
+    """
+    root = ordered_root(files, ["position"], ["path", "kind", "size_bytes", "sha256"]).select(F.col("root").alias("files_root"))
+    fields = ["discord_json_count", "file_count", "files_root", "hbr2_count", "total_size_bytes"]
+    return attach(totals, root).select(F.sha2(F.to_json(F.struct(*fields)), 256).alias("receipt_sha256"))
+
+
+def audit_receipt_order(files: DataFrame, claimed: DataFrame, *, parts: int | None = None) -> DataFrame:
+    """Canonical order of a receipt's files (``position``) and its self digest (AUD-09), one violation each."""
+    path = F.col("path")
+    wrong = out_of_order(files, "position", path, F.struct(fold_case(path).alias("folded"), path.alias("path")), "files_not_canonically_ordered", descending=False, parts=parts)
+    ordered = wrong.groupBy(F.lit("receipt").alias("subject"), "check").agg(F.count(F.lit(1)).cast("string").alias("detail"))
+    actual = receipt_digest(files, claimed.drop("receipt_sha256")).withColumnRenamed("receipt_sha256", "_actual")
+    digest = violations(attach(claimed, actual), F.lit("receipt"), {"receipt_self_digest_mismatch": ~F.col("receipt_sha256").eqNullSafe(F.col("_actual"))})
+    return ordered.unionByName(digest)
+
+
 def audit_source_receipt(files: DataFrame, claimed: DataFrame) -> DataFrame:
     """Kinds, hashes, unique paths and totals of a source receipt (AUD-09)."""
     c = F.col
@@ -345,11 +368,20 @@ def finalization_state(snapshot: DataFrame, completion: DataFrame) -> DataFrame:
 
     ``completion`` has at most one row: the last completion record of the version.
     """
-    c = F.col
     last = completion.agg(
         F.max(F.struct("raw_unique_replays", "analysis_ok", "analysis_ticks_reconstructed")).alias("_last")
     )
-    joined = attach(snapshot, last)
+    return _finalization(attach(snapshot, last), [])
+
+
+def finalization_states(snapshots: DataFrame, completions: DataFrame, version: str) -> DataFrame:
+    """The same for many versions at once: snapshots and completion records by ``version``."""
+    last = completions.groupBy(version).agg(F.max(F.struct("raw_unique_replays", "analysis_ok", "analysis_ticks_reconstructed")).alias("_last"))
+    return _finalization(snapshots.join(last, version, "left"), [version])
+
+
+def _finalization(joined: DataFrame, keys: list[str]) -> DataFrame:
+    c = F.col
     complete = (
         (c("raw_unique_replays") > 0)
         & (c("analysis_ok") == c("raw_unique_replays"))
@@ -363,6 +395,7 @@ def finalization_state(snapshot: DataFrame, completion: DataFrame) -> DataFrame:
         F.lit(False),
     )
     return joined.select(
+        *keys,
         complete.alias("ready"),
         (complete & same).alias("already_finalized"),
         (complete & ~same).alias("finalize_now"),
@@ -428,6 +461,30 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame
     return sides.select(key, change.alias("change"))
 
 
+def ordered_root(rows: DataFrame, order: Sequence[str], columns: Sequence[str], *, fan_out: int = TREE_FAN_OUT) -> DataFrame:
+    """Root of a hash tree over rows in their order (AGG-22): one row, rows and root; no row for an empty table.
+
+    Leaves are digests of the rows, ranked in range parts. Every ``fan_out`` digests in order make one of the
+    next level, until one is left, so a task never holds more than ``fan_out`` of them. Unlike
+    :func:`inventory_digest` it changes when two rows change places. ``order`` must be total.
+    """
+    leaves = rows.select(*order, F.sha2(_written(columns), 256).alias("digest"))
+    level = materialize(rank_within(leaves, [], [F.col(c) for c in order], rank="at").select("at", "digest"))
+    n = level.count()
+    size = n
+    while size > 1:
+        group = F.ceil(F.col("at") / fan_out)
+        level = level.groupBy(group.alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", "digest"))).alias("x")).select("at", F.sha2(F.array_join("x.digest", ""), 256).alias("digest"))
+        size = -(-size // fan_out)
+    return level.select(F.lit(n).cast("long").alias("rows"), F.col("digest").alias("root"))
+
+
+def _written(columns: Sequence[str]) -> Column:
+    """The fields of a row as one text: each with its length before it, null without one."""
+    text = lambda c: F.col(c).cast("string")
+    return F.concat(*[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns])
+
+
 def inventory_digest(rows: DataFrame, columns: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
     """Digest of the content of a table, whatever the order of its rows (AGG-22).
 
@@ -435,9 +492,7 @@ def inventory_digest(rows: DataFrame, columns: Sequence[str], key: Sequence[str]
     gathered. The published form names count, sum and xor through one SHA-256. A field is written with its
     length before it and null without one, so no value can be taken for a separator or for null.
     """
-    text = lambda c: F.col(c).cast("string")
-    line = F.concat(*[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns])
-    number = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("long")
+    number = F.conv(F.substring(F.sha2(_written(columns), 256), 1, 15), 16, 10).cast("long")
     grouped = rows.select(*key, number.alias("_n")).groupBy(*key)
     parts = grouped.agg(
         F.count(F.lit(1)).alias("rows"),

@@ -225,3 +225,36 @@ def content_registration(spark, folder):
     number = F.substring_index("path", "/", -1).cast("long")
     registry = files.filter(number % 10 < 3).select("sha256").distinct()
     return sinks.new_objects(files, registry)
+
+
+@query(
+    "finalization_versions", "AUD-11",
+    """WITH v AS (
+      SELECT c_nationkey AS version, count(*) AS raw, count(*) FILTER (NOT (c_nationkey % 3 = 0 AND c_custkey % 10 = 0)) AS ok, count(*) FILTER (c_nationkey % 3 = 0 AND c_custkey % 10 = 0) AS failed
+      FROM customer GROUP BY 1)
+    SELECT version, CAST(failed = 0 AS INTEGER) AS ready, CAST(failed = 0 AND version % 4 = 0 AS INTEGER) AS already_finalized, CAST(failed = 0 AND version % 4 <> 0 AS INTEGER) AS finalize_now FROM v""",
+)
+def finalization_versions(spark, folder):
+    """One version per nation: some incomplete, some finalised already, some grown since, some never finalised."""
+    broken = (F.col("c_nationkey") % 3 == 0) & (F.col("c_custkey") % 10 == 0)
+    snapshots = adapters.table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("version")).agg(
+        F.count(F.lit(1)).alias("raw_unique_replays"), F.count_if(~broken).alias("analysis_ok"), F.count_if(broken).alias("analysis_failed"),
+        F.lit(0).alias("processing_failed"), F.sum("c_custkey").alias("analysis_ticks_reconstructed"),
+    )
+    records = ["version", "raw_unique_replays", "analysis_ok", "analysis_ticks_reconstructed"]
+    same = snapshots.where("version % 4 = 0").select(records)
+    grown = snapshots.where("version % 4 = 1").select("version", *[(F.col(c) - 1).alias(c) for c in records[1:]])
+    states = A.finalization_states(snapshots, same.unionByName(grown).unionByName(same), "version")
+    return states.select("version", *[F.col(c).cast("int").alias(c) for c in ("ready", "already_finalized", "finalize_now")])
+
+
+@query(
+    "first_coherence_issues", "TOP-04 FLT-11",
+    """WITH i AS (SELECT 'processing_counts_exceed_raw' AS "check", CAST(o_orderkey AS VARCHAR) AS subject FROM orders WHERE o_orderkey % 11 + o_orderkey % 3 > o_orderkey % 13)
+    SELECT "check", subject, (SELECT count(*) FROM i) AS total, CAST((SELECT count(*) FROM i) > 100 AS INTEGER) AS truncated FROM i ORDER BY "check", subject LIMIT 100""",
+)
+def first_coherence_issues(spark, folder):
+    key = F.col("o_orderkey")
+    rows = adapters.table(spark, folder, "orders").select(key.cast("string").alias("subject"), ((key % 11 + key % 3) > key % 13).alias("broken"))
+    issues = A.violations(rows, F.col("subject"), {"processing_counts_exceed_raw": F.col("broken")}).select("check", "subject")
+    return L.first_issues(issues).withColumn("truncated", F.col("truncated").cast("int"))

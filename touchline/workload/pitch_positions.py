@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline import adapters
+from touchline.functions import scalars as fn
 from touchline.operators import positions as X
 from touchline.workload.registry import query
 
@@ -220,3 +221,14 @@ def imitation_examples(spark, folder):
 )
 def imitation_example_counts(spark, folder):
     return X.example_counts(examples(spark, folder))
+
+
+@query(
+    "direction_round_trip", "PRJ-14",
+    f"WITH {POSITIONS_SQL} SELECT (dir_y + 1) * 3 + dir_x + 1 AS class, dir_x, dir_y, count(*) AS n FROM inp GROUP BY ALL",
+)
+def direction_round_trip(spark, folder):
+    """Directions of all inputs from their classes."""
+    coded = adapters.inputs(spark, folder).select(fn.direction_class(F.col("dir_x"), F.col("dir_y")).alias("class"))
+    dir_x, dir_y = fn.direction_from_class(F.col("class"))
+    return coded.groupBy("class", dir_x.alias("dir_x"), dir_y.alias("dir_y")).agg(F.count(F.lit(1)).alias("n"))

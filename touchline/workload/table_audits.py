@@ -9,6 +9,7 @@ from touchline.functions import scalars as fn
 from touchline.operators import audits as A
 from touchline.operators import curation as C
 from touchline.operators import evaluation as E
+from touchline.operators.sequences import rank_within
 from touchline.plans.rating import leaderboard
 from touchline.workload.curation_gates import RUNS_SQL
 from touchline.workload.imports import FILES_SQL
@@ -446,3 +447,45 @@ def sample_label_statistics(spark, folder):
         "samples", "kick_positive", "kick_negative", F.round("kick_positive_rate", 6).alias("kick_positive_rate"),
         F.round("kick_positive_weight", 6).alias("kick_positive_weight"), F.array_join(F.col("direction_counts").cast("array<string>"), ",").alias("direction_counts"),
     )
+
+
+def _tree_sql(levels=3, fan_out=1024):
+    """A hash tree over ``l0`` (place, d) and its root, for tables of up to ``fan_out ** levels`` rows."""
+    steps = [f"l{i} AS (SELECT g AS place, sha256(string_agg(d, '' ORDER BY place)) AS d FROM (SELECT place, d, (place + {fan_out - 1}) // {fan_out} AS g FROM l{i - 1}) GROUP BY g)" for i in range(1, levels + 1)]
+    alone = lambda i: f"(SELECT count(*) FROM l{i}) = 1"
+    roots = [f"SELECT d FROM l{i} WHERE {alone(i)}" + (f" AND NOT {alone(i - 1)}" if i else "") for i in range(levels + 1)]
+    return ", ".join([*steps, f"root AS ({' UNION ALL '.join(roots)})"])
+
+
+_LEAF_SQL = "sha256(concat(length(path), ':', path, length(CAST(size_bytes AS VARCHAR)), ':', size_bytes, length(sha256), ':', sha256))"
+
+
+@query(
+    "ordered_inventory_root", "AGG-22",
+    f"""WITH {FILES_SQL}, l0 AS (SELECT row_number() OVER (ORDER BY path) AS place, {_LEAF_SQL} AS d FROM files), {_tree_sql()}
+    SELECT (SELECT count(*) FROM l0) AS rows, d AS root FROM root""",
+)
+def ordered_inventory_root(spark, folder):
+    return A.ordered_root(adapters.files(spark, folder), ["path"], ["path", "size_bytes", "sha256"])
+
+
+@query(
+    "source_receipt_order", "AUD-09 AGG-22",
+    "SELECT 'swapped' AS receipt, unnest(['files_not_canonically_ordered', 'receipt_self_digest_mismatch']) AS \"check\" "
+    "UNION ALL SELECT 'changed', 'receipt_self_digest_mismatch'",
+)
+def source_receipt_order(spark, folder):
+    """A receipt in order, with two files swapped, and with one size changed, all under the digest of the first."""
+    rows = adapters.files(spark, folder).select(F.lit("discord_json").alias("kind"), F.concat("path", F.lit(".json")).alias("path"), "size_bytes", "sha256")
+    files = rank_within(rows, [], [F.lower("path"), F.col("path")], rank="position")
+    count = F.count(F.lit(1))
+    totals = files.agg(count.alias("file_count"), F.lit(0).cast("long").alias("hbr2_count"), count.alias("discord_json_count"), F.sum("size_bytes").alias("total_size_bytes"))
+    claimed = A.attach(totals, A.receipt_digest(files, totals))
+    at = F.col("position")
+    receipts = {
+        "kept": files,
+        "swapped": files.withColumn("position", F.when(at == 2, 1).when(at == 1, 2).otherwise(at)),
+        "changed": files.withColumn("size_bytes", F.col("size_bytes") + F.when(at == 3, 1).otherwise(0)),
+    }
+    found = [A.audit_receipt_order(f, claimed).select(F.lit(name).alias("receipt"), "check") for name, f in receipts.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
