@@ -441,6 +441,20 @@ def training_chain(manifest: DataFrame, requested: DataFrame, copied: Sequence[s
     return violations(both, F.concat_ws(":", *keys), rules)
 
 
+def manifest_differences(published: DataFrame, recomputed: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """A published manifest against what its sources give now: missing and unexpected rows and each differing field (JON-20)."""
+    c = F.col
+    mine = published.select(key, F.lit(True).alias("_published"), *[c(f).alias(f"_p_{f}") for f in fields])
+    again = recomputed.select(key, F.lit(True).alias("_again"), *[c(f).alias(f"_r_{f}") for f in fields])
+    both = mine.join(again, key, "full_outer")
+    rules = {
+        "not_published": c("_published").isNull(),
+        "not_in_sources": c("_again").isNull(),
+        **{f"differs:{f}": c("_published") & c("_again") & ~c(f"_p_{f}").eqNullSafe(c(f"_r_{f}")) for f in fields},
+    }
+    return violations(both, c(key), rules)
+
+
 def recomputation_check(published: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Rows that only one of two tables holds (JON-20)."""
     columns = published.columns

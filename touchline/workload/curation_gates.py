@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline import adapters
 from touchline.functions import scalars as fn
+from touchline.operators import audits as A
 from touchline.operators import curation as C
 from touchline.operators import gates as G
 from touchline.operators import players as P
@@ -336,3 +337,50 @@ def generation_settings(spark, folder):
     rows = adapters.runs(spark, folder).filter("generation > 0")
     wanted = ["variant_index", "hidden_dim", "epochs", "learning_rate", "seed"]
     return rows.select("generation", *[settings[n].alias(n) for n in wanted])
+
+
+def _manifest_sql(side, rating):
+    return f"""
+board_{side} AS (
+  SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'auth:a' || s_suppkey ELSE 'name:player ' || s_suppkey END AS player_id,
+    s_suppkey % 3 AS role, {rating} AS rating, s_suppkey % 25 AS uncertainty, 30 + s_suppkey % 50 AS matches FROM supplier WHERE 100 + s_suppkey % 100 >= 120 AND s_suppkey % 25 <= 20
+),
+selected_{side} AS (
+  SELECT player_id, rating - uncertainty AS cs FROM board_{side}
+  QUALIFY row_number() OVER (PARTITION BY role ORDER BY rating - uncertainty DESC, rating DESC, matches DESC, player_id) <= greatest(5, ceil(count(*) OVER (PARTITION BY role) * 0.25))
+),
+manifest_{side} AS (
+  SELECT i.replay_sha256, count(*) AS selected_player_count, greatest(25, least(200, 100 + max(s.cs) - 500)) AS weight
+  FROM inside i JOIN selected_{side} s ON s.player_id = i.identity JOIN graded g USING (replay_sha256)
+  WHERE g.reasons = '' AND i.team IN (1, 2) AND i.samples > 0 AND i.replay_player_id >= 0 GROUP BY 1
+)"""
+
+
+_INSIDE_SQL = MEMBERS_SQL[: MEMBERS_SQL.index("chosen AS (")].rstrip().rstrip(",")
+_NOW, _THEN = "500 + s_suppkey * 7 % 200", "500 + (s_suppkey + CASE WHEN s_suppkey % 6 = 0 THEN 90 ELSE 0 END) * 7 % 200"
+
+
+@query(
+    "manifest_from_sources", "JON-20 TOP-03 JON-09 SET-01",
+    f"""WITH {_INSIDE_SQL}, {_manifest_sql('published', _THEN)}, {_manifest_sql('again', _NOW)},
+    both_sides AS (SELECT coalesce(p.replay_sha256, r.replay_sha256) AS subject, p.replay_sha256 AS p, r.replay_sha256 AS r, p.selected_player_count AS pc, r.selected_player_count AS rc, p.weight AS pw, r.weight AS rw
+      FROM manifest_published p FULL JOIN manifest_again r ON p.replay_sha256 = r.replay_sha256)
+    SELECT subject, 'not_published' AS "check" FROM both_sides WHERE p IS NULL UNION ALL SELECT subject, 'not_in_sources' FROM both_sides WHERE r IS NULL
+    UNION ALL SELECT subject, 'differs:selected_player_count' FROM both_sides WHERE pc <> rc UNION ALL SELECT subject, 'differs:example_weight' FROM both_sides WHERE pw <> rw""",
+)
+def manifest_from_sources(spark, folder):
+    """A manifest published from an older leaderboard, recomputed from the one of now: selection, members and split anew."""
+    key = F.col("s_suppkey")
+    replays, players = adapters.replay_meta(spark, folder), adapters.replay_players(spark, folder)
+
+    def manifest(number):
+        board = adapters.table(spark, folder, "supplier").select(
+            F.when(key % 4 == 0, F.concat(F.lit("auth:a"), key)).otherwise(F.concat(F.lit("name:player "), key)).alias("player_id"), F.col("s_name").alias("name"),
+            (key % 3).cast("string").alias("role"), ((500 + number * 7 % 200) / 10).alias("rating"), (key % 25 / 10).alias("rating_uncertainty"),
+            (30 + key % 50).alias("matches"), (100 + key % 100).cast("double").alias("minutes"),
+        )
+        return curation.training_manifest(board, players, replays, max_uncertainty=2.0)["replays"]
+
+    published = manifest(key + F.when(key % 6 == 0, 90).otherwise(0))
+    fields = ["total_frames", "duration_seconds", "selected_player_count", "example_weight", "split"]
+    return A.manifest_differences(published, manifest(key), "replay_sha256", fields).select("subject", "check")
