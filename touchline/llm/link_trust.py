@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.rows import attach
 from touchline.session import materialize
 
 #: Neighbours of a host that are joined in one piece, rounds between two written tables, and the least move of a share that counts.
@@ -99,7 +100,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
     sums = seeds.agg(F.sum("trust").alias("all_trust"), F.sum("distrust").alias("all_distrust"))
     one = F.lit(1).cast("long")
     start = materialize(
-        seeds.crossJoin(F.broadcast(sums)).join(totals.select("host", "salts"), "host", "left")  # one row of sums
+        attach(seeds, sums).join(totals.select("host", "salts"), "host", "left")
         .select("host", F.coalesce("salts", one).alias("salts"), share("trust", "all_trust").alias("trust"), share("distrust", "all_distrust").alias("distrust"))
     )
     back = start.select("host", "salts", *[(F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust")])
