@@ -511,6 +511,26 @@ def test_mixture_over_several_blocks(spark, monkeypatch):
     assert sum(len(r["text"].split()) for r in rows.collect()) == sum(r["n"] for r in sums)
 
 
+def test_shards_hold_their_share_in_random_order(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(source_mixture, "BLOCK_ROWS", 8)
+    # two thirds of the rows have neither an id nor a text of their own
+    df = spark.range(900).selectExpr("IF(id % 3 = 0, id, null) AS doc_id", "IF(id % 3 = 0, concat('own ', id), 'same words here') AS text", "string(id % 2) AS source")
+    mixed = source_mixture.mixture(df, ["doc_id", "text", "source"], shards=4)
+    rows = source_mixture.mixed_rows(mixed, ["doc_id", "text", "source"])
+    by_shard = [r["n"] for r in rows.groupBy("_m_shard").agg(F.count("*").alias("n")).collect()]
+    assert len(by_shard) == 4 and max(by_shard) - min(by_shard) <= 3 * 8
+    taken = mixed.agg(F.sum(source_mixture.taken_words())).first()[0]
+    assert taken == rows.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
+    other = source_mixture.mixture(df, ["doc_id", "text", "source"], shards=9)
+    assert rows_of(other.select("_m_draws")) != rows_of(mixed.select("_m_draws"))
+    source_mixture.write_shards(rows, str(tmp_path / "mix"))
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    assert rows_of(back.select("doc_id", "text", "source", "shard")) == rows_of(rows.select("doc_id", "text", "source", "_m_shard"))
+    for file in (tmp_path / "mix").glob("shard=*/*.parquet"):
+        order = ds.dataset(str(file)).to_table(columns=["_m_order"])["_m_order"].to_pylist()
+        assert order == sorted(order)
+
+
 def test_quotas_are_split_exactly():
     quotas = [1000, 0, 37, 1, 250]
     shares = source_mixture.split_quotas(quotas, 16, 1)
@@ -523,8 +543,22 @@ def test_targets():
 
 
 def test_mixture_query(spark, documents):
-    got = QUERIES["op9_hypergeometric_mixture"](spark, FOLDER)
-    assert {r["doc_id"]: r["size"] for r in got.collect()} == {k: len(brute.words(t)) for k, t in documents}
+    got = QUERIES["op9_hypergeometric_mixture"](spark, FOLDER).collect()
+    assert {r["doc_id"]: r["size"] for r in got} == {k: len(brute.words(t)) for k, t in documents}
+    source = {r["doc_id"]: r["source"] for r in ds.dataset(f"{FOLDER}/documents.parquet").to_table(columns=["doc_id", "source"]).to_pylist()}
+    sizes, taken, targets = {}, {}, {}
+    for r in got:
+        s = source[r["doc_id"]]
+        sizes[s], taken[s], targets[s] = sizes.get(s, 0) + r["size"], taken.get(s, 0) + r["taken"], r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    # by weight, with the excess of full sources reshared: one share per weight for all that are not full
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    each = {targets[s] / weight[s] for s in names if targets[s] < 2 * sizes[s] - 1e-6}
+    assert not each or max(each) - min(each) <= 1e-9 * max(each)
+    assert all(2 * sizes[s] <= max(each, default=float("inf")) * weight[s] + 1e-6 for s in names if targets[s] >= 2 * sizes[s] - 1e-6)
+    assert abs(sum(targets.values()) - 1.5 * sum(sizes.values())) < 1e-3
+    assert all(r["source_size"] == sizes[source[r["doc_id"]]] for r in got) and all(abs(taken[s] - targets[s]) <= 1 for s in names)
 
 
 # 10

@@ -108,7 +108,8 @@ def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op9_hypergeometric_mixture(spark: SparkSession, folder: str) -> DataFrame:
     mixed = source_mixture.mixture(_table(spark, folder, "documents").select("doc_id", "text", "source"), ["doc_id"])
     return mixed.select(
-        "doc_id", F.col("_m_size").alias("size"), F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"), source_mixture.taken_words().alias("taken")
+        "doc_id", F.col("_m_size").alias("size"), F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"), source_mixture.taken_words().alias("taken"),
+        F.array_join(F.transform("_m_draws", lambda d: F.concat_ws(":", d["epoch"], d["shard"])), ",").alias("draws"),
     )
 
 

@@ -1,19 +1,22 @@
 """Mixing sources to target weights with exact quotas of blocks.
 
-The rows of a source are dealt into blocks of about ``BLOCK_ROWS`` rows by a hash. An epoch of a source is
-a seeded permutation of its blocks; its target is some whole epochs and the first blocks of one more, whose
-last block is cut at the word where the target is reached. All draws of a source, in that order, are its
+The rows of a source are ordered by a hash and dealt into blocks of ``BLOCK_ROWS`` rows by rank. An epoch of a
+source is a seeded permutation of its blocks; its target is some whole epochs and the first blocks of one more,
+whose last block is cut at the word where the target is reached. All draws of a source, in that order, are its
 quota. A splitting tree divides the quotas among the output shards: at each node the draws of all sources
 together are halved by one multivariate hypergeometric draw, so every shard gets its number of blocks and
 a random, exact share of each source. A shard takes the next blocks of each source's permutation, so shards
-share no draw, and shuffles its rows locally by a hash.
+share no draw. What is taken of a row is the sum over the shards' draws of its block; ``write_shards`` writes
+every shard's rows in their local random order.
 
-What travels to the driver is one row per source. Ranks and running sums of blocks are computed in ranges
-of the permutation with one small row per range, so no task holds the blocks of a large source.
+What travels to the driver is one row per source. Ranks of rows are computed in range parts, ranks and running
+sums of blocks in ranges of the permutation with one small row per range, so no task holds a large source, and no
+block is larger than the others however many rows are alike.
 
 Defined results: a null or empty text has size 0; null is a source of its own, after all others; rows with
-null or repeated ids, and repeated rows, are rows of their own; equal hashes are ordered by id and size; an
-empty table gives an empty mix; reruns agree. Internal columns begin with ``_m_``.
+null or repeated ids, and repeated rows, are rows of their own; equal hashes are ordered by id and size; rows alike
+in all of these are interchangeable; an empty table gives an empty mix; reruns agree. Internal columns begin
+with ``_m_``.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.sequences import rank_within
 from touchline.session import materialize
 
-#: Rows of a block, and blocks of a range of the permutation, as expected numbers.
+#: Rows of a block, and blocks of a range of the permutation (an expected number).
 BLOCK_ROWS, RANGE_BLOCKS = 256, 1024
 
 #: Sources whose totals the driver may hold.
@@ -73,10 +77,6 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _row_hash(key: str, *more: Column) -> Column:
-    return F.xxhash64(F.col(key), F.col("_m_size"), *more)
-
-
 def mixture(documents: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 16, seed: int = 17) -> DataFrame:
     """Every row with what the mix takes of it.
 
@@ -84,9 +84,21 @@ def mixture(documents: DataFrame, keep: list[str], key: str = "doc_id", text: st
     ``_m_part`` (words of one more copy) and ``_m_draws`` (an array of epoch and output shard).
     """
     spark = documents.sparkSession
-    rows = documents.select(*keep, F.col(key).alias("_m_key"), F.size(word_list(F.col(text))).cast("long").alias("_m_size"), F.col(source).isNull().alias("_m_null"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_m_source"))
-    plain = materialize(rows.select("_m_key", "_m_size", "_m_null", "_m_source"))
-    of = ["_m_null", "_m_source"]
+    of, block = ["_m_null", "_m_source"], ["_m_null", "_m_source", "_m_block"]
+    size = F.size(word_list(F.col(text))).cast("long")
+    # written before it is used, so that the number of a row stays the same
+    rows = materialize(
+        documents.select(
+            *keep,
+            F.col(key).alias("_m_key"),
+            size.alias("_m_size"),
+            F.col(source).isNull().alias("_m_null"),
+            F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_m_source"),
+            F.xxhash64(F.col(key), size, F.col(text), F.lit(seed)).alias("_m_turn"),
+            F.monotonically_increasing_id().alias("_m_row"),
+        )
+    )
+    plain = rows.select("_m_key", "_m_size", *of, "_m_turn", "_m_row")
     totals = plain.groupBy(*of).agg(F.sum("_m_size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -99,10 +111,10 @@ def mixture(documents: DataFrame, keep: list[str], key: str = "doc_id", text: st
     # at most MOST_SOURCES rows
     sources = F.broadcast(spark.createDataFrame(plan, "_m_null boolean, _m_source string, _m_source_size long, _m_target double, _m_epochs int, _m_rest long, _m_blocks long"))
 
-    def placed(x: DataFrame) -> DataFrame:
-        return x.join(sources, of).withColumn("_m_block", F.pmod(_row_hash("_m_key", F.lit(seed)), F.col("_m_blocks")))
-
-    blocks = placed(plain).groupBy(*of, "_m_block").agg(F.sum("_m_size").alias("words"), F.count("*").alias("n"))
+    order = [F.col(c) for c in ("_m_turn", "_m_key", "_m_size", "_m_row")]
+    ranked = rank_within(plain, of, order, rank="_m_rank").withColumn("_m_block", F.expr(f"(_m_rank - 1) div {BLOCK_ROWS}"))
+    dealt = materialize(ranked.select("_m_row", "_m_size", *block, "_m_rank"))
+    blocks = dealt.groupBy(*block).agg(F.sum("_m_size").alias("words"), F.count("*").alias("n"))
     draws = (
         blocks.join(sources, of)
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_m_epochs"))))
@@ -116,7 +128,7 @@ def mixture(documents: DataFrame, keep: list[str], key: str = "doc_id", text: st
         "sum(c) OVER (PARTITION BY _m_null, _m_source, epoch ORDER BY range) - c AS blocks_before",
     )
     ordered = draws.join(ranges, [*of, "epoch", "range"]).selectExpr(
-        *of, "_m_block", "words", "epoch", "_m_epochs", "_m_rest",
+        *block, "words", "epoch", "_m_epochs", "_m_rest", "_m_blocks",
         "words_before + sum(words) OVER (PARTITION BY _m_null, _m_source, epoch, range ORDER BY turn, _m_block ROWS UNBOUNDED PRECEDING) - words AS at",
         "blocks_before + row_number() OVER (PARTITION BY _m_null, _m_source, epoch, range ORDER BY turn, _m_block) - 1 AS place",
     )
@@ -129,31 +141,35 @@ def mixture(documents: DataFrame, keep: list[str], key: str = "doc_id", text: st
     cuts = F.broadcast(spark.createDataFrame(
         [(r["_m_null"], r["_m_source"], np.cumsum(own).tolist()) for r, own in zip(totals, shares, strict=True)], "_m_null boolean, _m_source string, cuts array<long>"
     ))
-    existing = F.broadcast(blocks.groupBy(*of).agg(F.count("*").alias("have")))
-    numbered = taken.join(cuts, of).join(existing, of).withColumn("rank", F.col("epoch") * F.col("have") + F.col("place"))
-    by_block = numbered.groupBy(*of, "_m_block").agg(
+    numbered = taken.join(cuts, of).withColumn("rank", F.col("epoch") * F.col("_m_blocks") + F.col("place"))
+    by_block = numbered.groupBy(*block).agg(
         F.count(F.when(F.col("part").isNull(), 1)).cast("int").alias("_m_full"),
         F.coalesce(F.sum("part"), F.lit(0)).alias("_m_limit"),
         F.sort_array(F.collect_list(F.struct("epoch", F.size(F.filter("cuts", lambda c: c <= F.col("rank"))).alias("shard")))).alias("_m_draws"),
     )
-    inside = placed(rows).withColumn("_m_turn", _row_hash("_m_key", F.lit(seed + 1))).selectExpr(
-        "*",
-        "sum(_m_size) OVER (PARTITION BY _m_null, _m_source, _m_block ORDER BY _m_turn, _m_key, _m_size ROWS UNBOUNDED PRECEDING) - _m_size AS _m_before",
+    inside = dealt.selectExpr(
+        "_m_row", *block, "_m_size AS _size",
+        "sum(_m_size) OVER (PARTITION BY _m_null, _m_source, _m_block ORDER BY _m_rank ROWS UNBOUNDED PRECEDING) - _m_size AS _before",
     )
-    return inside.join(by_block, [*of, "_m_block"], "left").select(
-        *keep,
-        "_m_size",
+    drawn = inside.join(by_block, block, "left").join(sources, of).select(
+        "_m_row",
         "_m_source_size",
         "_m_target",
         F.coalesce("_m_full", F.lit(0)).alias("_m_full"),
-        F.greatest(F.lit(0), F.least(F.col("_m_size"), F.coalesce(F.col("_m_limit"), F.lit(0)) - F.col("_m_before"))).alias("_m_part"),
+        F.greatest(F.lit(0), F.least(F.col("_size"), F.coalesce(F.col("_m_limit"), F.lit(0)) - F.col("_before"))).alias("_m_part"),
         F.coalesce("_m_draws", F.array().cast("array<struct<epoch:int,shard:int>>")).alias("_m_draws"),
     )
+    return rows.join(drawn, "_m_row").select(*keep, "_m_size", "_m_source_size", "_m_target", "_m_full", "_m_part", "_m_draws")
+
+
+def _words_of(draw: Column) -> Column:
+    """Words of a row in one draw of its block: all of them, or those before the target's end."""
+    return F.when(draw["epoch"] < F.col("_m_full"), F.col("_m_size")).otherwise(F.col("_m_part"))
 
 
 def taken_words() -> Column:
-    """Words the mix takes of a row of ``mixture``, repeats counted."""
-    return F.col("_m_full") * F.col("_m_size") + F.col("_m_part")
+    """Words the mix takes of a row of ``mixture``, repeats counted: the sum over the shards' draws."""
+    return F.aggregate("_m_draws", F.lit(0).cast("long"), lambda total, draw: total + _words_of(draw))
 
 
 def mixed_rows(mixed: DataFrame, keep: list[str], text: str = "text", seed: int = 17) -> DataFrame:
@@ -163,8 +179,16 @@ def mixed_rows(mixed: DataFrame, keep: list[str], text: str = "text", seed: int
     ``_m_order`` is the local shuffle.
     """
     draws = mixed.withColumn("_m_draw", F.explode("_m_draws"))
-    words = F.when(F.col("_m_draw.epoch") < F.col("_m_full"), F.col("_m_size")).otherwise(F.col("_m_part"))
-    drawn = draws.withColumn("_m_words", words).where((F.col("_m_words") > 0))
+    drawn = draws.withColumn("_m_words", _words_of(F.col("_m_draw"))).where(F.col("_m_words") > 0)
     cut = F.when(F.col("_m_words") < F.col("_m_size"), F.array_join(F.slice(word_list(F.col(text)), 1, F.col("_m_words").cast("int")), " ")).otherwise(F.col(text))
     order = F.xxhash64(F.lit(seed + 2), "_m_draw.shard", "_m_draw.epoch", F.crc32(F.col(text).cast("binary")), "_m_size")
     return drawn.select(*[cut.alias(c) if c == text else F.col(c) for c in keep], F.col("_m_draw.shard").alias("_m_shard"), order.alias("_m_order"))
+
+
+def write_shards(drawn: DataFrame, folder: str) -> None:
+    """Write rows of ``mixed_rows`` as Parquet, a folder ``shard=N`` each, every file in the shard's random order.
+
+    Rows are range partitioned by shard and order, so a shard is spread over as many files as its rows fill.
+    """
+    placed = drawn.withColumnRenamed("_m_shard", "shard").repartitionByRange("shard", "_m_order")
+    placed.sortWithinPartitions("shard", "_m_order").write.partitionBy("shard").parquet(folder)
