@@ -188,12 +188,11 @@ def test_streaming_ingest_is_incremental(spark, folder):
     put(f"{folder}/in/a.hbr2", replay_bytes())
     put(f"{folder}/in/copy.hbr2", replay_bytes())
     put(f"{folder}/in/bad.hbr2", b"HBR2")
-    os.makedirs(f"{folder}/registry")
 
     def run():
         query = jobs.ingest(jobs.watch_replays(spark, f"{folder}/in"), f"{folder}/registry", f"{folder}/processing", f"{folder}/log")
         query.awaitTermination()
-        return spark.read.parquet(f"{folder}/processing")
+        return jobs.read_ingested(spark, f"{folder}/registry", f"{folder}/processing")[1]
 
     first = run()
     assert {r.status: r["count"] for r in first.groupBy("status").count().collect()} == {"ok": 1, "failed": 1}
@@ -202,4 +201,26 @@ def test_streaming_ingest_is_incremental(spark, folder):
     put(f"{folder}/in/again.hbr2", replay_bytes())
     put(f"{folder}/in/new.hbr2", replay_bytes(frames=1200))
     assert run().filter("status = 'ok'").count() == 2
-    assert spark.read.parquet(f"{folder}/registry").count() == 3
+    assert jobs.read_ingested(spark, f"{folder}/registry", f"{folder}/processing")[0].count() == 3
+
+
+def test_a_batch_stopped_between_its_writes_is_repeated(spark, folder, monkeypatch):
+    put(f"{folder}/in/a.hbr2", replay_bytes())
+    put(f"{folder}/in/copy.hbr2", replay_bytes())
+    put(f"{folder}/in/b.hbr2", replay_bytes(frames=1200))
+
+    def run():
+        jobs.ingest(jobs.watch_replays(spark, f"{folder}/in"), f"{folder}/registry", f"{folder}/processing", f"{folder}/log").awaitTermination()
+
+    def stop(*_):
+        raise RuntimeError("stopped before the commit")
+
+    rows = lambda: [sorted(r["sha256"] for r in t.collect()) for t in jobs.read_ingested(spark, f"{folder}/registry", f"{folder}/processing")]
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "_commit", stop)
+        with pytest.raises(Exception, match="stopped before the commit"):
+            run()
+    assert rows() == [[], []]
+    run()
+    registry, processing = rows()
+    assert registry == processing and len(set(registry)) == len(registry) == 2

@@ -227,7 +227,7 @@ def tuned_variant(generation: Column) -> dict[str, Column]:
         (64, 8, 0.0003, 0.00002, 4096),
         (96, 6, 0.0007, 0.00002, 8192),
     ]
-    index = ((generation - 1) % len(grid)).cast("int")
+    index = F.pmod(generation - 1, F.lit(len(grid))).cast("int")
     pick = lambda position: F.element_at(F.array(*[F.lit(row[position]) for row in grid]), index + 1)
     return {
         "hidden_dim": pick(0),

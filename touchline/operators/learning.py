@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -98,3 +100,54 @@ def temporal_features(
     if role is not None:
         stack = F.concat(stack, F.array(*[F.when(role == r, 1.0).otherwise(0.0) for r in ROLE_ORDER]))
     return seen.select(*states.columns, stack.alias("temporal_features"))
+
+
+@dataclass(frozen=True)
+class Network:
+    """Weights of a trained network: hidden layers, then one direction and one kick head on the last of them.
+
+    A layer is (matrix of inputs by outputs, bias). The architecture fixes their size, so every task holds them.
+    """
+
+    hidden: tuple[tuple[np.ndarray, np.ndarray], ...]
+    direction: tuple[np.ndarray, np.ndarray]
+    kick: tuple[np.ndarray, np.ndarray]
+
+
+def network_outputs(network: Network, features: Column) -> Column:
+    """struct(direction, confidence, kick) of an array column: rectified layers, softmax and sigmoid.
+
+    A null array, one of another width and one that holds a null give nulls. Of equally likely directions the
+    first counts.
+    """
+    width = network.hidden[0][0].shape[0]
+
+    @F.pandas_udf("direction int, confidence double, kick double")
+    def forward(rows: pd.Series) -> pd.DataFrame:
+        vectors = [None if r is None or len(r) != width else np.asarray(r, np.float64) for r in rows]
+        good = np.array([v is not None and not np.isnan(v).any() for v in vectors], bool)
+        out = pd.DataFrame({"direction": pd.array([None] * len(rows), "Int32"), "confidence": np.nan, "kick": np.nan})
+        if good.any():
+            layer = np.stack([v for v, g in zip(vectors, good, strict=True) if g])
+            for weights, bias in network.hidden:
+                layer = np.maximum(layer @ weights + bias, 0.0)
+            logits = layer @ network.direction[0] + network.direction[1]
+            power = np.exp(logits - logits.max(axis=1, keepdims=True))
+            out.loc[good, "direction"] = logits.argmax(axis=1)
+            out.loc[good, "confidence"] = power.max(axis=1) / power.sum(axis=1)
+            out.loc[good, "kick"] = 1.0 / (1.0 + np.exp(-(layer @ network.kick[0] + network.kick[1]).reshape(-1)))
+        return out.astype({"confidence": "Float64", "kick": "Float64"})
+
+    return forward(features)
+
+
+def score_with(network: Network, samples: DataFrame, features: str, *, threshold: float = 0.5, ball_distance: Column | None = None) -> DataFrame:
+    """The same columns as :func:`score` from given weights instead of fitted models (ML-03)."""
+    out = samples.withColumn("_n", network_outputs(network, F.col(features)))
+    return out.select(
+        *samples.columns,
+        F.col("_n.direction").alias("direction_predicted"),
+        F.col("_n.confidence").alias("direction_confidence"),
+        F.col("_n.kick").alias("kick_probability"),
+        gated_kick(F.col("_n.kick"), threshold, ball_distance).alias("kick_predicted"),
+    )

@@ -10,8 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from touchline.functions.payload import payload_probe
 from touchline.functions.scalars import header_probe
+from touchline.operators.audits import archive_path
+from touchline.session import materialize
 from touchline.sources.files import REPLAY_FILES
-from touchline.sources.sinks import new_objects
 
 
 def watch_replays(spark: SparkSession, root: str) -> DataFrame:
@@ -43,6 +44,8 @@ def probe(files: DataFrame) -> DataFrame:
     error = F.coalesce("error", "_payload.error")
     return probed.select(
         "sha256",
+        "path",
+        "size_bytes",
         F.when(error.isNull(), "ok").otherwise("failed").alias("status"),
         "version",
         "total_frames",
@@ -52,22 +55,54 @@ def probe(files: DataFrame) -> DataFrame:
     )
 
 
+_REGISTRY = "sha256 string, archive_path string, size_bytes long, path string"
+_PROCESSING = (
+    "sha256 string, path string, status string, version long, total_frames long, duration_seconds double, decompressed_bytes long, "
+    "error string, updated_at timestamp"
+)
+
+
+def _commit(spark: SparkSession, registry_path: str, number: int) -> None:
+    """The row that makes both tables' folders of a batch visible."""
+    spark.range(1).select(F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{registry_path}/_commits/n={number}")
+
+
+def read_ingested(spark: SparkSession, registry_path: str, processing_path: str) -> tuple[DataFrame, DataFrame]:
+    """Registered contents and their processing rows, of committed batches only."""
+
+    def rows(path: str, schema: str) -> DataFrame:
+        # an empty folder of its own, so that there is something to read before the first batch
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+        return spark.read.schema(f"{schema}, batch long").parquet(path)
+
+    commits = f"{registry_path}/_commits"
+    spark.createDataFrame([], "batch long").write.mode("ignore").parquet(f"{commits}/n=-1")
+    done = spark.read.schema("batch long").parquet(commits).select("batch")
+    tables = rows(registry_path, _REGISTRY), rows(processing_path, _PROCESSING)
+    return tuple(t.join(done, "batch", "left_semi").drop("batch") for t in tables)
+
+
 def ingest(files: DataFrame, registry_path: str, processing_path: str, checkpoint: str) -> StreamingQuery:
     """Register new contents and append their processing rows, batch by batch (STR-02, STR-03).
 
-    A batch that is repeated after a failure overwrites its own folders, so it leaves the same rows.
+    Every file is probed where it is read, so contents are never shuffled; what is chosen by hash and first
+    path afterwards are the small rows of the probe. Both tables are written under the batch's number and
+    become visible together by its commit row. A batch that failed anywhere before that is repeated and
+    overwrites its own folders, so it leaves the same rows.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.schema("sha256 string, archive_path string, size_bytes long, batch long").parquet(registry_path)
-        fresh = new_objects(batch, known.filter(F.col("batch") < number))
-        firsts = batch.groupBy("sha256").agg(F.min_by(F.struct("path", "size_bytes", "content"), "path").alias("_f")).select("sha256", "_f.*")
-        fresh.write.mode("overwrite").parquet(f"{registry_path}/batch={number}")
-        new = firsts.join(fresh.select("sha256"), "sha256", "left_semi")
-        probe(new).withColumn("updated_at", F.current_timestamp()).write.mode("overwrite").parquet(
-            f"{processing_path}/batch={number}"
-        )
+        probed = materialize(probe(batch))
+        known = read_ingested(spark, registry_path, processing_path)[0].select("sha256")
+        chosen = probed.groupBy("sha256").agg(F.min("path").alias("path")).join(known, "sha256", "left_anti")
+        # a path is one file, but a stream may bring it twice in a batch
+        first = materialize(probed.join(chosen, ["sha256", "path"], "left_semi").dropDuplicates(["sha256"]))
+        registered = first.select("sha256", archive_path(F.col("sha256")).alias("archive_path"), "size_bytes", "path")
+        registered.write.mode("overwrite").parquet(f"{registry_path}/batch={number}")
+        processed = first.drop("size_bytes").withColumn("updated_at", F.current_timestamp())
+        processed.write.mode("overwrite").parquet(f"{processing_path}/batch={number}")
+        _commit(spark, registry_path, number)
 
     return (
         files.writeStream.foreachBatch(handle)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from touchline import adapters
@@ -163,6 +164,71 @@ def scored_samples(spark, folder):
     )
 
 
+# Weights by rule: 64 inputs, 16 hidden units, nine directions, one kick.
+NETWORK_SQL = """
+s AS (SELECT vec_id AS sample_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+h AS (SELECT sample_id, list_transform(range(16), lambda j: greatest(0.0::DOUBLE, list_sum(list_transform(range(64), lambda i: x[i + 1] * ((i * 7 + j * 13) % 17 - 8) / 4.0::DOUBLE))
+  + (j % 5 - 2) / 10.0::DOUBLE)) AS h FROM s),
+o AS (SELECT sample_id, list_transform(range(9), lambda d: list_sum(list_transform(range(16), lambda j: h[j + 1] * ((j * 5 + d * 3) % 11 - 5) / 10.0::DOUBLE)) + d / 100.0::DOUBLE) AS z,
+  list_sum(list_transform(range(16), lambda j: h[j + 1] * ((j * 3) % 7 - 3) / 10.0::DOUBLE)) - 1 AS k FROM h)
+"""
+
+
+def _network():
+    i, j, d = np.arange(64)[:, None], np.arange(16), np.arange(9)
+    hidden = (((i * 7 + j * 13) % 17 - 8) / 4.0, (j % 5 - 2) / 10.0)
+    return M.Network((hidden,), (((j[:, None] * 5 + d * 3) % 11 - 5) / 10.0, d / 100.0), ((((j * 3) % 7 - 3) / 10.0)[:, None], np.array([-1.0])))
+
+
+@query(
+    "network_scores", "ML-03",
+    f"""WITH {NETWORK_SQL} SELECT sample_id, list_position(z, list_max(z)) - 1 AS direction_predicted,
+      round(1 / list_sum(list_transform(z, lambda v: exp(v - list_max(z)))), 4) AS direction_confidence, round(1 / (1 + exp(-k)), 4) AS kick_probability,
+      CAST(1 / (1 + exp(-k)) >= 0.5 AND sample_id % 40 <= 31 AS INTEGER) AS kick_predicted FROM o""",
+)
+def network_scores(spark, folder):
+    samples = adapters.vector_samples(spark, folder)
+    scored = M.score_with(_network(), samples, "features", ball_distance=(F.col("sample_id") % 40).cast("double"))
+    return scored.select(
+        "sample_id", "direction_predicted", F.round("direction_confidence", 4).alias("direction_confidence"),
+        F.round("kick_probability", 4).alias("kick_probability"), F.col("kick_predicted").cast("int").alias("kick_predicted"),
+    )
+
+
+# Headers as in `replay_header_probe`; those of whole length are followed by one empty last block, except every fifth.
+INGEST_SQL = """
+c AS (
+  SELECT o_orderkey AS k, o_orderkey % 19 = 2 AS short, CASE WHEN o_orderkey % 11 = 3 THEN '41424344' ELSE '48425232' END || printf('%08X', CASE WHEN o_orderkey % 13 = 5 THEN 2 ELSE 3 END)
+    || printf('%08X', CASE WHEN o_orderkey % 17 = 7 THEN 0 ELSE o_orderkey * 37 % 100000 END) AS whole, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '010000FFFF' END AS body FROM orders
+),
+f AS (SELECT *, sha256(unhex(CASE WHEN short THEN substr(whole, 1, 14) ELSE whole || body END)) AS sha256 FROM c),
+g AS (SELECT *, CASE WHEN short THEN 'truncated_header' WHEN k % 11 = 3 THEN 'invalid_magic' WHEN k % 13 = 5 THEN 'unsupported_version:2'
+    WHEN k % 17 = 7 OR k * 37 % 100000 = 0 THEN 'invalid_total_frames' WHEN body = '' THEN 'deflate_error:incomplete_stream' END AS error FROM f)
+"""
+
+
+@query(
+    "incremental_ingest", "STR-01 STR-03 STR-02",
+    f"""WITH {INGEST_SQL} SELECT DISTINCT sha256, CASE WHEN error IS NULL THEN 'ok' ELSE 'failed' END AS status, error, CASE WHEN NOT short THEN CASE WHEN k % 17 = 7 THEN 0 ELSE k * 37 % 100000 END END AS total_frames,
+      CASE WHEN error IS NULL THEN 0 END AS decompressed_bytes, substr(sha256, 1, 2) || '/' || substr(sha256, 3, 2) || '/' || sha256 || '.hbr2' AS archive_path FROM g""",
+)
+def incremental_ingest(spark, folder):
+    key = F.col("file_id")
+    whole = F.when((F.col("length") < 12) | (key % 5 == 0), F.col("content")).otherwise(F.concat("content", F.unhex(F.lit("010000FFFF"))))
+    contents = adapters.replay_contents(spark, folder).select(key, whole.alias("content"))
+    # every seventh file lies in a second folder too
+    copies = F.when(key % 7 == 0, F.array(F.lit("in"), F.lit("copy"))).otherwise(F.array(F.lit("in")))
+    arrived = contents.withColumn("_at", F.explode(copies)).select(
+        F.concat_ws("/", "_at", key.cast("string")).alias("path"), F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content"
+    )
+    root = shared_folder(spark, "ingest")
+    arrived.repartition(8, "path").write.parquet(f"{root}/arrived")
+    stream = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 3).parquet(f"{root}/arrived")
+    jobs.ingest(stream, f"{root}/registry", f"{root}/processing", f"{root}/log").awaitTermination()
+    registry, processing = jobs.read_ingested(spark, f"{root}/registry", f"{root}/processing")
+    return processing.join(registry, "sha256").select("sha256", "status", "error", "total_frames", "decompressed_bytes", "archive_path")
+
+
 @query(
     "export_messages", "SRC-02",
     """SELECT 'c' || conv_id AS channel_id, conv_id || '-' || turn AS message_id, text AS content FROM conversations WHERE text <> ''""",
