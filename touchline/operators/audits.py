@@ -21,6 +21,7 @@ Z_LIMIT = 3.25
 TOLERANCE = 1e-12
 #: Digests that make one of the next level of a hash tree.
 TREE_FAN_OUT = 1024
+DIRECTIONS = 9
 
 
 def violations(df: DataFrame, subject: Column, rules: Mapping[str, Column], detail: Column | None = None) -> DataFrame:
@@ -199,14 +200,10 @@ def audit_shard_index(entries: DataFrame, totals: DataFrame, meta: DataFrame | N
     if meta is not None:
         fields = [f for f in meta.columns if f not in ("replay_sha256", "status")]
         theirs = meta.select("replay_sha256", *[c(f).alias(f"_m_{f}") for f in fields])
-        both = entries.join(theirs, "replay_sha256")
-        found = found.unionByName(
-            violations(
-                both,
-                c("replay_sha256"),
-                {f"index_meta_mismatch:{f}": ~c(f).eqNullSafe(c(f"_m_{f}")) for f in fields},
-            )
-        )
+        both = entries.join(theirs.withColumn("_m_known", F.lit(True)), "replay_sha256", "left")
+        known = c("_m_known").isNotNull()
+        rules = {f"index_meta_mismatch:{f}": known & ~c(f).eqNullSafe(c(f"_m_{f}")) for f in fields}
+        found = found.unionByName(violations(both, c("replay_sha256"), {"shard_record_missing": ~known, **rules}))
     summed = entries.groupBy("split").agg(
         F.count(F.lit(1)).alias("_successful_replays"),
         *[
@@ -280,6 +277,29 @@ def audit_metrics(blocks: DataFrame, subject: Column) -> DataFrame:
     return violations(blocks, subject, rules)
 
 
+def audit_training(blocks: DataFrame, subject: Column) -> DataFrame:
+    """Published training settings and label statistics against their own counts (AUD-07)."""
+    c = F.col
+    counts = c("direction_counts")
+    nine = F.coalesce(F.size(counts) == DIRECTIONS, F.lit(False))
+    whole = nine & F.coalesce(F.forall(counts, lambda n: F.coalesce(n >= 0, F.lit(False))), F.lit(False))
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda total, n: total + n)
+    least = {"epochs": 1, "batch_size": 1, "learning_rate": 0, "l2": 0, "train_replays": 1, "holdout_replays": 1, "samples": 1, "kick_positive": 0, "kick_negative": 0}
+    rules = {f"{name}_range": not_in_range(c(name), low) for name, low in least.items()}
+    rules |= {
+        "seed_missing": c("seed").isNull(),
+        "calibrated_kick_threshold_range": not_in_range(c("calibrated_kick_threshold"), 0, 1),
+        "direction_counts_not_nine": ~nine,
+        "direction_counts_invalid": nine & ~whole,
+        "direction_counts_do_not_sum_to_samples": whole & ~(total.eqNullSafe(c("samples"))),
+        "kick_counts_do_not_sum_to_samples": ~(c("kick_positive") + c("kick_negative")).eqNullSafe(c("samples")),
+        "kick_positive_rate_range": not_in_range(c("kick_positive_rate"), 0, 1),
+        "kick_positive_rate_inconsistent": not_close(c("kick_positive_rate"), c("kick_positive") / F.greatest(F.lit(1), c("samples"))),
+        "kick_positive_weight_range": not_in_range(c("kick_positive_weight"), 1, 25),
+    }
+    return violations(blocks, subject, rules)
+
+
 def audit_import_manifest(row: DataFrame) -> DataFrame:
     """Arithmetic of an import manifest (AUD-08)."""
     c = F.col

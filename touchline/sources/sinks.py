@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from touchline.operators.audits import archive_path
 from touchline.operators.ledger import latest_per_key
@@ -16,17 +17,31 @@ def publish_json(df: DataFrame, path: str, order: Sequence[str]) -> None:
     df.orderBy(*order).write.mode("overwrite").json(path)
 
 
-def publish_import(results: dict[str, DataFrame], folder: str) -> None:
-    """Publish the five import tables under one folder (SNK-01)."""
-    orders = {
-        "replays": ["path"],
-        "duplicates": ["sha256", "path"],
-        "reports": ["timestamp", "message_id"],
-        "matches": ["match_id", "replay_sha256"],
-        "manifest": ["replay_count"],
-    }
-    for name, order in orders.items():
-        publish_json(results[name], f"{folder}/{name}", order)
+def publish_tables(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], root: str) -> int:
+    """Publish several tables as one version, and return its number (SNK-01).
+
+    ``tables``: name to (rows, order of the lines). Every table is written under the next number; readers see
+    that version when its commit row is written after all of them. A run that stops before that leaves a
+    number that the next run writes anew. One writer at a time.
+    """
+    spark = next(iter(tables.values()))[0].sparkSession
+    number = published_version(spark, root) + 1
+    for name, (rows, order) in tables.items():
+        publish_json(rows, f"{root}/version-{number}/{name}", order)
+    spark.range(1).select(F.lit(number).cast("long").alias("version")).write.mode("overwrite").parquet(f"{root}/commits/n={number}")
+    return number
+
+
+def published_version(spark: SparkSession, root: str) -> int:
+    """Number of the last published version, 0 before the first."""
+    spark.createDataFrame([], "version long").write.mode("ignore").parquet(f"{root}/commits/n=0")
+    return spark.read.schema("version long").parquet(f"{root}/commits").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+
+def read_published(spark: SparkSession, root: str, name: str, schema: StructType, version: int | None = None) -> DataFrame:
+    """A table of the last published version, or of a given one."""
+    number = published_version(spark, root) if version is None else version
+    return spark.read.schema(schema).json(f"{root}/version-{number}/{name}")
 
 
 def new_objects(files: DataFrame, registry: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from touchline import adapters
 from touchline.functions import scalars as fn
 from touchline.operators import ingest as I
 from touchline.operators import matching as M
+from touchline.session import materialize, shared_folder
+from touchline.sources import sinks
 from touchline.workload.registry import query
 
 FILES_SQL = "files AS (SELECT 'src/' || doc_id AS path, strlen(text) AS size_bytes, sha256(text) AS sha256, source FROM documents)"
@@ -219,6 +221,37 @@ def import_manifest(spark, folder):
     )
 
 
+@query(
+    "published_import", "SNK-01 AGG-02",
+    f"""{WITH_MATCH}, {FILES_SQL} SELECT name, n, n AS same_lines, 2 AS version FROM (SELECT 'replays' AS name, count(DISTINCT sha256) AS n FROM files
+      UNION ALL SELECT 'duplicates', count(*) - count(DISTINCT sha256) FROM files UNION ALL SELECT 'reports', count(*) FROM reports
+      UNION ALL SELECT 'matches', count(*) FROM matched UNION ALL SELECT 'manifest', 1)""",
+)
+def published_import(spark, folder):
+    replays, reports = _sides(spark, folder)
+    files = adapters.files(spark, folder)
+    groups = I.content_groups(files)
+    matches = materialize(M.match_replays(replays, reports))
+    failures = I.probe_headers(adapters.replay_contents(spark, folder)).filter("error IS NOT NULL")
+    tables = {
+        "replays": (groups, ["path"]),
+        "duplicates": (I.duplicate_paths(files, groups), ["sha256", "path"]),
+        "reports": (reports, ["message_id"]),
+        "matches": (matches, ["replay_sha256", "message_id"]),
+        "manifest": (I.import_manifest(files, groups, reports, matches, I.unmatched(matches, replays, reports), failures), ["replay_count"]),
+    }
+    root = shared_folder(spark, "import")
+    first, last = (sinks.publish_tables(tables, root) for _ in range(2))
+    out = None
+    for name, (rows, _) in tables.items():
+        # what the last version has, and how many of its lines the first one has too
+        now, before = (sinks.read_published(spark, root, name, rows.schema, v).select(F.to_json(F.struct("*")).alias("line")) for v in (last, first))
+        both = now.groupBy("line").agg(F.count(F.lit(1)).alias("a")).join(before.groupBy("line").agg(F.count(F.lit(1)).alias("b")), "line", "left")
+        row = both.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.least("a", F.coalesce("b", F.lit(0)))), F.lit(0)).alias("same_lines")).select(F.lit(name).alias("name"), "n", "same_lines", F.lit(last).alias("version"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "import_failure_triage", "AGG-17",
     """SELECT CASE WHEN o_orderkey % 19 = 2 THEN 'truncated_header' WHEN o_orderkey % 11 = 3 THEN 'invalid_magic' ELSE 'other_stage' END AS stage,

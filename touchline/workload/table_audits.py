@@ -130,6 +130,31 @@ def shard_index_audit(spark, folder):
     return A.audit_shard_index(entries, _shard_totals(entries)).select("subject", "check")
 
 
+_RECORD_FIELDS = {"split": "split", "samples": "samples", "skipped_unknown_input": "skipped", "selected_players_requested": "req", "compressed_bytes": "bytes"}
+
+
+@query(
+    "shard_record_audit", "AUD-04",
+    f"""WITH {SHARD_SQL}, rec AS (SELECT o_orderkey AS k, sha256(CAST(o_orderkey AS VARCHAR)) AS sha, CASE WHEN (o_orderkey % 10 = 0) <> (o_orderkey % 107 = 0) THEN 'holdout' ELSE 'train' END AS split,
+      CASE WHEN o_orderkey % 103 <> 0 THEN o_orderkey % 211 + CASE WHEN o_orderkey % 101 = 0 THEN 1 ELSE 0 END END AS samples, o_orderkey % 7 AS skipped, o_orderkey % 4 + 1 AS req,
+      o_orderkey % 3001 + CASE WHEN o_orderkey % 109 = 0 THEN 1 ELSE 0 END AS bytes FROM orders WHERE o_orderkey % 113 <> 0)
+    SELECT sh.sha AS subject, 'shard_record_missing' AS "check" FROM sh WHERE sha NOT IN (SELECT sha FROM rec)
+    {' '.join(f"UNION ALL SELECT sh.sha, 'index_meta_mismatch:{n}' FROM sh JOIN rec ON sh.sha = rec.sha WHERE sh.{s} IS DISTINCT FROM rec.{s}" for n, s in _RECORD_FIELDS.items())}""",
+)
+def shard_record_audit(spark, folder):
+    key = F.col("o_orderkey")
+    side = (key % 10 == 0) != (key % 107 == 0)
+    plus = lambda p: F.when(key % p == 0, 1).otherwise(0)
+    records = adapters.table(spark, folder, "orders").filter(key % 113 != 0).select(
+        F.sha2(key.cast("string"), 256).alias("replay_sha256"), F.when(side, "holdout").otherwise("train").alias("split"),
+        F.when(key % 103 != 0, key % 211 + plus(101)).alias("samples"), (key % 7).alias("skipped_unknown_input"), (key % 4 + 1).alias("selected_players_requested"),
+        (key % 3001 + plus(109)).alias("compressed_bytes"),
+    )
+    entries = adapters.shard_entries(spark, folder)
+    found = A.audit_shard_index(entries, _shard_totals(entries), records)
+    return found.filter(F.col("check").startswith("index_meta_mismatch") | (F.col("check") == "shard_record_missing")).select("subject", "check")
+
+
 @query(
     "shard_bundle_audit", "AUD-05 SET-02",
     f"""WITH {SHARD_SQL} SELECT split || '|' || sha AS subject, 'duplicate_replay' AS "check" FROM sh GROUP BY split, sha HAVING count(*) > 1
@@ -191,6 +216,36 @@ def metric_block_audit(spark, folder):
     return A.audit_metrics(blocks, F.col("k")).select("subject", "check")
 
 
+@query(
+    "training_statistics_audit", "AUD-07 AGG-18",
+    f"""WITH s AS (SELECT l_partkey AS k FROM lineitem GROUP BY 1) {_checks('', [
+        ('direction_counts_do_not_sum_to_samples', 'CAST(k AS VARCHAR)', 's', 'k % 13 = 0 AND k % 37 <> 0 AND k % 43 <> 0'), ('kick_counts_do_not_sum_to_samples', 'CAST(k AS VARCHAR)', 's', 'k % 17 = 0'),
+        ('kick_positive_rate_range', 'CAST(k AS VARCHAR)', 's', 'k % 19 = 0'), ('kick_positive_rate_inconsistent', 'CAST(k AS VARCHAR)', 's', 'k % 19 = 0'),
+        ('kick_positive_weight_range', 'CAST(k AS VARCHAR)', 's', 'k % 23 = 0'), ('calibrated_kick_threshold_range', 'CAST(k AS VARCHAR)', 's', 'k % 29 = 0'),
+        ('epochs_range', 'CAST(k AS VARCHAR)', 's', 'k % 31 = 0'), ('direction_counts_not_nine', 'CAST(k AS VARCHAR)', 's', 'k % 37 = 0'),
+        ('seed_missing', 'CAST(k AS VARCHAR)', 's', 'k % 41 = 0'), ('direction_counts_invalid', 'CAST(k AS VARCHAR)', 's', 'k % 43 = 0 AND k % 37 <> 0'),
+        ('holdout_replays_range', 'CAST(k AS VARCHAR)', 's', 'k % 47 = 0')])}""",
+)
+def training_statistics_audit(spark, folder):
+    k = F.col("k")
+    rows = adapters.table(spark, folder, "lineitem").select(F.col("l_partkey").alias("k"), (F.col("l_orderkey") % 9).alias("direction"), (F.col("l_linenumber") == 1).alias("kick"))
+    plus = lambda p: F.when(k % p == 0, 1).otherwise(0)
+    counted = rows.groupBy("k").agg(
+        F.count(F.lit(1)).alias("samples"), F.count_if("kick").alias("kick_positive"), *[F.count_if(F.col("direction") == d).alias(f"d{d}") for d in range(9)]
+    )
+    classes = F.array(F.when(k % 43 != 0, F.col("d0")), *[F.col(f"d{d}") for d in range(1, 8)], F.col("d8") + plus(13))
+    negative = F.col("samples") - F.col("kick_positive")
+    blocks = counted.select(
+        "k", "samples", "kick_positive", (negative + plus(17)).alias("kick_negative"), F.slice(classes, 1, F.when(k % 37 == 0, 8).otherwise(9)).alias("direction_counts"),
+        F.when(k % 19 == 0, -0.5).otherwise(F.col("kick_positive") / F.col("samples")).alias("kick_positive_rate"),
+        F.when(k % 23 == 0, 30.0).otherwise(F.least(F.lit(25.0), F.greatest(F.lit(1.0), negative / F.greatest(F.lit(1), F.col("kick_positive"))))).alias("kick_positive_weight"),
+        F.when(k % 29 == 0, 1.5).otherwise(0.5).alias("calibrated_kick_threshold"), F.when(k % 31 == 0, 0).otherwise(4).alias("epochs"),
+        F.when(k % 41 != 0, 1337).alias("seed"), F.lit(8192).alias("batch_size"), F.lit(0.001).alias("learning_rate"), F.lit(0.00001).alias("l2"),
+        F.lit(5).alias("train_replays"), F.when(k % 47 != 0, 1).alias("holdout_replays"),
+    )
+    return A.audit_training(blocks, k).select("subject", "check")
+
+
 @query(
     "import_manifest_audit", "AUD-08",
     """WITH m AS (SELECT o_orderkey AS k, o_orderkey % 100 AS n, o_orderkey % 60 AS u, o_orderkey % 40 AS d, o_orderkey % 50 AS rep, o_orderkey % 45 AS mat FROM orders)
