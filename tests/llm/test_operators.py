@@ -171,6 +171,15 @@ def test_keyed_access(odd):
     assert found == {k: [*encode(body or ""), 2] for k, body in ODD}
 
 
+def test_many_keys_are_looked_up_at_once():
+    index = id_shards.Index([None, 4, 4, 9], np.array([1, 5, 6, 20]), 2)
+    again = id_shards.Index.from_bytes(index.to_bytes())
+    places, firsts, ends = again.spans(np.append(id_shards.key_hashes(again.keys), np.uint64(7)))
+    assert (places.tolist(), firsts[:4].tolist(), ends[:4].tolist()) == ([0, 1, 2, 3, -1], [0, 1, 5, 6], [1, 5, 6, 20])
+    assert again.span(4, 1) == (5, 6) and again.span(5) is None
+    assert id_shards.Index([], np.zeros(0, np.int64), 2).spans(np.array([7], np.uint64))[0].tolist() == [-1]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 1000, 20_000])
 def test_perfect_hash(n):
     hashes = text.mixed(np.arange(n, dtype=np.uint64))

@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from touchline.llm.text import byte_texts, mixed
 from touchline.session import shared_folder
 
+#: Ids that are read from a payload in one piece, and the rest of the last document of them.
+PIECE_IDS = 1 << 20
 #: Blank-separated parts whose ids a Python worker remembers; emptied beyond this.
 CACHE_PARTS = 600_000
 
@@ -130,6 +132,16 @@ def key_hash(key: int | None, occurrence: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(struct.pack("<?qq", key is None, key or 0, occurrence))
 
 
+def key_hashes(keys: list[int | None]) -> np.ndarray:
+    """The hashes of a shard's keys; a repeated key counts its occurrences."""
+    seen: dict[int | None, int] = {}
+    hashes = np.zeros(len(keys), np.uint64)
+    for i, key in enumerate(keys):
+        hashes[i] = key_hash(key, seen.get(key, 0))
+        seen[key] = seen.get(key, 0) + 1
+    return hashes
+
+
 def _slots(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
     return (mixed(hashes ^ np.uint64(level * 0x51_7CC1_B727_2205)) % np.uint64(size)).astype(np.int64)
 
@@ -176,11 +188,7 @@ class Index:
 
     def __init__(self, keys: list[int | None], ends: np.ndarray, width: int) -> None:
         self.keys, self.ends, self.width = keys, ends, width
-        seen: dict[int | None, int] = {}
-        hashes = np.zeros(len(keys), np.uint64)
-        for i, key in enumerate(keys):
-            hashes[i] = key_hash(key, seen.get(key, 0))
-            seen[key] = seen.get(key, 0) + 1
+        hashes = key_hashes(keys)
         self.hash = PerfectHash.build(hashes)
         slots = self.hash.slots(hashes)
         self.prints, self.places = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u4")
@@ -215,14 +223,22 @@ class Index:
         self.keys = [None if null else key for key, null in zip(keys.tolist(), nulls.tolist(), strict=True)]
         return self
 
+    def spans(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the shard, first and end id of each key hash; place -1 for a key that is not stored."""
+        slots = self.hash.slots(hashes)
+        at = np.flatnonzero(slots >= 0)
+        at = at[self.prints[slots[at]] == (hashes[at] >> np.uint64(32))]
+        places, firsts, ends = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        places[at] = self.places[slots[at]]
+        ends[at] = self.ends[places[at]]
+        later = at[places[at] > 0]
+        firsts[later] = self.ends[places[later] - 1]
+        return places, firsts, ends
+
     def span(self, key: int | None, occurrence: int = 0) -> tuple[int, int] | None:
         """First and end place of a key's ids in the payload; None for a key that is not stored."""
-        value = key_hash(key, occurrence)
-        slot = int(self.hash.slots(np.array([value], np.uint64))[0])
-        if slot < 0 or int(self.prints[slot]) != value >> 32:
-            return None
-        place = int(self.places[slot])
-        return (int(self.ends[place - 1]) if place else 0), int(self.ends[place])
+        places, firsts, ends = self.spans(np.array([key_hash(key, occurrence)], np.uint64))
+        return None if places[0] < 0 else (int(firsts[0]), int(ends[0]))
 
 
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -268,7 +284,11 @@ def write_shards(documents: DataFrame, tokenizer: str, end_id: int, key: str = "
 
 
 def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
-    """Every document of the written files: key, ids before it, number of ids, checksum of its ids."""
+    """Every document of the written files: key, ids before it, number of ids, checksum of its ids.
+
+    Each key is looked up through the perfect hash, and its ids are read where its slot says; the stored order
+    only checks that no slot leads to another document. Neighbours in the payload are read in one piece.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _store(folder)
@@ -276,17 +296,21 @@ def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
             for shard in batch.to_pylist():
                 with store.open_input_file(f"{path}/{shard['name']}.idx") as f:
                     index = Index.from_bytes(f.read())
-                kind, start, rows = f"<u{index.width}", 0, []
-                with store.open_input_stream(f"{path}/{shard['name']}.ids") as ids:
-                    for key, end in zip(index.keys, index.ends.tolist(), strict=True):
-                        values = np.frombuffer(ids.read((end - start) * index.width), kind)
-                        rows.append((key, shard["before"] + start, len(values), zlib.crc32(values.astype("<u4").tobytes())))
-                        start = end
-                        if len(rows) == 10_000:
-                            yield _rows(rows)
-                            rows = []
-                if rows:
-                    yield _rows(rows)
+                hashes, kind = key_hashes(index.keys), f"<u{index.width}"
+                with store.open_input_file(f"{path}/{shard['name']}.ids") as ids:
+                    for low in range(0, len(hashes), 10_000):
+                        places, firsts, ends = index.spans(hashes[low : low + 10_000])
+                        if not np.array_equal(places, np.arange(low, low + len(places))):
+                            raise ValueError("a key's slot leads to another document")
+                        rows = []
+                        for run in np.split(np.arange(len(places)), np.flatnonzero(np.diff(firsts // PIECE_IDS)) + 1):
+                            start = firsts[run[0]]
+                            ids.seek(int(start) * index.width)
+                            values = np.frombuffer(ids.read(int(ends[run[-1]] - start) * index.width), kind).astype("<u4")
+                            for i in run.tolist():
+                                own = values[firsts[i] - start : ends[i] - start]
+                                rows.append((index.keys[low + i], shard["before"] + int(firsts[i]), len(own), zlib.crc32(own.tobytes())))
+                        yield _rows(rows)
 
     placed = manifest.selectExpr("name", "sum(n_tokens) OVER (ORDER BY shard) - n_tokens AS before", "n_tokens")
     # a number of its own keeps small manifests from being gathered into one task
