@@ -53,12 +53,18 @@ def duplicates(df: DataFrame, keys: Sequence[str], check: str) -> DataFrame:
 
 
 def out_of_order(
-    df: DataFrame, position: str, subject: Column, key: Column, check: str, *, descending: bool = True, parts: int | None = None
-) -> DataFrame:
-    """A violation for every row whose order key passes that of the row before it."""
+    df: DataFrame, position: str, subject: Column, key: Column, check: str, *,
+    keys: Sequence[str] = (), descending: bool = True, strict: bool = False, parts: int | None = None,
+) -> DataFrame:
+    """A violation for every row whose order key passes that of the row before it (with ``strict`` also for equal ones).
+
+    ``keys``: each of their values is a sequence of its own.
+    """
     rows = df.withColumn("_key", key)
-    seen = look_around(rows, [], position, before={"_prev": F.struct(position, "_key")}, parts=parts)
+    seen = look_around(rows, list(keys), position, before={"_prev": F.struct(position, "_key")}, parts=parts)
     wrong = F.col("_key") > F.col("_prev._key") if descending else F.col("_key") < F.col("_prev._key")
+    if strict:
+        wrong = wrong | (F.col("_key") == F.col("_prev._key"))
     return violations(seen, subject, {check: wrong})
 
 
@@ -162,24 +168,6 @@ def audit_manifest_replays(
     )
 
 
-def audit_manifest_members(members: DataFrame, entries: DataFrame, selected: DataFrame) -> DataFrame:
-    """Manifest players against their replay rows and the selection: arithmetic, membership and counts."""
-    c = F.col
-    scores = violations(
-        selected,
-        c("player_id"),
-        {"conservative_score": not_close(c("conservative_score"), c("rating") - c("rating_uncertainty"), 1e-9)},
-    )
-    strangers = members.join(selected.select(c("player_id").alias("identity")), "identity", "left_anti")
-    unknown = violations(strangers, c("replay_sha256"), {"unselected_identity": F.lit(True)}, c("identity"))
-    counted = members.groupBy("replay_sha256").agg(F.count(F.lit(1)).alias("_n"))
-    both = entries.select("replay_sha256", "selected_player_count").join(counted, "replay_sha256", "full_outer")
-    counts = violations(
-        both, c("replay_sha256"), {"selected_player_count": ~c("selected_player_count").eqNullSafe(c("_n"))}
-    )
-    return scores.unionByName(unknown).unionByName(counts)
-
-
 def audit_shard_index(entries: DataFrame, totals: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """Sample accounting, completeness and totals of a shard index (AUD-04).
 
