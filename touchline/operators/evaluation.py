@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,32 +17,24 @@ KICK_WEIGHT_LIMIT = 25.0
 MINIMUM_VARIANCE, MINIMUM_DEVIATION = 1e-8, 1e-4
 
 
-def feature_moments(samples: DataFrame, features: list[str]) -> DataFrame:
-    """Mean and deviation per feature (AGG-18): variance at least 1e-8, tiny deviations become 1.
+def vector_moments(samples: DataFrame, vector: str) -> DataFrame:
+    """Mean and deviation of every position of an array column (AGG-18): (position, mean, std).
 
-    One pass and one row; the result is stacked to (feature, mean, std).
+    Variance is at least 1e-8 and tiny deviations become 1. The vectors are summed up as vectors, one partial
+    sum a task, so no row is made per element. Null vectors and those that hold a null take no part; the others
+    must have one width; an empty table gives no rows.
     """
-    sums = samples.agg(
-        *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)],
-        *[F.avg(F.col(f).cast("double") * F.col(f)).alias(f"q{i}") for i, f in enumerate(features)],
-    )
-    rows = ", ".join(f"'{f}', m{i}, q{i}" for i, f in enumerate(features))
-    long = sums.select(F.expr(f"stack({len(features)}, {rows}) AS (feature, mean, square)"))
-    deviation = F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(MINIMUM_VARIANCE)))
+    whole = samples.filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    vectors = whole.select(array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    metrics = Summarizer.metrics("count", "mean", "variance").summary(F.col("_v"))
+    sums = vectors.groupBy(F.lit(1).alias("_all")).agg(metrics.alias("_s"))
+    each = F.arrays_zip(vector_to_array("_s.mean").alias("mean"), vector_to_array("_s.variance").alias("variance"))
+    long = sums.select(F.col("_s.count").alias("_n"), F.posexplode(each).alias("position", "_m"))
+    # the summary divides by one less than the number of rows
+    variance = F.col("_m.variance") * (F.col("_n") - 1) / F.col("_n")
+    deviation = F.sqrt(F.greatest(variance, F.lit(MINIMUM_VARIANCE)))
     return long.select(
-        "feature", "mean", F.when(deviation < MINIMUM_DEVIATION, 1.0).otherwise(deviation).alias("std")
-    )
-
-
-def vector_moments(samples: DataFrame, vector: str) -> DataFrame:
-    """The same for an array column: (position, mean, std); every element is one value of its position."""
-    long = samples.select(F.posexplode(vector).alias("position", "_v"))
-    sums = long.groupBy("position").agg(
-        F.avg("_v").alias("mean"), F.avg(F.col("_v").cast("double") * F.col("_v")).alias("_q")
-    )
-    deviation = F.sqrt(F.greatest(F.col("_q") - F.col("mean") * F.col("mean"), F.lit(MINIMUM_VARIANCE)))
-    return sums.select(
-        "position", "mean", F.when(deviation < MINIMUM_DEVIATION, 1.0).otherwise(deviation).alias("std")
+        "position", F.col("_m.mean").alias("mean"), F.when(deviation < MINIMUM_DEVIATION, 1.0).otherwise(deviation).alias("std")
     )
 
 

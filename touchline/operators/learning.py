@@ -8,12 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.evaluation import DIRECTIONS, label_statistics
+from touchline.operators.evaluation import DIRECTIONS, label_statistics, vector_moments
 from touchline.operators.rows import attach
 from touchline.operators.sequences import recent_values
 
@@ -25,42 +24,52 @@ ROLE_ORDER = ("gk", "dm", "am", "st")
 
 @dataclass(frozen=True)
 class ImitationModels:
-    """Scaler with the direction classifier, and the weighted kick classifier."""
+    """The direction classifier, the weighted kick classifier, and the mean and deviation per feature that scale both inputs."""
 
     direction: PipelineModel
     kick: PipelineModel
+    mean: list[float]
+    std: list[float]
 
 
-def as_vector(samples: DataFrame, features: str | list[str]) -> DataFrame:
-    """Put an array column or a list of columns into ``features_vector``."""
-    if isinstance(features, str):
-        return samples.withColumn("features_vector", array_to_vector(F.col(features)))
-    return VectorAssembler(inputCols=features, outputCol="features_vector").transform(samples)
+def as_array(features: str | list[str]) -> Column:
+    """An array column, or a list of columns as one array."""
+    values = F.col(features) if isinstance(features, str) else F.array(*[F.col(f) for f in features])
+    return values.cast("array<double>")
+
+
+def scaled_vector(features: str | list[str], mean: list[float], std: list[float]) -> Column:
+    """The features less their mean, in deviations, as a vector."""
+    centred = F.zip_with(as_array(features), F.lit(mean), lambda x, m: x - m)
+    return array_to_vector(F.zip_with(centred, F.lit(std), lambda x, s: x / s))
 
 
 def train(samples: DataFrame, features: str | list[str], *, width: int, epochs: int = 40, seed: int = 1337, l2: float = 1e-5) -> ImitationModels:
     """Direction (nine classes) and kick (weighted, rare) models on the training rows (ML-02).
 
-    Both are distributed learners; kicks weigh as much as the class rate asks, at most 25.
+    Both are distributed learners on features scaled by the moments of AGG-18, which are as many as there are
+    features; kicks weigh as much as the class rate asks, at most 25.
     """
     stats = label_statistics(samples).select("kick_positive_weight")
-    rows = attach(as_vector(samples, features), stats).withColumns(
+    moments = vector_moments(samples.select(as_array(features).alias("_x")), "_x").collect()  # one row per feature
+    mean, std = ([r[c] for r in sorted(moments)] for c in ("mean", "std"))
+    rows = attach(samples, stats).withColumns(
         {
+            "scaled": scaled_vector(features, mean, std),
             "direction_label": F.col("direction").cast("double"),
             "kick_label": F.col("kick").cast("double"),
             "kick_weight": F.when(F.col("kick") > 0.5, F.col("kick_positive_weight")).otherwise(1.0),
         }
     )
-    scaler = StandardScaler(inputCol="features_vector", outputCol="scaled", withMean=True, withStd=True)
     mlp = MultilayerPerceptronClassifier(
         featuresCol="scaled", labelCol="direction_label", layers=[width, HIDDEN, DIRECTIONS], maxIter=epochs, seed=seed,
         predictionCol="direction_out", probabilityCol="direction_probability", rawPredictionCol="direction_raw",
     )
     logistic = LogisticRegression(
-        featuresCol="features_vector", labelCol="kick_label", weightCol="kick_weight", regParam=l2, maxIter=epochs,
+        featuresCol="scaled", labelCol="kick_label", weightCol="kick_weight", regParam=l2, maxIter=epochs,
         predictionCol="kick_out", probabilityCol="kick_vector", rawPredictionCol="kick_raw",
     )
-    return ImitationModels(Pipeline(stages=[scaler, mlp]).fit(rows), Pipeline(stages=[logistic]).fit(rows))
+    return ImitationModels(Pipeline(stages=[mlp]).fit(rows), Pipeline(stages=[logistic]).fit(rows), mean, std)
 
 
 def gated_kick(probability: Column, threshold: float, ball_distance: Column | None = None) -> Column:
@@ -73,7 +82,8 @@ def score(
     models: ImitationModels, samples: DataFrame, features: str | list[str], *, threshold: float = 0.5, ball_distance: Column | None = None
 ) -> DataFrame:
     """Predicted direction with its confidence, kick probability and the gated kick (ML-03)."""
-    out = models.kick.transform(models.direction.transform(as_vector(samples, features)))
+    scaled = samples.withColumn("scaled", scaled_vector(features, models.mean, models.std))
+    out = models.kick.transform(models.direction.transform(scaled))
     probability = vector_to_array("kick_vector")[1]
     confidence = F.array_max(vector_to_array("direction_probability"))
     return out.select(

@@ -10,6 +10,7 @@ from touchline.functions.payload import payload_probe
 from touchline.functions.scalars import holdout_bucket
 from touchline.operators import evaluation as E
 from touchline.operators import learning as M
+from touchline.operators.rows import attach
 from touchline.session import shared_folder
 from touchline.sources import exports
 from touchline.streaming import jobs
@@ -153,6 +154,30 @@ def imitation_models(spark, folder):
     return E.evaluate(scored.withColumn("kick", F.col("kick").cast("double")))
 
 
+@query(
+    "imitation_basis", "ML-02 ML-03 AGG-18 AGG-19",
+    """WITH s AS (SELECT label % 9 AS d, vec_id % 30 = 0 AS k, embedding AS e,
+      CAST('0x' || substr(sha256('holdout-v1:' || sha256(CAST(vec_id AS VARCHAR))), 1, 16) AS UBIGINT) % 5 = 0 AS held FROM embeddings),
+    m AS (SELECT i - 1 AS position, avg(v) AS mean, sqrt(greatest(var_pop(v), 1e-8)) AS std
+      FROM (SELECT unnest(range(1, len(e) + 1)) AS i, CAST(unnest(e) AS DOUBLE) AS v FROM s WHERE NOT held) GROUP BY i),
+    h AS (SELECT count(*) AS samples, count(*) FILTER (k) AS kick_positive, count(*) FILTER (NOT k) AS kick_negative,
+      (SELECT max(n) FROM (SELECT count(*) AS n FROM s WHERE held GROUP BY d)) / count(*) AS majority FROM s WHERE held)
+    SELECT position, round(mean, 6) AS mean, round(CASE WHEN std < 1e-4 THEN 1 ELSE std END, 6) AS std, samples, kick_positive, kick_negative, round(majority, 6) AS majority_direction_accuracy FROM m CROSS JOIN h""",
+)
+def imitation_basis(spark, folder):
+    """What a trained model has apart from its weights: the scaling of each feature, and the held-out rows that it was scored on."""
+    samples = adapters.vector_samples(spark, folder)
+    held = holdout_bucket(F.sha2(F.col("sample_id").cast("string"), 256), 5) == 0
+    models = M.train(samples.filter(~held), "features", width=64, epochs=1)
+    scored = M.score(models, samples.filter(held), "features").withColumn("kick", F.col("kick").cast("double"))
+    scaling = spark.createDataFrame(list(zip(range(len(models.mean)), models.mean, models.std, strict=True)), "position long, mean double, std double")
+    basis = E.evaluate(scored).select(
+        "samples", (F.col("tp") + F.col("fn")).alias("kick_positive"), (F.col("fp") + F.col("tn")).alias("kick_negative"),
+        F.round("majority_direction_accuracy", 6).alias("majority_direction_accuracy"),
+    )
+    return attach(scaling.select("position", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")), basis)
+
+
 @query("scored_samples", "ML-03")
 def scored_samples(spark, folder):
     samples = adapters.vector_samples(spark, folder)
