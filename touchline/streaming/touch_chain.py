@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -77,39 +77,69 @@ def stream_touches(events: DataFrame) -> DataFrame:
     )
 
 
+# A goal or reset ends a stretch; a replay without one is open from its start.
+_BORDER = "kind IN ('goal', 'reset')"
+_START = -(1 << 63)
+
+
+def _touched(first: DataFrame) -> DataFrame:
+    """The replays of a batch with the begin of their open stretch; late ones have a row before it."""
+    low = F.coalesce("low", F.lit(_START))
+    return first.select("replay", F.col("first").cast("long").alias("first"), low.alias("low"), (F.col("first") < low).alias("late"))
+
+
 def run_touches(events: DataFrame, folder: str) -> DataFrame:
     """Every touch of all that is there now, as the batch chain has it, however rows fall into batches (STR-07).
 
-    A stretch begins behind a goal or reset, and nothing before it has a part in its touches. Each batch adds
-    its rows to those kept, runs the chain over every replay it touches from the last goal or reset before its
-    earliest row on, and replaces the touches from there; a row that comes late reopens its stretch and those
-    behind it. Touches that are still open have the outcome of the rows so far. Kept rows are read once a batch.
+    A stretch begins behind a goal or reset, and nothing before it has a part in its touches. Between batches
+    only open stretches are carried: each replay's rows from its last goal or reset on. A batch adds its rows to
+    them, runs the chain over every replay it touches and replaces the touches from there, so its cost follows
+    its rows and the open stretches, not the past. All rows are kept too, but they are read only for replays
+    with a row before their open stretch: such a late row reopens its stretch and those behind it. Touches that
+    are still open have the outcome of the rows so far.
     """
     needed = events.filter(F.col("kind").isin("contact", "goal", "reset")).select(*T._CHAIN_COLUMNS)
-    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in needed.schema) + ", batch long"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in needed.schema)
+    replay = f"replay {needed.schema['replay'].dataType.simpleString()}"
     out_schema = (
-        f"replay {needed.schema['replay'].dataType.simpleString()}, seq {needed.schema['seq'].dataType.simpleString()}, "
+        f"{replay}, seq {needed.schema['seq'].dataType.simpleString()}, "
         f"player {needed.schema['player'].dataType.simpleString()}, outcome int, "
         f"next_player {needed.schema['player'].dataType.simpleString()}, progression double, batch long"
     )
-    from_schema = f"replay {needed.schema['replay'].dataType.simpleString()}, low long, batch long"
+    from_schema = f"{replay}, low long, batch long"
+
+    def written(spark: SparkSession, name: str, schema: str, number: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{folder}/{name}/batch={number}")
 
     def handle(batch: DataFrame, number: int) -> None:
+        # folders are overwritten, so what a batch that is repeated left before counts once
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        # what a batch that is repeated left before counts once: folders are overwritten
-        kept = spark.read.schema(kept_schema).parquet(f"{folder}/rows").filter(F.col("batch") <= number)
-        first = kept.filter(F.col("batch") == number).groupBy("replay").agg(F.min("seq").alias("first"))
-        resets = kept.filter(F.col("kind").isin("goal", "reset")).select("replay", "seq")
-        before = resets.join(first, "replay").filter("seq < first").groupBy("replay").agg(F.max("seq").alias("low"))
-        start = first.join(before, "replay", "left").select("replay", F.coalesce("low", F.lit(-(1 << 63))).cast("long").alias("low"))
-        start.write.mode("overwrite").parquet(f"{folder}/from/batch={number}")
-        start = spark.read.schema(from_schema).parquet(f"{folder}/from").filter(F.col("batch") == number).drop("batch")
-        open_rows = kept.join(start, "replay").filter("seq >= low").select(*T._CHAIN_COLUMNS)
-        found = T.touch_outcomes(T.resolve_chain(T.chain_events(open_rows)))
+        new = written(spark, "rows", columns, number)
+        carried_schema = f"{columns}, low long"
+        carried = written(spark, "carried", carried_schema, number - 1) if number else spark.createDataFrame([], carried_schema)
+        first = new.groupBy("replay").agg(F.min("seq").alias("first"))
+        lows = carried.groupBy("replay").agg(F.max("low").alias("low"))
+        _touched(first.join(lows, "replay", "left")).write.mode("overwrite").parquet(f"{folder}/touched/batch={number}")
+        touched = written(spark, "touched", f"{replay}, first long, low long, late boolean", number)
+        late = touched.filter("late").select("replay", "first")
+        changed = carried.drop("low").unionByName(new).join(touched.filter("NOT late").select("replay", "low"), "replay")
+        if not late.isEmpty():
+            kept = spark.read.schema(f"{columns}, batch long").parquet(f"{folder}/rows").filter(F.col("batch") <= number).drop("batch")
+            before = kept.filter(_BORDER).join(late, "replay").filter("seq < first").groupBy("replay").agg(F.max("seq").alias("low"))
+            reopened = late.join(before, "replay", "left").select("replay", F.coalesce("low", F.lit(_START)).alias("low"))
+            changed = changed.unionByName(kept.join(reopened, "replay").filter("seq >= low"))
+        changed.write.mode("overwrite").parquet(f"{folder}/changed/batch={number}")
+        changed = written(spark, "changed", carried_schema, number)
+        changed.select("replay", "low").distinct().write.mode("overwrite").parquet(f"{folder}/from/batch={number}")
+        found = T.touch_outcomes(T.resolve_chain(T.chain_events(changed.select(*T._CHAIN_COLUMNS))))
         found.select("replay", "seq", "player", "outcome", "next_player", "progression").write.mode("overwrite").parquet(
             f"{folder}/out/batch={number}"
         )
+        ends = changed.groupBy("replay").agg(F.coalesce(F.max(F.when(F.expr(_BORDER), F.col("seq"))), F.max("low")).alias("low"))
+        still = changed.drop("low").join(ends, "replay").filter("seq >= low")
+        others = carried.join(touched.select("replay"), "replay", "left_anti")
+        others.unionByName(still).select(*carried.columns).write.mode("overwrite").parquet(f"{folder}/carried/batch={number}")
 
     query = (
         needed.writeStream.foreachBatch(handle)
@@ -119,10 +149,10 @@ def run_touches(events: DataFrame, folder: str) -> DataFrame:
     )
     query.awaitTermination()
     spark = events.sparkSession
-    written = spark.read.schema(out_schema).parquet(f"{folder}/out")
+    found = spark.read.schema(out_schema).parquet(f"{folder}/out")
     # a touch stands unless a later batch began at or before it
     starts = spark.read.schema(from_schema).parquet(f"{folder}/from").groupBy("replay").agg(
         F.collect_list(F.struct(F.col("batch").alias("b"), "low")).alias("starts")
     )
     replaced = F.exists("starts", lambda x: (x["b"] > F.col("batch")) & (x["low"] <= F.col("seq")))
-    return written.join(starts, "replay").filter(~replaced).drop("starts", "batch")
+    return found.join(starts, "replay").filter(~replaced).drop("starts", "batch")
