@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from touchline.functions.native_types import field, has_native_type, is_object
 from touchline.functions.scalars import composite_score, tuned_variant
 from touchline.operators.audits import not_close, violations
+from touchline.session import computed_once
 
 # Rates of a metric snapshot, the limits of the search budget, tolerance of a score.
 RATES = ("direction_accuracy", "joint_accuracy", "kick_f1")
@@ -68,16 +69,23 @@ def _is_number(value: Column, expected: Column | int) -> Column:
     return F.coalesce(_number(value) == F.lit(expected), F.lit(False))
 
 
-def metric_rules(metrics: Column, label: str) -> dict[str, Column]:
-    """What is wrong with a snapshot of metrics inside a document."""
-    there = F.coalesce(is_object(metrics), F.lit(False))
+def _metric_values(metrics: Column) -> dict[str, Column]:
+    """What :func:`metric_rules` reads of a snapshot of metrics inside a document."""
+    values = {"_measured": F.coalesce(is_object(metrics), F.lit(False))}
+    for name in (*RATES, "samples"):
+        values |= {f"_has_{name}": field(metrics, name).isNotNull(), f"_value_{name}": _number(field(metrics, name))}
+    return values
+
+
+def metric_rules(label: str) -> dict[str, Column]:
+    """What is wrong with a snapshot of metrics, from the columns of :func:`_metric_values`."""
+    there = F.col("_measured")
     rules = {f"invalid_{label}:not_object": ~there}
     for name in (*RATES, "samples"):
-        value = field(metrics, name)
-        number = _number(value)
+        given, number = F.col(f"_has_{name}"), F.col(f"_value_{name}")
         finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
-        rules[f"missing_{label}.{name}"] = there & value.isNull()
-        rules[f"invalid_{label}.{name}:non_numeric"] = there & value.isNotNull() & number.isNull()
+        rules[f"missing_{label}.{name}"] = there & ~given
+        rules[f"invalid_{label}.{name}:non_numeric"] = there & given & number.isNull()
         rules[f"invalid_{label}.{name}:non_finite"] = there & number.isNotNull() & ~finite
         if name == "samples":
             whole = number == F.floor(number)
@@ -95,18 +103,20 @@ def audit_generation_states(rows: DataFrame, subject: Column, *, schema: str) ->
     ``rows``: state (VARIANT), analysis_version, manifest_sha256.
     """
     c = F.col
-    state = c("state")
-    there = F.coalesce(is_object(state), F.lit(False))
-    manifest, champion = field(state, "manifest_sha256"), field(state, "champion")
-    crowned = there & F.coalesce(is_object(champion), F.lit(False))
-    metrics, score = field(champion, "metrics"), field(champion, "score")
-    of_metrics = metric_rules(metrics, "generation_state.champion.metrics")
+    state = c("_document")
+    rows = computed_once(rows, _document=c("state"), _subject=subject)
+    rows = computed_once(rows, _there=F.coalesce(is_object(state), F.lit(False)), _champion=field(state, "champion"))
+    champion = c("_champion")
+    rows = computed_once(rows, _crowned=c("_there") & F.coalesce(is_object(champion), F.lit(False)), _metrics=field(champion, "metrics"), _number=_number(field(champion, "score")))
+    there, crowned, metrics, number = c("_there"), c("_crowned"), c("_metrics"), c("_number")
+    rows = computed_once(rows, **_metric_values(metrics))
+    of_metrics = metric_rules("generation_state.champion.metrics")
     sound = F.lit(True)
     for broken in of_metrics.values():
         sound = sound & ~F.coalesce(broken, F.lit(False))
-    number = _number(score)
+    manifest = field(state, "manifest_sha256")
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
-    expected = composite_score(_number(field(metrics, "joint_accuracy")), _number(field(metrics, "kick_f1")))
+    expected = composite_score(c("_value_joint_accuracy"), c("_value_kick_f1"))
     rules = {
         "invalid_generation_state:not_object": ~there,
         "generation_state.schema_mismatch": there & _differs_from_text(field(state, "schema"), F.lit(schema)),
@@ -120,7 +130,7 @@ def audit_generation_states(rows: DataFrame, subject: Column, *, schema: str) ->
         "generation_state.champion_score_mismatch": crowned & finite & sound & not_close(number, expected),
         **{name: crowned & broken for name, broken in of_metrics.items()},
     }
-    return violations(rows, subject, rules)
+    return violations(rows, c("_subject"), rules)
 
 
 def audit_preregistrations(rows: DataFrame, subject: Column, *, schema: str) -> DataFrame:
@@ -130,20 +140,25 @@ def audit_preregistrations(rows: DataFrame, subject: Column, *, schema: str) ->
     manifest_sha256, shard_root.
     """
     c = F.col
-    document = c("preregistration")
-    there = F.coalesce(is_object(document), F.lit(False))
+    document = c("_document")
     of = lambda name: field(document, name)
-    expected = tuned_variant(c("generation"))
+    rows = computed_once(rows, _document=c("preregistration"), _subject=subject, **{f"_due_{n}": v for n, v in tuned_variant(c("generation")).items()})
+    rows = computed_once(
+        rows, _there=F.coalesce(is_object(document), F.lit(False)), _split=of("split"), _budget=of("budget"), _settings=of("hyperparameters"),
+        _stored=_text(of("preregistration_sha256")), _written=F.schema_of_variant(of("generation")),
+    )
+    there = c("_there")
+    expected = {n: c(f"_due_{n}") for n in tuned_variant(c("generation"))}
     number = c("generation").cast("string")
     experiment = F.concat(F.lit("gen-"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), "0"))
-    split, budget, settings = of("split"), of("budget"), of("hyperparameters")
-    has_split, has_budget = (F.coalesce(is_object(v), F.lit(False)) & there for v in (split, budget))
+    split, budget, settings = c("_split"), c("_budget"), c("_settings")
+    rows = computed_once(rows, **{f"_has{n}": F.coalesce(is_object(c(n)), F.lit(False)) & there for n in ("_split", "_budget")})
+    has_split, has_budget = c("_has_split"), c("_has_budget")
     shape = T.StructType([T.StructField(n, T.DoubleType(), False) for n in expected])
     same = has_native_type(settings, shape, False) & (F.size(F.try_variant_get(settings, "$", "map<string,variant>")) == len(expected))
     for name, value in expected.items():
         same = same & _is_number(field(settings, name), value)
-    written = F.schema_of_variant(of("generation"))
-    stored = _text(of("preregistration_sha256"))
+    written, stored = c("_written"), c("_stored")
     index = lambda side: F.concat(c("shard_root"), F.lit(f"/{side}/_index.json"))
     rules = {
         "invalid_preregistration:not_object": ~there,
@@ -168,4 +183,4 @@ def audit_preregistrations(rows: DataFrame, subject: Column, *, schema: str) ->
         "sha256_invalid": there & stored.isNull(),
         "sha256_mismatch": there & (stored != self_digest(document, "preregistration_sha256")),
     }
-    return violations(rows, subject, rules)
+    return violations(rows, c("_subject"), rules)

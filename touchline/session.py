@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folder of a local session that names none, by application.
 _PRIVATE: dict[str, str] = {}
@@ -42,6 +43,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once a row however often it is used.
+
+    A plain projection is written into every rule that reads it; a row generator of one row is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` over all tasks, before work that is heavy for the few bytes of a row.
+
+    A small file is one task, whatever its rows cost; a number of parts keeps small ones from being put together.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables, inside the shared checkpoint folder that the session names.
 

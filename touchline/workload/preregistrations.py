@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline import adapters
 from touchline.functions.scalars import tuned_variant
 from touchline.operators import preregistration as R
+from touchline.session import computed_once, spread
 from touchline.workload.registry import query
 from touchline.workload.table_audits import _checks
 
@@ -67,13 +68,15 @@ def preregistration_audit(spark, folder):
         unless("seed_mismatch", settings["seed"], F.lit(1)).alias("seed"),
         F.when(~broken("split_invalid"), split).alias("split"),
     )
-    canonical = F.regexp_replace(F.to_json(document), '"([0-9]+|0[.][0-9]+)"', "$1")
+    runs = spread(adapters.runs(spark, folder), "generation")
+    runs = computed_once(runs, canonical=F.regexp_replace(F.to_json(document), '"([0-9]+|0[.][0-9]+)"', "$1"))
+    canonical = F.col("canonical")
     digest = unless("sha256_mismatch", F.sha2(canonical, 256), F.sha2(F.lit("other"), 256))
     member = unless("sha256_invalid", F.concat(F.lit('"'), digest, F.lit('"')), F.lit("7"))
     # the digest stands first, so the keys of the written document are not in order
     whole = F.concat(F.lit('{ "preregistration_sha256": '), member, F.lit(", "), F.substring(canonical, 2, 1 << 30))
     written = unless("invalid_preregistration:not_object", whole, F.concat(F.lit("["), whole, F.lit("]")))
-    rows = adapters.runs(spark, folder).select(
+    rows = runs.select(
         "generation",
         F.parse_json(written).alias("preregistration"),
         F.concat(F.lit("champion-"), (g - 1).cast("string")).alias("parent"),
@@ -121,7 +124,7 @@ def generation_state_audit(spark, folder):
         F.lit('{"schema":'), text(F.when(g % 17 == 0, "v0").otherwise("state-v1")), F.lit(',"analysis_version":'), text(F.when(g % 19 == 0, "v6").otherwise("v7")),
         F.lit(',"manifest_sha256":'), manifest, F.lit(',"champion":'), F.when(g % 13 == 0, F.lit("null")).otherwise(champion), F.lit("}"),
     )
-    runs = adapters.runs(spark, folder).withColumn("rate", (g % 100 + 1) / F.lit(128.0))
+    runs = spread(adapters.runs(spark, folder), "generation").withColumn("rate", (g % 100 + 1) / F.lit(128.0))
     rows = runs.select(
         "generation", F.parse_json(F.when(g % 11 == 0, F.lit("[1]")).otherwise(state)).alias("state"), F.lit("v7").alias("analysis_version"), F.lit("m").alias("manifest_sha256")
     )
