@@ -56,17 +56,20 @@ def display_name(name: Column) -> Column:
 
 def name_key(name: Column) -> Column:
     """Case-folded display name; empty names are null."""
-    key = fold_case(display_name(name))
-    return F.when(F.length(key) > 0, key)
+    return _shown_key(display_name(name))
 
 
-def identity_key(auth: Column, name: Column, *, strict_auth: bool = False) -> Column:
+def _shown_key(shown: Column) -> Column:
+    return F.when(F.length(shown) > 0, fold_case(shown))
+
+
+def identity_key(auth: Column, name: Column, *, strict_auth: bool = False, shown: bool = False) -> Column:
     """``auth:<hash>``, else ``name:<key>``, else null.
 
     With ``strict_auth`` the hash is trimmed and a blank one makes the identity null instead of
-    falling back to the name.
+    falling back to the name. ``shown``: the name is a display name already.
     """
-    by_name = F.concat(F.lit("name:"), name_key(name))
+    by_name = F.concat(F.lit("name:"), _shown_key(name) if shown else name_key(name))
     if strict_auth:
         trimmed = F.regexp_replace(auth, r"(?U)^\s+|\s+$", "")
         by_auth = F.when(F.length(trimmed) > 0, F.concat(F.lit("auth:"), trimmed))

@@ -132,6 +132,43 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *,
     return running_sum(df, keys, order, F.lit(1), rank, size)
 
 
+def _counts(rows: DataFrame, keys: Sequence[str], names: Sequence[str], kind: str) -> DataFrame:
+    """Rows per key, column name and value, nulls aside: (keys, name, value, count), summed per task before the shuffle."""
+    import pyarrow as pa
+
+    def count(batches):
+        """Counts of a task in tables of few rows; a task with very many keys passes them on in pieces."""
+        held, size = [], 0
+
+        def together(tables):
+            by = [*keys, "name", "value"]
+            table = pa.concat_tables(tables).group_by(by).aggregate([("count", "sum")])
+            return table.rename_columns([c.removesuffix("_sum") for c in table.column_names]).select([*by, "count"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            for name in names:
+                own = table.select([*keys, name]).filter(table[name].is_valid())
+                own = own.group_by([*keys, name]).aggregate([([], "count_all")]).select([*keys, name, "count_all"])
+                own = own.rename_columns([*keys, "value", "count"])
+                held.append(own.append_column("name", pa.array([name] * own.num_rows, pa.string())).select([*keys, "name", "value", "count"]))
+                size += own.num_rows
+            if size > 500_000:
+                held = [together(held)]
+                size = held[0].num_rows
+                if size > 250_000:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from together(held).to_batches()
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    parts = rows.mapInArrow(count, f"{kinds}, name string, value {kind}, count long")
+    return parts.groupBy(*keys, "name", "value").agg(F.sum("count").alias("count"))
+
+
 def exact_medians(
     df: DataFrame,
     keys: Sequence[str],
@@ -141,68 +178,55 @@ def exact_medians(
 ) -> DataFrame:
     """Exact median, row count and population deviation of several columns: (keys, name, median, n, sd).
 
-    No group is ever gathered: a quantile sketch (one partial aggregate over all columns) gives two values
-    that surely enclose the middle ranks, as its rank error is at most n / accuracy. Rows below the bracket
-    are only counted; just the values inside it, a small share, are grouped and summed in order.
+    No group is ever gathered. A median is at most one deviation from the mean, so ``accuracy`` bins of one
+    width over that stretch, and one on each side, are counted first; whatever the bins are, they follow the
+    order of the values. Just the values of the bins that hold the middle ranks, a small share, are grouped
+    and summed in order.
     """
     keys = list(keys)
-    margin = 4.0 / accuracy
-    sketch = df.groupBy(*keys).agg(
-        *[
-            F.struct(
-                F.percentile_approx(v, [0.5 - margin, 0.5 + margin], accuracy).alias("cut"),
-                F.count(v).alias("n"),
-                F.stddev_pop(v).alias("sd"),
-            ).alias(f"_{v}")
-            for v in values
-        ]
+    facts = materialize(
+        df.groupBy(*keys)
+        .agg(*[F.struct(F.avg(v).alias("mean"), F.count(v).alias("n"), F.stddev_pop(v).alias("sd")).alias(f"_{v}") for v in values])
+        .coalesce(1)
     )
 
-    def bracket(v: str) -> Column:
-        found = F.col(f"_{v}")
-        return F.struct(
-            found["cut"][0].alias("low"),
-            found["cut"][1].alias("high"),
-            found["n"].alias("n"),
-            found["sd"].alias("sd"),
-        ).alias(f"_{v}")
-
-    brackets = materialize(sketch.select(*keys, *[bracket(v) for v in values]).coalesce(1))
-    tagged = df.select(*keys, *values).join(brackets.select(*keys, *[f"_{v}" for v in values]), keys)
-    # A value below its bracket becomes null: it is counted with the others but never ordered.
-    inside = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(v) <= F.col(f"_{v}")["high"],
-                    F.struct(
-                        F.lit(v).alias("name"),
-                        F.when(F.col(v) >= F.col(f"_{v}")["low"], F.col(v)).cast("double").alias("_v"),
-                    ),
-                )
-                for v in values
-            ]
+    def bin_of(v: str) -> Column:
+        place = F.try_divide(F.col(v) - F.col(f"_{v}")["mean"], F.col(f"_{v}")["sd"]) * (accuracy / 2)
+        limited = F.least(F.greatest(F.floor(F.coalesce(place, F.lit(0.0))), F.lit(-accuracy)), F.lit(accuracy))
+        return F.when(F.col(v).isNotNull(), limited.cast("int"))
+
+    marked = df.select(*keys, *values).join(F.broadcast(facts), keys)
+    binned = marked.select(*keys, *[bin_of(v).alias(v) for v in values])
+    order = Window.partitionBy(*keys, "name").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = _counts(binned, keys, values, "int").withColumnRenamed("value", "bin").select(*keys, "name", "bin", "count", F.sum("count").over(order).alias("_upto"))
+    long = facts.select(
+        *keys, F.inline(F.array(*[F.struct(F.lit(v).alias("name"), F.col(f"_{v}")["n"].alias("n"), F.col(f"_{v}")["sd"].alias("sd")) for v in values]))
+    )
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    middle = (
+        counts.join(long, [*keys, "name"])
+        .groupBy(*keys, "name")
+        .agg(
+            F.min(F.when(F.col("_upto") >= lower, F.struct("bin", (F.col("_upto") - F.col("count")).alias("below")))).alias("_from"),
+            F.min(F.when(F.col("_upto") >= upper, F.col("bin"))).alias("_to"),
+            F.first("n").alias("n"),
+            F.first("sd").alias("sd"),
         )
     )
-    counted = tagged.select(*keys, F.inline(inside)).groupBy(*keys, "name", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    facts = brackets.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(v).alias("name"), F.col(f"_{v}")["n"].alias("n"), F.col(f"_{v}")["sd"].alias("sd"))
-                    for v in values
-                ]
-            )
-        ),
+    middle = materialize(middle.select(*keys, "name", F.col("_from.bin").alias("low"), "_from.below", F.col("_to").alias("high"), "n", "sd").coalesce(1))
+    brackets = middle.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("name") == v, F.struct("low", "high"))).alias(f"_in_{v}") for v in values]
     )
-    ranks = running_sum(counted, [*keys, "name"], [F.col("_v").asc_nulls_first()], F.col("_c"), "_upto").join(facts, [*keys, "name"])
-    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    inside = {v: F.when(bin_of(v).between(F.col(f"_in_{v}")["low"], F.col(f"_in_{v}")["high"]), F.col(v).cast("double")) for v in values}
+    met = marked.join(F.broadcast(brackets), keys).select(*keys, *[hit.alias(v) for v, hit in inside.items()])
+    counted = _counts(met, keys, values, "double").select(*keys, "name", F.col("value").alias("_v"), F.col("count").alias("_c"))
+    ranks = running_sum(counted, [*keys, "name"], [F.col("_v")], F.col("_c"), "_upto").join(F.broadcast(middle), [*keys, "name"])
+    upto = F.col("_upto") + F.col("below")
     return (
         ranks.groupBy(*keys, "name")
         .agg(
-            F.min(F.when(F.col("_upto") >= lower, F.col("_v"))).alias("_a"),
-            F.min(F.when(F.col("_upto") >= upper, F.col("_v"))).alias("_b"),
+            F.min(F.when(upto >= lower, F.col("_v"))).alias("_a"),
+            F.min(F.when(upto >= upper, F.col("_v"))).alias("_b"),
             F.first("n").alias("n"),
             F.first("sd").alias("sd"),
         )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import attack_x, clamp, display_name, identity_key
-from touchline.operators.sequences import exact_medians, rank_within
-from touchline.session import materialize
+from touchline.operators.sequences import exact_medians
+from touchline.session import computed_once, materialize
 
 # Dimensions with their weight in the rating.
 DIMENSION_WEIGHTS = {
@@ -47,8 +47,10 @@ def infer_roles(rows: DataFrame, *, zero_id_unknown: bool = True) -> DataFrame:
     marked = rows.withColumns(
         {"_side": F.when(placed, F.col("team")).otherwise(-1), "_ax": attack_x(F.col("team"), F.col("average_x"))}
     )
-    ranked = rank_within(
-        marked, ["match_id", "_side"], [F.col("_ax"), F.col("player")], rank="_rank", size="_players"
+    # The players of one match are few, so a match stays together and its rows move once.
+    side = Window.partitionBy("match_id", "_side")
+    ranked = marked.withColumns(
+        {"_rank": F.row_number().over(side.orderBy("_ax", "player")), "_players": F.count(F.lit(1)).over(side)}
     )
     share = (F.col("_rank") - 1) / F.greatest(F.col("_players") - 1, F.lit(1))
     role = (
@@ -94,17 +96,14 @@ def raw_metrics(minutes: Column) -> dict[str, Column]:
 def match_evidence(rows: DataFrame) -> DataFrame:
     """Match rows with role, minutes and raw metrics; rows without identity or minutes are dropped."""
     minutes = minutes_played()
-    evidence = (
-        infer_roles(rows)
-        .withColumn("player_id", identity_key(F.col("auth_hash"), F.col("name")))
-        .withColumn("minutes", minutes)
-        .filter(F.col("player_id").isNotNull() & (F.col("minutes") > 0))
-    )
+    placed = computed_once(infer_roles(rows), _shown=display_name(F.col("name")))
+    placed = computed_once(placed, player_id=identity_key(F.col("auth_hash"), F.col("_shown"), shown=True), minutes=minutes)
+    evidence = placed.filter(F.col("player_id").isNotNull() & (F.col("minutes") > 0))
     return evidence.select(
         "player_id",
         "match_id",
         "team",
-        display_name(F.col("name")).alias("name"),
+        F.col("_shown").alias("name"),
         "role",
         "minutes",
         (F.col("total_frames") / 3600.0).alias("match_minutes"),
@@ -128,11 +127,9 @@ def normalizers(evidence: DataFrame) -> DataFrame:
     population = evidence.select(F.explode(F.array("role", F.lit("*"))).alias("role"), *[v.alias(d) for d, v in usable.items()])
     # At most five roles with eight dimensions each; written out as it is read several times.
     medians = materialize(exact_medians(population, ["role"], DIMENSIONS).coalesce(1))
-    centres = medians.groupBy("role").agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("_center")
-    )
+    centres = medians.groupBy("role").agg(*[F.max(F.when(F.col("name") == d, F.col("median"))).alias(f"_center_{d}") for d in DIMENSIONS])
     away = population.join(F.broadcast(centres), "role").select(
-        "role", *[F.abs(F.col(d) - F.col("_center")[d]).alias(d) for d in DIMENSIONS]
+        "role", *[F.abs(F.col(d) - F.col(f"_center_{d}")).alias(d) for d in DIMENSIONS]
     )
     mads = materialize(exact_medians(away, ["role"], DIMENSIONS).coalesce(1)).select("role", "name", F.col("median").alias("_mad"))
     robust = F.col("_mad") * MAD_SCALE
@@ -159,14 +156,15 @@ def normalizers(evidence: DataFrame) -> DataFrame:
 def normalize(evidence: DataFrame, norms: DataFrame) -> DataFrame:
     """Replace raw metrics by z values limited to +-3.
 
-    The normalisers become one map per role, so the evidence meets them in a single join of at most a few
+    The normalisers become one row per role, so the evidence meets them in a single join of at most a few
     roles.
     """
+    own = lambda d: F.col("dimension") == d
     per_role = norms.groupBy("role").agg(
-        F.map_from_entries(F.collect_list(F.struct("dimension", F.struct("center", "scale")))).alias("_norms")
+        *[F.max(F.when(own(d), F.col(c))).alias(f"_{c}_{d}") for d in DIMENSIONS for c in ("center", "scale")]
     )
     joined = evidence.join(F.broadcast(per_role), "role", "left")
-    z = lambda d: (F.col(d) - F.col("_norms")[d]["center"]) / F.col("_norms")[d]["scale"]
+    z = lambda d: (F.col(d) - F.col(f"_center_{d}")) / F.col(f"_scale_{d}")
     kept = [c for c in evidence.columns if c not in DIMENSIONS]
     return joined.select(*kept, *[clamp(z(d), -3.0, 3.0).alias(d) for d in DIMENSIONS])
 
@@ -191,30 +189,41 @@ def player_strengths(normalized: DataFrame) -> DataFrame:
     return sums.select("player_id", clamp(F.col("_s") / (F.col("_w") + STRENGTH_PRIOR), -2.0, 2.0).alias("strength"))
 
 
-def match_contexts(normalized: DataFrame, strengths: DataFrame) -> DataFrame:
-    """Mean strength of the others in the team and of the opponents (JON-10), as +-1 values.
+def with_contexts(normalized: DataFrame, strengths: DataFrame) -> DataFrame:
+    """Add the mean strength of the others in the team and of the opponents (JON-10), as +-1 values.
 
-    Team sums and counts answer both, so no pairs of players are formed: team mates are the sum without
-    oneself, opponents the other team's sum.
+    Sums and counts of the two teams answer both, so no pairs of players are formed: team mates are the sum
+    without oneself, opponents the other team's sum. The rows of a match, which are few, are brought
+    together once; ``_member`` marks the first row of each player in a team, null contexts spectators.
     """
-    members = normalized.filter(F.col("team").isin(1, 2)).select("match_id", "team", "player_id").distinct()
-    known = members.join(strengths, "player_id", "left").withColumn("strength", F.coalesce("strength", F.lit(0.0)))
-    teams = known.groupBy("match_id", "team").agg(F.sum("strength").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    facing = teams.select(
-        "match_id", (3 - F.col("team")).alias("team"), F.col("_sum").alias("_osum"), F.col("_n").alias("_on")
-    )
-    both = teams.join(facing, ["match_id", "team"], "left")
-    mates = F.when(F.col("_n") > 1, (F.col("_sum") - F.col("strength")) / (F.col("_n") - 1)).otherwise(0.0)
-    opponents = F.when(F.col("_on") > 0, F.col("_osum") / F.col("_on")).otherwise(0.0)
-    return known.join(both, ["match_id", "team"]).select(
-        "match_id",
-        "team",
-        "player_id",
-        clamp(mates / 2.0, -1.0, 1.0).alias("teammate_context"),
-        clamp(opponents / 2.0, -1.0, 1.0).alias("opponent_context"),
+    known = normalized.join(strengths, "player_id", "left").withColumn("_strength", F.coalesce("strength", F.lit(0.0)))
+    match = Window.partitionBy("match_id")
+    player = Window.partitionBy("match_id", "team", "player_id").orderBy("minutes")
+    playing = known.repartition("match_id").withColumn("_member", F.col("team").isin(1, 2) & (F.row_number().over(player) == 1))
+    sums = {}
+    for team in (1, 2):
+        mine = F.col("_member") & (F.col("team") == team)
+        sums[f"_sum_{team}"] = F.sum(F.when(mine, F.col("_strength")).otherwise(0.0)).over(match)
+        sums[f"_n_{team}"] = F.sum(F.when(mine, 1).otherwise(0)).over(match)
+    both = playing.withColumns(sums)
+    of = lambda what, own: F.when((F.col("team") == 1) == F.lit(own), F.col(f"_{what}_1")).otherwise(F.col(f"_{what}_2"))
+    mates = F.when(of("n", True) > 1, (of("sum", True) - F.col("_strength")) / (of("n", True) - 1)).otherwise(0.0)
+    opponents = F.when(of("n", False) > 0, of("sum", False) / of("n", False)).otherwise(0.0)
+    plays = F.col("team").isin(1, 2)
+    return both.select(
+        *normalized.columns,
+        "_member",
+        F.when(plays, clamp(mates / 2.0, -1.0, 1.0)).alias("teammate_context"),
+        F.when(plays, clamp(opponents / 2.0, -1.0, 1.0)).alias("opponent_context"),
     )
 
 
+def match_contexts(normalized: DataFrame, strengths: DataFrame) -> DataFrame:
+    """The contexts of every player of a team, once: (match_id, team, player_id, both contexts)."""
+    columns = ["match_id", "team", "player_id", "teammate_context", "opponent_context"]
+    return with_contexts(normalized, strengths).filter("_member").select(*columns)
+
+
 def context_adjustment(teammate: Column, opponent: Column, difficulty: Column | None = None) -> Column:
     """Small bounded correction of an observation."""
     none = F.lit(0.0)
@@ -276,9 +285,9 @@ def rating_columns() -> dict[str, Column]:
     }
 
 
-def observations(normalized: DataFrame, contexts: DataFrame) -> DataFrame:
+def observations(normalized: DataFrame, strengths: DataFrame) -> DataFrame:
     """Normalised rows with contexts and weights, ready for :func:`shrink`."""
-    joined = normalized.join(contexts, ["match_id", "team", "player_id"], "left")
+    joined = with_contexts(normalized, strengths).drop("_member")
     none = F.lit(0.0)
     mate, opponent = F.coalesce("teammate_context", none), F.coalesce("opponent_context", none)
     return joined.withColumns(
@@ -310,12 +319,14 @@ def roll_up(rows: DataFrame) -> DataFrame:
     ]
     named = parts.groupBy("player_id", "name").agg(*[F.sum(n).alias(n) for n in first], *by_role)
     roles = [f"_r_{r}" for r in ROLES]
+    # Minutes are multiples of 1/3600: rounding takes away what the order of summing adds to equal ones.
+    played = lambda r: F.round(F.col(f"_r_{r}"), 6)
     shown = F.when(F.length("name") > 0, F.struct((-F.col("observation_count")).alias("_n"), "name"))
     totals = named.groupBy("player_id").agg(
         *[F.sum(n).alias(n) for n in [*first, *roles]], F.min(shown)["name"].alias("name")
     )
     main_role = F.array_min(
-        F.array(*[F.struct((-F.col(f"_r_{r}")).alias("_m"), F.lit(r).alias("role")) for r in ROLES])
+        F.array(*[F.struct((-played(r)).alias("_m"), F.lit(r).alias("role")) for r in ROLES])
     )["role"]
     count = F.col("observation_count")
     rated = totals.select(

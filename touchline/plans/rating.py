@@ -17,5 +17,4 @@ def leaderboard(rows: DataFrame) -> DataFrame:
     evidence = materialize(skill.match_evidence(rows))
     norms = materialize(skill.normalizers(evidence).coalesce(1))
     normalized = skill.normalize(evidence, norms)
-    contexts = skill.match_contexts(normalized, skill.player_strengths(normalized))
-    return skill.roll_up(skill.observations(normalized, contexts))
+    return skill.roll_up(skill.observations(normalized, skill.player_strengths(normalized)))

@@ -308,7 +308,7 @@ def match_contexts(spark, folder):
 )
 def skill_estimates(spark, folder):
     rows = _normalized(spark, folder)
-    seen = S.observations(rows, S.match_contexts(rows, S.player_strengths(rows)))
+    seen = S.observations(rows, S.player_strengths(rows))
     wide = S.shrink(seen, prior_weight=S.RATING_PRIOR)
     stacked = ", ".join(f"'{d}', {d}.mean, {d}.uncertainty, {d}.effective_weight" for d in S.DIMENSIONS)
     long = wide.select(
@@ -317,16 +317,24 @@ def skill_estimates(spark, folder):
     return long
 
 
+# Weighted sums of values of six digits fall on the middle between two shown values; as decimals they round the same everywhere.
 @query(
     "skill_leaderboard", "AGG-10 TOP-01",
-    f"""{WITH_SKILL} SELECT player_id, name, matches, round(minutes, 4) AS minutes, role, round(overall_z, 5) AS overall_z,
-      round(rating, 4) AS rating, round(rating_uncertainty, 4) AS rating_uncertainty,
-      round(mate, 5) AS average_teammate_context, round(opp, 5) AS average_opponent_context FROM board""",
+    f"""{WITH_SKILL}, main AS (
+      SELECT player_id, arg_min(role, (-m, role)) AS role
+      FROM (SELECT player_id, role, round(sum(minutes), 6) AS m FROM obs GROUP BY ALL) GROUP BY ALL
+    )
+    SELECT player_id, name, matches, round(minutes, 4) AS minutes, main.role AS role,
+      CAST(round(CAST(overall_z AS DECIMAL(18, 9)), 5) AS DOUBLE) AS overall_z,
+      CAST(round(CAST(rating AS DECIMAL(18, 9)), 4) AS DOUBLE) AS rating,
+      CAST(round(CAST(rating_uncertainty AS DECIMAL(18, 9)), 4) AS DOUBLE) AS rating_uncertainty,
+      round(mate, 5) AS average_teammate_context, round(opp, 5) AS average_opponent_context
+    FROM board JOIN main USING (player_id)""",
 )
 def skill_leaderboard(spark, folder):
+    exact = lambda name, digits: F.round(F.col(name).cast("decimal(18,9)"), digits).cast("double").alias(name)
     return leaderboard(adapters.player_match(spark, folder)).select(
-        "player_id", "name", "matches", *_r("minutes"), "role", *_r("overall_z", digits=5),
-        *_r("rating", "rating_uncertainty"),
+        "player_id", "name", "matches", *_r("minutes"), "role", exact("overall_z", 5), exact("rating", 4), exact("rating_uncertainty", 4),
         *_r("average_teammate_context", "average_opponent_context", digits=5),
     )
 
