@@ -143,7 +143,8 @@ def replay_families(replays: DataFrame, reports: DataFrame, *, by_time: bool) ->
 
 
 def report_families(reports: DataFrame, *, minimum: float, by_time: bool) -> DataFrame:
-    """Families of every report with the score a member of them gives: (id, family, score)."""
+    """Families of every report with the score a member of them gives: (id, family, score); two attachments may give
+    the same row twice."""
     exploded = reports.select("_id", "timestamp", "attachments", F.posexplode("attachments").alias("_pos", "_a"))
     named = _named(exploded, F.col("_a.file_name"))
     name, plain, first = F.col("_name"), F.col("_plain"), F.col("_pos") == 0
@@ -186,7 +187,7 @@ def report_families(reports: DataFrame, *, minimum: float, by_time: bool) -> Dat
             F.when(F.abs(F.col("_m") * 60 - F.col("_at")) <= CLOSE_SECONDS, CLOSE_TIME).otherwise(NEAR_TIME).alias("score"),
         )
         out = out.unionByName(minutes)
-    return out.filter(F.col("score") >= minimum).distinct()
+    return out.filter(F.col("score") >= minimum)
 
 
 def _with_order(df: DataFrame, key: str) -> DataFrame:
@@ -196,16 +197,20 @@ def _with_order(df: DataFrame, key: str) -> DataFrame:
 
 def _round(replays: DataFrame, reports: DataFrame, span: int) -> DataFrame:
     """Pairs that are final now. ``replays``: _id, family; ``reports``: _id, family, score."""
+    # Only the best score of a family can be somebody's best.
     first_replay = replays.groupBy("family").agg(F.min("_id").alias("_first"))
-    first_report = reports.groupBy("family", "score").agg(F.min("_id").alias("_first"))
+    first_report = reports.groupBy("family").agg(F.min(F.struct((-F.col("score")).alias("_s"), "_id")).alias("_top")).select(
+        "family", (-F.col("_top._s")).alias("score"), F.col("_top._id").alias("_first")
+    )
 
     def choices(side: DataFrame, leaders: DataFrame) -> DataFrame:
         """Per member its best score and the leaders of its two earliest families at that score."""
-        offers = side.join(leaders, "family").groupBy("_id", "score").agg(
-            F.slice(F.sort_array(F.collect_set(F.struct("_first", "family"))), 1, 2).alias("_two")
+        offers = side.join(leaders, "family").groupBy("_id").agg(
+            F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("_s"), "_first", "family"))), 1, 2).alias("_two")
         )
-        return offers.groupBy("_id").agg(F.max(F.struct("score", "_two")).alias("_best")).select(
-            "_id", F.col("_best.score").alias("best"), F.col("_best._two").alias("two")
+        same = F.filter("_two", lambda o: o["_s"] == F.col("_two")[0]["_s"])
+        return offers.select(
+            "_id", (-F.col("_two")[0]["_s"]).alias("best"), F.transform(same, lambda o: F.struct(o["_first"].alias("_first"), o["family"].alias("family"))).alias("two")
         )
 
     replay_choice = choices(replays, first_report)
@@ -253,10 +258,13 @@ def match_replays(
     by_time = minimum <= CLOSE_TIME
     a = _with_order(replays.select("sha256", "path", "file_name", "size_bytes"), "sha256")
     b = _with_order(reports.select("message_id", "timestamp", "attachments"), "message_id")
-    left = replay_families(a, b, by_time=by_time)
     right = materialize(report_families(b, minimum=minimum, by_time=by_time))
-    # Members of families that the other side does not know can never match.
-    left = materialize(left.join(right.select("family").distinct(), "family", "left_semi"))
+    # Families are numbered, so that the rounds move two numbers and not names. Members of families that the
+    # other side does not know can never match.
+    known = materialize(right.select("family").distinct().withColumn("_no", F.monotonically_increasing_id()))
+    numbered = lambda side, *more: side.join(known, "family").select("_id", F.col("_no").alias("family"), *more)
+    left = materialize(numbered(replay_families(a, b, by_time=by_time)))
+    right = numbered(right, "score").distinct()
     right = materialize(right.join(left.select("family").distinct(), "family", "left_semi"))
     done = []
     while not right.isEmpty():

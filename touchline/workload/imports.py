@@ -199,7 +199,7 @@ def canonical_match_rows(spark, folder):
 )
 def unmatched_sides(spark, folder):
     replays, reports = _sides(spark, folder)
-    return I.unmatched(M.match_replays(replays, reports), replays, reports)
+    return I.unmatched(materialize(M.match_replays(replays, reports)), replays, reports)
 
 
 @query(
@@ -214,7 +214,7 @@ def unmatched_sides(spark, folder):
 def import_manifest(spark, folder):
     replays, reports = _sides(spark, folder)
     files = adapters.files(spark, folder)
-    matches = M.match_replays(replays, reports)
+    matches = materialize(M.match_replays(replays, reports))
     failures = I.probe_headers(adapters.replay_contents(spark, folder)).filter("error IS NOT NULL")
     return I.import_manifest(
         files, I.content_groups(files), reports, matches, I.unmatched(matches, replays, reports), failures
