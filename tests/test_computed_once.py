@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.operators import gates as G
 from touchline.operators import preregistration as R
 from touchline.workload import ENTRIES
 
@@ -31,6 +32,13 @@ def test_preregistration_is_read_once(spark):
     assert [tuple(r) for r in found.select("subject", "check").collect()] == [("[1]", "invalid_preregistration:not_object")]
 
 
-@pytest.mark.parametrize("name", ["generation_state_audit", "preregistration_audit"])
+def test_gate_evidence_is_read_once(spark):
+    rows = spark.createDataFrame([("{}",)], "text string")
+    found = G.gate_evidence_issues(rows.select(F.parse_json("text").alias("document")))
+    assert parses(found) == 1
+    assert found.columns == ["document", "issues"]
+
+
+@pytest.mark.parametrize("name", ["generation_state_audit", "preregistration_audit", "gate_evidence_issues"])
 def test_documents_are_dealt_over_tasks(spark, name):
     assert ENTRIES[name].run(spark, SMALL).rdd.getNumPartitions() == 4

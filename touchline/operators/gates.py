@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.scalars import composite_score
 from touchline.operators.sequences import look_around
-from touchline.session import materialize
+from touchline.session import computed_once, materialize
 
 # Policy of the promotion and of the offline gate.
 MINIMUM_GAMES, MINIMUM_LOWER_BOUND, MINIMUM_PASS_RATE = 500, 0.51, 0.98
@@ -221,14 +221,15 @@ GATE_SPLIT_FIELDS = ("samples", "direction_accuracy", "kick_f1", "kick_true_rate
 
 def gate_evidence_issues(documents: DataFrame, column: str = "document", split: str = "final_holdout") -> DataFrame:
     """Everything a VARIANT evidence document lacks for the strictest gate (FLT-10)."""
-    at = lambda path: F.try_variant_get(F.col(column), f"$.{path}", "variant")
+    rows = computed_once(documents, _document=F.col(column))
+    at = lambda path: F.try_variant_get("_document", f"$.{path}", "variant")
     is_object = lambda path: F.coalesce(F.schema_of_variant(at(path)).startswith("OBJECT"), F.lit(False))
     absent = lambda path: at(path).isNull()
     need = lambda inside, path: F.when(inside & absent(path), f"missing_{path}")
     held = is_object(split)
     frozen, source = "training.frozen_holdout_used_for_selection", "training.kick_threshold_source"
-    is_false = F.coalesce(~F.try_variant_get(F.col(column), f"$.{frozen}", "boolean"), F.lit(False))
-    validated = F.coalesce(F.try_variant_get(F.col(column), f"$.{source}", "string") == "validation_only", F.lit(False))
+    is_false = F.coalesce(~F.try_variant_get("_document", f"$.{frozen}", "boolean"), F.lit(False))
+    validated = F.coalesce(F.try_variant_get("_document", f"$.{source}", "string") == "validation_only", F.lit(False))
     issues = [
         F.when(~is_object("training"), "missing_training"),
         F.when(absent(frozen), f"missing_{frozen}").when(~is_false, f"{frozen}_must_be_false"),
@@ -253,4 +254,4 @@ def gate_evidence_issues(documents: DataFrame, column: str = "document", split:
         issues.append(F.when(held & ~is_object(path), f"missing_{path}"))
         issues.append(need(is_object(path), f"{path}.direction_accuracy"))
         issues.append(with_baseline(is_object(path), path))
-    return documents.withColumn("issues", F.array_compact(F.array(*issues)))
+    return rows.withColumn("issues", F.array_compact(F.array(*issues))).drop("_document")
