@@ -10,8 +10,9 @@ from touchline.session import materialize
 
 
 def selection(board: DataFrame, **policy) -> DataFrame:
-    """Selected players. The leaderboard is written out first: ranking looks at it more than once."""
-    return C.select_players(materialize(board), **policy)
+    """Selected players. The leaderboard is written out first: ranking looks at it more than once; the selection
+    too, so that its size is known to the joins."""
+    return materialize(C.select_players(materialize(board), **policy))
 
 
 def training_manifest(
