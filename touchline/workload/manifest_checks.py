@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline import adapters
@@ -56,8 +57,8 @@ def _lists(spark, folder):
         (score / 10).alias("conservative_score"), F.when(key % 37 == 2, -1).otherwise(key % 50).alias("matches"), F.col("s_acctbal").alias("minutes"),
     )
     lines = adapters.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
-    # line numbers repeat, so a line's place is its rank
-    placed = rank_within(lines, ["l_orderkey"], [F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_quantity")], rank="position")
+    # line numbers repeat, so a line's place is its rank; an order has few lines
+    placed = lines.withColumn("position", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_quantity")))
     members = materialize(placed.select(
         F.sha2(order.cast("string"), 256).alias("replay_sha256"), "position",
         F.when((order % 37 == 0) & (place == 2), 2).when((order % 41 == 0) & (place == 3), 1).when((order % 53 == 0) & (place == 1), -2).otherwise(place * 2).alias("replay_player_id"),
