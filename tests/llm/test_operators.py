@@ -303,6 +303,26 @@ def test_crowded_buckets_lose_no_link(spark):
     assert got == brute.components(rows, 3, 85)
 
 
+def test_crowds_at_the_threshold_lose_no_link(spark):
+    """Most of a crowd is hardly less alike than linked texts, so no leader and no key sets linked ones apart."""
+    draw, base, rows = random.Random(5), prose(13, 200).split(), []
+    for n in range(300):
+        words = list(base)
+        for at in draw.sample(range(200), 5):
+            words[at] = f"v{n}_{at}"
+        rows.append((n, " ".join(words)))
+        if n % 10 == 0:
+            words[draw.randrange(200)] = "other"
+            rows.append((1000 + n, " ".join(words)))
+        if n % 10 == 5:
+            for at in draw.sample(range(200), 4):
+                words[at] = f"x{n}_{at}"
+            rows.append((1000 + n, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component"]) for r in tensor_minhash.near_duplicates(df, 3, 85, 16, 3).collect()}
+    assert got == brute.components(rows, 3, 85)
+
+
 def test_chance_to_miss():
     assert tensor_minhash.missed(0.85, 16, 3) < 1e-5 and tensor_minhash.missed(0.8, 18, 3) < 1e-4
 

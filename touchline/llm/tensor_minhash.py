@@ -11,15 +11,14 @@ Links are wanted up to reachability, so candidates are never expanded into all p
 2. Collection values that one class alone has cannot match; only shared ones are combined into keys.
 3. In a round, every class is compared with one class that leads a bucket, that which it meets in most
    buckets. Links are contracted. Buckets that lie inside one component are done.
-4. Classes in buckets that still hold several components after two rounds get finer buckets: first by the rarest
-   of their own shingles, which two linked sets must share, at places of the order that leave enough in
-   common; then, round by round, by ``COMBINED`` combinations of three to six collections, drawn anew each time. Every class
-   is compared with the ``HEADS`` leaders of each of its finer buckets. Rounds end when every number of
-   collections has been tried and ``QUIET`` of them in turn have added no link. What a round compares is linear in classes and keys.
+4. What is left after ``LEADER_ROUNDS`` is compared exactly (``_rest``): every two classes of different components that
+   meet in a bucket. Classes are put into blocks of bounded size, and a task gets one pair of blocks that meet, with the
+   texts of both, so no pair of classes is ever a row. Blocks of one component are not compared, and inside a task pairs
+   that its links have connected already are left out.
 
-A link is missed if no table is shared (at the threshold itself with a chance below ``1e-4``, which falls
-quickly with the similarity, ``missed``), or if it is one of few in a crowd whose other sets are hardly less alike, so
-that no finer bucket sets its two ends apart; the README has measured shares.
+A link is missed only if no table is shared (at the threshold itself with a chance below ``1e-4``, which falls
+quickly with the similarity, ``missed``). Comparisons of the last step grow with the square of a crowd whose sets meet in
+buckets but are not linked.
 
 Defined results: a document without words has an empty set and links with nothing; documents of fewer
 words than a shingle have their whole sequence as one; equal texts link; rows with a null id are judged by
@@ -35,17 +34,17 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.components import roots
 from touchline.llm.text import WordHashes, byte_texts, flat_lists, mixed, shingles, signed
 from touchline.session import materialize
 
-#: Rounds with leaders before the buckets are refined; leaders of a finer bucket, and rounds without a link after which none is looked for.
-LEADER_ROUNDS, HEADS, QUIET = 2, 2, 2
-#: Collections that finer keys combine, in turn, and keys of a class in a round.
-SIZES, COMBINED = (3, 4, 5, 6), 64
+#: Rounds with leaders before all that is left is compared.
+LEADER_ROUNDS = 2
+#: Shingles of a block of classes; every class counts ``CLASS_WEIGHT`` more, so a block has few of them.
+BLOCK_WEIGHT, CLASS_WEIGHT = 1_000_000, 4_000
 
 _SIGNATURE = "id long, n_shingles long, a long, b long, signature array<long>"
 _ROWS_AT_ONCE = 2048
@@ -102,14 +101,22 @@ def signatures(documents: DataFrame, width: int, collections: int, per_collectio
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(id, n, at, key) for every pair of collections in which the class shares both values with others."""
+    """(id, n, key) for every pair of collections in which the class shares both values with others."""
     values = classes.select("id", "n", F.posexplode("signature").alias("collection", "value"))
     shared = values.groupBy("collection", "value").agg(F.count("*").alias("c")).where("c > 1").select("collection", "value")
     lists = values.join(shared, ["collection", "value"]).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("collection", "value"))).alias("s"))
     pairs = F.flatten(
         F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.xxhash64(x["collection"], x["value"], y["collection"], y["value"])))
     )
-    return lists.where(F.size("s") > 1).select("id", "n", F.lit(0).cast("long").alias("at"), F.explode(pairs).alias("key"))
+    return lists.where(F.size("s") > 1).select("id", "n", F.explode(pairs).alias("key"))
+
+
+def _linked(own: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    if min(len(own), len(other)) * 100 < percent * max(len(own), len(other)):
+        return False
+    common = int((other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own).sum())
+    return common > 0 and 100 * common >= percent * (len(own) + len(other) - common)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -123,12 +130,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             for (u, v), left, right in zip(names, byte_texts(batch.column(2)), byte_texts(batch.column(3)), strict=True):
                 if v != last or right != held[0]:  # rows come sorted by v
                     last, held = v, (right, shingle_set(right, width, table))
-                own, other = shingle_set(left, width, table), held[1]
-                if min(len(own), len(other)) * 100 < percent * max(len(own), len(other)):
-                    continue
-                at = np.minimum(np.searchsorted(other, own), len(other) - 1)
-                common = int((other[at] == own).sum())
-                if common and 100 * common >= percent * (len(own) + len(other) - common):
+                if _linked(shingle_set(left, width, table), held[1], percent):
                     out.append((u, v))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
@@ -152,107 +154,103 @@ def near_duplicates(
     # the texts of candidates alone
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     texts = materialize(rows.join(buckets.select("id").distinct(), "id", "left_semi"))
-    labels, tested, left, quiet, turn = None, None, buckets, 0, 0
-    while quiet < QUIET:
-        finer = turn >= LEADER_ROUNDS
-        if turn == LEADER_ROUNDS:  # finer buckets for the classes that are left
-            open_ = materialize(_open_buckets(left, labels, turn, 1))
-            if open_.isEmpty():
-                break
-            left = materialize(_prefix_buckets(open_, texts, width, percent))
-            still = materialize(classes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "n", "signature"))
-        elif finer:
-            left = _combined_buckets(still, collections, SIZES[(turn - LEADER_ROUNDS - 1) % len(SIZES)], turn)
-        open_ = _open_buckets(left, labels, turn, HEADS if finer else 1)
+    labels, left = None, buckets
+    for turn in range(LEADER_ROUNDS):
+        open_ = _open_buckets(left, labels, turn)
         if turn:
             open_ = materialize(open_)
-            if not finer and open_.isEmpty():
-                break
-        pairs = (_head_pairs(open_, percent) if finer else _leader_pairs(open_, percent)).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = materialize(pairs)
-        links = _verified(pairs, texts, width, percent)
-        quiet = quiet + 1 if turn >= LEADER_ROUNDS + len(SIZES) - QUIET + 1 and links.isEmpty() else 0
+        links = _verified(materialize(_leader_pairs(open_, percent)), texts, width, percent)
         labels = _relabelled(labels, links)
-        tested = pairs if tested is None else tested.union(pairs)
-        left, turn = open_.select("key", "id", "n", "at"), turn + 1
+        left = open_.select("key", "id", "n")
+    labels = _relabelled(labels, _rest(left, labels, classes, texts, width, percent))
     members = classes.join(labels, "id", "left").select("a", "b", F.coalesce("label", "id").alias("component"))
     return signed_rows.join(members, ["a", "b"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
-def _open_buckets(buckets: DataFrame, labels: DataFrame | None, turn: int, heads: int) -> DataFrame:
-    """(key, id, n, at, label, heads) of the buckets that hold several components; heads are classes of the bucket,
-    in the first turn the smallest, then some by as many hashes."""
-    known = buckets.withColumn("label", F.col("id")) if labels is None else buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    order = lambda i: (F.xxhash64("id", F.lit(turn * HEADS + i)) if turn else F.lit(0)).alias("order")
-    each = [F.min(F.struct(order(i), "id", "n", "at", "label")).alias(f"h{i}") for i in range(heads)]
-    found = known.groupBy("key").agg(*each, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return known.join(found.select("key", F.array(*[f"h{i}" for i in range(heads)]).alias("heads")), "key")
-
-
-def _prefix_buckets(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, id, n, at) for the rarest shingles of the classes of ``open_``, as many as one of two linked sets must
-    share with the other.
-
-    Linked sets have ``percent`` of the larger in common, so in any order of all shingles they share one of
-    the first ``n - ceil(percent * n / 100) + 1`` of either. The order is by frequency among these classes;
-    shingles that one class alone has come first and give no key.
-    """
-    schema = "id long, shingles array<long>"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
-        for batch in batches:
-            sets = [signed(shingle_set(body, width, table)) for body in byte_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat_lists(np.concatenate([np.zeros(0, np.int64), *sets]), [len(s) for s in sets], pa.int64())], names=["id", "shingles"])
-
-    classes = open_.groupBy("id").agg(F.first("n").alias("n"))
-    each = texts.join(classes.select("id"), "id", "left_semi").select("id", "text").mapInArrow(cut, schema).select("id", F.explode("shingles").alias("key"))
-    each = materialize(each)
-    often = each.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    shared = each.join(often, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("s")).join(classes, "id")
-    alone = F.col("n") - F.size("s")
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    placed = shared.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("place", "x"))
-    return placed.select("id", "n", (F.col("alone") + F.col("place")).alias("at"), "x.key")
-
-
-def _combined_buckets(classes: DataFrame, collections: int, size: int, turn: int) -> DataFrame:
-    """(id, n, at, key) by the values of ``COMBINED`` draws of ``size`` collections, the same draws for all classes."""
-    rng = np.random.default_rng([turn, size])
-    draws = [sorted(rng.choice(collections, min(size, collections), replace=False).tolist()) for _ in range(COMBINED)]
-    keys = [F.xxhash64(F.lit(j), F.lit(turn), *[F.col("signature")[c] for c in own]) for j, own in enumerate(draws)]
-    return classes.select("id", "n", F.lit(0).cast("long").alias("at"), F.explode(F.array(*keys)).alias("key"))
-
-
-def _can_link(n: Column, at: Column, other_n: Column, other_at: Column, percent: int) -> Column:
-    """Whether two sets can have enough in common from these places of their orders on.
-
-    Linked sets of ``n`` and ``other_n`` shingles have ``percent * (n + other_n) / (100 + percent)`` in common.
-    The first shingle they share in the order has all of these from its places on; a bucket that is not made
-    of a shingle counts as place 0, which leaves the condition on the sizes.
-    """
-    return F.least(n - at, other_n - other_at) * (100 + percent) >= percent * (n + other_n)
+def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return buckets.withColumn("label", F.col("id"))
+    return buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _met(open_: DataFrame, percent: int) -> DataFrame:
-    """(id, head) of every class and every head of its buckets, outside the head's component."""
-    each = open_.select("id", "n", "at", "label", F.explode("heads").alias("head"))
-    head = lambda c: F.col(f"head.{c}")
-    return each.where((F.col("label") != head("label")) & _can_link(F.col("n"), F.col("at"), head("n"), head("at"), percent)).select("id", head("id").alias("head"))
+def _open_buckets(buckets: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """(key, id, n, label, head) of the buckets that hold several components; the head is a class of the bucket,
+    in the first turn the smallest, then one by a hash."""
+    known = _labelled(buckets, labels)
+    order = (F.xxhash64("id", F.lit(turn)) if turn else F.lit(0)).alias("order")
+    found = known.groupBy("key").agg(F.min(F.struct(order, "id", "n", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return known.join(found.where("low < high").select("key", "head"), "key")
 
 
 def _leader_pairs(open_: DataFrame, percent: int) -> DataFrame:
     """Every class outside the heads' components with the head that it meets in most buckets."""
-    counted = _met(open_, percent).groupBy("id", "head").agg(F.count("*").alias("times"))
-    best = counted.groupBy("id").agg(F.max(F.struct("times", "head")).alias("x"))
-    return best.select(F.least("id", "x.head").alias("u"), F.greatest("id", "x.head").alias("v"))
+    n, m = F.col("n"), F.col("head.n")
+    alike = F.least(n, m) * 100 >= percent * F.greatest(n, m)
+    met = open_.where((F.col("label") != F.col("head.label")) & alike).select("id", F.col("head.id").alias("head"))
+    best = met.groupBy("id", "head").agg(F.count("*").alias("times")).groupBy("id").agg(F.max(F.struct("times", "head")).alias("x"))
+    return best.select(F.least("id", "x.head").alias("u"), F.greatest("id", "x.head").alias("v")).distinct()
 
 
-def _head_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """Every class with all the heads that it meets."""
-    return _met(open_, percent).select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v"))
+def _blocks(open_: DataFrame) -> DataFrame:
+    """(id, label, block) of the classes of open buckets.
+
+    Classes with the same smallest class in their buckets are a crowd. A component that fills a block of a
+    crowd has blocks of its own; the others share blocks, a component in one.
+    """
+    first = open_.groupBy("id", "label").agg(F.max("n").alias("n"), F.min("head.id").alias("crowd"))
+    weight = F.sum(F.col("n") + CLASS_WEIGHT).alias("weight")
+    sums = first.groupBy("crowd", "label").agg(weight).withColumn("own", F.col("weight") >= BLOCK_WEIGHT)
+    shared = sums.where("NOT own").groupBy("crowd").agg(F.sum("weight").alias("shared"))
+    parts = sums.join(shared, "crowd", "left").select(
+        "crowd", "label", "own", F.ceil(F.when(F.col("own"), F.col("weight")).otherwise(F.col("shared")) / BLOCK_WEIGHT).alias("parts")
+    )
+    dealt = F.when(F.col("own"), F.xxhash64("id")).otherwise(F.xxhash64("label"))
+    block = F.xxhash64("crowd", F.when(F.col("own"), F.col("label")), F.pmod(dealt, "parts"))
+    return first.join(parts, ["crowd", "label"]).select("id", "label", block.alias("block"))
+
+
+def _rest(buckets: DataFrame, labels: DataFrame | None, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) that connect all classes which are linked, meet in a bucket and lie in different components."""
+    open_ = materialize(_open_buckets(buckets, labels, 0).select("key", "id", "n", "label", "head"))
+    placed = materialize(_blocks(open_))
+    span = placed.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    held = open_.select("key", "id").join(placed.select("id", "block"), "id").select("key", "block").distinct().join(span, "block")
+    left, right = (held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")]) for side in "ij")
+    several = (F.least("low_i", "low_j") < F.greatest("high_i", "high_j")) & (F.col("block_i") <= F.col("block_j"))
+    meet = materialize(left.join(right, "key").where(several).select("block_i", "block_j").distinct())
+    sent = meet.select("block_i", "block_j", F.explode(F.array_distinct(F.array("block_i", "block_j"))).alias("block"))
+    whole = placed.join(classes.select("id", "n", "signature"), "id").join(texts, "id").select("block", "id", "label", "n", "signature", "text")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        block, ids, label, n = (rows.column(c).to_numpy() for c in ("block", "id", "label", "n"))
+        signature = rows.column("signature").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        within = block.min() == block.max()
+        table, sets, bodies, root, out = WordHashes(), {}, rows.column("text").combine_chunks(), {}, []
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(next(byte_texts(bodies.slice(i, 1))), width, table)
+            return sets[i]
+
+        def top(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        for i in range(len(ids)):
+            after = slice(i + 1, None)
+            near = (label[after] != label[i]) & (np.minimum(n[after], n[i]) * 100 >= percent * np.maximum(n[after], n[i]))
+            if not within:
+                near &= block[after] != block[i]
+            at = np.flatnonzero(near) + i + 1
+            for j in at[(signature[at] == signature[i]).sum(axis=1) > 1]:
+                a, b = top(label[i]), top(label[j])
+                if a != b and _linked(set_of(i), set_of(j), percent):
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[j]))
+        return pa.table({"u": pa.array([min(x) for x in out], pa.int64()), "v": pa.array([max(x) for x in out], pa.int64())})
+
+    return materialize(sent.join(whole, "block").groupBy("block_i", "block_j").applyInArrow(compare, "u long, v long"))
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
