@@ -41,3 +41,18 @@ def test_contexts_need_no_join_of_match_rows(spark):
     assert executed(found).count("Join ") == 1
     got = {r.player_id: (r.teammate_context, r.opponent_context) for r in found.collect()}
     assert got == {"a": (0.25, -0.5), "b": (0.5, -0.5), "c": (0.0, 0.375)}
+
+
+def test_everybody_is_measured_only_where_a_role_needs_it(spark, monkeypatch):
+    """29 forwards have a value of pressure_recovery, so that dimension alone takes everybody's."""
+    values = ["CAST(id % 37 AS DOUBLE) AS " + d for d in S.DIMENSIONS if d != "pressure_recovery"]
+    rows = spark.range(200).selectExpr("IF(id % 2 = 0, 'forward', 'midfield') AS role", "2D AS minutes", "id", *values)
+    rows = rows.withColumn("pressure_recovery", F.when((F.col("role") == "midfield") | (F.col("id") < 58), F.col("id").cast("double")))
+    asked = []
+    measured = S.exact_medians
+    monkeypatch.setattr(S, "exact_medians", lambda df, *a, **k: asked.append(df) or measured(df, *a, **k))
+    got = {(r.role, r.dimension): r.center for r in S.normalizers(rows).collect()}
+    counted = [df.where("role = '*'").agg(*[F.count(d).alias(d) for d in S.DIMENSIONS]).first().asDict() for df in asked]
+    assert [{d for d, n in c.items() if n} for c in counted] == [{"pressure_recovery"}] * 2
+    everybody = sorted(r.pressure_recovery for r in rows.where("pressure_recovery IS NOT NULL").collect())
+    assert got["forward", "pressure_recovery"] == everybody[len(everybody) // 2] and len(got) == 16

@@ -119,12 +119,17 @@ def normalizers(evidence: DataFrame) -> DataFrame:
     """Centre and scale per role and dimension (AGG-08): median and 1.4826 MAD.
 
     A role with fewer than 30 values in a dimension uses everybody's. A vanishing MAD falls back to the
-    population deviation, then to 1. Appearances under a minute do not shape the population.
+    population deviation, then to 1. Appearances under a minute do not shape the population. Everybody's values
+    are measured only where a role needs them.
     """
     shaping = F.col("minutes") >= 1.0
     usable = {d: F.when(shaping & _finite(F.col(d)), F.col(d)) for d in DIMENSIONS}
-    # Everybody is one more role.
-    population = evidence.select(F.explode(F.array("role", F.lit("*"))).alias("role"), *[v.alias(d) for d, v in usable.items()])
+    # Everybody is one more role, in the dimensions alone that some role takes from it.
+    counts = evidence.groupBy("role").agg(*[F.count(v).alias(d) for d, v in usable.items()]).collect()
+    short = {d for d in DIMENSIONS for of_role in counts if of_role[d] < LOCAL_POPULATION}
+    own_role = F.col("role") != "*"
+    population = evidence.select(F.explode(F.array("role", F.lit("*")) if short else F.array("role")).alias("role"), *[v.alias(d) for d, v in usable.items()])
+    population = population.select("role", *[F.col(d) if d in short else F.when(own_role, F.col(d)).alias(d) for d in DIMENSIONS])
     # At most five roles with eight dimensions each; written out as it is read several times.
     medians = materialize(exact_medians(population, ["role"], DIMENSIONS).coalesce(1))
     centres = medians.groupBy("role").agg(*[F.max(F.when(F.col("name") == d, F.col("median"))).alias(f"_center_{d}") for d in DIMENSIONS])
