@@ -42,3 +42,11 @@ def test_gate_evidence_is_read_once(spark):
 @pytest.mark.parametrize("name", ["generation_state_audit", "preregistration_audit", "gate_evidence_issues"])
 def test_documents_are_dealt_over_tasks(spark, name):
     assert ENTRIES[name].run(spark, SMALL).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("name", ["artifact_player_rows", "artifact_names"])
+def test_artifacts_are_rows_and_read_once(spark, name):
+    """No file of each artifact, whose number would grow with the tables."""
+    found = ENTRIES[name].run(spark, SMALL)
+    assert parses(found) == 1
+    assert all(f.endswith(".parquet") for f in found.inputFiles()) and found.rdd.getNumPartitions() == 4

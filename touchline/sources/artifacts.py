@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.functions.native_types import field, has_native_type
+from touchline.session import computed_once
 
 # JSON field of every column of a player row.
 COUNT_FIELDS = {
@@ -81,7 +82,7 @@ def parsed_artifacts(texts: DataFrame) -> DataFrame:
     Text that is no JSON, other roots than objects, other versions than 3 and 4, and documents with a declared
     value of a wrong native type anywhere are dropped whole, whichever columns are asked for.
     """
-    documents = texts.select("match_id", F.try_parse_json("text").alias("document"))
+    documents = computed_once(texts, document=F.try_parse_json("text")).select("match_id", "document")
     version = F.when(F.schema_of_variant(field(F.col("document"), "schemaVersion")) == "BIGINT", F.try_variant_get("document", "$.schemaVersion", "bigint"))
     kept = documents.where(F.col("document").isNotNull() & version.isin(*VERSIONS)).where(has_native_type(F.col("document"), ARTIFACT_SCHEMA, nullable=False))
     typed = [F.try_variant_get("document", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in ARTIFACT_SCHEMA.fields]
