@@ -327,6 +327,30 @@ def test_chance_to_miss():
     assert tensor_minhash.missed(0.85, 16, 3) < 1e-5 and tensor_minhash.missed(0.8, 18, 3) < 1e-4
 
 
+def test_a_large_block_is_not_sent_for_every_small_one(spark):
+    """200 small blocks meet one of 800,000; all of them together fill two parts."""
+    rows = [(0, 800_000, b, 10_000) for b in range(1, 201)] + [(0, 800_000, 0, 800_000), (1, 10_000, 1, 10_000)]
+    meet = spark.createDataFrame(rows, "block_i long, weight_i long, block_j long, weight_j long")
+    tasks = tensor_minhash._tasks(meet).collect()
+    together = {(r.host, r.part) for r in tasks}
+    assert sum(r.block == 0 for r in tasks) == 3 and {(0, -1), (1, -1)} < together
+    guests = [r.block for r in tasks if r.host == 0 and r.part >= 0 and r.block]
+    assert sorted(guests) == list(range(1, 201))
+
+
+def test_crowds_in_many_blocks_lose_no_link(spark, monkeypatch):
+    """Families of three share a core that is too small to link them with others; a block has but a few texts."""
+    monkeypatch.setattr(tensor_minhash, "BLOCK_WEIGHT", 4_000)
+    draw, core, rows = random.Random(8), prose(14, 120).split(), []
+    for n in range(40):
+        own = [f"w{n}_{draw.randrange(10**6)}" for _ in range(30)]
+        rows += [(3 * n, " ".join(core + own)), (3 * n + 1, " ".join(core + own[:-2])), (3 * n + 2, " ".join([*core, *own[:-9], "other"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component"]) for r in tensor_minhash.near_duplicates(df, 3, 85, 16, 3).collect()}
+    assert got == brute.components(rows, 3, 85)
+
+
+
 def test_roots(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (5, 9), (20, 20), (30, 31), (31, 1)] + [(100, n) for n in range(101, 130)]
     assert {r["node"]: r["root"] for r in components.roots(spark.createDataFrame(links, "u long, v long")).collect()} == (

@@ -12,9 +12,9 @@ Links are wanted up to reachability, so candidates are never expanded into all p
 3. In a round, every class is compared with one class that leads a bucket, that which it meets in most
    buckets. Links are contracted. Buckets that lie inside one component are done.
 4. What is left after ``LEADER_ROUNDS`` is compared exactly (``_rest``): every two classes of different components that
-   meet in a bucket. Classes are put into blocks of bounded size, and a task gets one pair of blocks that meet, with the
-   texts of both, so no pair of classes is ever a row. Blocks of one component are not compared, and inside a task pairs
-   that its links have connected already are left out.
+   meet in a bucket. Classes are put into blocks of bounded size. Of two blocks that meet the heavier is the host, and a task
+   gets a host and as many of its guests as fill a block (``_tasks``), with their texts, so no pair of classes is ever a
+   row and a large block is not sent again for every small one it meets. Blocks of one component are not compared.
 
 A link is missed only if no table is shared (at the threshold itself with a chance below ``1e-4``, which falls
 quickly with the similarity, ``missed``). Comparisons of the last step grow with the square of a crowd whose sets meet in
@@ -44,7 +44,7 @@ from touchline.session import materialize
 #: Rounds with leaders before all that is left is compared.
 LEADER_ROUNDS = 2
 #: Shingles of a block of classes; every class counts ``CLASS_WEIGHT`` more, so a block has few of them.
-BLOCK_WEIGHT, CLASS_WEIGHT = 1_000_000, 4_000
+BLOCK_WEIGHT, CLASS_WEIGHT = 1_000_000, 1_000
 
 _SIGNATURE = "id long, n_shingles long, a long, b long, signature array<long>"
 _ROWS_AT_ONCE = 2048
@@ -192,7 +192,7 @@ def _leader_pairs(open_: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(open_: DataFrame) -> DataFrame:
-    """(id, label, block) of the classes of open buckets.
+    """(id, label, block, low, high, weight) of the classes of open buckets, with the labels that bound the block and its weight.
 
     Classes with the same smallest class in their buckets are a crowd. A component that fills a block of a
     crowd has blocks of its own; the others share blocks, a component in one.
@@ -206,51 +206,89 @@ def _blocks(open_: DataFrame) -> DataFrame:
     )
     dealt = F.when(F.col("own"), F.xxhash64("id")).otherwise(F.xxhash64("label"))
     block = F.xxhash64("crowd", F.when(F.col("own"), F.col("label")), F.pmod(dealt, "parts"))
-    return first.join(parts, ["crowd", "label"]).select("id", "label", block.alias("block"))
+    placed = materialize(first.join(parts, ["crowd", "label"]).select("id", "label", "n", block.alias("block")))
+    span = placed.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"), weight)
+    return placed.drop("n").join(span, "block")
+
+
+def _tasks(meet: DataFrame) -> DataFrame:
+    """(host, part, block): the blocks of every task, from (block_i, weight_i, block_j, weight_j) of those that meet.
+
+    The heavier of two is the host of the other; the guests of a host are dealt into parts of about ``BLOCK_WEIGHT``.
+    A block that meets itself is a task alone, of part -1.
+    """
+    i, j = (F.struct(F.col(f"weight_{x}").alias("weight"), F.col(f"block_{x}").alias("block")) for x in "ij")
+    pairs = meet.select(F.greatest(i, j).alias("h"), F.least(i, j).alias("g")).select(F.col("h.block").alias("host"), F.col("g.block").alias("guest"), "g.weight")
+    parts = pairs.where("host <> guest").groupBy("host").agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).alias("parts"))
+    part = F.when(F.col("host") == F.col("guest"), -1).otherwise(F.pmod(F.xxhash64("guest"), "parts")).alias("part")
+    dealt = pairs.join(parts, "host", "left").select("host", part, "guest")
+    return dealt.select("host", "part", F.explode(F.array_distinct(F.array("host", "guest"))).alias("block")).distinct()
 
 
 def _rest(buckets: DataFrame, labels: DataFrame | None, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v) that connect all classes which are linked, meet in a bucket and lie in different components."""
     open_ = materialize(_open_buckets(buckets, labels, 0).select("key", "id", "n", "label", "head"))
     placed = materialize(_blocks(open_))
-    span = placed.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    held = open_.select("key", "id").join(placed.select("id", "block"), "id").select("key", "block").distinct().join(span, "block")
-    left, right = (held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")]) for side in "ij")
+    columns = ["block", "low", "high", "weight"]
+    held = open_.select("key", "id").join(placed, "id").select("key", *columns).distinct()
+    left, right = (held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ij")
     several = (F.least("low_i", "low_j") < F.greatest("high_i", "high_j")) & (F.col("block_i") <= F.col("block_j"))
-    meet = materialize(left.join(right, "key").where(several).select("block_i", "block_j").distinct())
-    sent = meet.select("block_i", "block_j", F.explode(F.array_distinct(F.array("block_i", "block_j"))).alias("block"))
-    whole = placed.join(classes.select("id", "n", "signature"), "id").join(texts, "id").select("block", "id", "label", "n", "signature", "text")
+    meet = materialize(left.join(right, "key").where(several).select("block_i", "weight_i", "block_j", "weight_j").distinct())
+    whole = placed.select("block", "id", "label").join(classes.select("id", "n", "signature"), "id").join(texts, "id")
 
     def compare(rows: pa.Table) -> pa.Table:
-        block, ids, label, n = (rows.column(c).to_numpy() for c in ("block", "id", "label", "n"))
+        host, block, ids, label, n = (rows.column(c).to_numpy() for c in ("host", "block", "id", "label", "n"))
         signature = rows.column("signature").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        within = block.min() == block.max()
-        table, sets, bodies, root, out = WordHashes(), {}, rows.column("text").combine_chunks(), {}, []
-
-        def set_of(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingle_set(next(byte_texts(bodies.slice(i, 1))), width, table)
-            return sets[i]
+        hosts, guests = np.flatnonzero(block == host), np.flatnonzero(block != host)
+        met = []
+        for at, i in enumerate(hosts):
+            others = guests if len(guests) else hosts[at + 1 :]
+            near = (label[others] != label[i]) & (np.minimum(n[others], n[i]) * 100 >= percent * np.maximum(n[others], n[i]))
+            others = others[near]
+            others = others[(signature[others] == signature[i]).sum(axis=1) > 1]
+            if len(others):
+                met.append((i, others))
+        found = _common(met, rows.column("text"), width, percent) if met else []
+        root, out = {}, []
 
         def top(x: int) -> int:
             while x in root:
                 x = root[x]
             return x
 
-        for i in range(len(ids)):
-            after = slice(i + 1, None)
-            near = (label[after] != label[i]) & (np.minimum(n[after], n[i]) * 100 >= percent * np.maximum(n[after], n[i]))
-            if not within:
-                near &= block[after] != block[i]
-            at = np.flatnonzero(near) + i + 1
-            for j in at[(signature[at] == signature[i]).sum(axis=1) > 1]:
-                a, b = top(label[i]), top(label[j])
-                if a != b and _linked(set_of(i), set_of(j), percent):
-                    root[max(a, b)] = min(a, b)
-                    out.append((ids[i], ids[j]))
+        for i, j in found:
+            a, b = top(label[i]), top(label[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((ids[i], ids[j]))
         return pa.table({"u": pa.array([min(x) for x in out], pa.int64()), "v": pa.array([max(x) for x in out], pa.int64())})
 
-    return materialize(sent.join(whole, "block").groupBy("block_i", "block_j").applyInArrow(compare, "u long, v long"))
+    sent = _tasks(meet).join(whole, "block")
+    return materialize(sent.groupBy("host", "part").applyInArrow(compare, "u long, v long"))
+
+
+def _common(met: list[tuple[int, np.ndarray]], texts: pa.ChunkedArray, width: int, percent: int) -> Iterator[tuple[int, int]]:
+    """The linked ones among (a row, rows that it meets), by the full sets of their texts.
+
+    Shingles are numbered, so that one look-up counts what a set has in common with all those it meets.
+    """
+    table, bodies = WordHashes(), texts.combine_chunks()
+    used = np.unique(np.concatenate([np.append(others, i) for i, others in met]))
+    sets = [shingle_set(next(byte_texts(bodies.slice(int(i), 1))), width, table) for i in used]
+    size = np.array([len(x) for x in sets])
+    shingle, number = np.unique(np.concatenate(sets), return_inverse=True)
+    numbers, marked = np.split(number, np.cumsum(size)[:-1]), np.zeros(len(shingle), np.int64)
+    for i, others in met:
+        own, at = np.searchsorted(used, i), np.searchsorted(used, others)
+        kept = size[at] > 0
+        others, at = others[kept], at[kept]
+        if not size[own] or not len(at):
+            continue
+        marked[numbers[own]] = 1
+        common = np.add.reduceat(marked[np.concatenate([numbers[k] for k in at])], np.cumsum(size[at]) - size[at])
+        marked[numbers[own]] = 0
+        linked = (common > 0) & (100 * common >= percent * (size[own] + size[at] - common))
+        yield from ((i, j) for j in others[linked])
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
