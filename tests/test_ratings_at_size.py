@@ -56,3 +56,26 @@ def test_everybody_is_measured_only_where_a_role_needs_it(spark, monkeypatch):
     assert [{d for d, n in c.items() if n} for c in counted] == [{"pressure_recovery"}] * 2
     everybody = sorted(r.pressure_recovery for r in rows.where("pressure_recovery IS NOT NULL").collect())
     assert got["forward", "pressure_recovery"] == everybody[len(everybody) // 2] and len(got) == 16
+
+
+def test_middle_distances_need_no_facts_of_their_own(spark, monkeypatch):
+    """Means and deviations are measured once; a role of equal values and one far from its mean keep exact results."""
+    values = {"defender": [7.0] * 40, "forward": [0.0] * 39 + [1e9], "midfield": [float(i * i) for i in range(41)]}
+    rows = [(role, 2.0, *[v] * len(S.DIMENSIONS)) for role, of in values.items() for v in of]
+    df = spark.createDataFrame(rows, "role string, minutes double, " + ", ".join(f"{d} double" for d in S.DIMENSIONS))
+    facts = []
+    measured = S.exact_medians
+    monkeypatch.setattr(S, "exact_medians", lambda *a, **k: facts.append(k.get("facts")) or measured(*a, **k))
+    got = {(r.role, r.dimension): (r.center, r.scale) for r in S.normalizers(df).collect()}
+    assert len(facts) == 2 and None not in facts
+    assert got["defender", "retention"] == (7.0, 1.0)
+    assert got["midfield", "finishing"] == (400.0, S.MAD_SCALE * sorted(abs(v - 400.0) for v in values["midfield"])[20])
+    center, scale = got["forward", "creation"]
+    assert center == 0.0 and abs(scale / 1e9 - (39 / 1600) ** 0.5) < 1e-9
+
+
+def test_match_rows_move_once_for_contexts(spark):
+    """Strengths have a known size, so match rows are not dealt by player first."""
+    evidence = S.match_evidence(adapters.player_match(spark, SMALL)).localCheckpoint()
+    plan = executed(S.match_contexts(evidence, S.player_strengths(evidence)))
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan

@@ -132,41 +132,10 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *,
     return running_sum(df, keys, order, F.lit(1), rank, size)
 
 
-def _counts(rows: DataFrame, keys: Sequence[str], names: Sequence[str], kind: str) -> DataFrame:
-    """Rows per key, column name and value, nulls aside: (keys, name, value, count), summed per task before the shuffle."""
-    import pyarrow as pa
-
-    def count(batches):
-        """Counts of a task in tables of few rows; a task with very many keys passes them on in pieces."""
-        held, size = [], 0
-
-        def together(tables):
-            by = [*keys, "name", "value"]
-            table = pa.concat_tables(tables).group_by(by).aggregate([("count", "sum")])
-            return table.rename_columns([c.removesuffix("_sum") for c in table.column_names]).select([*by, "count"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            for name in names:
-                own = table.select([*keys, name]).filter(table[name].is_valid())
-                own = own.group_by([*keys, name]).aggregate([([], "count_all")]).select([*keys, name, "count_all"])
-                own = own.rename_columns([*keys, "value", "count"])
-                held.append(own.append_column("name", pa.array([name] * own.num_rows, pa.string())).select([*keys, "name", "value", "count"]))
-                size += own.num_rows
-            if size > 500_000:
-                held = [together(held)]
-                size = held[0].num_rows
-                if size > 250_000:
-                    yield from held[0].to_batches()
-                    held, size = [], 0
-        if held:
-            yield from together(held).to_batches()
-
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    parts = rows.mapInArrow(count, f"{kinds}, name string, value {kind}, count long")
-    return parts.groupBy(*keys, "name", "value").agg(F.sum("count").alias("count"))
+def column_facts(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Mean, count and population deviation of several columns per key, a struct of each, written out."""
+    facts = [F.struct(F.avg(v).alias("mean"), F.count(v).alias("n"), F.stddev_pop(v).alias("sd")).alias(f"_{name}") for name, v in values.items()]
+    return materialize(df.groupBy(*keys).agg(*facts).coalesce(1))
 
 
 def exact_medians(
@@ -174,52 +143,55 @@ def exact_medians(
     keys: Sequence[str],
     values: Sequence[str],
     *,
-    accuracy: int = 10_000,
+    accuracy: int = 1_000,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Exact median, row count and population deviation of several columns: (keys, name, median, n, sd).
 
     No group is ever gathered. A median is at most one deviation from the mean, so ``accuracy`` bins of one
-    width over that stretch, and one on each side, are counted first; whatever the bins are, they follow the
+    width over that stretch, and some on each side, are counted first; whatever the bins are, they follow the
     order of the values. Just the values of the bins that hold the middle ranks, a small share, are grouped
-    and summed in order.
+    and summed in order. ``facts`` are those of :func:`column_facts`, if they are known: counts must be right,
+    while any mean and deviation that enclose the median serve the bins.
     """
     keys = list(keys)
-    facts = materialize(
-        df.groupBy(*keys)
-        .agg(*[F.struct(F.avg(v).alias("mean"), F.count(v).alias("n"), F.stddev_pop(v).alias("sd")).alias(f"_{v}") for v in values])
-        .coalesce(1)
-    )
+    facts = column_facts(df, keys, {v: F.col(v) for v in values}) if facts is None else facts
+    facts = materialize(facts.withColumn("_key", F.monotonically_increasing_id()))
+
+    width = 2 * accuracy + 1
 
-    def bin_of(v: str) -> Column:
+    def bin_of(i: int, v: str) -> Column:
+        """Key, column and bin as one number, null for a null: short rows to count and to join."""
         place = F.try_divide(F.col(v) - F.col(f"_{v}")["mean"], F.col(f"_{v}")["sd"]) * (accuracy / 2)
         limited = F.least(F.greatest(F.floor(F.coalesce(place, F.lit(0.0))), F.lit(-accuracy)), F.lit(accuracy))
-        return F.when(F.col(v).isNotNull(), limited.cast("int"))
+        return F.when(F.col(v).isNotNull(), (F.col("_key") * len(values) + i) * width + accuracy + limited)
 
     marked = df.select(*keys, *values).join(F.broadcast(facts), keys)
-    binned = marked.select(*keys, *[bin_of(v).alias(v) for v in values])
-    order = Window.partitionBy(*keys, "name").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    counts = _counts(binned, keys, values, "int").withColumnRenamed("value", "bin").select(*keys, "name", "bin", "count", F.sum("count").over(order).alias("_upto"))
+    bins = marked.select(F.explode(F.array(*[bin_of(i, v) for i, v in enumerate(values)])).alias("_bin"))
+    binned = bins.where("_bin IS NOT NULL").groupBy("_bin").agg(F.count(F.lit(1)).alias("count"))
+    binned = binned.withColumns({"_key": F.expr(f"_bin div {width * len(values)}"), "_name": F.expr(f"_bin div {width} % {len(values)}")})
+    order = Window.partitionBy("_key", "_name").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = binned.withColumn("_upto", F.sum("count").over(order))
     long = facts.select(
-        *keys, F.inline(F.array(*[F.struct(F.lit(v).alias("name"), F.col(f"_{v}")["n"].alias("n"), F.col(f"_{v}")["sd"].alias("sd")) for v in values]))
-    )
+        *keys, "_key",
+        F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("_name"), F.lit(v).alias("name"), F.col(f"_{v}")["n"].alias("n"), F.col(f"_{v}")["sd"].alias("sd")) for i, v in enumerate(values)])),
+    )
     lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
     middle = (
-        counts.join(long, [*keys, "name"])
+        counts.join(F.broadcast(long), ["_key", "_name"])
         .groupBy(*keys, "name")
         .agg(
-            F.min(F.when(F.col("_upto") >= lower, F.struct("bin", (F.col("_upto") - F.col("count")).alias("below")))).alias("_from"),
-            F.min(F.when(F.col("_upto") >= upper, F.col("bin"))).alias("_to"),
+            F.min(F.when(F.col("_upto") >= lower, F.struct("_bin", (F.col("_upto") - F.col("count")).alias("below")))).alias("_from"),
+            F.min(F.when(F.col("_upto") >= upper, F.col("_bin"))).alias("_to"),
             F.first("n").alias("n"),
             F.first("sd").alias("sd"),
         )
     )
-    middle = materialize(middle.select(*keys, "name", F.col("_from.bin").alias("low"), "_from.below", F.col("_to").alias("high"), "n", "sd").coalesce(1))
-    brackets = middle.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == v, F.struct("low", "high"))).alias(f"_in_{v}") for v in values]
-    )
-    inside = {v: F.when(bin_of(v).between(F.col(f"_in_{v}")["low"], F.col(f"_in_{v}")["high"]), F.col(v).cast("double")) for v in values}
-    met = marked.join(F.broadcast(brackets), keys).select(*keys, *[hit.alias(v) for v, hit in inside.items()])
-    counted = _counts(met, keys, values, "double").select(*keys, "name", F.col("value").alias("_v"), F.col("count").alias("_c"))
+    middle = materialize(middle.select(*keys, "name", F.col("_from._bin").alias("low"), "_from.below", F.col("_to").alias("high"), "n", "sd").coalesce(1))
+    # Bins between the two are empty, so one or two of a column are asked for.
+    asked = middle.select(*keys, "name", F.explode(F.array_distinct(F.array("low", "high"))).alias("_bin"))
+    entries = marked.select(F.inline(F.array(*[F.struct(bin_of(i, v).alias("_bin"), F.col(v).cast("double").alias("_v")) for i, v in enumerate(values)])))
+    counted = entries.join(F.broadcast(asked), "_bin").groupBy(*keys, "name", "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranks = running_sum(counted, [*keys, "name"], [F.col("_v")], F.col("_c"), "_upto").join(F.broadcast(middle), [*keys, "name"])
     upto = F.col("_upto") + F.col("below")
     return (

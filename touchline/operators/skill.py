@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import attack_x, clamp, display_name, identity_key
-from touchline.operators.sequences import exact_medians
+from touchline.operators.sequences import column_facts, exact_medians
 from touchline.session import computed_once, materialize
 
 # Dimensions with their weight in the rating.
@@ -125,18 +125,23 @@ def normalizers(evidence: DataFrame) -> DataFrame:
     shaping = F.col("minutes") >= 1.0
     usable = {d: F.when(shaping & _finite(F.col(d)), F.col(d)) for d in DIMENSIONS}
     # Everybody is one more role, in the dimensions alone that some role takes from it.
-    counts = evidence.groupBy("role").agg(*[F.count(v).alias(d) for d, v in usable.items()]).collect()
+    facts = column_facts(evidence, ["role"], usable)
+    counts = facts.select(*[F.col(f"_{d}")["n"].alias(d) for d in DIMENSIONS]).collect()
     short = {d for d in DIMENSIONS for of_role in counts if of_role[d] < LOCAL_POPULATION}
     own_role = F.col("role") != "*"
     population = evidence.select(F.explode(F.array("role", F.lit("*")) if short else F.array("role")).alias("role"), *[v.alias(d) for d, v in usable.items()])
     population = population.select("role", *[F.col(d) if d in short else F.when(own_role, F.col(d)).alias(d) for d in DIMENSIONS])
     # At most five roles with eight dimensions each; written out as it is read several times.
-    medians = materialize(exact_medians(population, ["role"], DIMENSIONS).coalesce(1))
+    medians = materialize(exact_medians(population, ["role"], DIMENSIONS, facts=None if short else facts).coalesce(1))
     centres = medians.groupBy("role").agg(*[F.max(F.when(F.col("name") == d, F.col("median"))).alias(f"_center_{d}") for d in DIMENSIONS])
     away = population.join(F.broadcast(centres), "role").select(
         "role", *[F.abs(F.col(d) - F.col(f"_center_{d}")).alias(d) for d in DIMENSIONS]
     )
-    mads = materialize(exact_medians(away, ["role"], DIMENSIONS).coalesce(1)).select("role", "name", F.col("median").alias("_mad"))
+    # A median is at most one deviation from the mean, so the middle distance from it is at most two: sd +- sd encloses it.
+    enclosed = medians.groupBy("role").agg(*[
+        F.max(F.when(F.col("name") == d, F.struct(F.col("sd").alias("mean"), "n", "sd"))).alias(f"_{d}") for d in DIMENSIONS
+    ])
+    mads = materialize(exact_medians(away, ["role"], DIMENSIONS, facts=materialize(enclosed.coalesce(1))).coalesce(1)).select("role", "name", F.col("median").alias("_mad"))
     robust = F.col("_mad") * MAD_SCALE
     scale = F.when(robust > 1e-9, robust).when(F.col("sd") > 1e-9, F.col("sd")).otherwise(1.0)
     own = medians.join(mads, ["role", "name"]).select(
@@ -185,13 +190,16 @@ def match_quality_weight() -> Column:
 
 
 def player_strengths(normalized: DataFrame) -> DataFrame:
-    """Preliminary strength of every player, shrunk to 0 and limited to +-2."""
+    """Preliminary strength of every player, shrunk to 0 and limited to +-2.
+
+    Written out, so that its size is known to the join with the match rows, which need not move for a small one.
+    """
     present = [F.when(F.col(d).isNotNull(), 1).otherwise(0) for d in DIMENSIONS]
     count = reduce(lambda a, b: a + b, present)
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(d), F.lit(0.0)) for d in DIMENSIONS])
     rows = normalized.filter(count > 0).select("player_id", exposure().alias("_w"), (total / count).alias("_v"))
     sums = rows.groupBy("player_id").agg(F.sum(F.col("_v") * F.col("_w")).alias("_s"), F.sum("_w").alias("_w"))
-    return sums.select("player_id", clamp(F.col("_s") / (F.col("_w") + STRENGTH_PRIOR), -2.0, 2.0).alias("strength"))
+    return materialize(sums.select("player_id", clamp(F.col("_s") / (F.col("_w") + STRENGTH_PRIOR), -2.0, 2.0).alias("strength")))
 
 
 def with_contexts(normalized: DataFrame, strengths: DataFrame) -> DataFrame:

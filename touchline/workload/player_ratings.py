@@ -281,7 +281,8 @@ def raw_skill_metrics(spark, folder):
     f"{WITH_SKILL} SELECT role, dimension, round(center, 6) AS center, round(scale, 6) AS scale FROM norms",
 )
 def skill_normalizers(spark, folder):
-    return S.normalizers(materialize(S.match_evidence(adapters.player_match(spark, folder)))).select(
+    evidence = S.match_evidence(adapters.player_match(spark, folder)).select("role", "minutes", *S.DIMENSIONS)
+    return S.normalizers(materialize(evidence)).select(
         "role", "dimension", *_r("center", "scale", digits=6)
     )
 
