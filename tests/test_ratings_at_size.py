@@ -79,3 +79,12 @@ def test_match_rows_move_once_for_contexts(spark):
     evidence = S.match_evidence(adapters.player_match(spark, SMALL)).localCheckpoint()
     plan = executed(S.match_contexts(evidence, S.player_strengths(evidence)))
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_roles_take_one_pass_over_narrow_rows(spark):
+    """Rank and size of a side come from one window, over rows that hold metrics in place of counters."""
+    plan = executed(S.match_evidence(adapters.player_match(spark, SMALL)))
+    assert plan.count("Window [") == 1
+    window = next(line for line in plan.splitlines() if "Window [" in line)
+    below = plan[plan.index(window):].splitlines()[1]
+    assert "Sort [" in below and "inferred_" not in plan[: plan.index(below)]

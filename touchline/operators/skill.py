@@ -47,11 +47,10 @@ def infer_roles(rows: DataFrame, *, zero_id_unknown: bool = True) -> DataFrame:
     marked = rows.withColumns(
         {"_side": F.when(placed, F.col("team")).otherwise(-1), "_ax": attack_x(F.col("team"), F.col("average_x"))}
     )
-    # The players of one match are few, so a match stays together and its rows move once.
-    side = Window.partitionBy("match_id", "_side")
-    ranked = marked.withColumns(
-        {"_rank": F.row_number().over(side.orderBy("_ax", "player")), "_players": F.count(F.lit(1)).over(side)}
-    )
+    # The players of one match are few, so a match stays together and its rows move once; one order serves rank and size.
+    side = Window.partitionBy("match_id", "_side").orderBy("_ax", "player")
+    everyone = side.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = marked.withColumns({"_rank": F.row_number().over(side), "_players": F.count(F.lit(1)).over(everyone)})
     share = (F.col("_rank") - 1) / F.greatest(F.col("_players") - 1, F.lit(1))
     role = (
         F.when((F.col("_side") == -1) | (F.col("_players") < 3), "unknown")
@@ -94,10 +93,17 @@ def raw_metrics(minutes: Column) -> dict[str, Column]:
 
 
 def match_evidence(rows: DataFrame) -> DataFrame:
-    """Match rows with role, minutes and raw metrics; rows without identity or minutes are dropped."""
-    minutes = minutes_played()
-    placed = computed_once(infer_roles(rows), _shown=display_name(F.col("name")))
-    placed = computed_once(placed, player_id=identity_key(F.col("auth_hash"), F.col("_shown"), shown=True), minutes=minutes)
+    """Match rows with role, minutes and raw metrics; rows without identity or minutes are dropped.
+
+    Metrics need no role, so the counters end in them before the rows of a match are sorted.
+    """
+    measured = rows.withColumn("minutes", minutes_played()).select(
+        "match_id", "team", "player", "samples", "average_x", "auth_hash", "name", "minutes",
+        (F.col("total_frames") / 3600.0).alias("match_minutes"),
+        *[m.alias(n) for n, m in raw_metrics(F.col("minutes")).items()],
+    )
+    placed = computed_once(infer_roles(measured), _shown=display_name(F.col("name")))
+    placed = computed_once(placed, player_id=identity_key(F.col("auth_hash"), F.col("_shown"), shown=True))
     evidence = placed.filter(F.col("player_id").isNotNull() & (F.col("minutes") > 0))
     return evidence.select(
         "player_id",
@@ -106,8 +112,8 @@ def match_evidence(rows: DataFrame) -> DataFrame:
         F.col("_shown").alias("name"),
         "role",
         "minutes",
-        (F.col("total_frames") / 3600.0).alias("match_minutes"),
-        *[m.alias(n) for n, m in raw_metrics(F.col("minutes")).items()],
+        "match_minutes",
+        *DIMENSIONS,
     )
 
 
