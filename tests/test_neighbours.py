@@ -55,3 +55,31 @@ def test_points_without_a_frame_and_no_points(spark):
     lone = spark.createDataFrame([(9, 9, 1, 1, 0.0, 0.0, 0.0, 0.0)], STATES)
     assert lists(X.neighbours(lone, states)) == {(9, 9, 1): ([], [])}
     assert lists(X.neighbours(states.limit(0), states)) == {} == lists(X.neighbours(states.limit(0), states.limit(0)))
+
+
+@pytest.mark.parametrize("span", [1, 5, 1000])
+def test_latest_input_across_stretches(spark, span):
+    """Records of one and of many stretches, stretches without inputs, inputs after the last sample."""
+    draw = random.Random(span)
+    inputs = sorted({(r, p, draw.randint(0, 40)) for r in range(3) for p in range(3) for _ in range(draw.choice([0, 1, 9]))})
+    samples = [(r, p, f) for r in range(3) for p in range(3) for f in range(0, 36, 3)]
+    moves = spark.createDataFrame([(r, p, f, f % 3 - 1, f % 2, f) for r, p, f in inputs] or [(9, 9, 0, 0, 0, 0)], "replay long, player long, frame int, dir_x int, dir_y int, kick int")
+    states = spark.createDataFrame(samples, "replay long, player long, frame int")
+    got = {(s.replay, s.player, s.frame): s.action and s.action.kick for s in X.with_latest_input(states, moves, span=span).collect()}
+    assert got == {(r, p, f): max((i[2] for i in inputs if i[:2] == (r, p) and i[2] <= f), default=None) for r, p, f in samples}
+
+
+def test_examples_move_once_by_player_and_once_by_frame(spark):
+    """Rows of short records are dealt by player and by frame, not cut by range and dealt again."""
+    states = spark.createDataFrame(crowd(1)[:6], STATES)
+    balls = spark.createDataFrame([(1, 6, 0.0, 0.0, 0.0, 0.0)], "replay long, frame int, x double, y double, vx double, vy double")
+    inputs = spark.createDataFrame([(1, 1, 3, 1, 0, 1)], "replay long, player long, frame int, dir_x int, dir_y int, kick int")
+    selected = spark.createDataFrame([(1, 1, 1)], "replay long, player long, player_index long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = X.imitation_examples(states, balls, inputs, selected)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "rangepartitioning" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") == 6
+    assert [(r.player, r.dir_x, r.kick) for r in found.collect()] == [(1, -1.0, 1.0)]

@@ -141,12 +141,17 @@ def inputs(spark: SparkSession, folder: str) -> DataFrame:
     """Input changes: one row per replay, player and frame."""
     li = table(spark, folder, "lineitem")
     quantity = F.col("quantity").cast("int")
+    lines = li.select(
+        F.floor(F.col("l_orderkey") / 8).alias("replay"),
+        F.col("l_suppkey").alias("player"),
+        ((F.col("l_linenumber") % 7) * 2).cast("int").alias("frame"),
+        "l_quantity",
+        "l_tax",
+    )
+    # few lines share a frame, so they move as they are, dealt as the records of players are
     return (
-        li.groupBy(
-            F.floor(F.col("l_orderkey") / 8).alias("replay"),
-            F.col("l_suppkey").alias("player"),
-            ((F.col("l_linenumber") % 7) * 2).cast("int").alias("frame"),
-        )
+        lines.repartition("replay", "player")
+        .groupBy("replay", "player", "frame")
         .agg(F.max("l_quantity").alias("quantity"), F.max("l_tax").alias("tax"))
         .select(
             "replay",

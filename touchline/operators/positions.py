@@ -7,16 +7,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import CLOSE_BALL_DISTANCE, UNDER_PRESSURE_DISTANCE, heat_bin
-from touchline.operators.sequences import look_around
 from touchline.session import materialize
 
 #: A frame of at most this many players is one array; the cells of a larger one hold about ``CELL`` players each.
 CROWD, CELL = 128, 32
 TEAMMATES, OPPONENTS = 2, 3
+#: Frames of one stretch of a player's record.
+STRETCH = 600
 
 _PLACE = ["player", "team", "x", "y", "vx", "vy"]
 _FRAME = ["replay", "frame"]
@@ -101,7 +102,14 @@ def neighbours(points: DataFrame, states: DataFrame, *, mates: int = TEAMMATES,
     Ordinary frames are one array of both teams each, and points meet them in one join. Frames of more than
     ``CROWD`` players are searched by cells (:func:`_crowded_neighbours`).
     """
-    placed = materialize(states.filter(F.col("team").isin(1, 2)).select(*_FRAME, *_PLACE))
+    return _neighbours(points, materialize(_placed(states)), mates, opponents)
+
+
+def _placed(states: DataFrame) -> DataFrame:
+    return states.filter(F.col("team").isin(1, 2)).select(*_FRAME, *_PLACE)
+
+
+def _neighbours(points: DataFrame, placed: DataFrame, mates: int, opponents: int) -> DataFrame:
     edge = [f(c).alias(f"{name}_{c}") for c in ("x", "y") for name, f in (("low", F.min), ("high", F.max))]
     crowded = materialize(placed.groupBy(*_FRAME).agg(F.count(F.lit(1)).alias("n"), *edge).where(F.col("n") > CROWD))
     lists = lambda members: [_nearest(members, True, mates).alias("mates"), _nearest(members, False, opponents).alias("opponents")]
@@ -177,30 +185,35 @@ def ball_heatmap(balls: DataFrame) -> DataFrame:
     return balls.groupBy("replay", heat_bin(F.col("x"), F.col("y")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def with_latest_input(states: DataFrame, inputs: DataFrame, *, parts: int | None = None) -> DataFrame:
+def _latest(states: DataFrame, inputs: DataFrame, span: int, several: bool) -> DataFrame:
+    """``states`` with the latest input at or before each. Without ``several`` all of their frames are below ``span``."""
+    key, stretch = ["replay", "player"], F.greatest(F.floor(F.col("frame") / span), F.lit(0))
+    moves = inputs.select(*key, stretch.alias("_part"), F.struct("frame", F.struct("dir_x", "dir_y", "kick").alias("action")).alias("_move"))
+    if several:
+        at, rows = [*key, "_part"], states.withColumn("_part", stretch)
+    else:
+        at, rows, moves = key, states, moves.where("_part = 0")
+    known = moves.groupBy(*at).agg(F.collect_list("_move").alias("_moves"))
+    met = rows.join(known, at, "left")
+    latest = F.array_max(F.filter("_moves", lambda m: m["frame"] <= F.col("frame")))
+    if several:
+        last = known.select(*at, F.array_max("_moves").alias("_last"))
+        asked = rows.select(*at, F.lit(None).cast(last.schema["_last"].dataType).alias("_last")).distinct()
+        before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        borders = last.unionByName(asked).groupBy(*at).agg(F.max("_last").alias("_last"))
+        met = met.join(borders.select(*at, F.last("_last", ignorenulls=True).over(before).alias("_carry")), at, "left")
+        latest = F.coalesce(latest, "_carry")
+    return met.select(*states.columns, latest["action"].alias("action"))
+
+
+def with_latest_input(states: DataFrame, inputs: DataFrame, *, span: int = STRETCH) -> DataFrame:
     """Attach the player's latest input at or before each sampled frame (JON-14); null if none is known yet.
 
-    Inputs and samples share one order (an input comes before the sample of its frame), which is cut into
-    chunks, so a player with a very long record is not one task.
+    A record is cut into stretches of ``span`` frames. The inputs of one are an array, which its samples meet in one
+    join, and only where samples go beyond the first stretch the last input of each is carried on, one row a
+    stretch; so a player with a very long record is not one task, and short records move once.
     """
-    action = F.struct("dir_x", "dir_y", "kick")
-    moves = inputs.select(
-        "replay", "player", (F.col("frame").cast("long") * 2).alias("_at"), action.alias("_action"),
-        F.lit(None).cast(states.select(F.struct(*states.columns)).schema[0].dataType).alias("_state"),
-    )
-    samples = states.select(
-        "replay", "player", (F.col("frame").cast("long") * 2 + 1).alias("_at"),
-        F.lit(None).cast(moves.schema["_action"].dataType).alias("_action"), F.struct(*states.columns).alias("_state"),
-    )
-    both = moves.unionByName(samples)
-    seen = look_around(
-        both,
-        ["replay", "player"],
-        "_at",
-        before={"_latest": F.when(F.col("_action").isNotNull(), F.struct("_at", "_action"))},
-        parts=parts,
-    )
-    return seen.filter(F.col("_state").isNotNull()).select("_state.*", F.col("_latest._action").alias("action"))
+    return _latest(states, inputs, span, not states.where(F.col("frame") >= span).isEmpty())
 
 
 def _vector(entry: Column, sign: Column, prefix: str) -> list[Column]:
@@ -218,19 +231,22 @@ def _vector(entry: Column, sign: Column, prefix: str) -> list[Column]:
 
 
 def imitation_examples(
-    states: DataFrame, balls: DataFrame, inputs: DataFrame, selected: DataFrame, *, parts: int | None = None
+    states: DataFrame, balls: DataFrame, inputs: DataFrame, selected: DataFrame, *, span: int = STRETCH
 ) -> DataFrame:
     """State-action rows of selected players, the pitch turned so that everybody attacks towards +x (ML-01).
 
     ``selected``: replay, player, player_index. Rows without a known input have a null ``dir_x``; they are
-    the skipped ones and are counted by :func:`example_counts`.
+    the skipped ones and are counted by :func:`example_counts`. ``states`` are read several times: pass written ones.
+
+    Rows meet selection and inputs by player first, then ball and neighbours by frame, so they move once for each.
     """
-    mine = states.filter(F.col("team").isin(1, 2)).join(selected, ["replay", "player"])
+    placed = _placed(states)
+    several = not placed.where(F.col("frame") >= span).isEmpty()
+    acted = _latest(placed.join(selected, ["replay", "player"]), inputs, span, several)
     ball = balls.select(
         "replay", "frame", *[F.col(c).alias(f"ball_{c}") for c in ("x", "y", "vx", "vy")]
     )
-    acted = with_latest_input(mine.join(ball, ["replay", "frame"]), inputs, parts=parts)
-    near = neighbours(acted, states)
+    near = _neighbours(acted.join(ball, _FRAME), placed, TEAMMATES, OPPONENTS)
     sign = F.when(F.col("team") == 1, 1.0).otherwise(-1.0)
     at = lambda column, i: F.get(column, F.lit(i))
     relative = [

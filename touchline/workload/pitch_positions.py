@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline import adapters
 from touchline.functions import scalars as fn
 from touchline.operators import positions as X
+from touchline.session import materialize
 from touchline.workload.registry import query
 
 _PLACES = """round(avg(floor(l_extendedprice / 100)) - 250, 6) AS x, round(avg(l_quantity) * 8 - 200, 6) AS y,
@@ -153,7 +154,8 @@ def latest_input_at_frame(spark, folder):
 
 
 def _selected(states):
-    return states.filter(F.col("team") > 0).select("replay", "player", F.col("player").alias("player_index")).distinct()
+    chosen = states.filter(F.col("team") > 0).select("replay", "player", F.col("player").alias("player_index"))
+    return chosen.repartition("replay", "player").distinct()
 
 
 _SIDES = ["tm1", "tm2", "op1", "op2", "op3"]
@@ -198,6 +200,7 @@ examples AS (
 
 def examples(spark, folder):
     states, balls = _tables(spark, folder)
+    states = materialize(states)
     return X.imitation_examples(states, balls, adapters.inputs(spark, folder), _selected(states))
 
 
