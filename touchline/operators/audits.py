@@ -60,11 +60,10 @@ def out_of_order(
 
     ``keys``: each of their values is a sequence of its own.
     """
-    rows = df.withColumn("_key", key)
-    seen = look_around(rows, list(keys), position, before={"_prev": F.struct(position, "_key")}, parts=parts)
-    wrong = F.col("_key") > F.col("_prev._key") if descending else F.col("_key") < F.col("_prev._key")
+    seen = look_around(df, list(keys), position, before={"_prev": F.struct(position, key.alias("_key"))}, parts=parts)
+    wrong = key > F.col("_prev._key") if descending else key < F.col("_prev._key")
     if strict:
-        wrong = wrong | (F.col("_key") == F.col("_prev._key"))
+        wrong = wrong | (key == F.col("_prev._key"))
     return violations(seen, subject, {check: wrong})
 
 

@@ -6,7 +6,7 @@ looked at across range parts, memberships are anti-joins, and counts are partial
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.audits import duplicates, not_clean, not_close, not_in_range, not_sha256, out_of_order, violations
@@ -36,12 +36,35 @@ def audit_selection(selected: DataFrame) -> DataFrame:
     )
 
 
-def audit_members(members: DataFrame, entries: DataFrame, selected: DataFrame) -> DataFrame:
+def _audit_few_members(members: DataFrame, selected: DataFrame, rules: dict[str, Column], order: Column) -> DataFrame:
+    """All rules on single members in one pass over rows that are dealt by replay, a replay's in one task."""
+    own = Window.partitionBy("replay_sha256").orderBy("position")
+    same = Window.partitionBy("replay_sha256", "replay_player_id").orderBy("position")
+    copies = F.count(F.lit(1)).over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    marked = members.withColumns({"_prev": F.lag(order).over(own), "_again": F.row_number().over(same), "_copies": copies})
+    known = selected.select(F.col("player_id").alias("identity"), F.lit(True).alias("_known")).distinct()
+    met = marked.join(known, "identity", "left")
+
+    def found(broken: Column, check: str, detail: Column, *subject: str) -> Column:
+        text = F.concat_ws("|", *[F.col(s).cast("string") for s in subject]) if len(subject) > 1 else F.col(subject[0]).cast("string")
+        return F.when(broken, F.struct(text.alias("subject"), F.lit(check).alias("check"), detail.cast("string").alias("detail")))
+
+    sha, who = "replay_sha256", F.col("identity")
+    return met.select(F.inline(F.array_compact(F.array(
+        *[found(broken, name, who, sha) for name, broken in rules.items()],
+        found(F.col("_known").isNull(), "members.unselected", who, sha),
+        found((F.col("_again") == 1) & (F.col("_copies") > 1), "members.repeated_id", F.col("_copies"), sha, "replay_player_id"),
+        found(order < F.col("_prev"), "members.not_in_order", F.lit(""), sha),
+    ))))
+
+
+def audit_members(members: DataFrame, entries: DataFrame, selected: DataFrame, *, few: bool = False) -> DataFrame:
     """Players of the manifest's replays: selected, counted, one row an id, ordered by id and identity.
 
     ``members``: replay_sha256, position (unique in its replay), replay_player_id, identity, samples.
     ``entries``: replay_sha256, selected_player_count. A replay without members and members without a replay
-    both break the count.
+    both break the count. With ``few`` every replay has so few members that they stay together, and rows that are
+    dealt by ``replay_sha256`` do not move again; without, a replay may have any number.
     """
     c = F.col
     rules = {
@@ -49,15 +72,17 @@ def audit_members(members: DataFrame, entries: DataFrame, selected: DataFrame) -
         "members.replay_player_id": not_in_range(c("replay_player_id"), 0),
         "members.samples": not_in_range(c("samples"), 1),
     }
-    strangers = members.join(selected.select(c("player_id").alias("identity")), "identity", "left_anti")
     counted = members.groupBy("replay_sha256").agg(F.count(F.lit(1)).alias("_n"))
     both = entries.select("replay_sha256", "selected_player_count").join(counted, "replay_sha256", "full_outer")
-    counts = {"members.count": ~c("selected_player_count").eqNullSafe(c("_n"))}
+    miscounted = violations(both, c("replay_sha256"), {"members.count": ~c("selected_player_count").eqNullSafe(c("_n"))})
     order = F.struct("replay_player_id", "identity")
+    if few:
+        return _audit_few_members(members, selected, rules, order).unionByName(miscounted)
+    strangers = members.join(selected.select(c("player_id").alias("identity")), "identity", "left_anti")
     return (
         violations(members, c("replay_sha256"), rules, c("identity"))
         .unionByName(violations(strangers, c("replay_sha256"), {"members.unselected": F.lit(True)}, c("identity")))
-        .unionByName(violations(both, c("replay_sha256"), counts))
+        .unionByName(miscounted)
         .unionByName(duplicates(members, ["replay_sha256", "replay_player_id"], "members.repeated_id"))
         .unionByName(out_of_order(members, "position", c("replay_sha256"), order, "members.not_in_order", keys=["replay_sha256"], descending=False))
     )
@@ -66,7 +91,7 @@ def audit_members(members: DataFrame, entries: DataFrame, selected: DataFrame) -
 def audit_replay_order(entries: DataFrame) -> DataFrame:
     """Replays ascend strictly by hash inside their split. Columns: split, position (unique in its split), replay_sha256."""
     key = F.col("replay_sha256")
-    return out_of_order(entries, "position", key, key, "replays.not_in_order", keys=["split"], descending=False, strict=True)
+    return out_of_order(entries.select("split", "position", key), "position", key, key, "replays.not_in_order", keys=["split"], descending=False, strict=True)
 
 
 def audit_header(headers: DataFrame, entries: DataFrame, selected: DataFrame) -> DataFrame:
