@@ -1,5 +1,7 @@
 """What the rounds of matching move."""
 
+import pytest
+
 from tests.test_matching import REPORT, crowd, plain_match
 from touchline.operators import matching as M
 
@@ -19,3 +21,28 @@ def test_rounds_move_numbers(spark, monkeypatch):
     got = {r.replay_sha256: (r.message_id, r.confidence) for r in M.match_replays(a, b).collect()}
     assert got == plain_match(replays, reports, M.MINIMUM_CONFIDENCE)
     assert kinds and all(k == {"bigint"} for k in kinds)
+
+
+@pytest.mark.parametrize("seed,n,minimum", [(5, 40, 0.65), (6, 30, 0.03)])
+def test_families_are_dealt_once_where_they_fit(spark, monkeypatch, seed, n, minimum):
+    """Small families are ranked where they lie, larger ones than ``span`` in chunks; both give the greedy matches."""
+    replays, reports = crowd(seed, n)
+    a = spark.createDataFrame(replays, "sha256 string, path string, file_name string, size_bytes long")
+    b = spark.createDataFrame(reports, REPORT)
+    want, ways, plain = plain_match(replays, reports, minimum), [], M._round
+    monkeypatch.setattr(M, "_round", lambda left, right, span: ways.append(span) or plain(left, right, span))
+    for span, way in ((1000, None), (1, 1)):
+        ways.clear()
+        got = {r.replay_sha256: (r.message_id, r.confidence) for r in M.match_replays(a, b, minimum=minimum, span=span).collect()}
+        assert got == want and ways[0] is way
+
+
+def test_times_are_asked_of_those_that_names_leave(spark, monkeypatch):
+    """A replay that a name matches has no minute to look up, and its report no eleven."""
+    a = spark.createDataFrame([(f"r{i}", "p", f"24-09-26-22h12-{'a' if i < 8 else 'b'}.hbr2", 1) for i in range(9)], "sha256 string, path string, file_name string, size_bytes long")
+    b = spark.createDataFrame([(f"m{i}", "2026-09-24T22:12:00", [(f"24-09-26-22h12-{'a' if i < 8 else 'c'}.hbr2", None, 1)]) for i in range(9)], REPORT)
+    seen, plain = [], M._greedy
+    monkeypatch.setattr(M, "_greedy", lambda replays, reports, span: seen.append((replays.count(), reports.count())) or plain(replays, reports, span))
+    got = {r.replay_sha256: (r.message_id, r.confidence) for r in M.match_replays(a, b, minimum=0.03).collect()}
+    assert got == {f"r{i}": (f"m{i}", 1.0 if i < 8 else 0.08) for i in range(9)}
+    assert seen[1] == (1, 11)

@@ -17,7 +17,7 @@ Every round makes all final runs at once and at least the best pair overall, the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import (
@@ -31,7 +31,7 @@ from touchline.functions.scalars import (
     seconds_between,
 )
 from touchline.operators.sequences import ID_SPAN, running_total
-from touchline.session import materialize
+from touchline.session import computed_once, materialize
 
 # Confidence of the kinds of evidence.
 EXACT_NAME, HASHED_NAME, SAME_SIZE, CLOSE_TIME, NEAR_TIME = 0.90, 0.84, 0.06, 0.08, 0.03
@@ -62,16 +62,26 @@ def pair_evidence(pairs: DataFrame) -> DataFrame:
 
     The first fitting attachment counts, even if a later one would fit better.
     """
+    # names come apart once a row: a lambda computes again whatever it names twice
+    own = computed_once(pairs, _own=fold_case(F.col("file_name")))
+    own = computed_once(own, _stem=file_stem(F.col("_own")), _suffix=file_suffix(F.col("_own")))
+    own = computed_once(own, _base=base_stem(F.col("_stem")))
+    same = lambda a: F.coalesce(a["size_bytes"] == F.col("size_bytes"), F.lit(False)).alias("same_size")
+    folded = F.transform("attachments", lambda a: F.struct(fold_case(a["file_name"]).alias("name"), same(a)))
+    parts = F.transform(folded, lambda a: F.struct(a["name"].alias("name"), file_stem(a["name"]).alias("stem"), file_suffix(a["name"]).alias("suffix"), a["same_size"].alias("same_size")))
     fits = F.transform(
-        "attachments",
+        parts,
         lambda a: F.struct(
-            name_evidence(a["file_name"], F.col("file_name")).alias("reason"),
-            F.coalesce(a["size_bytes"] == F.col("size_bytes"), F.lit(False)).alias("same_size"),
+            F.when(a["name"] == F.col("_own"), "exact_attachment_filename")
+            .when((a["suffix"] == F.col("_suffix")) & (a["stem"] == F.col("_base")), "dce_hashed_asset_filename")
+            .when((a["suffix"] == F.col("_suffix")) & (F.col("_stem") == base_stem(a["stem"])), "dce_hashed_attachment_filename")
+            .alias("reason"),
+            a["same_size"].alias("same_size"),
         ),
     )
     first = F.get(F.filter(fits, lambda f: f["reason"].isNotNull()), F.lit(0))
     bonus = time_bonus(replay_time(F.col("file_name")), report_time(F.col("timestamp")))
-    scored = pairs.withColumn("_fit", first).withColumn("_bonus", bonus)
+    scored = computed_once(own, _fit=first, _bonus=bonus)
     name = F.when(F.col("_fit").isNull(), 0.0).when(
         F.col("_fit.reason") == "exact_attachment_filename", EXACT_NAME
     ).otherwise(HASHED_NAME)
@@ -87,7 +97,7 @@ def pair_evidence(pairs: DataFrame) -> DataFrame:
     )
     return scored.withColumns(
         {"score": F.least(name + size + F.col("_bonus"), F.lit(1.0)), "reasons": reasons}
-    ).drop("_fit", "_bonus")
+    ).select(*pairs.columns, "score", "reasons")
 
 
 def _family(kind: str, *parts: Column) -> Column:
@@ -135,11 +145,27 @@ def replay_families(replays: DataFrame, reports: DataFrame, *, by_time: bool) ->
     name, plain = F.col("_name"), F.col("_plain")
     size = F.col("size_bytes").cast("string")
     families = [_family(k, n, s) for k, n in (("x", name), ("y", plain), ("z", name)) for s in (size, F.lit("*"))]
-    if by_time:
-        at = replay_time(F.col("file_name"))
-        families.append(F.when(at.isNotNull(), _family("t", local_seconds(at).cast("long").cast("string"))))
     usual = named.select("_id", F.explode(F.array_compact(F.array(*families))).alias("family"))
-    return usual.unionByName(narrowed_families(replays, reports))
+    by_name = usual.unionByName(narrowed_families(replays, reports))
+    return by_name.unionByName(replay_minutes(replays)) if by_time else by_name
+
+
+def replay_minutes(replays: DataFrame) -> DataFrame:
+    """The family of every replay's minute, where its name has one: (id, family)."""
+    at = local_seconds(replay_time(F.col("file_name"))).cast("long").cast("string")
+    return replays.select("_id", F.when(at.isNotNull(), _family("t", at)).alias("family")).where("family IS NOT NULL")
+
+
+def report_minutes(reports: DataFrame, *, minimum: float) -> DataFrame:
+    """Families of the minutes around every report, with their score: (id, family, score)."""
+    at = local_seconds(report_time(F.col("timestamp")))
+    opening, closing = F.ceil((at - NEAR_SECONDS) / 60), F.floor((at + NEAR_SECONDS) / 60)
+    minutes = reports.select("_id", at.alias("_at"), F.explode(F.sequence(opening, closing)).alias("_m")).select(
+        "_id",
+        _family("t", (F.col("_m") * 60).cast("string")).alias("family"),
+        F.when(F.abs(F.col("_m") * 60 - F.col("_at")) <= CLOSE_SECONDS, CLOSE_TIME).otherwise(NEAR_TIME).alias("score"),
+    )
+    return minutes.filter(F.col("score") >= minimum)
 
 
 def report_families(reports: DataFrame, *, minimum: float, by_time: bool) -> DataFrame:
@@ -177,17 +203,8 @@ def report_families(reports: DataFrame, *, minimum: float, by_time: bool) -> Dat
         open_ = F.col(f"_{kind}")
         edges += [F.when(open_ & size.isNotNull(), sized), F.when(open_, blind)]
     out = facts.select("_id", F.inline(F.array_compact(F.array(*edges))))
-    if by_time:
-        at = local_seconds(report_time(F.col("timestamp")))
-        opening = F.ceil((at - NEAR_SECONDS) / 60)
-        closing = F.floor((at + NEAR_SECONDS) / 60)
-        minutes = reports.select("_id", at.alias("_at"), F.explode(F.sequence(opening, closing)).alias("_m")).select(
-            "_id",
-            _family("t", (F.col("_m") * 60).cast("string")).alias("family"),
-            F.when(F.abs(F.col("_m") * 60 - F.col("_at")) <= CLOSE_SECONDS, CLOSE_TIME).otherwise(NEAR_TIME).alias("score"),
-        )
-        out = out.unionByName(minutes)
-    return out.filter(F.col("score") >= minimum)
+    out = out.filter(F.col("score") >= minimum)
+    return out.unionByName(report_minutes(reports, minimum=minimum)) if by_time else out
 
 
 def _with_order(df: DataFrame, key: str) -> DataFrame:
@@ -195,31 +212,57 @@ def _with_order(df: DataFrame, key: str) -> DataFrame:
     return materialize(df.orderBy(key).withColumn("_id", F.monotonically_increasing_id()))
 
 
-def _round(replays: DataFrame, reports: DataFrame, span: int) -> DataFrame:
-    """Pairs that are final now. ``replays``: _id, family; ``reports``: _id, family, score."""
+def _choices(offers: DataFrame) -> DataFrame:
+    """Per member its best score and the leaders of its two earliest families at that score. ``offers``: _id, score, _first, family."""
+    two = offers.groupBy("_id").agg(
+        F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("_s"), "_first", "family"))), 1, 2).alias("_two")
+    )
+    same = F.filter("_two", lambda o: o["_s"] == F.col("_two")[0]["_s"])
+    return two.select(
+        "_id", (-F.col("_two")[0]["_s"]).alias("best"), F.transform(same, lambda o: F.struct(o["_first"].alias("_first"), o["family"].alias("family"))).alias("two")
+    )
+
+
+def _dealt(replays: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of equal rank and the choices of both sides, where a family fits a task: both sides are dealt by family
+    once, and ranks, leaders and pairs are made where they lie."""
+    rows = replays.select("family", F.lit(0).alias("_side"), "_id", F.lit(0.0).alias("score")).unionByName(
+        reports.select("family", F.lit(1).alias("_side"), "_id", "score")
+    )
+    family = Window.partitionBy("family")
+    topped = rows.repartition("family").withColumn("_top", F.max("score").over(family))
+    replay, leading = F.col("_side") == 0, (F.col("_side") == 1) & (F.col("score") == F.col("_top"))
+    by_rank = Window.partitionBy("family", "_side").orderBy("_id")
+    zipped = (
+        topped.where(replay | leading).withColumn("k", F.row_number().over(by_rank)).groupBy("family", "k")
+        .agg(F.max(F.when(replay, F.col("_id"))).alias("replay_id"), F.max(F.when(~replay, F.col("_id"))).alias("report_id"), F.max("score").alias("score"))
+        .where("replay_id IS NOT NULL AND report_id IS NOT NULL")
+    )
+    led = topped.withColumns({"_replay": F.min(F.when(replay, F.col("_id"))).over(family), "_report": F.min(F.when(leading, F.col("_id"))).over(family)})
+    replay_choice = _choices(led.where(replay).select("_id", F.col("_top").alias("score"), F.col("_report").alias("_first"), "family"))
+    report_choice = _choices(led.where(~replay).select("_id", "score", F.col("_replay").alias("_first"), "family"))
+    return zipped, replay_choice, report_choice
+
+
+def _cut(replays: DataFrame, reports: DataFrame, span: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same with families of any size, ranked in chunks of ids."""
     # Only the best score of a family can be somebody's best.
     first_replay = replays.groupBy("family").agg(F.min("_id").alias("_first"))
     first_report = reports.groupBy("family").agg(F.min(F.struct((-F.col("score")).alias("_s"), "_id")).alias("_top")).select(
         "family", (-F.col("_top._s")).alias("score"), F.col("_top._id").alias("_first")
     )
-
-    def choices(side: DataFrame, leaders: DataFrame) -> DataFrame:
-        """Per member its best score and the leaders of its two earliest families at that score."""
-        offers = side.join(leaders, "family").groupBy("_id").agg(
-            F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("_s"), "_first", "family"))), 1, 2).alias("_two")
-        )
-        same = F.filter("_two", lambda o: o["_s"] == F.col("_two")[0]["_s"])
-        return offers.select(
-            "_id", (-F.col("_two")[0]["_s"]).alias("best"), F.transform(same, lambda o: F.struct(o["_first"].alias("_first"), o["family"].alias("family"))).alias("two")
-        )
-
-    replay_choice = choices(replays, first_report)
-    report_choice = choices(reports, first_replay)
     ranked_replays = running_total(replays, ["family"], "_id", F.lit(1), "k", span=span)
     ranked_reports = running_total(reports, ["family", "score"], "_id", F.lit(1), "k", span=span)
     zipped = ranked_replays.withColumnRenamed("_id", "replay_id").join(
         ranked_reports.withColumnRenamed("_id", "report_id"), ["family", "k"]
     )
+    return zipped, _choices(replays.join(first_report, "family")), _choices(reports.join(first_replay, "family"))
+
+
+def _round(replays: DataFrame, reports: DataFrame, span: int | None) -> DataFrame:
+    """Pairs that are final now. ``replays``: _id, family; ``reports``: _id, family, score. Without ``span`` no family
+    is too large for a task."""
+    zipped, replay_choice, report_choice = _cut(replays, reports, span) if span else _dealt(replays, reports)
     prefixed = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c.lstrip('_')}") for c in df.columns])
     judged = zipped.join(prefixed(replay_choice, "replay"), "replay_id").join(
         prefixed(report_choice, "report"), "report_id"
@@ -245,35 +288,50 @@ def _round(replays: DataFrame, reports: DataFrame, span: int) -> DataFrame:
     )
 
 
-def match_replays(
-    replays: DataFrame, reports: DataFrame, *, minimum: float = MINIMUM_CONFIDENCE, span: int = ID_SPAN
-) -> DataFrame:
-    """Greedy one-to-one matches (JON-01 to JON-03).
-
-    ``replays``: sha256 (unique), path, file_name, size_bytes. ``reports``: message_id (unique), timestamp,
-    attachments. Below a minimum of 0.09 the time alone can match; a minimum must be above 0.
-    """
-    if minimum <= 0:
-        raise ValueError("minimum must be above 0: everything would match everything")
-    by_time = minimum <= CLOSE_TIME
-    a = _with_order(replays.select("sha256", "path", "file_name", "size_bytes"), "sha256")
-    b = _with_order(reports.select("message_id", "timestamp", "attachments"), "message_id")
-    right = materialize(report_families(b, minimum=minimum, by_time=by_time))
+def _greedy(replays: DataFrame, reports: DataFrame, span: int) -> list[DataFrame]:
+    """The pairs of every round, written. ``replays``: _id, family; ``reports``: _id, family, score, maybe repeated."""
+    right = materialize(reports)
     # Families are numbered, so that the rounds move two numbers and not names. Members of families that the
     # other side does not know can never match.
     known = materialize(right.select("family").distinct().withColumn("_no", F.monotonically_increasing_id()))
     numbered = lambda side, *more: side.join(known, "family").select("_id", F.col("_no").alias("family"), *more)
-    left = materialize(numbered(replay_families(a, b, by_time=by_time)))
+    left = materialize(numbered(replays))
     right = numbered(right, "score").distinct()
     right = materialize(right.join(left.select("family").distinct(), "family", "left_semi"))
+    crowded = lambda side: not side.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > span).isEmpty()
+    cut = span if crowded(left) or crowded(right) else None
     done = []
     while not right.isEmpty():
-        pairs = materialize(_round(left, right, span))
+        pairs = materialize(_round(left, right, cut))
         done.append(pairs)
         left = left.join(pairs.select(F.col("replay_id").alias("_id")), "_id", "left_anti")
         right = right.join(pairs.select(F.col("report_id").alias("_id")), "_id", "left_anti")
         left = materialize(left.join(right.select("family").distinct(), "family", "left_semi"))
         right = materialize(right.join(left.select("family").distinct(), "family", "left_semi"))
+    return done
+
+
+def match_replays(
+    replays: DataFrame, reports: DataFrame, *, minimum: float = MINIMUM_CONFIDENCE, span: int = ID_SPAN
+) -> DataFrame:
+    """Greedy one-to-one matches (JON-01 to JON-03).
+
+    ``replays``: sha256 (unique), path, file_name, size_bytes. ``reports``: message_id (unique), timestamp,
+    attachments. Below a minimum of 0.09 the time alone can match; a minimum must be above 0.
+    """
+    if minimum <= 0:
+        raise ValueError("minimum must be above 0: everything would match everything")
+    by_time = minimum <= CLOSE_TIME
+    a = _with_order(replays.select("sha256", "path", "file_name", "size_bytes"), "sha256")
+    b = _with_order(reports.select("message_id", "timestamp", "attachments"), "message_id")
+    done = _greedy(replay_families(a, b, by_time=False), report_families(b, minimum=minimum, by_time=False), span)
+    if by_time:
+        # Any name scores more than every time, so times are only asked of those that names leave.
+        free_a, free_b = a.select("_id", "file_name"), b.select("_id", "timestamp")
+        for pairs in done:
+            free_a = free_a.join(pairs.select(F.col("replay_id").alias("_id")), "_id", "left_anti")
+            free_b = free_b.join(pairs.select(F.col("report_id").alias("_id")), "_id", "left_anti")
+        done += _greedy(replay_minutes(free_a), report_minutes(free_b, minimum=minimum), span)
     spark = replays.sparkSession
     matched = spark.createDataFrame([], "replay_id long, report_id long, score double")
     for pairs in done:
