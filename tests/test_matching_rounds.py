@@ -4,6 +4,7 @@ import pytest
 
 from tests.test_matching import REPORT, crowd, plain_match
 from touchline.operators import matching as M
+from touchline.workload import imports
 
 
 def test_rounds_move_numbers(spark, monkeypatch):
@@ -46,3 +47,15 @@ def test_times_are_asked_of_those_that_names_leave(spark, monkeypatch):
     got = {r.replay_sha256: (r.message_id, r.confidence) for r in M.match_replays(a, b, minimum=0.03).collect()}
     assert got == {f"r{i}": (f"m{i}", 1.0 if i < 8 else 0.08) for i in range(9)}
     assert seen[1] == (1, 11)
+
+
+def test_both_versions_are_published_from_rows_made_once(spark, monkeypatch):
+    """Reports, groups, matches and the manifest are read from written tables, however often they are published."""
+    published = []
+    monkeypatch.setattr(imports.sinks, "publish_tables", lambda tables, root: published.append(tables) or len(published))
+    monkeypatch.setattr(imports.sinks, "read_published", lambda spark, root, name, schema, version: spark.createDataFrame([], schema))
+    imports.published_import(spark, "/root/testdata/sf0.001")
+    assert len(published) == 2
+    for name in ("replays", "reports", "matches", "manifest"):
+        files = published[0][name][0].inputFiles()
+        assert files and all("/rows/" in f for f in files)

@@ -229,16 +229,18 @@ def import_manifest(spark, folder):
 )
 def published_import(spark, folder):
     replays, reports = _sides(spark, folder)
-    files = adapters.files(spark, folder)
-    groups = I.content_groups(files)
+    # what several tables and both versions are made of is made once
+    reports, files = materialize(reports), adapters.files(spark, folder)
+    groups = materialize(I.content_groups(files))
     matches = materialize(M.match_replays(replays, reports))
     failures = I.probe_headers(adapters.replay_contents(spark, folder)).filter("error IS NOT NULL")
+    manifest = materialize(I.import_manifest(files, groups, reports, matches, I.unmatched(matches, replays, reports), failures))
     tables = {
         "replays": (groups, ["path"]),
         "duplicates": (I.duplicate_paths(files, groups), ["sha256", "path"]),
         "reports": (reports, ["message_id"]),
         "matches": (matches, ["replay_sha256", "message_id"]),
-        "manifest": (I.import_manifest(files, groups, reports, matches, I.unmatched(matches, replays, reports), failures), ["replay_count"]),
+        "manifest": (manifest, ["replay_count"]),
     }
     root = shared_folder(spark, "import")
     first, last = (sinks.publish_tables(tables, root) for _ in range(2))
